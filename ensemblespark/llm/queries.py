@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from .bpe import op6_byte_bpe
+from .chat import OP1_SQL, op1_chat_formatting
+from .embedding_dedup import op10_embedding_near_dedup
+from .lm import op5_lm_scoring
+from .mixing import op7_mixing
+from .near_dedup import op9_minhash_near_dedup
 from .quality import op8_quality_classifier
+from .token_counts import op2_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
