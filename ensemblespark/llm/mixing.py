@@ -37,10 +37,10 @@ def n_words(text: Column) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", 0).otherwise(F.size(F.split(bare, "[\\x20\\x09-\\x0D]+")))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs' uid, doc_id and source with size and key; the texts are read once, here."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with size and key."""
     key = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))), 1, DIGITS * LEVELS)
-    return keep(docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).cast("long").alias("size"), key.alias("key")))
+    return docs.withColumns({"size": n_words(F.col("text")).cast("long"), "key": key})
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -84,17 +84,53 @@ def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return last.select(*goal.columns, "rounds", "bucket", (F.coalesce("cut_sum", F.lit(0)) - F.col("budget") < F.col("budget")).alias("closed"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, size, source_size, target, taken) of every document."""
-    sizes = sized(docs)
-    goal = keep(targets(sizes))
-    bound = F.broadcast(thresholds(sizes, goal).withColumnRenamed("source", "_s"))  # a row per source
+def plan(sizes: DataFrame) -> DataFrame:
+    """The mix of documents with source, size and key: a row per source with its target and thresholds."""
+    return thresholds(sizes, keep(targets(sizes)))
+
+
+def apply(sizes: DataFrame, planned: DataFrame) -> DataFrame:
+    """sizes' columns with source_size, target and times (how often each document is taken).
+    The plan is a row per source, hence the broadcast; the documents aren't shuffled."""
+    bound = F.broadcast(planned.withColumnRenamed("source", "_s"))
     more = ((F.col("key") < F.col("bucket")) | ((F.col("key") == F.col("bucket")) & F.col("closed"))).cast("long")
     times = F.col("rounds") + F.when(F.col("rounds") >= MOST, 0).otherwise(more)
-    taken = sizes.join(bound, F.col("source").eqNullSafe(F.col("_s"))).withColumn("times", times)
-    return taken.select("uid", "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+    return sizes.join(bound, F.col("source").eqNullSafe(F.col("_s"))).select(*[F.col(f"`{c}`") for c in sizes.columns], "source_size", "target", times.alias("times"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("uid", F.monotonically_increasing_id())
-    return mix(docs).drop("uid", "times")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+    sizes = keep(keyed(docs).drop("text"))  # the texts are read once
+    return apply(sizes, plan(sizes)).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+_WEIGHT = f"[{', '.join(map(str, WEIGHTS))}]"
+OP7_SQL = f"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+         substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, {DIGITS * LEVELS}) as key
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, {MOST} * cast(sum(size) as double) as cap,
+         cast({_WEIGHT}[(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as double) as weight
+  from d group by source
+), l as (
+  select *, ({TOTAL} * sum(cast(source_size as double)) over () - coalesce(sum(cap) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
+  from s window b as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), f as (
+  select arg_min(level, cap / weight) as level from l where level <= cap / weight
+), g as (
+  select source, source_size, least(cap, coalesce((select level from f), cast('inf' as double)) * weight) as target from l
+), r as (
+  select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as rounds from g
+), k as (
+  select source, key, sum(size) as own, sum(sum(size)) over (partition by source order by key) as upto from d group by source, key
+), c as (
+  select k.source, min(key) as cut, min(upto - own) as spent, arg_min(own, key) as own
+  from k join r on k.source is not distinct from r.source where upto > target - rounds * source_size group by k.source
+)
+select d.doc_id, d.size, r.source_size, r.target,
+       d.size * (rounds + case when rounds >= {MOST} then 0 when d.key < coalesce(cut, '~') then 1
+         when d.key = cut and own - (target - rounds * source_size - spent) < target - rounds * source_size - spent then 1 else 0 end) as taken
+from d join r on d.source is not distinct from r.source left join c on d.source is not distinct from c.source
+"""

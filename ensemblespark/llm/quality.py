@@ -217,13 +217,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return m
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
-    """docs' rows scored in one pass without a shuffle: SCORES, and the columns of `carry` as they were."""
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, carry: bool = False) -> DataFrame:
+    """One row per document, scored in one pass without a shuffle: SCORES, and with carry=True
+    the document itself as a struct `row`."""
     from pyspark.sql.types import StructType
 
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
-    also = docs.select(*[F.col(f"`{c}`") for c in carry or []]).schema
-    kind = StructType([*StructType.fromDDL(SCORES), *[f for f in also]])
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    kind = StructType([*StructType.fromDDL(SCORES), *docs.select(*whole).schema])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -238,7 +239,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, carry: list
 
     own = docs.select(
         F.col("doc_id").cast("long").alias("_id"), (id_fold("doc_id", 4) == 2).alias("_held"), F.col("text").alias("_text"), F.col("n_chars").cast("double").alias("_chars"),
-        *[F.col(f"`{c}`") for c in carry or []],
+        *whole,
     )
     return own.mapInArrow(scored, kind)
 

@@ -6,9 +6,10 @@ from .bpe import op6_byte_bpe
 from .chat import OP1_SQL, op1_chat_formatting
 from .embedding_dedup import op10_embedding_near_dedup
 from .lm import op5_lm_scoring
-from .mixing import op7_mixing
+from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op9_minhash_near_dedup
 from .quality import op8_quality_classifier
+from .rules import OP4_SQL, op4_quality_rules
 from .token_counts import op2_token_counts
 from .toxicity import op3_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_mixing": OP7_SQL}
