@@ -1,6 +1,9 @@
-"""Registered queries of the reference's operators and the SQL they are held against."""
+"""Registered queries of the engine's operators and the SQL they are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import alignments, catalogs, ensembles, logs, trajectories
+
+MODULES = (catalogs, trajectories, ensembles, alignments, logs)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
