@@ -151,3 +151,22 @@ class Table:
             return np.full(len(wanted), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.order[at], -1)
+
+
+#: Bytes of text worked on at a time; bounds a task's temporary arrays (a longer text is taken alone).
+SLICE = 12 << 20
+
+
+def slices(batches, column: str = "text"):
+    """Arrow batches cut so that each holds about SLICE bytes of text."""
+    for batch in batches:
+        texts = batch.column(column)
+        if texts.nbytes <= SLICE:
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield batch.slice(at, to - at)
+            at = to

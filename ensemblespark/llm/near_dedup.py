@@ -10,10 +10,11 @@ candidates; a pair is linked if the Jaccard similarity of the two sets of shingl
 exactly, is at least 0.8; documents reached by links are one group.
 
 No bucket's pairs are all written out. Texts with the same words are one node. In a bucket
-every node is compared with the bucket's least node under one of a few orders, which connects large
-groups of alike texts; then only nodes whose bucket still holds several groups are compared
-with the other groups' nodes there, all of them. So every candidate pair is either compared
-or already in one group, and no cap is set.
+every node is compared with the bucket's head, the node that shares most slots overall,
+which connects large families of alike texts; then only nodes whose bucket still holds
+several groups are compared with the other groups' nodes there, all those that an exact
+bound on their common shingles leaves. So every candidate pair is compared, ruled out by the
+bound, or already in one group, and no cap is set.
 
 Defined cases: texts without a word (null, empty, blank) are alike to nothing, themselves
 kept; texts of any length are read whole; equal rows are one group; null ids come after all
@@ -38,8 +39,6 @@ WIDTH = 5
 #: Similarity as a fraction: at least LINK[0] / LINK[1].
 LINK = (4, 5)
 BANDS, ROWS = 20, 4
-#: Orders in which a bucket's least node is taken.
-ORDERS = (0x0, 0x2AAA5555AAAA5555, 0x0F0F3333CCCC5A5A, 0x7FFFFFFFFFFFFFFF)
 _ID_BITS = np.uint64((1 << 22) - 1)
 _NEVER = np.uint64((1 << 64) - 1)
 #: Words signed at a time; bounds the temporary arrays (a longer text is signed alone).
@@ -116,7 +115,7 @@ def band_keys(words: H.Words) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in H.slices(batches):
         words = H.words_of(H.texts_of(batch.column("text")), H.WHITE, H.LOWER_CODES)
         n = np.diff(words.offsets)
         place = np.arange(len(words.hashes)) - np.repeat(words.offsets[:-1], n)
@@ -131,24 +130,31 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in H.slices(batches):
         words = H.words_of(H.texts_of(batch.column("text")), H.WHITE, H.LOWER_CODES)
         owner, key, _ = shingles(words)
         cuts = np.searchsorted(owner, np.arange(len(words.offsets))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))], names=["uid", "s"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets of shingles are alike enough. Sets are made only
-    for the nodes of pairs; a node may be in any number of pairs, each side's sets are unique,
-    so a hub's partition can be split."""
-    nodes = keep(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
-    sets = keep(texts.join(small(nodes, nodes.count()), "uid", "left_semi").mapInArrow(_sets, "uid long, s array<long>"))
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets of shingles are alike enough. A node may be in any
+    number of pairs; the sets' side has one row per node, so a hub's partition can be split."""
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
     alike = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return alike.where(F.col("common") * LINK[1] >= (F.col("sum") - F.col("common")) * LINK[0]).select("a", "b")
 
 
+def _bounds(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, k): a node's shingles, and how many of them another of the nodes holds too.
+
+    Two nodes have at most min(k, k') shingles in common; the rest of the pair is settled by
+    that bound, without a look at the sets."""
+    own = sets.join(nodes.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi")
+    alone = own.select("uid", F.explode("s").alias("x")).groupBy("x").agg(F.min("uid").alias("node"), F.count("*").alias("c")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+    return own.select(F.col("uid").alias("node"), F.size("s").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("k"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, component_id, n_same, kept): one row per document; n_same counts the rows
     with the same words. docs has uid (unique), doc_id and text."""
@@ -158,23 +164,35 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = keep(worded.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_same")))
     nodes = signed.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
     slots = keep(nodes.select(F.col("uid").alias("node"), F.explode("bands").alias("key")))
-    order = F.element_at(F.array(*map(F.lit, ORDERS)), (F.pmod(F.col("key"), F.lit(len(ORDERS))) + 1).cast("int"))
-    least = slots.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(order)).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m").bitwiseXOR(order).alias("head"))
-    shared = keep(slots.join(least, "key"))  # slots of buckets with two nodes or more
+    sizes = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep(slots.join(sizes, "key"))  # slots of buckets with two nodes or more
+    # A bucket's head is the node that shares most slots in all its buckets: the middle of a family.
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = shared.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("last"))).alias("h")).select("key", (-F.col("h.last")).alias("head"))
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    first = keep(shared.where("node <> head").select(*pair("node", "head")).distinct())
-    links = keep(_linked(first, texts))
+    first = keep(shared.select("key", "node").join(heads, "key").where("node <> head").select(*pair("node", "head")).distinct())
+    wanted = keep(shared.select(F.col("node").alias("uid")).distinct())
+    sets = keep(texts.join(small(wanted, wanted.count()), "uid", "left_semi").mapInArrow(_sets, "uid long, s array<long>"))
+    links = keep(_linked(first, sets))
     label = components(links, "a", "b")
-    # What is left: buckets that still hold nodes of several groups.
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """rows (key, node, group, ...) of buckets with several groups, with the largest one as main."""
+        counted = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
+        main = counted.groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("most.group").alias("main"))
+        return rows.join(main, "key")
+
+    # What is left: buckets that still hold nodes of several groups which could be linked at all.
     placed = shared.select("key", "node").join(label.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    counted = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("most.group").alias("main"))
-    open_ = keep(placed.join(mixed, "key"))
-    minor = open_.where(F.col("group") != F.col("main")).select("key", F.col("node").alias("x"), F.col("group").alias("gx"))
-    other = open_.select("key", F.col("node").alias("y"), F.col("group").alias("gy"), (F.col("group") == F.col("main")).alias("main"))
-    rest = minor.join(other, "key").where((F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y")))).select(*pair("x", "y")).distinct()
-    rest = keep(rest.join(first, ["a", "b"], "left_anti"))
-    more = keep(_linked(rest, texts))
+    open_ = keep(mixed(placed).drop("main"))
+    bounds = _bounds(open_, sets).where(F.col("k") * LINK[1] >= F.col("n") * LINK[0])
+    open_ = keep(mixed(open_.join(bounds, "node")))
+    minor = open_.where(F.col("group") != F.col("main")).select("key", F.col("node").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("k").alias("kx"))
+    other = open_.select("key", F.col("node").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), F.col("k").alias("ky"), (F.col("group") == F.col("main")).alias("main"))
+    # c in common of n and n' are alike from c / (n + n' - c) = LINK on.
+    possible = F.least("kx", "ky") * (LINK[0] + LINK[1]) >= (F.col("nx") + F.col("ny")) * LINK[0]
+    rest = minor.join(other, "key").where((F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))) & possible).select(*pair("x", "y")).distinct()
+    more = keep(_linked(keep(rest.join(first, ["a", "b"], "left_anti")), sets))
     if more.take(1):
         label = components(links.union(more), "a", "b")
     placed = classes.join(label, "node", "left").select("k1", "k2", "node", "least_id", "n_same", F.coalesce("component", "node").alias("group"))
