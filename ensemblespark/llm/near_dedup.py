@@ -39,6 +39,8 @@ WIDTH = 5
 #: Similarity as a fraction: at least LINK[0] / LINK[1].
 LINK = (4, 5)
 BANDS, ROWS = 20, 4
+#: How often the bounds are drawn tighter before pairs are made.
+BOUND_ROUNDS = 3
 _ID_BITS = np.uint64((1 << 22) - 1)
 _NEVER = np.uint64((1 << 64) - 1)
 #: Words signed at a time; bounds the temporary arrays (a longer text is signed alone).
@@ -184,9 +186,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # What is left: buckets that still hold nodes of several groups which could be linked at all.
     placed = shared.select("key", "node").join(label.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    open_ = keep(mixed(placed).drop("main"))
-    bounds = _bounds(open_, sets).where(F.col("k") * LINK[1] >= F.col("n") * LINK[0])
-    open_ = keep(mixed(open_.join(bounds, "node")))
+    open_ = keep(mixed(placed))
+    for _ in range(BOUND_ROUNDS):  # without those that can't be linked, others have fewer shingles in common
+        bounds = _bounds(open_, sets).where(F.col("k") * LINK[1] >= F.col("n") * LINK[0])
+        open_ = keep(mixed(open_.select("key", "node", "group").join(bounds, "node")))
     minor = open_.where(F.col("group") != F.col("main")).select("key", F.col("node").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("k").alias("kx"))
     other = open_.select("key", F.col("node").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), F.col("k").alias("ky"), (F.col("group") == F.col("main")).alias("main"))
     # c in common of n and n' are alike from c / (n + n' - c) = LINK on.
