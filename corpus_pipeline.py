@@ -28,7 +28,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose distributions fit their language."""
-    return rules.judge(docs.select("text", "lang", _whole(docs))).where("kept").select("row.*")
+    judged = rules.judge(docs.select("text", "lang", _whole(docs))).withColumn("place", F.monotonically_increasing_id())
+    # The row number keeps the optimizer from moving the filter below the counts, where it would
+    # repeat their arrays' expressions for every element.
+    return judged.where("kept and place >= 0").select("row.*")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
