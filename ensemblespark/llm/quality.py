@@ -174,7 +174,7 @@ def fit(x: Inputs, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate
 
 
 def _inputs_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in H.slices(batches):
         x = inputs(batch.column("text"), batch.column("n_chars"))
         cuts = np.searchsorted(x.row, np.arange(len(x.dense) + 1)).astype(np.int32)
         lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.astype(kind)))
@@ -228,7 +228,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, carry: bool
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch in batches:
+        for batch in H.slices(batches, "_text"):
             x = inputs(batch.column("_text"), batch.column("_chars"))
             raw = m.raw(x) if len(m.shift) == x.dense.shape[1] else np.zeros(len(x.dense))
             p = m.scores(raw)
