@@ -204,6 +204,7 @@ def links(vectors: DataFrame) -> DataFrame:
     blocks = keep(
         placed.join(sizes, "component")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK)))
+        .repartition("component", "block")  # else all blocks of a component stay in the join's partition
         .groupBy("component", "block").agg(F.collect_list(F.struct("node", "v", "n")).alias("a"))
     )
     other = blocks.select("component", F.col("block").alias("block2"), F.col("a").alias("b"))
