@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .store import table
 
-#: Distinct pieces, and pairs of entries, that a task remembers; each starts afresh when full.
-REMEMBERED = 300_000
+#: Distinct pieces, and pairs of entries, that a task remembers (about 250 and 150 bytes each);
+#: each memory starts afresh when it is full.
+PIECES, PAIRS = 800_000, 300_000
 ENCODED = "doc_id long, ids array<int>, decoded binary"
 
 
@@ -93,7 +94,7 @@ class Encoder:
         """Whether merging the bytes of both leaves exactly these two."""
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) >= REMEMBERED:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._border_stays(left, right)
         return known
@@ -146,7 +147,7 @@ class Encoder:
         if (ids := self.known.get(piece)) is None:
             ids = self.bytes(piece.encode("utf-8", "surrogatepass"))
             if len(piece) <= 64:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= PIECES:
                     self.known.clear()
                 self.known[piece] = ids
         return ids
