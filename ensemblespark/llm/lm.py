@@ -1,17 +1,10 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by trigram backoff.
 
-N-grams up to three tokens are counted over all training documents. Words and n-grams that
-make up at least `share` of all training tokens become arcs of an automaton: a state is the
-longest kept context, an arc reads a token and carries a log-probability, and a failure arc
-leads to the next shorter context and carries the backoff weight. At most 1 / share words
-and as many n-grams of each order can reach that share, whatever the corpus, which bounds
-what is broadcast. Longer n-grams are only counted where their shorter parts qualified,
-which loses none.
-
-Each text is read once from left to right, carrying the state. Its words below the share
-can't be in any kept n-gram: they drop to the root, and their own counts, which are exact
-and of any number, come from a join with the table of all word counts. None of these words
-makes up more than `share` of the tokens, so no join key is hot.
+N-grams up to three tokens are counted over all training documents, whatever their count or
+the corpus' size. The counts stay in tables dealt out by n-gram. A token's log-probability
+depends on its n-gram alone, so every distinct n-gram of the texts is scored once, by joins
+with its shorter parts and with sums over its context, and the texts' n-grams are joined to
+these scores. Nothing that grows with the corpus is broadcast or held in one task.
 
 Smoothing: absolute discounting on every order; what a context's arcs leave goes to the
 next shorter context, and what all words leave goes to words never seen.
@@ -29,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -210,12 +203,19 @@ def build(words: Words, end: int, total: float, kinds: float, discount: float, s
     return Automaton(words, end, total, kinds, discount, dict(zip(keys.tolist(), range(len(keys)), strict=True)), weight.tolist(), target.tolist(), _log10(single).tolist(), word_state.tolist(), back.tolist(), fail.tolist(), to_root.tolist())
 
 
+def totals(counts: DataFrame) -> tuple[float, float, float]:
+    """Training tokens, distinct ones, and the discount of single words."""
+    all_ = counts.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    total, kinds, ones, twos = (float(x or 0) for x in all_)
+    return total, kinds, min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+
 def train(docs: DataFrame, counts: DataFrame, share: float = SHARE) -> Automaton:
-    """The automaton of the training documents, whose word counts are given."""
+    """The automaton of the training documents, whose word counts are given. It is built on the
+    driver and drops n-grams below the share: a check of small corpora, not what op5 scores with."""
     sc = docs.sparkSession.sparkContext
-    all_ = counts.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.sum(F.when(F.col("h") == int(H.END.view(np.int64)), F.col("c")))).first()
-    total, kinds, ones, twos, starts = (float(x or 0) for x in all_)
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+    total, kinds, discount = totals(counts)
+    starts = float(counts.where(F.col("h") == int(H.END.view(np.int64))).agg(F.sum("c")).first()[0] or 0)
     least = share * total
     h, c = _fetched(counts.where((F.col("c") >= least) | (F.col("h") == int(H.END.view(np.int64)))))
     if not len(h):
@@ -231,47 +231,110 @@ def train(docs: DataFrame, counts: DataFrame, share: float = SHARE) -> Automaton
     return build(words, end, total, kinds, discount, starts, pairs, triples)
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Automaton, share: float = SHARE) -> DataFrame:
+def _occurring(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its n-gram, the pair before it (its context) and the pair it ends, by hash, the
+    two words of the latter, and the texts' offsets. A text's first token has no pair before it: its
+    context is 0 and its n-gram the pair of the text's start and itself."""
+    words, offsets = _tokens(column)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    first = offsets[:-1]  # no text is without its end token
+    before[first] = H.END
+    pair = H.chain(before, words)
+    context = np.zeros_like(pair)
+    context[1:] = pair[:-1]
+    context[first] = 0
+    gram = H.chain(context, words)
+    gram[first] = pair[first]
+    return gram, context, pair, before, words, offsets
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, and the sums of n."""
+    order = np.argsort(keys, kind="stable")
+    at = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    return order[at], np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+
+
+def _grams(docs: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """(key, *names, c): all n-grams (key "t") or pairs (key "q") of all texts, c counting those in
+    training texts only (0: in none)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in H.slices(batches):
+            gram, context, pair, before, words, offsets = _occurring(batch.column("text"))
+            keys, *other = (gram, context, pair) if key == "t" else (pair, before, words)
+            seen = ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
+            at, c = _summed(keys, np.repeat(seen, np.diff(offsets)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (keys, *other)), pa.array(c)], names=[key, *names, "c"])
+
+    own = docs.select("held_out", "text").mapInArrow(count, f"{key} long, {names[0]} long, {names[1]} long, c long")
+    return own.groupBy(key).agg(*(F.max(x).alias(x) for x in names), F.sum("c").alias("c"))
+
+
+def _backoffs(counted: DataFrame, context: str, lower: str) -> DataFrame:
+    """(context, n, back): the context's training tokens, and the log of what its successors leave
+    over what they have in the next shorter context."""
+    left = F.greatest(DISCOUNT * F.col("kinds") / F.col("n"), F.lit(1e-12))
+    of = F.greatest(1 - F.col("lower"), F.lit(1e-12))
+    stats = counted.where("c > 0").groupBy(context).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.sum(lower).alias("lower"))
+    return stats.select(context, "n", F.log10(left / of).alias("back"))
+
+
+def _longest(c: str, n: str, back: str, shorter: str) -> Column:
+    """Log-probability: of the n-gram itself if it was counted, else backed off."""
+    return F.when(F.col(c) > 0, F.log10((F.col(c) - DISCOUNT) / F.col(n))).otherwise(F.coalesce(F.col(back), F.lit(0.0)) + F.col(shorter))
+
+
+def gram_scores(docs: DataFrame, counts: DataFrame, total: float, kinds: float, discount: float) -> DataFrame:
+    """(t, c1, p): for every n-gram of the texts the training count of its last word and its
+    log-probability, whatever the count of either. Only joins and groupings: every table is dealt
+    out by its key, and a context with many successors is split as a skewed join."""
+    unseen = math.log10(discount * kinds / total) if total else 0.0
+    single = F.greatest(F.col("c1") - discount, F.lit(1e-12)) / max(total, 1.0)
+    pairs = (
+        _grams(docs, "q", ("v", "w")).join(counts.select(F.col("h").alias("w"), F.col("c").alias("c1")), "w", "left")
+        .select("q", "v", "c", F.coalesce("c1", F.lit(0)).alias("c1"), F.coalesce(single, F.lit(0.0)).alias("single"))
+    )
+    pairs = keep(pairs)
+    own = F.when(F.col("c1") > 0, F.log10("single")).otherwise(unseen)
+    pairs = keep(pairs.withColumn("own", own).join(_backoffs(pairs, "v", "single"), "v", "left").select("q", "c1", _longest("c", "n", "back", "own").alias("p2"), F.when(F.col("c") > 0, (F.col("c") - DISCOUNT) / F.col("n")).otherwise(0.0).alias("share")))
+    grams = keep(_grams(docs, "t", ("p", "q")).join(pairs, "q").select("t", "p", "c", "c1", "p2", "share"))
+    longer = grams.where("p <> 0")
+    return longer.join(_backoffs(longer, "p", "share"), "p", "left").select("t", "c1", _longest("c", "n", "back", "p2").alias("p")).unionAll(grams.where("p = 0").select("t", "c1", F.col("p2").alias("p")))
+
+
+def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """docs (doc_id, held_out, text) scored; see the module's description."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    floor = model.total + model.kinds + 1
+    total, kinds, discount = totals(counts)
+    floor = total + kinds + 1
+    scores = gram_scores(docs, counts, total, kinds, discount)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        base = np.append(np.log10((m.words.counts + 1) / floor), 0.0)
         for batch in H.slices(batches):
-            hashes, offsets = _tokens(batch.column("text"))
-            numbers = m.words.number(hashes)
-            n, owner = np.diff(offsets), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            known = (numbers >= 0) & (m.words.counts[numbers] > 0)
-            sums = [m.walk(numbers[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            gram, *_, offsets = _occurring(batch.column("text"))
             uid = batch.column("uid").to_numpy()
-            main = pa.StructArray.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.bincount(owner, weights=known, minlength=len(n)).astype(np.int64)), pa.array(np.bincount(owner, weights=base[numbers], minlength=len(n))), pa.array(sums, pa.float64())],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-            )
+            main = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets))], names=["doc_id", "held_out", "n_tokens"])
             # A row of its own for each text; its join key only spreads the rows.
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(H.mix(uid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(uid), np.int32)), main], names=["uid", "h", "n", "main"])
-            rare = numbers < 0
-            pair = np.rec.fromarrays([owner[rare], hashes[rare]], names="owner,h")
-            pair, times = np.unique(pair, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[pair["owner"]]), pa.array(pair["h"].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(pair), main.type)], names=["uid", "h", "n", "main"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(H.mix(uid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(uid), np.int32)), main], names=["uid", "t", "n", "main"])
+            owner = np.repeat(np.arange(len(uid)), np.diff(offsets))
+            order = np.lexsort((gram, owner))
+            owner, gram = owner[order], gram[order]
+            at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+            times = np.diff(np.append(at, len(gram)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[owner[at]]), pa.array(gram[at].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(at), main.type)], names=["uid", "t", "n", "main"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(
-        read, "uid long, h long, n int, main struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
+        read, "uid long, t long, n int, main struct<doc_id: long, held_out: boolean, n_tokens: long>"
     )
-    rare = counts.where(F.col("c") < share * model.total)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    unseen = math.log10(model.discount * model.kinds / model.total) if model.total else 0.0
-    own = F.when(c > 0, F.log10((c - model.discount) / F.lit(max(model.total, 1.0)))).otherwise(F.lit(unseen))
     return (
-        rows.join(rare, "h", "left")
+        rows.join(scores, "t", "left")
         .groupBy("uid")
         .agg(
             F.max("main.doc_id").alias("doc_id"), F.max("main.held_out").alias("held_out"), F.sum("main.n_tokens").alias("n_tokens"),
-            (F.sum("main.n_known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
-            (F.sum("main.base") + F.sum(F.when(F.col("n") > 0, F.col("n") * F.log10((c + 1) / F.lit(floor))).otherwise(0.0))).alias("base_score"),
-            (F.sum("main.score") + F.sum(F.when(F.col("n") > 0, F.col("n") * own).otherwise(0.0))).alias("score"),
+            F.sum(F.when((F.col("n") > 0) & (F.col("c1") > 0), F.col("n")).otherwise(0)).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+            F.sum(F.when(F.col("n") > 0, F.col("n") * F.log10((F.col("c1") + 1) / F.lit(floor))).otherwise(0.0)).alias("base_score"),
+            F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("p")).otherwise(0.0)).alias("score"),
         )
         .drop("uid")
     )
@@ -279,6 +342,4 @@ def score(docs: DataFrame, counts: DataFrame, model: Automaton, share: float = S
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_fold("doc_id", 7) == 2)
-    seen = docs.where(~F.col("held_out"))
-    counts = keep(word_counts(seen))
-    return score(docs, counts, train(seen, counts))
+    return score(docs, keep(word_counts(docs.where(~F.col("held_out")))))

@@ -1,6 +1,7 @@
 """The operators against brute force, SQL and libraries, and on awkward inputs."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -161,6 +162,43 @@ def test_lm_states_sum_to_one(spark, awkward):
     assert rare >= unseen - 1e-9
 
 
+def brute_lm_scores(texts, held):
+    """Scores by the trigram backoff over whole counts, in plain Python."""
+    toks = [[*WORD.findall((t or "").translate(LOWER)), None] for t in texts]
+    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for ts, h in zip(toks, held, strict=True):
+        if not h:
+            padded = [None, *ts]
+            c1.update(ts)
+            c2.update(zip(padded, ts))
+            c3.update(zip(padded, ts, ts[1:]))
+    total, ones, twos = sum(c1.values()), sum(c == 1 for c in c1.values()), sum(c == 2 for c in c1.values())
+    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+    after1, after2 = collections.defaultdict(list), collections.defaultdict(list)
+    for v, w in c2:
+        after1[v].append(w)
+    for u, v, w in c3:
+        after2[u, v].append(w)
+    p1 = lambda w: (c1[w] - d) / total if c1[w] else d * len(c1) / total
+    p2 = lambda v, w: (c2[v, w] - lm.DISCOUNT) / c1[v] if c2[v, w] else back1(v) * p1(w)
+    p3 = lambda u, v, w: (c3[u, v, w] - lm.DISCOUNT) / c2[u, v] if c3[u, v, w] else back2(u, v) * p2(v, w)
+    left = lambda p, lower: max(1 - sum(p), 1e-12) / max(1 - sum(lower), 1e-12)
+    back1 = functools.cache(lambda v: left([p2(v, w) for w in after1[v]], [p1(w) for w in after1[v]]) if after1[v] else 1)
+    back2 = functools.cache(lambda u, v: left([p3(u, v, w) for w in after2[u, v]], [p2(v, w) for w in after2[u, v]]) if after2[u, v] else 1)
+    log2, log3 = functools.cache(lambda *x: math.log10(p2(*x))), functools.cache(lambda *x: math.log10(p3(*x)))
+    return [log2(None, ts[0]) + sum(log3(*x) for x in zip([None, *ts], ts, ts[1:])) for ts in toks]
+
+
+def test_lm_scores_equal_brute_force_with_rare_ngrams(spark):
+    """Over 1e6 training tokens, n-grams that occur once or twice still count."""
+    texts = [prose(i) for i in range(60)] + ["the river walks " * 450_000, "", None, "never seen words walks", "the the river once", "the the river once more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 2).repartition(3)
+    counts = lm.word_counts(docs.where("not held_out"))
+    got = {r.doc_id: r.score for r in lm.score(docs, counts).collect()}
+    want = brute_lm_scores(texts, [i % 5 == 2 for i in range(len(texts))])
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def brute_groups(texts):
     sets = []
     for t in texts:
