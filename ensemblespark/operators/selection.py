@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks import keep
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in order; a partial aggregate, so no key gathers its rows."""
@@ -90,3 +92,19 @@ def share_cap(sizes: DataFrame, size: str, share: float) -> DataFrame:
     bad = draws.where(F.col("cap") > F.col("draws") * share).agg(F.coalesce(F.min("cap"), F.lit(1 << 62)).alias("first_bad"))
     good = draws.crossJoin(F.broadcast(bad)).where(F.col("cap") < F.col("first_bad")).agg(F.max(F.struct("cap", "draws")).alias("b"))
     return good.select(F.coalesce("b.cap", F.lit(1)).alias("cap"), F.col("b.draws").alias("draws"))
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with each one's place (from 1) within its group by order. Rows are dealt out by ranges
+    of (group, order), so that no task sorts a whole group; the counts of a group's rows in the
+    ranges before, a small table, give each range its first place."""
+    keys = [*group, *order]
+    own = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    own = keep(own.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"))
+    sizes = own.groupBy("_part", *group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_{g}") for g in group], (before - F.col("_first") + 1).alias("_add"))
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return own.join(offsets, same).select(*rows.columns, (F.col("_at") + F.col("_add")).alias(name))

@@ -96,13 +96,19 @@ def kmers(spark, d):
 @query("encode_sequence", ["families_v"], """
     select family_id, cast(sum(instr('ACDEFGHIKLMNPQRSTVWY', c) - 1) as bigint) as total, cast(sum(case when instr('ACDEFGHIKLMNPQRSTVWY', c) = 0 then 1 else 0 end) as bigint) as unknown
     from (select family_id, unnest(string_split(substr(seqres, 1, 400), '')) as c from families_v) group by family_id""")
-def encode_sequence(spark, d):
+def encode_sequence(spark, d, seqres=None):
     f = view(spark, d, "families_v")
-    letters = f.select("family_id", F.explode(F.split(F.substring("seqres", 1, 400), "")).alias("c"))
+    letters = f.select("family_id", F.explode(F.split(F.substring("seqres", 1, 400) if seqres is None else seqres, "")).alias("c"))
     code = F.instr(F.lit("ACDEFGHIKLMNPQRSTVWY"), F.col("c"))
     return letters.groupBy("family_id").agg(F.sum(code - 1).alias("total"), F.sum((code == 0).cast("long")).alias("unknown"))
 
 
+@query("encode_sequence_whole")
+def encode_sequence_whole(spark, d):
+    """Over whole texts; the SQL of encode_sequence is tied to the first 400 letters."""
+    return encode_sequence(spark, d, F.col("seqres"))
+
+
 @query("rebase_path", ["members_v"], """
     select family_id, member_id, case when starts_with(path, '/store0/') then concat('/new/a', substr(path, 8)) when starts_with(path, '/store1/') then concat('/new/b', substr(path, 8)) end as path,
       not (starts_with(path, '/store0/') or starts_with(path, '/store1/')) as outside from members_v""")

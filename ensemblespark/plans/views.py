@@ -7,6 +7,9 @@ taking an array's element by its 1-based place, `{range}` for a table of whole n
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.selection import ranked
 
 _UPPER = "abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -77,6 +80,8 @@ TABLES = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the Parquet tables in sf_dir."""
+    if name == "msa_whole_v":
+        return _msa(spark, sf_dir)
     text = VIEWS[name].replace("{elt}", "element_at")
     sources = {t: view(spark, sf_dir, t) if t in VIEWS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]}
     for t in sources:
@@ -84,6 +89,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **sources)
 
 
+def _msa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msa_v with whole texts. Spark only: rows are numbered without one task sorting a source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select(F.col("source").alias("chain"), F.col("lang").alias("species"), F.replace("text", F.lit(" "), F.lit("-")).alias("seq"), "doc_id")
+    return ranked(rows, ["chain"], ["doc_id"], "place").select("chain", "species", (F.col("place") - 1).cast("int").alias("row_idx"), "seq", "doc_id")
+
+
 def _named(text: str, table: str) -> str:
     import re
 
