@@ -234,6 +234,7 @@ def homology_pairs(spark, d):
 
 
 def _component_edges(spark, d) -> DataFrame:
+    """A part of the edges, which the recursive SQL can finish; _all_edges has the whole."""
     m = view(spark, d, "members_v").where("family_id % 4 <> 0 or is_trajectory")
     return I.star_edges(m.where("not is_trajectory and n_frames > 4600"), F.col("path"), "family_id")
 
@@ -259,6 +260,30 @@ def component_report(spark, d):
     return I.component_report(I.rooted(nodes, _component_edges(spark, d)), nodes.withColumn("source", F.col("node") % 3))
 
 
+def _all_edges(spark, d) -> DataFrame:
+    """Edges of families that share any path, whether of a static or a trajectory member."""
+    return I.star_edges(view(spark, d, "members_v"), F.col("path"), "family_id")
+
+
+@query("components_whole")
+def components_whole(spark, d):
+    """Over all edges; the SQL of components is tied to a part of them."""
+    return I.rooted(view(spark, d, "members_v").select(F.col("family_id").alias("node")), _all_edges(spark, d))
+
+
+@query("component_report_whole")
+def component_report_whole(spark, d):
+    nodes = view(spark, d, "members_v").select(F.col("family_id").alias("node")).distinct()
+    return I.component_report(I.rooted(nodes, _all_edges(spark, d)), nodes.withColumn("source", F.col("node") % 3))
+
+
+@query("text_components")
+def text_components(spark, d):
+    """Components of document families by equal texts."""
+    f = view(spark, d, "families_v")
+    return I.rooted(f.select(F.col("family_id").alias("node")), I.star_edges(f, F.sha2("seqres", 256), "family_id"))
+
+
 @query("fraction_split", ["families_v"], """
     h as (select family_id, ('0x' || substr(sha256('3' || chr(0) || family_id), 1, 12))::bigint / 281474976710656.0 as u from families_v)
     select family_id, case when u < 0.1 then 'test' when u < 0.2 then 'val' else 'train' end as split from h""")

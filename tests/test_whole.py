@@ -71,3 +71,46 @@ def test_encode_sequence_whole(spark, texts):
         s = text.strip(" ").upper()
         if s:
             assert found[i] == (sum(ALPHABET.find(x) for x in s), sum(x not in ALPHABET for x in s))
+
+
+@pytest.fixture(scope="module")
+def members(spark, tmp_path_factory):
+    """Line items: few paths, so that families share them in chains; trajectories of many lengths."""
+    rng = random.Random(7)
+    rows = [(f, m, rng.randrange(40), rng.randrange(30), rng.choice("NAR"), float(rng.choice([1, 2, 9, 12, 25, 46, 50]))) for f in range(1, 40) for m in range(1, rng.randint(2, 4))]
+    at = str(tmp_path_factory.mktemp("members"))
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double").repartition(3).write.parquet(f"{at}/lineitem.parquet")
+    return at, rows
+
+
+def union_find(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        return n if root[n] == n else find(root[n])
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {n: find(n) for n in nodes}
+
+
+def test_components_whole(spark, members):
+    at, rows = members
+    by = collections.defaultdict(list)
+    for family, _, supp, part, *_ in rows:
+        by[supp % 3, part].append(family)
+    want = union_find({r[0] for r in rows}, [(fs[0], f) for fs in by.values() for f in fs])
+    assert {r.node: r.component for r in registry.QUERIES["components_whole"](spark, at).collect()} == want
+    size = collections.Counter(want.values())
+    found = {r.component: r for r in registry.QUERIES["component_report_whole"](spark, at).collect()}
+    assert {c: r["size"] for c, r in found.items()} == size
+    assert all(r.singleton == (size[c] == 1) and r.crosses == (len({n % 3 for n in want if want[n] == c}) > 1) for c, r in found.items())
+
+
+def test_text_components(spark, texts):
+    by, name = collections.defaultdict(list), lambda i, lang: f"{i:08d}_{lang}"
+    for i, text, _, lang in texts[1]:
+        by[text.strip(" ").upper()].append(name(i, lang))
+    want = union_find({name(r[0], r[3]) for r in texts[1]}, [(min(fs), f) for fs in by.values() for f in fs])
+    assert {r.node: r.component for r in registry.QUERIES["text_components"](spark, texts[0]).collect()} == want
