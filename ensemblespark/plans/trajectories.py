@@ -13,6 +13,8 @@ from .views import oracle, view
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 LADDER = [1, 8, 64, 512]
+#: The reference's stride of starts, and its whole ladder.
+STRIDE, WHOLE_LADDER = 50, X.stride_ladder(1, 512)
 
 
 def query(name: str, views: list[str], sql: str | None = None):
@@ -88,6 +90,39 @@ def reversal_gate(spark, d):
     return view(spark, d, "members_v").where("n_frames >= 1000 and member_id <= 3 and is_trajectory").groupBy("family_id").agg(F.count("*").alias("n"))
 
 
+# Over every start and step; the SQL of the queries above is tied to longer strides and four steps.
+
+
+@query("iid_slots_whole", [])
+def iid_slots_whole(spark, d):
+    return W.iid_slots(view(spark, d, "members_v"), STRIDE)
+
+
+@query("forward_pairs_whole", [])
+def forward_pairs_whole(spark, d):
+    w = W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 2)
+    return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+@query("trajectory_windows_whole", [])
+def trajectory_windows_whole(spark, d):
+    w = W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 9)
+    return w.withColumn("frames", F.array_join(F.transform("frames", lambda x: x.cast("string")), " "))
+
+
+@query("orient_window_whole", [])
+def orient_window_whole(spark, d):
+    w = W.oriented(W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
+    return w.select("family_id", "member_id", "step", "start", "reversed", F.element_at("frames", 1).alias("source_frame"), F.element_at("frames", -1).alias("target_frame"))
+
+
+@query("reversal_gate_whole", [])
+def reversal_gate_whole(spark, d):
+    """A family's windows that may be reversed."""
+    w = W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 9)
+    return w.where("start >= 1000 and step <= 64").groupBy("family_id").agg(F.count("*").alias("n"))
+
+
 WALK = """
     n as (select family_id, count(*) as n from members_v group by family_id), p as (select family_id, n, unnest(range(6, 9)) as p from n),
     q as (select family_id, p - 6 as place, p // n as cycle, p % n as at from p), c as (select distinct family_id, cycle from q),

@@ -114,3 +114,24 @@ def test_text_components(spark, texts):
         by[text.strip(" ").upper()].append(name(i, lang))
     want = union_find({name(r[0], r[3]) for r in texts[1]}, [(min(fs), f) for fs in by.values() for f in fs])
     assert {r.node: r.component for r in registry.QUERIES["text_components"](spark, texts[0]).collect()} == want
+
+
+def test_trajectories_whole(spark, members):
+    at, rows = members
+    tracks = [(f, m, int(q * 100)) for f, m, _, _, flag, q in rows if flag == "N"]
+    windows = lambda width: [(f, m, step, start) for f, m, n in tracks for step in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512) for start in range(0, n - (width - 1) * step, 50)]
+    slots = [(f, m, x) for f, m, n in tracks for x in range(0, n, 50)] + [(f, m, None) for f, m, _, _, flag, _ in rows if flag != "N"]
+    assert got(spark, "iid_slots_whole", at) == sorted(slots, key=repr)
+    pairs = collections.defaultdict(list)
+    for f, m, step, start in windows(2):
+        pairs[f, m, step].append(start)
+    assert {tuple(r)[:3]: (r.n, r.starts) for r in registry.QUERIES["forward_pairs_whole"](spark, at).collect()} == {k: (len(v), sum(v)) for k, v in pairs.items()}
+    nine = windows(9)
+    assert got(spark, "trajectory_windows_whole", at) == sorted(((f, m, step, s, " ".join(str(s + k * step) for k in range(9))) for f, m, step, s in nine), key=repr)
+    turned = {tuple(r)[:4]: r for r in registry.QUERIES["orient_window_whole"](spark, at).collect()}
+    assert set(turned) == set(nine) and any(r.reversed for r in turned.values())
+    for (_, _, step, s), r in turned.items():
+        ends = (s, s + 8 * step)
+        assert (r.source_frame, r.target_frame) == (ends[::-1] if r.reversed else ends) and (not r.reversed or s >= 1000 and step <= 64)
+    gate = collections.Counter(f for f, _, step, s in nine if s >= 1000 and step <= 64)
+    assert {r.family_id: r.n for r in registry.QUERIES["reversal_gate_whole"](spark, at).collect()} == gate
