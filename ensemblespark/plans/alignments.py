@@ -103,6 +103,15 @@ def msa_unpaired_anti(spark, d, v="msa_v"):
     return m.where("chain = 'src3'").join(m.where("chain <> 'src3'").select("seq"), "seq", "left_anti").select("chain", "row_idx")
 
 
+@query("msa_unpaired_whole", [])
+def msa_unpaired_whole(spark, d):
+    """Rows of every chain whose whole text is in no other chain; msa_unpaired_anti and its SQL take one chain."""
+    m = view(spark, d, "msa_whole_v").select("chain", "row_idx", F.sha2("seq", 256).alias("h"))
+    own = F.struct("chain")  # a null chain is a chain too
+    one = m.groupBy("h").agg(F.min(own).alias("a"), F.max(own).alias("b")).where(F.col("a").eqNullSafe(F.col("b"))).select("h")
+    return m.where("h is not null").join(one, "h").select("chain", "row_idx")
+
+
 @query("nearest_center", ["msa_v"], """
     s as (select chain, row_idx, seq from msa_v where length(seq) = 60), c as (select * from s where row_idx < 8), x as (select * from s where row_idx >= 8),
     a as (select x.chain, x.row_idx, c.row_idx as center, len(list_filter(range(1, 61), lambda i: substr(x.seq, i, 1) = substr(c.seq, i, 1))) as agreement from x join c on x.chain = c.chain)

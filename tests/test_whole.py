@@ -1,6 +1,7 @@
 """Queries that have no SQL, against brute force on small fixtures."""
 
 import collections
+import hashlib
 import random
 
 import pytest
@@ -135,3 +136,11 @@ def test_trajectories_whole(spark, members):
         assert (r.source_frame, r.target_frame) == (ends[::-1] if r.reversed else ends) and (not r.reversed or s >= 1000 and step <= 64)
     gate = collections.Counter(f for f, _, step, s in nine if s >= 1000 and step <= 64)
     assert {r.family_id: r.n for r in registry.QUERIES["reversal_gate_whole"](spark, at).collect()} == gate
+
+
+def test_msa_unpaired_whole(spark, texts):
+    rows = aligned(texts[1])
+    chains = collections.defaultdict(set)
+    for c, _, s in rows:
+        chains[s].add(c)
+    assert got(spark, "msa_unpaired_whole", texts[0]) == sorted(((c, i) for c, i, s in rows if len(chains[s]) == 1), key=repr)
