@@ -311,11 +311,8 @@ def id_set_diff(spark, d):
 @query("seeded_shuffle", ["families_v"], """
     h as (select family_id, sha256('5' || chr(0) || family_id) as h from families_v) select family_id, cast(row_number() over (order by substr(h, 1, 12), family_id) as bigint) as place from h""")
 def seeded_shuffle(spark, d):
-    from pyspark.sql import Window
-
-    f = view(spark, d, "families_v")
-    order = Window.orderBy(F.substring(F.sha2(F.concat_ws("\x00", F.lit("5"), "family_id"), 256), 1, 12), "family_id")
-    return f.select("family_id", F.row_number().over(order).cast("long").alias("place"))
+    f = view(spark, d, "families_v").select("family_id", F.substring(F.sha2(F.concat_ws("\x00", F.lit("5"), "family_id"), 256), 1, 12).alias("h"))
+    return S.ranked(f, [], ["h", "family_id"], "place").select("family_id", "place")
 
 
 @query("split_select", ["families_v"], "select lang, count(*) as n, median(length(seqres)) as middle from families_v where source = 'src1' group by lang")

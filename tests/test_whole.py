@@ -144,3 +144,10 @@ def test_msa_unpaired_whole(spark, texts):
     for c, _, s in rows:
         chains[s].add(c)
     assert got(spark, "msa_unpaired_whole", texts[0]) == sorted(((c, i) for c, i, s in rows if len(chains[s]) == 1), key=repr)
+
+
+def test_seeded_shuffle_ranks_by_ranges(spark, texts):
+    df = registry.QUERIES["seeded_shuffle"](spark, texts[0])
+    want = sorted((f"{i:08d}_{lang}" for i, _, _, lang in texts[1]), key=lambda x: (hashlib.sha256(f"5\0{x}".encode()).hexdigest()[:12], x))
+    assert [r.family_id for r in sorted(df.collect(), key=lambda r: r.place)] == want
+    assert "row_number" not in df._jdf.queryExecution().toString()
