@@ -63,7 +63,7 @@ STAGES = [
     ("byte-level BPE", tokenise),
 ]
 
-#: Training, ProbMinHash and merges are beyond SQL; tests hold the stages against brute force.
+#: Training, ProbMinHash and merges are beyond SQL. The rows of the stages are not yet held against brute force.
 ORACLE_SQL = None
 
 
