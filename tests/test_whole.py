@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
 
 import pytest
 
@@ -60,6 +62,9 @@ def test_row_queries_whole(spark, texts):
     rows = aligned(texts[1])
     lower = lambda s: sum(x.islower() for x in s)
     assert got(spark, "align_columns_whole", texts[0]) == sorted(((c, i, "".join(x for x in s if not x.islower()), lower(s)) for c, i, s in rows), key=repr)
+    runs = lambda s: " ".join(str(len(x)) for x in re.split("[^a-z]", s))
+    assert got(spark, "scan_a3m_whole", texts[0]) == sorted(((c, i, runs(s)) for c, i, s in rows), key=repr)
+    assert got(spark, "deletion_scale_whole", texts[0]) == sorted(((c, i, pytest.approx(math.atan(lower(s) / 3) * 2 / math.pi, abs=1e-6)) for c, i, s in rows), key=lambda r: repr(r[:2]))
     letters = {(r.chain, r.row_idx): r.letters for r in registry.QUERIES["scan_fasta_whole"](spark, texts[0]).collect() if r.chain}
     assert letters == {(c, i): len(s.replace("-", "")) for c, i, s in rows if c and s.replace("-", "")}
     masked = registry.QUERIES["mask_tokens_whole"](spark, texts[0]).collect()
