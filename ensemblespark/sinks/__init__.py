@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a folder of our own."""
+    """The session's spark.checkpoint.dir; where that is unset and everything runs on this machine,
+    a folder of our own. On a cluster an unset folder is an error: no local one is shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,20 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 def keep(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: later steps neither repeat
-    its work nor depend on an executor that made it. The files go when Spark ends."""
+    its work nor depend on an executor that made it. The shuffles that made it are deleted once
+    it is written, the files themselves when Spark ends or by forget()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kept-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by keep() that nothing reads any more."""
-    spark = df.sparkSession
-    if files := df.inputFiles():
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by keep() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if not files:
+            continue
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
