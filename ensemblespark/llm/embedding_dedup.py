@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .components import components
+from ..operators.components import components
 from .store import keep, table
 
 LEAST = 0.93

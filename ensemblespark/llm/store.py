@@ -1,49 +1,13 @@
-"""Tables kept in the folder that driver and executors share."""
+"""Tables, kept tables and folds, as the operators of this subpackage use them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A set of ids up to this many rows (16 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: later steps neither repeat
-    its work nor depend on an executor that made it. The files go when Spark ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by keep() that nothing reads any more."""
-    spark = df.sparkSession
-    if files := df.inputFiles():
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
+from ..sinks import BROADCAST_ROWS, forget, keep, shared_folder, small
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else as it is."""
-    return F.broadcast(df) if rows <= limit else df
+__all__ = ["BROADCAST_ROWS", "forget", "id_fold", "keep", "shared_folder", "small", "table"]
 
 
 def id_fold(doc_id: Column | str, folds: int) -> Column:

@@ -224,9 +224,65 @@ def test_near_duplicates_equal_brute_force(spark):
                 copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 10**6)}"
             texts.append(" ".join(copy))
     texts += ["", None, "only", "only", "ONLY"]
-    docs = near_dedup.numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
-    got = {r.doc_id: r.component_id for r in near_dedup.groups(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+    ids = [i if i % 7 else None for i in range(len(texts))]
+    want = brute_groups(texts)
+    words = [tuple(WORD.findall((t or "").translate(LOWER))) for t in texts]
+    same = collections.Counter(words)
+    expect = []
+    for i, t in enumerate(texts):
+        least = min((ids[j] for j in range(len(texts)) if want[j] == want[i] and ids[j] is not None), default=None)
+        expect.append((ids[i], least if words[i] else ids[i], same[words[i]] if words[i] else 1, t or ""))
+    for parts, cores in ((1, 1), (5, 7)):  # files read in other orders and splits give the same groups
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(parts)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(cores))
+        got = near_dedup.groups(docs)
+        known = docs.select(F.coalesce("text", F.lit("")).alias("text"), *near_dedup.text_key()).distinct()
+        rows = got.join(known, ["t1", "t2"]).collect()
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        assert collections.Counter((r.doc_id, r.component_id, r.n_same, r.text) for r in rows) == collections.Counter(expect)
+        kept = collections.Counter(r.component_id for r in rows if r.kept)
+        assert all(n == 1 for c, n in kept.items() if c is not None) and all(r.doc_id == r.component_id for r in rows if r.kept)
+        assert sum(kept.values()) == len(set(want))
+
+
+def test_near_duplicates_found_at_the_limit(spark):
+    """Recall of pairs whose similarity is 0.80 to 0.83, each alone; and pairs just below are not linked."""
+    rng = random.Random(9)
+    rows, alike = [], 0
+    for i in range(300):
+        words = [f"a{i}w{j}" for j in range(100)]
+        other = list(words)
+        edits = 2 + (i % 3 == 0)  # an edit changes five windows of 96
+        for e in range(edits):
+            other[10 + 30 * e] = f"x{i}e{e}"
+        alike += 5 * (96 - 5 * edits) >= 4 * (96 + 5 * edits)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rng.shuffle(rows)
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r.component_id != r.doc_id for r in got)
+    assert 0.95 * alike <= found <= alike and alike == 200
+
+
+def test_block_comparison_equals_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(44, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 9))])) for _ in range(120)]
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (near_dedup._dense_common(sets)[~np.eye(120, dtype=bool)] == common[~np.eye(120, dtype=bool)]).all()
+    size = common.diagonal()
+    linked = 5 * common >= 4 * (size[:, None] + size[None, :] - common)
+    assert 0.05 < linked.mean() < 0.9
+    for n in (20, 120):
+        found = near_dedup.links_within(list(range(n)), [0.1] * n, [0] * n, sets[:n])
+        assert all(linked[i, j] for i, j in found)
+        root = list(range(n))
+        for _ in root:
+            root = [min(root[j] for j in range(n) if linked[i, j]) for i in range(n)]
+        tree = list(range(n))
+        for _ in tree:
+            for i, j in found:
+                tree[i] = tree[j] = min(tree[i], tree[j])
+        assert tree == root
 
 
 def test_prob_minhash_estimates_probability_jaccard():
