@@ -35,10 +35,21 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    own = near_dedup.numbered(docs.select("doc_id", "text", _whole(docs)))
-    gone = keep(near_dedup.groups(own).where(~F.col("kept")).select("uid"))
-    return own.join(small(gone, gone.count()), "uid", "left_anti").select("row.*")
+    """One document of each group of near-duplicates: that of least doc_id; of rows that are equal
+    in doc_id and text, any one."""
+    key = ["doc_id", "t1", "t2"]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _whole(docs)).select("doc_id", *near_dedup.text_key(), "row")
+    judged = near_dedup.groups(docs.select("doc_id", "text")).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    noted = keep(judged.where("not kept or times > 1"))
+    n = noted.count()
+    # A null id equals no id in a join; a flag beside it does.
+    match = lambda df: df.select("*", F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"))
+    on = ["_d", "_n", "t1", "t2"]
+    kept = match(own).join(small(match(noted).select(*on), n), on, "left_anti").select("row")
+    again = noted.where("kept")
+    if again.take(1):  # rows equal in id and text
+        kept = kept.union(match(own).join(small(match(again).select(*on), n), on).groupBy(on).agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
