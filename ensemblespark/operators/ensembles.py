@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import ranked as places
+
 
 def rmsf(frames: DataFrame) -> DataFrame:
     """Fluctuation of each point about its own mean."""
@@ -21,12 +25,44 @@ def covariance(frames: DataFrame) -> DataFrame:
     return frames.groupBy("ensemble_id", "res_idx").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs])
 
 
+def moments(frames: DataFrame) -> DataFrame:
+    """(ensemble_id, n, p, q, sp, sq, spq): over an ensemble's frames the sums of every two coordinates
+    p <= q (3 * place of the point + axis) and of their products. Each task sums its own frames by
+    matrix products; what is shuffled is a matrix per task and ensemble, whatever the frames."""
+    own = packed(frames).select("ensemble_id", F.flatten(F.transform("p", lambda r: F.array(r["x"], r["y"], r["z"]))).alias("v"))
+
+    def summed(batches):
+        held: dict = {}
+        for batch in batches:
+            key = batch.column("ensemble_id").to_numpy(zero_copy_only=False)
+            for e in np.unique(key):
+                rows = batch.column("v").take(pa.array(np.flatnonzero(key == e)))
+                x = rows.flatten().to_numpy().reshape(len(rows), -1)
+                n, s, g = held.get(e, (0, 0.0, 0.0))
+                held[e] = (n + len(x), s + x.sum(0), g + x.T @ x)
+        for e, (n, s, g) in held.items():
+            p, q = np.triu_indices(len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), e)), pa.array(np.full(len(p), n)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(s[p]), pa.array(s[q]), pa.array(g[p, q])], names=["ensemble_id", "n", "p", "q", "sp", "sq", "spq"])
+
+    kind = own.schema["ensemble_id"].dataType.simpleString()
+    parts = own.mapInArrow(summed, f"ensemble_id {kind}, n long, p int, q int, sp double, sq double, spq double")
+    return parts.groupBy("ensemble_id", "p", "q").agg(*[F.sum(c).alias(c) for c in ("n", "sp", "sq", "spq")])
+
+
 def effective_dim(frames: DataFrame) -> DataFrame:
-    """(ensemble_id, dim): squared trace over squared norm of each point's covariance, averaged."""
-    c = covariance(frames)
-    trace = F.col("cxx") + F.col("cyy") + F.col("czz")
-    norm = F.col("cxx") ** 2 + F.col("cyy") ** 2 + F.col("czz") ** 2 + 2 * (F.col("cxy") ** 2 + F.col("cxz") ** 2 + F.col("cyz") ** 2)
-    return c.groupBy("ensemble_id").agg(F.avg(F.when(norm > 0, trace * trace / norm)).alias("dim"))
+    """(ensemble_id, dim): squared sum over sum of squares of the spectrum of an ensemble's covariance
+    over all coordinates, as squared trace over squared norm; null if nothing varies."""
+    c = moments(frames).select("ensemble_id", "p", "q", (F.col("spq") / F.col("n") - F.col("sp") * F.col("sq") / F.col("n") ** 2).alias("c"))
+    own = F.col("p") == F.col("q")
+    norm = F.sum(F.col("c") ** 2 * F.when(own, 1.0).otherwise(2.0))
+    return c.groupBy("ensemble_id").agg((F.sum(F.when(own, F.col("c"))) ** 2 / F.nullif(norm, F.lit(0.0))).alias("dim"))
+
+
+def validity(bond: Column, clash: Column, ref_bond: Column, ref_clash: Column) -> Column:
+    """void from a quarter of broken bonds on; flagged from the larger of 5 % and ten times the
+    reference's share on, or from 1 % more clashes than the reference on; else ok."""
+    flagged = (bond >= F.greatest(F.lit(0.05), 10 * F.coalesce(ref_bond, F.lit(0.0)))) | (clash - F.coalesce(ref_clash, F.lit(0.0)) >= 0.01)
+    return F.when(bond >= 0.25, "void").when(flagged, "flagged").otherwise("ok")
 
 
 def packed(frames: DataFrame) -> DataFrame:
@@ -122,9 +158,8 @@ def residue_confidence(a: DataFrame, b: DataFrame, sep: int = 6, bins: int = 40)
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks for ties; null if one side is constant."""
     def ranked(df: DataFrame, c: str) -> DataFrame:
-        counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-        low = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per distinct value
-        return df.join(counts.select(c, (low + (F.col("_n") + 1) / 2).alias(f"r_{c}")), c)
+        mean = places(df.select(c), [], [c], "_place").groupBy(c).agg(F.avg("_place").alias(f"r_{c}"))
+        return df.join(mean, c)
 
     both = ranked(ranked(rows.select(x, y), x), y)
     return both.agg(F.when((F.stddev_pop(f"r_{x}") > 0) & (F.stddev_pop(f"r_{y}") > 0), F.corr(f"r_{x}", f"r_{y}")).alias("rho"))

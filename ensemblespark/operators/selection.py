@@ -82,16 +82,21 @@ def share_cap(sizes: DataFrame, size: str, share: float) -> DataFrame:
     """(cap, draws): the largest cap, scanning up from 1 and stopping at the first failure, at
     which the largest draw makes up at most `share` of all draws. Works on the histogram of
     sizes: a row per distinct size."""
-    hist = sizes.groupBy(F.col(size).alias("n")).agg(F.count("*").alias("m"))
-    top = hist.agg(F.max("n").alias("top"))
-    caps = top.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top").cast("bigint"))).alias("cap"))
-    # Draws at a cap are sizes up to it, and the cap for each larger one: prefix sums over sizes.
-    at = caps.join(F.broadcast(hist), F.col("n") <= F.col("cap"), "left").groupBy("cap").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("low"), F.coalesce(F.sum("m"), F.lit(0)).alias("low_m"))
-    total = hist.agg(F.sum("m").alias("all_m"))
-    draws = at.crossJoin(F.broadcast(total)).select("cap", (F.col("low") + F.col("cap") * (F.col("all_m") - F.col("low_m"))).alias("draws"))
-    bad = draws.where(F.col("cap") > F.col("draws") * share).agg(F.coalesce(F.min("cap"), F.lit(1 << 62)).alias("first_bad"))
-    good = draws.crossJoin(F.broadcast(bad)).where(F.col("cap") < F.col("first_bad")).agg(F.max(F.struct("cap", "draws")).alias("b"))
-    return good.select(F.coalesce("b.cap", F.lit(1)).alias("cap"), F.col("b.draws").alias("draws"))
+    # D distinct sizes need at least D * D / 2 draws, so the histogram is a small table whatever the input.
+    hist = sizes.groupBy(F.col(size).cast("bigint").alias("n")).agg(F.count("*").alias("m"))
+    up, every = Window.orderBy("n"), Window.partitionBy()
+    steps = hist.select("n", F.sum(F.col("n") * F.col("m")).over(up).alias("low"), (F.sum("m").over(every) - F.sum("m").over(up)).alias("above"), F.lead("n").over(up).alias("to"))
+    first = hist.agg(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("low"), F.sum("m").alias("above"), F.min("n").alias("to"))
+    # From one size to the next draws rise by `above` with each cap, so the first failure in between is where a line crosses.
+    runs = steps.unionByName(first).select(F.greatest("n", F.lit(1)).alias("a"), F.coalesce(F.col("to") - 1, "n").alias("b"), "low", "above").where("a <= b")
+    cross = F.floor(share * F.col("low") / F.greatest(1 - share * F.col("above"), F.lit(1e-300)))
+    near = F.when(share * F.col("above") >= 1, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda i: F.least(F.greatest(cross + i, "a"), F.col("b")).cast("bigint")))
+    fails = F.filter(F.array_union(near, F.array("a", "b")), lambda c: c > (F.col("low") + c * F.col("above")) * share)
+    runs = runs.withColumn("bad", F.array_min(fails))
+    bad = runs.agg(F.coalesce(F.min("bad"), F.max("b") + 1).alias("first_bad"))
+    at = runs.crossJoin(F.broadcast(bad)).where((F.col("a") < F.col("first_bad")) & (F.col("first_bad") <= F.col("b") + 1))  # one row against the histogram
+    best = at.select((F.col("first_bad") - 1).alias("cap"), (F.col("low") + (F.col("first_bad") - 1) * F.col("above")).alias("draws"))
+    return bad.join(best, F.lit(True), "left").select(F.coalesce("cap", F.lit(1)).alias("cap"), "draws")
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

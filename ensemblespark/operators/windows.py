@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import unit_hash
+from .selection import ranked
+
+#: Lines of a run that one window orders at a time.
+CHUNK = 10_000
 
 
 def iid_slots(members: DataFrame, stride: int) -> DataFrame:
@@ -62,11 +66,10 @@ def walk(rows: DataFrame, group: str, item: str, k: int, epoch: int, seed: int,
 
 
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, skip: int) -> DataFrame:
-    """(key, h): rows in the order of a hash of (seed, epoch, key), the first `skip` left out.
-    The order is the hash itself; only the boundary is found by a global top-k."""
+    """(key, h): rows in the order of a hash of (seed, epoch, key), the first `skip` left out. The
+    order is the hash itself; places are counted by ranges of it, whatever `skip` is."""
     own = rows.select(key, F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.lit(epoch).cast("string"), F.col(key).cast("string")), 256).alias("h"))
-    gone = own.orderBy("h", key).limit(skip)
-    return own.join(gone, [key, "h"], "left_anti")
+    return ranked(own, [], ["h", key], "_place").where(F.col("_place") > skip).select(key, "h")
 
 
 def start_grid(members: DataFrame, n_starts: int, horizon: int) -> DataFrame:
@@ -89,9 +92,17 @@ def rolling_mean(rows: DataFrame, group: str, order: str, value: str, width: int
 
 
 def superseded(rows: DataFrame, run: str, order: str, step: str) -> DataFrame:
-    """Rows not replaced by a later line: a step that is written again replaces every step at or after it."""
-    after = Window.partitionBy(run).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("_next", F.min(step).over(after)).where(F.col("_next").isNull() | (F.col(step) < F.col("_next"))).drop("_next")
+    """Rows not replaced by a later line: a step that is written again replaces every step at or after it.
+
+    A run is cut into chunks of CHUNK lines. Each chunk's least step, a small table, gives the least
+    of the chunks after it; within a chunk one running minimum from the last line up does the rest."""
+    own = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
+    least = own.groupBy(run, "_chunk").agg(F.min(step).alias("_least"))
+    later = Window.partitionBy(run).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(run, "_chunk", F.min("_least").over(later).alias("_later"))
+    after = Window.partitionBy(run, "_chunk").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.join(least, [run, "_chunk"]).withColumn("_next", F.least(F.min(step).over(after), "_later"))
+    return own.where(F.col("_next").isNull() | (F.col(step) < F.col("_next"))).select(*rows.columns)
 
 
 def label_runs(rows: DataFrame, group: str, order: str, label: str) -> DataFrame:
@@ -142,3 +153,28 @@ def window_values(frames: DataFrame, width: int) -> DataFrame:
     """(replica, start, values): every window of `width` consecutive values of a replica."""
     by = Window.partitionBy("replica").orderBy("frame_idx").rowsBetween(0, width - 1)
     return frames.select("replica", F.col("frame_idx").alias("start"), F.collect_list("value").over(by).alias("values")).where(F.size("values") == width)
+
+
+def may_reverse(start: Column, step: Column, min_start: int = 1000, max_step: int = 64, prob: float = 0.5) -> Column:
+    """Whether a window may be reversed at all."""
+    return F.lit(prob > 0) & (start >= min_start) & (step <= max_step)
+
+
+def _grid(first: Column, stop: Column, by: Column) -> Column:
+    """Whole numbers from first up to, not including, stop; none if there are none."""
+    return F.when(first < stop, F.sequence(first.cast("int"), (stop - 1).cast("int"), by.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _stop(n_frames: Column, step: Column, width: int, hi: Column) -> Column:
+    """One more than the last start: a window's span must leave a frame after it, and a bin's end is not in the bin."""
+    return F.least(n_frames - (width - 1) * step, F.coalesce(hi, n_frames))
+
+
+def nonoverlap_starts(n_frames: Column, step: Column, width: int, lo: Column, hi: Column) -> Column:
+    """Starts in [lo, hi) whose windows of `width` frames share at most an end; hi may be null."""
+    return _grid(lo, _stop(n_frames, step, width, hi), F.greatest((width - 1) * step, F.lit(1)))
+
+
+def emitted_starts(n_frames: Column, step: Column, width: int, lo: Column, hi: Column, stride: int) -> Column:
+    """Starts in [lo, hi) that are multiples of `stride`; hi may be null."""
+    return _grid(F.ceil(lo / float(stride)) * stride, _stop(n_frames, step, width, hi), F.lit(stride))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import alignments as A
 from .catalogs import rounded
 from .views import oracle, view
 
@@ -25,9 +24,9 @@ def query(name: str, views: list[str], sql: str | None = None):
     return register
 
 
-def _columns(spark, d, v="msa_v"):
+def _columns(spark, d):
     """(chain, row_idx, col, letter): one row per letter."""
-    m = view(spark, d, v)
+    m = view(spark, d, "msa_v")
     return m.where("seq <> ''").select("chain", "row_idx", F.posexplode(F.split("seq", "")).alias("col", "letter"))
 
 
@@ -35,100 +34,106 @@ LETTERS = "c as (select chain, row_idx, unnest(string_split(seq, '')) as letter,
 
 
 @query("align_columns", ["msa_v"], "select chain, row_idx, regexp_replace(seq, '[a-z]', '', 'g') as aligned, cast(length(seq) - length(regexp_replace(seq, '[a-z]', '', 'g')) as bigint) as inserted from msa_v")
-def align_columns(spark, d, v="msa_v"):
+def align_columns(spark, d):
     aligned = F.regexp_replace("seq", "[a-z]", "")
-    return view(spark, d, v).select("chain", "row_idx", aligned.alias("aligned"), (F.length("seq") - F.length(aligned)).cast("long").alias("inserted"))
+    return view(spark, d, "msa_v").select("chain", "row_idx", aligned.alias("aligned"), (F.length("seq") - F.length(aligned)).cast("long").alias("inserted"))
 
 
 @query("scan_a3m", ["msa_v"], """
     p as (select chain, row_idx, string_split_regex(regexp_replace(seq, '[^a-z]', '|', 'g'), '\\|') as gaps from msa_v)
     select chain, row_idx, array_to_string(list_transform(gaps, lambda x: length(x)), ' ') as deletions from p""")
-def scan_a3m(spark, d, v="msa_v"):
+def scan_a3m(spark, d):
     gaps = F.split(F.regexp_replace("seq", "[^a-z]", "|"), "\\|")
-    return view(spark, d, v).select("chain", "row_idx", F.array_join(F.transform(gaps, lambda x: F.length(x).cast("string")), " ").alias("deletions"))
+    return view(spark, d, "msa_v").select("chain", "row_idx", F.array_join(F.transform(gaps, lambda x: F.length(x).cast("string")), " ").alias("deletions"))
 
 
 @query("msa_profile", ["msa_v"], LETTERS + ", n as (select chain, col, count(*) as n from c group by chain, col) select c.chain, c.col, letter, round(count(*) / any_value(n.n), 6) as share from c join n on c.chain = n.chain and c.col = n.col group by c.chain, c.col, letter")
-def msa_profile(spark, d, v="msa_v"):
-    by = _columns(spark, d, v).groupBy("chain", "col", "letter").agg(F.count("*").alias("k"))
+def msa_profile(spark, d):
+    by = _columns(spark, d).groupBy("chain", "col", "letter").agg(F.count("*").alias("k"))
     total = by.groupBy("chain", "col").agg(F.sum("k").alias("n"))
     return rounded(by.join(total, ["chain", "col"]).select("chain", "col", "letter", (F.col("k") / F.col("n")).alias("share")), "share")
 
 
 @query("empty_columns", ["msa_v"], LETTERS + " select chain, col from c group by chain, col having bool_and(letter = '-')")
-def empty_columns(spark, d, v="msa_v"):
-    return _columns(spark, d, v).groupBy("chain", "col").agg(F.bool_and(F.col("letter") == "-").alias("e")).where("e").select("chain", "col")
+def empty_columns(spark, d):
+    return _columns(spark, d).groupBy("chain", "col").agg(F.bool_and(F.col("letter") == "-").alias("e")).where("e").select("chain", "col")
 
 
 @query("dedup_sequences", ["msa_v"], "select chain, row_idx, seq from (select *, row_number() over (partition by seq order by chain, row_idx) as rn from msa_v) where rn = 1")
-def dedup_sequences(spark, d, v="msa_v"):
-    m = view(spark, d, v).groupBy("seq").agg(F.min(F.struct("chain", "row_idx")).alias("f"))
+def dedup_sequences(spark, d):
+    m = view(spark, d, "msa_v").groupBy("seq").agg(F.min(F.struct("chain", "row_idx")).alias("f"))
     return m.select("f.chain", "f.row_idx", "seq")
 
 
 @query("sample_msa", ["msa_v"], """
     h as (select chain, row_idx, row_number() over (partition by chain order by case when row_idx = 0 then '' else sha256('4|' || chain || '|' || row_idx) end) as rn from msa_v)
     select chain, row_idx, rn <= 16 as sampled from h""")
-def sample_msa(spark, d, v="msa_v"):
+def sample_msa(spark, d):
     key = F.when(F.col("row_idx") == 0, "").otherwise(F.sha2(F.concat_ws("|", F.lit("4"), "chain", F.col("row_idx").cast("string")), 256))
-    return view(spark, d, v).select("chain", "row_idx", (F.row_number().over(Window.partitionBy("chain").orderBy(key)) <= 16).alias("sampled"))
+    return view(spark, d, "msa_v").select("chain", "row_idx", (F.row_number().over(Window.partitionBy("chain").orderBy(key)) <= 16).alias("sampled"))
 
 
 @query("mask_tokens", ["msa_v"], LETTERS + " select chain, row_idx, col from c where letter <> '-' and ('0x' || substr(sha256('6|' || chain || '|' || row_idx || '|' || col), 1, 12))::bigint / 281474976710656.0 < 0.15")
-def mask_tokens(spark, d, v="msa_v"):
-    c = _columns(spark, d, v)
+def mask_tokens(spark, d):
+    c = _columns(spark, d)
     return c.where((F.col("letter") != "-") & (X.unit_hash(F.lit(6), F.col("chain"), F.col("row_idx"), F.col("col"), sep="|") < 0.15)).select("chain", "row_idx", "col")
 
 
 @query("deletion_scale", ["msa_v"], "select chain, row_idx, round(atan((length(seq) - length(regexp_replace(seq, '[a-z]', '', 'g'))) / 3.0) * 2 / pi(), 6) as scaled from msa_v")
-def deletion_scale(spark, d, v="msa_v"):
+def deletion_scale(spark, d):
     n = F.length("seq") - F.length(F.regexp_replace("seq", "[a-z]", ""))
-    return rounded(view(spark, d, v).select("chain", "row_idx", X.deletion_scale(n).alias("scaled")), "scaled")
+    return rounded(view(spark, d, "msa_v").select("chain", "row_idx", X.deletion_scale(n).alias("scaled")), "scaled")
+
 
+AGREE = """
+    q as (select chain, col, letter from c where row_idx = 0),
+    s as (select m.chain, m.species, m.row_idx, coalesce(k.n, 0) / greatest(1, length(f.seq)) as sim from msa_v m join msa_v f on f.chain = m.chain and f.row_idx = 0
+      left join (select c.chain, c.row_idx, count(*) as n from c join q on c.chain = q.chain and c.col = q.col and c.letter = q.letter group by c.chain, c.row_idx) k on k.chain = m.chain and k.row_idx = m.row_idx)"""
 
-@query("msa_pair", ["msa_v"], """
-    r as (select chain, species, row_idx, row_number() over (partition by chain, species order by length(seq) desc, row_idx) as rank from msa_v where chain in ('src1', 'src2')),
-    n as (select species, min(n) as n, count(*) as chains from (select chain, species, count(*) as n from r group by chain, species) group by species)
-    select a.species, a.rank, a.row_idx as first_row, b.row_idx as second_row from r a join r b on a.species = b.species and a.rank = b.rank and a.chain = 'src1' and b.chain = 'src2'""")
-def msa_pair(spark, d, v="msa_v"):
-    m = view(spark, d, v).where("chain in ('src1', 'src2')")
-    r = m.select("chain", "species", "row_idx", F.row_number().over(Window.partitionBy("chain", "species").orderBy(F.length("seq").desc(), "row_idx")).alias("rank"))
-    a, b = r.where("chain = 'src1'").select("species", "rank", F.col("row_idx").alias("first_row")), r.where("chain = 'src2'").select("species", "rank", F.col("row_idx").alias("second_row"))
-    return a.join(b, ["species", "rank"])
 
+@query("msa_pair", ["msa_v"], LETTERS + "," + AGREE + """,
+    g as (select chain, species, count(*) as n from msa_v where species <> '' group by chain, species), e as (select species, min(n) as n from g group by species having count(*) > 1 and max(n) <= 600),
+    r as (select chain, species, row_idx, row_number() over (partition by chain, species order by sim desc, row_idx) as rank from s)
+    select r.species, r.rank, r.chain, r.row_idx from r join e on r.species = e.species where r.rank <= e.n""")
+def msa_pair(spark, d):
+    """Rows of several chains paired by species: those of equal rank in similarity to their chain's first row."""
+    return A.pair_by_species(view(spark, d, "msa_v"))
 
-@query("msa_unpaired_anti", ["msa_v"], "select chain, row_idx from msa_v where chain = 'src3' and seq not in (select seq from msa_v where chain <> 'src3')")
-def msa_unpaired_anti(spark, d, v="msa_v"):
-    m = view(spark, d, v)
-    return m.where("chain = 'src3'").join(m.where("chain <> 'src3'").select("seq"), "seq", "left_anti").select("chain", "row_idx")
 
+@query("msa_pair_order", ["msa_v"], LETTERS + "," + AGREE + """,
+    g as (select chain, species, count(*) as n from msa_v where species <> '' group by chain, species), e as (select species, min(n) as n from g group by species having count(*) > 1 and max(n) <= 600),
+    r as (select chain, species, row_idx, row_number() over (partition by chain, species order by sim desc, row_idx) as rank from s)
+    select r.species, r.rank, count(*) as chains, round(sum(case when row_idx > 0 then ln(row_idx) else 0 end), 6) as log_product, bool_or(row_idx = 0) as zero from r join e on r.species = e.species where r.rank <= e.n group by r.species, r.rank""")
+def msa_pair_order(spark, d):
+    """Paired rows with what orders them: more chains first, then the product of the rows' places (0 if one is 0)."""
+    p = A.pair_by_species(view(spark, d, "msa_v")).groupBy("species", "rank")
+    out = p.agg(F.count("*").alias("chains"), F.sum(F.when(F.col("row_idx") > 0, F.log("row_idx")).otherwise(0.0)).alias("log_product"), F.bool_or(F.col("row_idx") == 0).alias("zero"))
+    return rounded(out, "log_product").orderBy(F.col("chains").desc(), F.col("zero").desc(), "log_product")
 
-@query("msa_unpaired_whole", [])
-def msa_unpaired_whole(spark, d):
-    """Rows of every chain whose whole text is in no other chain; msa_unpaired_anti and its SQL take one chain."""
-    m = view(spark, d, "msa_whole_v").select("chain", "row_idx", F.sha2("seq", 256).alias("h"))
+
+@query("msa_unpaired_anti", ["msa_v"], "one as (select seq from msa_v where seq is not null group by seq having count(distinct chain) = 1) select chain, row_idx from msa_v join one using (seq)")
+def msa_unpaired_anti(spark, d):
+    """Rows of every chain whose whole text is in no other chain."""
+    m = view(spark, d, "msa_v").select("chain", "row_idx", F.sha2("seq", 256).alias("h"))
     own = F.struct("chain")  # a null chain is a chain too
     one = m.groupBy("h").agg(F.min(own).alias("a"), F.max(own).alias("b")).where(F.col("a").eqNullSafe(F.col("b"))).select("h")
     return m.where("h is not null").join(one, "h").select("chain", "row_idx")
 
 
-@query("nearest_center", ["msa_v"], """
-    s as (select chain, row_idx, seq from msa_v where length(seq) = 60), c as (select * from s where row_idx < 8), x as (select * from s where row_idx >= 8),
-    a as (select x.chain, x.row_idx, c.row_idx as center, len(list_filter(range(1, 61), lambda i: substr(x.seq, i, 1) = substr(c.seq, i, 1))) as agreement from x join c on x.chain = c.chain)
-    select chain, row_idx, center, agreement from (select *, row_number() over (partition by chain, row_idx order by agreement desc, center) as rn from a) where rn = 1""")
-def nearest_center(spark, d, v="msa_v"):
-    s = view(spark, d, v).where(F.length("seq") == 60).select("chain", "row_idx", F.split("seq", "").alias("s"))
-    c = s.where("row_idx < 8").groupBy("chain").agg(F.collect_list(F.struct((-F.col("row_idx")).alias("neg"), "s")).alias("centers"))  # at most eight a chain
-    x = s.where("row_idx >= 8").join(c, "chain")
-    score = F.transform("centers", lambda k: F.struct(F.size(F.filter(F.zip_with("s", k["s"], lambda a, b: a == b), lambda e: e)).alias("agreement"), k["neg"].alias("neg")))
-    best = x.select("chain", "row_idx", F.array_max(score).alias("b"))
-    return best.select("chain", "row_idx", (-F.col("b.neg")).alias("center"), F.col("b.agreement").cast("long").alias("agreement"))
+@query("nearest_center", ["msa_v"], LETTERS + """,
+    a as (select x.chain, x.row_idx, y.row_idx as center, count(*) as n from c x join c y on x.chain = y.chain and x.col = y.col and x.letter = y.letter where x.row_idx >= 8 and y.row_idx < 8 and x.letter <> '-' group by x.chain, x.row_idx, y.row_idx),
+    p as (select x.chain, x.row_idx, y.row_idx as center from msa_v x join msa_v y on x.chain = y.chain where x.row_idx >= 8 and y.row_idx < 8)
+    select chain, row_idx, center, agreement from (select p.*, coalesce(n, 0) as agreement, row_number() over (partition by p.chain, p.row_idx order by coalesce(n, 0) desc, p.center) as rn from p left join a using (chain, row_idx, center)) where rn = 1""")
+def nearest_center(spark, d):
+    """The center, one of a chain's first eight rows, that agrees with each other row in most places; gaps weigh nothing."""
+    m = view(spark, d, "msa_v")
+    return A.agreement(m.where("row_idx >= 8"), m.where("row_idx < 8"), gaps=False).select("chain", "row_idx", "center", "agreement")
 
 
 @query("scan_fasta", ["msa_v"], "select chain, row_idx, concat('>', chain, '/', cast(row_idx as varchar)) as header, length(regexp_replace(replace(seq, '-', ''), '\\s', '', 'g')) as letters from msa_v where replace(seq, '-', '') <> ''")
-def scan_fasta(spark, d, v="msa_v"):
+def scan_fasta(spark, d):
     """Rows written as one FASTA text per chain and read back."""
-    m = view(spark, d, v).where("replace(seq, '-', '') <> ''")
+    m = view(spark, d, "msa_v").where("replace(seq, '-', '') <> ''")
     record = F.concat(F.lit(">"), "chain", F.lit("/"), F.col("row_idx").cast("string"), F.lit("\x01"), F.replace("seq", F.lit("-"), F.lit("")))
     from ..sources.text import fasta_records
 
@@ -137,20 +142,16 @@ def scan_fasta(spark, d, v="msa_v"):
 
 
 @query("crop_extra", ["msa_v"], "h as (select chain, row_idx, row_number() over (partition by chain order by sha256('8|' || chain || '|' || row_idx)) as rn from msa_v where row_idx >= 16) select chain, row_idx from h where rn <= 8")
-def crop_extra(spark, d, v="msa_v"):
+def crop_extra(spark, d):
     key = F.sha2(F.concat_ws("|", F.lit("8"), "chain", F.col("row_idx").cast("string")), 256)
-    m = view(spark, d, v).where("row_idx >= 16")
+    m = view(spark, d, "msa_v").where("row_idx >= 16")
     return m.select("chain", "row_idx", F.row_number().over(Window.partitionBy("chain").orderBy(key)).alias("rn")).where("rn <= 8").drop("rn")
 
 
 @query("truncate_msa", ["msa_v"], "select chain, species, row_idx from (select *, dense_rank() over (partition by chain order by f) as r from (select *, min(row_idx) over (partition by chain, species) as f from msa_v)) where r <= 2")
-def truncate_msa(spark, d, v="msa_v"):
-    m = view(spark, d, v)
+def truncate_msa(spark, d):
+    m = view(spark, d, "msa_v")
     first = m.groupBy("chain", "species").agg(F.min("row_idx").alias("f"))
     top = first.select("chain", "species", F.dense_rank().over(Window.partitionBy("chain").orderBy("f")).alias("r")).where("r <= 2").drop("r")
     return m.join(top, ["chain", "species"], "left_semi").select("chain", "species", "row_idx")
 
-
-#: The same operators over whole texts. msa_v, which the SQL above is tied to, has the first 60 letters of each.
-WHOLE = ("align_columns", "scan_a3m", "msa_profile", "empty_columns", "dedup_sequences", "mask_tokens", "deletion_scale", "scan_fasta")
-QUERIES |= {f"{name}_whole": partial(QUERIES[name], v="msa_whole_v") for name in WHOLE}

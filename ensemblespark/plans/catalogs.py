@@ -95,20 +95,14 @@ def kmers(spark, d):
 
 @query("encode_sequence", ["families_v"], """
     select family_id, cast(sum(instr('ACDEFGHIKLMNPQRSTVWY', c) - 1) as bigint) as total, cast(sum(case when instr('ACDEFGHIKLMNPQRSTVWY', c) = 0 then 1 else 0 end) as bigint) as unknown
-    from (select family_id, unnest(string_split(substr(seqres, 1, 400), '')) as c from families_v) group by family_id""")
-def encode_sequence(spark, d, seqres=None):
-    f = view(spark, d, "families_v")
-    letters = f.select("family_id", F.explode(F.split(F.substring("seqres", 1, 400) if seqres is None else seqres, "")).alias("c"))
+    from (select family_id, unnest(string_split(seqres, '')) as c from families_v) group by family_id""")
+def encode_sequence(spark, d):
+    f = view(spark, d, "families_v").where("seqres <> ''")
+    letters = f.select("family_id", F.explode(F.split("seqres", "")).alias("c"))
     code = F.instr(F.lit("ACDEFGHIKLMNPQRSTVWY"), F.col("c"))
     return letters.groupBy("family_id").agg(F.sum(code - 1).alias("total"), F.sum((code == 0).cast("long")).alias("unknown"))
 
 
-@query("encode_sequence_whole")
-def encode_sequence_whole(spark, d):
-    """Over whole texts; the SQL of encode_sequence is tied to the first 400 letters."""
-    return encode_sequence(spark, d, F.col("seqres"))
-
-
 @query("rebase_path", ["members_v"], """
     select family_id, member_id, case when starts_with(path, '/store0/') then concat('/new/a', substr(path, 8)) when starts_with(path, '/store1/') then concat('/new/b', substr(path, 8)) end as path,
       not (starts_with(path, '/store0/') or starts_with(path, '/store1/')) as outside from members_v""")
@@ -233,46 +227,19 @@ def homology_pairs(spark, d):
     return rounded(I.homology_pairs(p, "p_partkey", "s"), "containment").withColumn("shared", F.col("shared").cast("long"))
 
 
-def _component_edges(spark, d) -> DataFrame:
-    """A part of the edges, which the recursive SQL can finish; _all_edges has the whole."""
-    m = view(spark, d, "members_v").where("family_id % 4 <> 0 or is_trajectory")
-    return I.star_edges(m.where("not is_trajectory and n_frames > 4600"), F.col("path"), "family_id")
-
-
-COMPONENTS = """
-    m as (select distinct family_id, path from members_v where (family_id % 4 <> 0 or is_trajectory) and not is_trajectory and n_frames > 4600),
-    e as (select distinct x.family_id as a, y.family_id as b from m x join m y on x.path = y.path and x.family_id <> y.family_id),
-"""
-
-
-@query("components", ["members_v"], "ids as (select distinct family_id as node from members_v)," + COMPONENTS.strip() + """
-    r as (with recursive w(node, root) as (select node, node from ids union select e.b, w.root from w join e on e.a = w.node where w.root < e.b) select node, min(root) as component from w group by node)
-    select node, component from r""")
-def components(spark, d):
-    return I.rooted(view(spark, d, "members_v").select(F.col("family_id").alias("node")), _component_edges(spark, d))
-
-
-@query("component_report", ["members_v"], "ids as (select distinct family_id as node from members_v)," + COMPONENTS.strip() + """
-    r as (with recursive w(node, root) as (select node, node from ids union select e.b, w.root from w join e on e.a = w.node where w.root < e.b) select node, min(root) as component from w group by node)
-    select component, count(distinct node) as size, count(distinct node) = 1 as singleton, count(distinct node % 3) > 1 as crosses from r group by component""")
-def component_report(spark, d):
-    nodes = view(spark, d, "members_v").select(F.col("family_id").alias("node")).distinct()
-    return I.component_report(I.rooted(nodes, _component_edges(spark, d)), nodes.withColumn("source", F.col("node") % 3))
-
-
 def _all_edges(spark, d) -> DataFrame:
     """Edges of families that share any path, whether of a static or a trajectory member."""
     return I.star_edges(view(spark, d, "members_v"), F.col("path"), "family_id")
 
 
-@query("components_whole")
-def components_whole(spark, d):
-    """Over all edges; the SQL of components is tied to a part of them."""
+@query("components")
+def components(spark, d):
+    """Components of families over all shared paths. No SQL: a recursion over all edges doesn't end."""
     return I.rooted(view(spark, d, "members_v").select(F.col("family_id").alias("node")), _all_edges(spark, d))
 
 
-@query("component_report_whole")
-def component_report_whole(spark, d):
+@query("component_report")
+def component_report(spark, d):
     nodes = view(spark, d, "members_v").select(F.col("family_id").alias("node")).distinct()
     return I.component_report(I.rooted(nodes, _all_edges(spark, d)), nodes.withColumn("source", F.col("node") % 3))
 
@@ -371,10 +338,8 @@ def grouping_rollup(spark, d):
 
 @query("shard_assign", ["clusters_v"], "select cluster_id, cast((row_number() over (order by cluster_id) - 1) % 4 as bigint) as shard from (select distinct cluster_id from clusters_v)")
 def shard_assign(spark, d):
-    from pyspark.sql import Window
-
     c = view(spark, d, "clusters_v").select("cluster_id").distinct()
-    return c.select("cluster_id", ((F.row_number().over(Window.orderBy("cluster_id")) - 1) % 4).cast("long").alias("shard"))
+    return S.ranked(c, [], ["cluster_id"], "place").select("cluster_id", ((F.col("place") - 1) % 4).cast("long").alias("shard"))
 
 
 @query("top_filtered_sorted", ["clusters_v"], "select distinct token from clusters_v where not starts_with(token, 'AF_') order by token limit 20")

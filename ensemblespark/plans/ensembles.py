@@ -45,8 +45,9 @@ def atom_covariance(spark, d):
 
 
 @query("effective_dim", ["frames_v"], """
-    c as (select ensemble_id, var_pop(x) as a, var_pop(y) as b, var_pop(z) as c, covar_pop(x, y) as p, covar_pop(x, z) as q, covar_pop(y, z) as r from frames_v group by ensemble_id, res_idx)
-    select ensemble_id, round(avg((a + b + c) * (a + b + c) / (a * a + b * b + c * c + 2 * (p * p + q * q + r * r))), 6) as dim from c group by ensemble_id""")
+    l as (select ensemble_id, frame_idx, 3 * res_idx as k, x as v from frames_v union all select ensemble_id, frame_idx, 3 * res_idx + 1, y from frames_v union all select ensemble_id, frame_idx, 3 * res_idx + 2, z from frames_v),
+    c as (select a.ensemble_id, a.k = b.k as own, covar_pop(a.v, b.v) as cv from l a join l b on a.ensemble_id = b.ensemble_id and a.frame_idx = b.frame_idx group by a.ensemble_id, a.k, b.k)
+    select ensemble_id, round(pow(sum(case when own then cv end), 2) / sum(cv * cv), 6) as dim from c group by ensemble_id""")
 def effective_dim(spark, d):
     return rounded(E.effective_dim(view(spark, d, "frames_v")), "dim")
 
@@ -97,12 +98,11 @@ def bond_clash(spark, d):
 @query("validity_status", ["frames_v"], PAIRS + """,
     b as (select ensemble_id, avg(case when j = i + 1 then case when d < 3.5 or d > 4.2 then 1.0 else 0.0 end end) as bond, avg(case when j >= i + 3 then case when d < 3.5 then 1.0 else 0.0 end end) as clash from d group by ensemble_id),
     r as (select bond, clash from b where ensemble_id = 0)
-    select ensemble_id, case when b.bond > greatest(0.05, 10 * r.bond) or b.clash > greatest(0.05, 10 * r.clash) then 'void' when b.bond > greatest(0.05, r.bond) or b.clash > greatest(0.05, r.clash) then 'flagged' else 'ok' end as status from b, r""")
+    select ensemble_id, case when b.bond >= 0.25 then 'void' when b.bond >= greatest(0.05, 10 * coalesce(r.bond, 0)) or b.clash - coalesce(r.clash, 0) >= 0.01 then 'flagged' else 'ok' end as status from b, r""")
 def validity_status(spark, d):
     b = E.bond_clash(view(spark, d, "frames_v"))
     ref = F.broadcast(b.where("ensemble_id = 0").select(F.col("bond").alias("rb"), F.col("clash").alias("rc")))  # one row
-    high = lambda k: (F.col("bond") > F.greatest(F.lit(0.05), k * F.col("rb"))) | (F.col("clash") > F.greatest(F.lit(0.05), k * F.col("rc")))
-    return b.join(ref).select("ensemble_id", F.when(high(10), "void").when(high(1), "flagged").otherwise("ok").alias("status"))
+    return b.join(ref).select("ensemble_id", E.validity(F.col("bond"), F.col("clash"), F.col("rb"), F.col("rc")).alias("status"))
 
 
 def _bin(v: str, lo: str, hi: str, bins: int) -> str:
@@ -211,10 +211,14 @@ def floor_join(spark, d):
     return rounded(l.where("arm <> 'R'").join(f, ["family", "metric"], "left").select("arm", "family", "seed", "metric", F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).alias("z")), "z", digits=5)
 
 
-@query("floor_spread", ["arms_v"], LONG + ", f as (select family, metric, stddev_samp(value) / nullif(avg(value), 0) as s from l where arm = 'R' group by family, metric) select metric, round(median(s), 6) as spread from f group by metric")
+@query("floor_spread", ["arms_v"], LONG + """, m as (select family, metric, avg(value) as m, stddev_samp(value) as sd from l where arm = 'R' group by family, metric),
+    f as (select metric, case when regexp_matches(metric, '(_r|_jaccard|_cosine|_hit_fraction)$') then case when abs(m) < 1 then sd / greatest(1e-12, 1 - m * m) end when m > 0 then sd / m end as s from m)
+    select metric, round(median(s), 6) as spread from f where s is not null group by metric""")
 def floor_spread(spark, d):
-    f = _long(spark, d).where("arm = 'R'").groupBy("family", "metric").agg((F.stddev_samp("value") / F.nullif(F.avg("value"), F.lit(0.0))).alias("s"))
-    return rounded(f.groupBy("metric").agg(F.median("s").alias("spread")), "spread")
+    """A metric's spread in the floor: the median over families of sd / mean, for correlations of sd / (1 - mean^2)."""
+    f = _long(spark, d).where("arm = 'R'").groupBy("family", "metric").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
+    s = F.when(X.higher_is_better(F.col("metric")), F.when(F.abs("m") < 1, F.col("sd") / F.greatest(F.lit(1e-12), 1 - F.col("m") ** 2))).when(F.col("m") > 0, F.col("sd") / F.col("m"))
+    return rounded(f.select("metric", s.alias("s")).where("s is not null").groupBy("metric").agg(F.median("s").alias("spread")), "spread")
 
 
 @query("rank_checkpoints", ["arms_v"], LONG + ", m as (select seed, metric, avg(value) as v from l group by seed, metric) select metric, seed, cast(row_number() over (partition by metric order by case when metric like '%\\_r' escape '\\' then -v else v end, seed) as bigint) as place from m")

@@ -48,12 +48,18 @@ def best_point(spark, d):
 
 
 @query("accumulation_factor", ["log_v"], ROWS + """,
-    p as (select run, (samples - lag(samples) over w) / nullif(step - lag(step) over w, 0) as f, step - lag(step) over w as ds from r where kind = 'train' window w as (partition by run order by line_no))
-    select run, cast(greatest(1, round_even(quantile_disc(f, 0.5), 0)) as bigint) as factor from p where ds > 0 group by run""")
+    p as (select run, samples - lag(samples) over w as df, step - lag(step) over w as ds from r where kind = 'train' window w as (partition by run order by line_no)),
+    o as (select run, df / ds as f, row_number() over (partition by run order by df / ds) - 1 as i, count(*) over (partition by run) as n from p where ds > 0 and df > 0)
+    select run, cast(greatest(1, round_even(f, 0)) as bigint) as factor from o where i = n // 2""")
 def accumulation_factor(spark, d):
+    """Samples per step: the upper median of the ratios of rises; a fall of either counter is left out."""
     by = Window.partitionBy("run").orderBy("line_no")
-    r = _rows(spark, d).where("kind = 'train'").select("run", (F.col("samples") - F.lag("samples").over(by)).alias("a"), (F.col("step") - F.lag("step").over(by)).alias("b")).where("b > 0")
-    return r.groupBy("run").agg(F.greatest(F.lit(1), F.bround(F.expr("percentile_disc(0.5) within group (order by a / b)"))).cast("long").alias("factor"))
+    r = _rows(spark, d).where("kind = 'train'").select("run", (F.col("samples") - F.lag("samples").over(by)).alias("a"), (F.col("step") - F.lag("step").over(by)).alias("b")).where("a > 0 and b > 0")
+    # Equal ratios are one row; the middle one is the first whose count so far exceeds half of all.
+    h = r.groupBy("run", (F.col("a") / F.col("b")).alias("f")).agg(F.count("*").alias("m"))
+    upto, every = Window.partitionBy("run").orderBy("f"), Window.partitionBy("run")
+    h = h.select("run", "f", F.sum("m").over(upto).alias("upto"), F.floor(F.sum("m").over(every) / 2).alias("middle"))
+    return h.where("upto > middle").groupBy("run").agg(F.greatest(F.lit(1), F.bround(F.min("f"))).cast("long").alias("factor"))
 
 
 @query("task_means", ["log_v"], ROWS + " select run, step // 100 as win, kind, round(avg(loss), 6) as mean, count(*) as n from r group by run, step // 100, kind")

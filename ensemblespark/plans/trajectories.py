@@ -12,9 +12,8 @@ from .views import oracle, view
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-LADDER = [1, 8, 64, 512]
-#: The reference's stride of starts, and its whole ladder.
-STRIDE, WHOLE_LADDER = 50, X.stride_ladder(1, 512)
+#: The stride of starts, and the ladder of steps.
+STRIDE, LADDER = 50, X.stride_ladder(1, 512)
 
 
 def query(name: str, views: list[str], sql: str | None = None):
@@ -28,10 +27,10 @@ def query(name: str, views: list[str], sql: str | None = None):
 
 
 @query("iid_slots", ["members_v"], """
-    t as (select family_id, member_id, unnest(range(0, n_frames, 500)) as frame from members_v where is_trajectory)
+    t as (select family_id, member_id, unnest(range(0, n_frames, 50)) as frame from members_v where is_trajectory)
     select family_id, member_id, cast(frame as int) as frame from t union all select family_id, member_id, null from members_v where not is_trajectory""")
 def iid_slots(spark, d):
-    return W.iid_slots(view(spark, d, "members_v"), 500)
+    return W.iid_slots(view(spark, d, "members_v"), STRIDE)
 
 
 @query("stride_ladder", ["members_v"], "s as (select family_id, member_id, unnest([1, 2, 4, 8, 16, 20]) as step from members_v where is_trajectory) select step, count(*) as n from s group by step")
@@ -45,21 +44,25 @@ def default_stride(spark, d):
     return view(spark, d, "members_v").select("family_id", "member_id", X.default_stride(F.col("member_id") * 100, F.col("n_frames")).alias("stride"))
 
 
+WINDOWS = """
+    l as (select family_id, member_id, n_frames, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) as step from members_v where is_trajectory),
+    w as (select family_id, member_id, step, cast(unnest(range(0, n_frames - 8 * step, 50)) as int) as start from l where n_frames > 8 * step)"""
+
+
 @query("forward_pairs", ["members_v"], """
-    s as (select family_id, member_id, n_frames, unnest([1, 8, 64, 512]) as step from members_v where is_trajectory)
-    select family_id, member_id, step, cast(count(*) as bigint) as n, cast(sum(start) as bigint) as starts from (select family_id, member_id, step, unnest(range(0, n_frames - step, 250)) as start from s where n_frames > step) group by family_id, member_id, step""")
+    s as (select family_id, member_id, n_frames, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) as step from members_v where is_trajectory)
+    select family_id, member_id, step, cast(count(*) as bigint) as n, cast(sum(start) as bigint) as starts from (select family_id, member_id, step, unnest(range(0, n_frames - step, 50)) as start from s where n_frames > step) group by family_id, member_id, step""")
 def forward_pairs(spark, d):
-    w = W.windows(view(spark, d, "members_v"), LADDER, 250, 2)
+    w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 2)
     return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
-@query("trajectory_windows", ["members_v"], """
-    s as (select family_id, member_id, n_frames, unnest([1, 8, 64, 512]) as step from members_v where is_trajectory),
-    w as (select family_id, member_id, step, cast(unnest(range(0, n_frames - 8 * step, 1000)) as int) as start from s where n_frames > 8 * step)
-    select family_id, member_id, step, start, array_to_string(list_transform(range(0, 9), lambda k: start + k * step), ' ') as frames from w""")
+@query("trajectory_windows", ["members_v"], WINDOWS + " select family_id, member_id, step, count(*) as n, min(start) as first, max(start) as last, cast(sum(9 * start + 36 * step) as bigint) as frames from w group by family_id, member_id, step")
 def trajectory_windows(spark, d):
-    w = W.windows(view(spark, d, "members_v"), LADDER, 1000, 9)
-    return w.withColumn("frames", F.array_join(F.transform("frames", lambda x: x.cast("string")), " "))
+    """Windows of nine frames by member and step: how many, the first and last start, the sum of all their frames."""
+    w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9)
+    own = F.aggregate("frames", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"), F.sum(own).alias("frames"))
 
 
 @query("static_pairs", ["members_v"], """
@@ -75,54 +78,37 @@ def chunk_windows(spark, d):
     return W.chunks(view(spark, d, "members_v"), "family_id", "member_id", 2)
 
 
-@query("orient_window", ["members_v"], """
-    w as (select family_id, member_id, unnest([1, 8, 64, 512]) as step, n_frames from members_v where is_trajectory),
-    s as (select family_id, member_id, step, cast(unnest(range(0, n_frames - 8 * step, 1000)) as int) as start from w where n_frames > 8 * step),
-    f as (select *, start >= 1000 and step <= 64 and ('0x' || substr(sha256('3|' || family_id || '|' || member_id || '|' || start || '|' || step), 1, 12))::bigint / 281474976710656.0 < 0.5 as reversed from s)
-    select family_id, member_id, step, start, reversed, case when reversed then start + 8 * step else start end as source_frame, case when reversed then start else start + 8 * step end as target_frame from f""")
+@query("orient_window", ["members_v"], WINDOWS + """,
+    f as (select *, start >= 1000 and step <= 64 and ('0x' || substr(sha256('3|' || family_id || '|' || member_id || '|' || start || '|' || step), 1, 12))::bigint / 281474976710656.0 < 0.5 as reversed from w)
+    select family_id, member_id, step, count(*) as n, cast(sum(case when reversed then 1 else 0 end) as bigint) as reversed, cast(sum(case when reversed then start + 8 * step else start end) as bigint) as source_frames, cast(sum(case when reversed then start else start + 8 * step end) as bigint) as target_frames from f group by family_id, member_id, step""")
 def orient_window(spark, d):
-    w = W.oriented(W.windows(view(spark, d, "members_v"), LADDER, 1000, 9), 3, 0.5, 1000, 64)
-    return w.select("family_id", "member_id", "step", "start", "reversed", F.element_at("frames", 1).alias("source_frame"), F.element_at("frames", -1).alias("target_frame"))
+    """Windows after the reversal coin, by member and step: how many are reversed, sums of their first and last frames."""
+    w = W.oriented(W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
+    return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.sum(F.col("reversed").cast("long")).alias("reversed"), F.sum(F.element_at("frames", 1)).alias("source_frames"), F.sum(F.element_at("frames", -1)).alias("target_frames"))
 
 
-@query("reversal_gate", ["members_v"], "select family_id, count(*) as n from members_v where n_frames >= 1000 and member_id <= 3 and is_trajectory group by family_id")
+@query("reversal_gate", ["members_v"], WINDOWS + " select family_id, count(*) as n from w where start >= 1000 and step <= 64 and 0.5 > 0 group by family_id")
 def reversal_gate(spark, d):
-    return view(spark, d, "members_v").where("n_frames >= 1000 and member_id <= 3 and is_trajectory").groupBy("family_id").agg(F.count("*").alias("n"))
-
+    """A family's windows that may be reversed: start and step within the gate, and a coin that can fall."""
+    w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9)
+    return w.where(W.may_reverse(F.col("start"), F.col("step"))).groupBy("family_id").agg(F.count("*").alias("n"))
 
-# Over every start and step; the SQL of the queries above is tied to longer strides and four steps.
 
-
-@query("iid_slots_whole", [])
-def iid_slots_whole(spark, d):
-    return W.iid_slots(view(spark, d, "members_v"), STRIDE)
-
-
-@query("forward_pairs_whole", [])
-def forward_pairs_whole(spark, d):
-    w = W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 2)
-    return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+# The windows themselves, a row each; the queries above sum them up for their SQL.
 
 
 @query("trajectory_windows_whole", [])
 def trajectory_windows_whole(spark, d):
-    w = W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 9)
+    w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9)
     return w.withColumn("frames", F.array_join(F.transform("frames", lambda x: x.cast("string")), " "))
 
 
 @query("orient_window_whole", [])
 def orient_window_whole(spark, d):
-    w = W.oriented(W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
+    w = W.oriented(W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
     return w.select("family_id", "member_id", "step", "start", "reversed", F.element_at("frames", 1).alias("source_frame"), F.element_at("frames", -1).alias("target_frame"))
 
 
-@query("reversal_gate_whole", [])
-def reversal_gate_whole(spark, d):
-    """A family's windows that may be reversed."""
-    w = W.windows(view(spark, d, "members_v"), WHOLE_LADDER, STRIDE, 9)
-    return w.where("start >= 1000 and step <= 64").groupBy("family_id").agg(F.count("*").alias("n"))
-
-
 WALK = """
     n as (select family_id, count(*) as n from members_v group by family_id), p as (select family_id, n, unnest(range(6, 9)) as p from n),
     q as (select family_id, p - 6 as place, p // n as cycle, p % n as at from p), c as (select distinct family_id, cycle from q),
@@ -250,13 +236,25 @@ def case_id(spark, d):
     return m.select(F.concat(F.concat_ws("__", F.col("family_id").cast("string"), F.col("member_id").cast("string")), F.when(F.col("is_trajectory"), F.concat(F.lit("_f"), (F.col("n_frames") % 100).cast("string"))).otherwise("")).alias("id"))
 
 
-@query("nonoverlap_starts", ["members_v"], "select family_id, member_id, cast(unnest(range(100, n_frames - 63, 64)) as int) as start from members_v where is_trajectory and n_frames > 163")
+@query("nonoverlap_starts", ["members_v"], """
+    l as (select family_id, member_id, n_frames, unnest([1, 8, 64]) as step, unnest([null, 2000, 1500]) as hi from members_v where is_trajectory)
+    select family_id, member_id, step, cast(unnest(range(100, least(coalesce(hi, n_frames), n_frames - 8 * step), 8 * step)) as int) as start from l""")
 def nonoverlap_starts(spark, d):
-    m = view(spark, d, "members_v").where("is_trajectory and n_frames > 163")
-    return m.select("family_id", "member_id", F.explode(F.sequence(F.lit(100), F.col("n_frames") - 64, F.lit(64))).alias("start"))
+    """Starts from 100 up to a bin's end whose windows share no inner frame."""
+    m = view(spark, d, "members_v").where("is_trajectory")
+    return _cells(m, lambda step, hi: W.nonoverlap_starts(F.col("n_frames"), step, 9, F.lit(100), hi))
 
 
-@query("emitted_starts", ["members_v"], "select family_id, member_id, cast(unnest(range(cast(ceil(member_id * 130 / 50.0) * 50 as bigint), n_frames, 50)) as int) as start from members_v where is_trajectory and n_frames > 1000")
+@query("emitted_starts", ["members_v"], """
+    l as (select family_id, member_id, n_frames, unnest([1, 8, 64]) as step, unnest([null, 2000, 1500]) as hi from members_v where is_trajectory)
+    select family_id, member_id, step, cast(unnest(range(cast(ceil(member_id * 130 / 50.0) * 50 as bigint), least(coalesce(hi, n_frames), n_frames - 8 * step), 50)) as int) as start from l""")
 def emitted_starts(spark, d):
-    m = view(spark, d, "members_v").where("is_trajectory and n_frames > 1000").withColumn("lo", (F.ceil(F.col("member_id") * 130 / 50.0) * 50).cast("int"))
-    return m.select("family_id", "member_id", F.explode(F.sequence(F.col("lo"), F.col("n_frames") - 1, F.lit(50))).alias("start"))
+    """Starts on the stride's grid from a bin's beginning up to its end, at which a window still fits."""
+    m = view(spark, d, "members_v").where("is_trajectory")
+    return _cells(m, lambda step, hi: W.emitted_starts(F.col("n_frames"), step, 9, F.col("member_id") * 130, hi, STRIDE))
+
+
+def _cells(members, starts):
+    """Starts of each member for three steps, two of them with a bin's end."""
+    cells = members.select("family_id", "member_id", "n_frames", F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.lit(h).cast("int").alias("hi")) for s, h in ((1, None), (8, 2000), (64, 1500))])).alias("c"))
+    return cells.select("family_id", "member_id", F.col("c.step").alias("step"), F.explode(starts(F.col("c.step"), F.col("c.hi"))).alias("start"))

@@ -66,7 +66,7 @@ VIEWS = {
     # aligned rows of a chain
     "msa_v": """
         select source as chain, lang as species, cast(row_number() over (partition by source order by doc_id) - 1 as int) as row_idx,
-               replace(substring(text, 1, 60), ' ', '-') as seq, doc_id
+               replace(text, ' ', '-') as seq, doc_id
         from documents""",
 }
 
@@ -80,7 +80,7 @@ TABLES = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the Parquet tables in sf_dir."""
-    if name == "msa_whole_v":
+    if name == "msa_v":
         return _msa(spark, sf_dir)
     text = VIEWS[name].replace("{elt}", "element_at")
     sources = {t: view(spark, sf_dir, t) if t in VIEWS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]}
@@ -90,7 +90,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _msa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msa_v with whole texts. Spark only: rows are numbered without one task sorting a source."""
+    """msa_v with its rows numbered so that no one task sorts a source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.col("source").alias("chain"), F.col("lang").alias("species"), F.replace("text", F.lit(" "), F.lit("-")).alias("seq"), "doc_id")
     return ranked(rows, ["chain"], ["doc_id"], "place").select("chain", "species", (F.col("place") - 1).cast("int").alias("row_idx"), "seq", "doc_id")

@@ -74,7 +74,8 @@ def cluster_lines(lines: DataFrame) -> DataFrame:
     return own.select(F.array_min("t").alias("cluster_id"), F.explode("t").alias("token"))
 
 
-ID_COLUMNS = ("protein_id", "family_id", "chain_name", "pdb_id", "id")
+#: The columns an id is looked for in, in this order.
+ID_COLUMNS = ("chain_id", "family_id", "name", "index", "pdb_id")
 
 
 def id_list(rows: DataFrame, columns: tuple[str, ...] = ID_COLUMNS) -> DataFrame:

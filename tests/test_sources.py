@@ -40,7 +40,7 @@ def test_pdb_atoms_and_lines(spark):
 def test_cluster_lines_and_ids(spark):
     got = T.cluster_lines(lines(spark, "b_1  a_1", "", "c_2")).collect()
     assert sorted((r.cluster_id, r.token) for r in got) == [("a_1", "a_1"), ("a_1", "b_1"), ("c_2", "c_2")]
-    ids = T.id_list(spark.createDataFrame([("", "x"), ("y", "z"), ("#no", "")], "protein_id string, pdb_id string"))
+    ids = T.id_list(spark.createDataFrame([("", "x"), ("y", "z"), ("#no", "")], "family_id string, pdb_id string"))
     assert sorted(r.id for r in ids.collect()) == ["x", "y"]
 
 

@@ -6,9 +6,16 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ensemblespark.operators import alignments as A
+from ensemblespark.operators import ensembles as E
+from ensemblespark.operators import selection as S
+from ensemblespark.operators import windows as W
 from ensemblespark.plans import registry
+from ensemblespark.sources import text as T
 
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -43,7 +50,7 @@ def test_dedup_sequences_whole(spark, texts):
     first = {}
     for chain, i, seq in sorted(aligned(texts[1]), key=lambda r: (r[0] is not None, r[0] or "", r[1])):
         first.setdefault(seq, (chain, i, seq))
-    assert got(spark, "dedup_sequences_whole", texts[0]) == sorted(first.values(), key=repr)
+    assert got(spark, "dedup_sequences", texts[0]) == sorted(first.values(), key=repr)
 
 
 def test_msa_profile_and_empty_columns_whole(spark, texts):
@@ -53,26 +60,26 @@ def test_msa_profile_and_empty_columns_whole(spark, texts):
             cells[chain, col][letter] += 1
     cells = {k: v for k, v in cells.items() if k[0] is not None}
     want = {(*k, x): round(n / sum(c.values()), 6) for k, c in cells.items() for x, n in c.items()}
-    assert {tuple(r)[:3]: r.share for r in registry.QUERIES["msa_profile_whole"](spark, texts[0]).collect() if r.letter and r.chain is not None} == pytest.approx(want)
-    empty = {tuple(r) for r in registry.QUERIES["empty_columns_whole"](spark, texts[0]).collect() if r.chain is not None}
+    assert {tuple(r)[:3]: r.share for r in registry.QUERIES["msa_profile"](spark, texts[0]).collect() if r.letter and r.chain is not None} == pytest.approx(want)
+    empty = {tuple(r) for r in registry.QUERIES["empty_columns"](spark, texts[0]).collect() if r.chain is not None}
     assert empty == {k for k, c in cells.items() if set(c) == {"-"}}
 
 
 def test_row_queries_whole(spark, texts):
     rows = aligned(texts[1])
     lower = lambda s: sum(x.islower() for x in s)
-    assert got(spark, "align_columns_whole", texts[0]) == sorted(((c, i, "".join(x for x in s if not x.islower()), lower(s)) for c, i, s in rows), key=repr)
+    assert got(spark, "align_columns", texts[0]) == sorted(((c, i, "".join(x for x in s if not x.islower()), lower(s)) for c, i, s in rows), key=repr)
     runs = lambda s: " ".join(str(len(x)) for x in re.split("[^a-z]", s))
-    assert got(spark, "scan_a3m_whole", texts[0]) == sorted(((c, i, runs(s)) for c, i, s in rows), key=repr)
-    assert got(spark, "deletion_scale_whole", texts[0]) == sorted(((c, i, pytest.approx(math.atan(lower(s) / 3) * 2 / math.pi, abs=1e-6)) for c, i, s in rows), key=lambda r: repr(r[:2]))
-    letters = {(r.chain, r.row_idx): r.letters for r in registry.QUERIES["scan_fasta_whole"](spark, texts[0]).collect() if r.chain}
+    assert got(spark, "scan_a3m", texts[0]) == sorted(((c, i, runs(s)) for c, i, s in rows), key=repr)
+    assert got(spark, "deletion_scale", texts[0]) == sorted(((c, i, pytest.approx(math.atan(lower(s) / 3) * 2 / math.pi, abs=1e-6)) for c, i, s in rows), key=lambda r: repr(r[:2]))
+    letters = {(r.chain, r.row_idx): r.letters for r in registry.QUERIES["scan_fasta"](spark, texts[0]).collect() if r.chain}
     assert letters == {(c, i): len(s.replace("-", "")) for c, i, s in rows if c and s.replace("-", "")}
-    masked = registry.QUERIES["mask_tokens_whole"](spark, texts[0]).collect()
+    masked = registry.QUERIES["mask_tokens"](spark, texts[0]).collect()
     assert max(r.col for r in masked) > 400 and all(dict(((c, i), s) for c, i, s in rows)[r.chain, r.row_idx][r.col] != "-" for r in masked)
 
 
 def test_encode_sequence_whole(spark, texts):
-    found = {int(r.family_id[:8]): (r.total, r.unknown) for r in registry.QUERIES["encode_sequence_whole"](spark, texts[0]).collect()}
+    found = {int(r.family_id[:8]): (r.total, r.unknown) for r in registry.QUERIES["encode_sequence"](spark, texts[0]).collect()}
     for i, text, *_ in texts[1]:
         s = text.strip(" ").upper()
         if s:
@@ -107,9 +114,9 @@ def test_components_whole(spark, members):
     for family, _, supp, part, *_ in rows:
         by[supp % 3, part].append(family)
     want = union_find({r[0] for r in rows}, [(fs[0], f) for fs in by.values() for f in fs])
-    assert {r.node: r.component for r in registry.QUERIES["components_whole"](spark, at).collect()} == want
+    assert {r.node: r.component for r in registry.QUERIES["components"](spark, at).collect()} == want
     size = collections.Counter(want.values())
-    found = {r.component: r for r in registry.QUERIES["component_report_whole"](spark, at).collect()}
+    found = {r.component: r for r in registry.QUERIES["component_report"](spark, at).collect()}
     assert {c: r["size"] for c, r in found.items()} == size
     assert all(r.singleton == (size[c] == 1) and r.crosses == (len({n % 3 for n in want if want[n] == c}) > 1) for c, r in found.items())
 
@@ -127,11 +134,11 @@ def test_trajectories_whole(spark, members):
     tracks = [(f, m, int(q * 100)) for f, m, _, _, flag, q in rows if flag == "N"]
     windows = lambda width: [(f, m, step, start) for f, m, n in tracks for step in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512) for start in range(0, n - (width - 1) * step, 50)]
     slots = [(f, m, x) for f, m, n in tracks for x in range(0, n, 50)] + [(f, m, None) for f, m, _, _, flag, _ in rows if flag != "N"]
-    assert got(spark, "iid_slots_whole", at) == sorted(slots, key=repr)
+    assert got(spark, "iid_slots", at) == sorted(slots, key=repr)
     pairs = collections.defaultdict(list)
     for f, m, step, start in windows(2):
         pairs[f, m, step].append(start)
-    assert {tuple(r)[:3]: (r.n, r.starts) for r in registry.QUERIES["forward_pairs_whole"](spark, at).collect()} == {k: (len(v), sum(v)) for k, v in pairs.items()}
+    assert {tuple(r)[:3]: (r.n, r.starts) for r in registry.QUERIES["forward_pairs"](spark, at).collect()} == {k: (len(v), sum(v)) for k, v in pairs.items()}
     nine = windows(9)
     assert got(spark, "trajectory_windows_whole", at) == sorted(((f, m, step, s, " ".join(str(s + k * step) for k in range(9))) for f, m, step, s in nine), key=repr)
     turned = {tuple(r)[:4]: r for r in registry.QUERIES["orient_window_whole"](spark, at).collect()}
@@ -140,15 +147,69 @@ def test_trajectories_whole(spark, members):
         ends = (s, s + 8 * step)
         assert (r.source_frame, r.target_frame) == (ends[::-1] if r.reversed else ends) and (not r.reversed or s >= 1000 and step <= 64)
     gate = collections.Counter(f for f, _, step, s in nine if s >= 1000 and step <= 64)
-    assert {r.family_id: r.n for r in registry.QUERIES["reversal_gate_whole"](spark, at).collect()} == gate
+    assert {r.family_id: r.n for r in registry.QUERIES["reversal_gate"](spark, at).collect()} == gate
 
 
-def test_msa_unpaired_whole(spark, texts):
+def test_msa_unpaired(spark, texts):
     rows = aligned(texts[1])
     chains = collections.defaultdict(set)
     for c, _, s in rows:
         chains[s].add(c)
-    assert got(spark, "msa_unpaired_whole", texts[0]) == sorted(((c, i) for c, i, s in rows if len(chains[s]) == 1), key=repr)
+    assert got(spark, "msa_unpaired_anti", texts[0]) == sorted(((c, i) for c, i, s in rows if len(chains[s]) == 1), key=repr)
+
+
+def test_pairing_and_centers(spark):
+    """By hand: ranks follow the likeness to a chain's first row, species in one chain or too large are left out, gaps don't attract."""
+    rows = [("A", "", 0, "ACDE"), ("A", "x", 1, "AAAA"), ("A", "x", 2, "ACDA"), ("A", "y", 3, "ACDE"), ("B", "", 0, "WW"), ("B", "x", 1, "WW"), ("B", "x", 2, "W"), ("B", "x", 3, "AA"), ("C", "z", 0, "K")]
+    msa = spark.createDataFrame(rows, "chain string, species string, row_idx int, seq string")
+    pairs = {(r.species, r["rank"], r.chain): r.row_idx for r in A.pair_by_species(msa).collect()}
+    assert pairs == {("x", 1, "A"): 2, ("x", 2, "A"): 1, ("x", 1, "B"): 1, ("x", 2, "B"): 2}
+    assert A.pair_by_species(msa, most=2).count() == 0
+    centers = spark.createDataFrame([("A", 0, "----A"), ("A", 1, "B---C"), ("A", 2, "B---C")], "chain string, row_idx int, seq string")
+    near = spark.createDataFrame([("A", 8, "----C"), ("A", 9, "----"), ("A", 10, "B--A")], "chain string, row_idx int, seq string")
+    assert {r.row_idx: (r.center, r.agreement) for r in A.agreement(near, centers, gaps=False).collect()} == {8: (1, 1), 9: (0, 0), 10: (1, 1)}
+
+
+def test_corrected_definitions(spark):
+    """Small cases by hand."""
+    one = spark.range(1)
+    near = lambda *a: one.select(W.nonoverlap_starts(*[F.lit(x).cast("int") if i != 2 else x for i, x in enumerate(a)]).alias("s")).first().s
+    grid = lambda *a, stride=4: one.select(W.emitted_starts(*[F.lit(x).cast("int") if i != 2 else x for i, x in enumerate(a)], stride).alias("s")).first().s
+    assert near(20, 2, 5, 0, None) == [0, 8] and near(17, 2, 5, 0, None) == [0, 8] and near(16, 2, 5, 0, None) == [0] and near(8, 2, 5, 0, None) == [] and near(20, 2, 5, 1, 9) == [1]
+    assert grid(20, 2, 5, 3, None) == [4, 8] and grid(20, 2, 5, 3, 8) == [4] and grid(20, 2, 5, 13, None) == []
+    gate = lambda start, step, **k: one.select(W.may_reverse(F.lit(start), F.lit(step), **k).alias("x")).first().x
+    assert gate(1000, 64) and not gate(999, 64) and not gate(1000, 65) and not gate(1000, 64, prob=0.0)
+    status = lambda *a: one.select(E.validity(*[F.lit(x).cast("double") for x in a]).alias("x")).first().x
+    assert [status(0.25, 0, 0, 0), status(0.06, 0, 0.01, 0), status(0.06, 0, 0.0, 0), status(0.0, 0.5, 0, 0.495), status(0.0, 0.9, 0, 0.0)] == ["void", "ok", "flagged", "ok", "flagged"]
+    lines = spark.createDataFrame([("r", i, s) for i, s in enumerate([1, 2, 3, 4, 3, 5, 5, 6, 2])], "run string, line_no long, step long")
+    for chunk in (2, 3, 100):
+        W.CHUNK = chunk
+        assert sorted((r.line_no, r.step) for r in W.superseded(lines, "run", "line_no", "step").collect()) == [(0, 1), (8, 2)]
+        assert sorted(r.line_no for r in W.superseded(lines.where("line_no < 8"), "run", "line_no", "step").collect()) == [0, 1, 4, 6, 7]
+    W.CHUNK = 10_000
+    ids = spark.createDataFrame([("120", "1abc_A", ""), ("90", "", "x1"), ("7", None, None)], "seqlen string, chain_id string, name string")
+    assert {r.id for r in T.id_list(ids).collect()} == {"1abc_A", "x1"}
+
+
+@pytest.mark.parametrize("sizes", [[1, 1, 1], [5], [3] * 40 + [9, 30], [2, 50, 50, 60] * 9, list(range(1, 60))])
+def test_share_cap_scans_up(spark, sizes):
+    want = None
+    for cap in range(1, max(sizes) + 1):
+        draws = sum(min(n, cap) for n in sizes)
+        if cap > draws * 0.08:
+            break
+        want = (cap, draws)
+    found = S.share_cap(spark.createDataFrame([(n,) for n in sizes], "size long"), "size", 0.08).first()
+    assert tuple(found) == (want or (1, None))
+
+
+def test_effective_dim_is_of_the_whole_spectrum(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2, 30, 12)) * np.arange(1, 13)
+    rows = [(e, f, r, *map(float, x[e, f, 3 * r : 3 * r + 3])) for e in range(2) for f in range(30) for r in range(4)]
+    frames = spark.createDataFrame(rows, "ensemble_id long, frame_idx long, res_idx int, x double, y double, z double").repartition(5)
+    spectra = [np.linalg.eigvalsh(np.cov(v.T)) for v in x]
+    assert {r.ensemble_id: r.dim for r in E.effective_dim(frames).collect()} == pytest.approx({e: s.sum() ** 2 / (s**2).sum() for e, s in enumerate(spectra)})
 
 
 def test_seeded_shuffle_ranks_by_ranges(spark, texts):
