@@ -5,15 +5,17 @@ in its texts, and the shares of its common words, those that make up at least CO
 words (so at most 1 / COMMON of them, whatever the corpus). A document is held against its
 own language's reference by the Jensen-Shannon distance (in bits, 0 to 1) of the character
 classes, and of the common words with all others as one. Short texts have noisy histograms:
-the words are judged only from MIN_WORDS words on, the classes from MIN_CHARS characters.
+the words are judged only from MIN_WORDS words on, the classes from MIN_CHARS characters. All
+that is judged depends on text and language alone, so texts are known by 128 bits of hash.
 
 Words are runs of characters other than space and \\t..\\r, as they stand. Besides the
 distances there are the base counts of words, symbols, repeated lines and repeated windows
 of three words.
 
 Defined cases: a null or empty text has no words and fails; a null language is one of its
-own; texts of any length are counted whole; repeated rows are judged each; columns besides
-doc_id, text and lang are carried on or ignored; an empty table gives an empty result.
+own; a language without common words has word distances of 0; texts of any length are counted
+whole; repeated rows are judged each; columns besides doc_id, text and lang are carried on or
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import keep, table
+from .store import forget, keep, small, table
 
 COMMON = 0.004
 MIN_WORDS, MIN_CHARS = 80, 200
@@ -32,13 +34,16 @@ CLASSES = (("lower", r"\p{Ll}+"), ("blank", r"[\x20\x09-\x0D]+"), ("upper", r"\p
 
 
 def words_of(text: Column) -> Column:
-    bare = F.btrim(text, F.lit(BLANK))
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+    plain = F.coalesce(text, F.lit(""))
+    for c in BLANK[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs' columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes
-    (counts by class) and words."""
+    """docs' columns but text, with t1 and t2 (128 bits of hash that name the text), n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words and c0.. (characters of each class). Written once: a filter on
+    the numbers can't be moved below the arrays that they are counted with."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
@@ -54,66 +59,89 @@ def measured(docs: DataFrame) -> DataFrame:
     for i, (_, pattern) in enumerate(CLASSES):
         out = out.withColumn(f"_r{i}", F.regexp_replace(rest, pattern, ""))
         rest = F.col(f"_r{i}")
-        counts.append((left - F.length(rest)).cast("double"))
+        counts.append((left - F.length(rest)).cast("long").alias(f"c{i}"))
         left = F.length(rest)
-    counts.append(left.cast("double"))
-    out = out.withColumn("classes", F.array(*counts))
-    return out.select(
-        *docs.columns, "words", "classes", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+    counts.append(left.cast("long").alias(f"c{len(CLASSES)}"))
+    blank = [name for name, _ in CLASSES].index("blank")
+    return keep(out.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"], *text_key(), "n_words", *counts, F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.expr(covered).alias("n_repeat_words"),
-    )
+    ).withColumn("word_chars", sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1) if i != blank), F.lit(0).cast("long"))))
 
 
-def class_counts(docs: DataFrame) -> DataFrame:
-    """lang and the character class counts of each text."""
-    rest, out, counts = F.coalesce(F.col("text"), F.lit("")), docs.select("lang", "text"), []
-    left = F.length(rest)
-    for i, (_, pattern) in enumerate(CLASSES):
-        out = out.withColumn(f"_r{i}", F.regexp_replace(rest, pattern, ""))
-        rest = F.col(f"_r{i}")
-        counts.append((left - F.length(rest)).cast("double").alias(f"c{i}"))
-        left = F.length(rest)
-    return out.select("lang", *counts, left.cast("double").alias(f"c{len(CLASSES)}"))
+def text_key() -> list[Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_words, ref_shares): one row per language, its lists bounded by COMMON."""
-    chars = class_counts(docs).groupBy("lang").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0"))
-    chars = chars.select("lang", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1.0)) for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """(lang, w, q): each language's common words and their shares, at most 1 / COMMON of them."""
     counts = keep(docs.select("lang", F.explode(words_of(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")))
     sums = counts.groupBy("lang").agg(F.sum("n").alias("all")).withColumnRenamed("lang", "_l")
-    common = counts.join(F.broadcast(sums), F.col("lang").eqNullSafe(F.col("_l"))).where(F.col("n") >= F.col("all") * COMMON)
-    common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("p")))).alias("c"))
-    common = common.select(F.col("lang").alias("_l"), F.col("c.w").alias("ref_words"), F.col("c.p").alias("ref_shares"))
-    return chars.join(common, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
+    common = keep(counts.join(small(sums, sums.count()), F.col("lang").eqNullSafe(F.col("_l"))).where(F.col("n") >= F.col("all") * COMMON).select("lang", "w", (F.col("n") / F.col("all")).alias("q")))
+    forget(counts)
+    return common
+
+
+def class_shares(measures: DataFrame) -> DataFrame:
+    """(_l, ref_classes): the shares of the character classes in each language's texts."""
+    chars = measures.groupBy("lang").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    total = F.greatest(sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0")), F.lit(1)).cast("double")
+    return chars.select(F.col("lang").alias("_l"), F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
+
+
+def _half(a: str, b: str) -> str:
+    return f"if({a} > 0, {a} * log2(2 * {a} / ({a} + {b})), 0D)"
 
 
 def distance(p: str, q: str) -> Column:
     """Jensen-Shannon distance in bits of two arrays of shares; null if one is null."""
-    half = lambda a, b: f"if({a} > 0, {a} * log2(2 * {a} / ({a} + {b})), 0D)"
-    return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({p}, {q}, (x, y) -> ({half('x', 'y')} + {half('y', 'x')}) / 2), 0D, (a, x) -> a + x)))")
+    return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({p}, {q}, (x, y) -> ({_half('x', 'y')} + {_half('y', 'x')}) / 2), 0D, (a, x) -> a + x)))")
+
+
+def word_distances(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """(_l, _t1, _t2, word_distance): for each text, by its hash, the distance of its common words, all
+    others as one, from its language's. A text's words are counted where they stand, so what is shuffled
+    is a row per text and common word in it; equal texts are one, whatever their number."""
+    # A row without a word for each language counts how often a text occurs.
+    langs = docs.select("lang").distinct().select(F.col("lang").alias("_l"), F.lit(None).cast("string").alias("_w"), F.lit(None).cast("double").alias("q"))
+    known = keep(langs.unionByName(common.select(F.col("lang").alias("_l"), F.col("w").alias("_w"), "q")))
+    rows = docs.select("lang", *text_key(), words_of(F.col("text")).alias("words")).select("lang", "t1", "t2", F.size("words").alias("n"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("w"))
+    own = rows.join(small(known, known.count()), F.col("lang").eqNullSafe(F.col("_l")) & F.col("w").eqNullSafe(F.col("_w")))
+    own = own.groupBy("_l", "t1", "t2", "n", "q", "_w").agg(F.count("*").alias("c"))
+    own = own.groupBy("_l", "t1", "t2", "n").agg(F.max(F.when(F.col("q").isNull(), F.col("c"))).alias("times"), F.array_sort(F.collect_list(F.when(F.col("q").isNotNull(), F.struct("_w", "c", "q")))).alias("x"))
+    share = "y.c / (times * n)"
+    own = own.withColumns({
+        "terms": F.expr(f"aggregate(x, 0D, (a, y) -> a + ({_half(f'({share})', 'y.q')} + {_half('y.q', f'({share})')}) / 2)"),
+        "sp": F.expr(f"aggregate(x, 0D, (a, y) -> a + {share})"), "sq": F.expr("aggregate(x, 0D, (a, y) -> a + y.q)"),
+    })
+    every = common.groupBy(F.col("lang").alias("_k")).agg(F.sum("q").alias("all_q"))
+    own = own.join(small(every, every.count()), F.col("_l").eqNullSafe(F.col("_k")), "left").withColumns({"p0": 1 - F.col("sp"), "q0": 1 - F.col("all_q")})
+    # A common word that a text lacks adds half its share.
+    js = F.expr(f"terms + (all_q - sq) / 2 + ({_half('p0', 'q0')} + {_half('q0', 'p0')}) / 2")
+    return own.select("_l", F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.coalesce(F.sqrt(F.greatest(js, F.lit(0.0))), F.lit(0.0)).alias("word_distance"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """docs' columns (doc_id, text, lang and any others) with the counts, the two distances,
-    base_failed and kept. The references are a row per language, of a bounded size: broadcast."""
-    ref = F.broadcast(keep(references(docs)).withColumnRenamed("lang", "_l"))
-    m = measured(docs).join(ref, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
-    m = m.withColumn("_common", F.expr("filter(words, w -> array_contains(ref_words, w))"))
-    m = m.withColumn("_counts", F.expr("transform(ref_words, r -> size(_common) - size(array_remove(_common, r)))"))
-    m = m.withColumn("_p", F.expr("transform(concat(_counts, array(size(words) - size(_common))), c -> c / greatest(1, size(words)))"))
-    m = m.withColumn("_q", F.expr("concat(ref_shares, array(1D - aggregate(ref_shares, 0D, (a, x) -> a + x)))"))
-    m = m.withColumn("_n", F.expr("aggregate(classes, 0D, (a, x) -> a + x)")).withColumn("_c", F.expr("transform(classes, c -> c / greatest(1D, _n))"))
-    m = m.withColumn("class_distance", distance("_c", "ref_classes")).withColumn("word_distance", F.coalesce(distance("_p", "_q"), F.lit(0.0)))
+    """docs' columns but text (docs has text, lang and any small ones), t1 and t2 that name the text, the
+    counts, the two distances, base_failed and kept."""
+    own = docs.select("text", "lang")
+    m = measured(docs)
+    far = keep(word_distances(own, common_words(own)))
+    shares = keep(class_shares(m))
+    m = m.join(far, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left").drop("_l", "_t1", "_t2")
+    m = m.join(small(shares, shares.count()), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
+    chars = sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0"))
+    m = m.withColumn("_n", chars).withColumn("_c", F.array(*[F.col(f"c{i}") / F.greatest(F.col("_n"), F.lit(1)) for i in range(len(CLASSES) + 1)]))
+    m = m.withColumn("class_distance", distance("_c", "ref_classes"))
     m = m.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     odd = ((F.col("_n") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return m.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
+    return m.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "t1", "t2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def _class_sql() -> str:
