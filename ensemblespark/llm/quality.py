@@ -186,8 +186,8 @@ def _inputs_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Machine:
-    """Fit and calibrate. What comes to the driver: inputs of at most 2 * per_class documents,
-    each of at most BUCKETS words."""
+    """Fit and calibrate. What comes to the driver: inputs of at most 2 * per_class documents (one row
+    of each sampled id), each of at most BUCKETS words."""
     sample, counts = labelled_sample(docs, labels, label, per_class, ["text", "n_chars"])
     prior = min(max(counts.get(1, 0) / sum(counts.values()), 1e-6), 1 - 1e-6) if counts else 0.5
     got = sample.select("label", "fold", "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(_inputs_rows, "label int, fold int, cols array<int>, vals array<float>, dense array<double>").toArrow().combine_chunks()
@@ -217,14 +217,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return m
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, carry: bool = False) -> DataFrame:
-    """One row per document, scored in one pass without a shuffle: SCORES, and with carry=True
-    the document itself as a struct `row`."""
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document, scored in one pass without a shuffle: SCORES, and the columns named in
+    `also` as they are (the text itself goes to Python once, so don't name it there)."""
     from pyspark.sql.types import StructType
 
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    kind = StructType([*StructType.fromDDL(SCORES), *docs.select(*whole).schema])
+    carried = [F.col(f"`{c}`") for c in also]
+    kind = StructType([*StructType.fromDDL(SCORES), *docs.select(*carried).schema])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -237,10 +237,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, carry: bool
                 names=kind.names,
             )
 
-    own = docs.select(
-        F.col("doc_id").cast("long").alias("_id"), (id_fold("doc_id", 4) == 2).alias("_held"), F.col("text").alias("_text"), F.col("n_chars").cast("double").alias("_chars"),
-        *whole,
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), (id_fold("doc_id", 4) == 2).alias("_held"), F.col("text").alias("_text"), F.col("n_chars").cast("double").alias("_chars"), *carried)
     return own.mapInArrow(scored, kind)
 
 

@@ -15,7 +15,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Only ids whose crc32 modulo 4 is not 2 are used. Ids are taken in order of a hash, so the
     sample is the same in every run and independent of the layout. An id labelled more than
     once counts once, with the larger label. Null ids and labels are left out. The chosen ids
-    are at most 2 * per_class (with even=True as many of each class), hence the broadcast; the texts are never shuffled.
+    are at most 2 * per_class (with even=True as many of each class), hence the broadcast. Of several
+    rows with a sampled id the one with the least hash of its columns is taken, so the sample has at
+    most 2 * per_class rows; only sampled rows are shuffled.
     """
     own = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
@@ -28,4 +30,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     parts = [own.where(F.col("label") == c).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(per_class) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).withColumn("fold", id_fold("_id", 4))
     picked = docs.select(F.col("doc_id").alias("_id"), *[F.col(c) for c in columns])
-    return picked.join(F.broadcast(chosen), "_id"), counts
+    picked = picked.join(F.broadcast(chosen), "_id").select("_id", "label", "fold", F.struct(F.xxhash64(*columns).alias("_h"), *columns).alias("r"))
+    one = picked.groupBy("_id", "label", "fold").agg(F.min("r").alias("r"))
+    return one.select("_id", "label", "fold", *[F.col(f"r.{c}").alias(c) for c in columns]), counts
