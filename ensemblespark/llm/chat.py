@@ -31,13 +31,15 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """(owner, conv_id, place, n, role, text, h1, h2): every turn with the hash of the prefix it ends."""
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = t.withColumn("owner", F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("~"), F.md5(F.concat_ws("\x00", "role", "text")))))
+    hashes = [F.xxhash64("place", "role", "text").alias("t1"), F.xxhash64("text", "role", "place", F.lit(17)).alias("t2")]
     by = Window.partitionBy("owner").orderBy("turn", "role", "text")
-    lone = F.col("conv_id").isNull()
-    placed = own.select("*", F.when(lone, 1).otherwise(F.row_number().over(by)).alias("place"), F.when(lone, 1).otherwise(F.count("*").over(Window.partitionBy("owner"))).alias("n"))
-    rolled = placed.select("*", F.xxhash64("place", "role", "text").alias("t1"), F.xxhash64("text", "role", "place", F.lit(17)).alias("t2"))
-    upto = Window.partitionBy("owner").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    roll = lambda c: F.when(lone, F.col(c)).otherwise(F.bit_xor(c).over(upto))
-    return rolled.select("owner", "conv_id", "place", "n", "role", "text", roll("t1").alias("h1"), roll("t2").alias("h2"))
+    placed = own.where("conv_id is not null").select("*", F.row_number().over(by).alias("place"), F.count("*").over(Window.partitionBy("owner")).cast("int").alias("n"))
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    columns = ["owner", "conv_id", "place", "n", "role", "text"]
+    rolled = placed.select("*", *hashes).select(*columns, F.bit_xor("t1").over(upto).alias("h1"), F.bit_xor("t2").over(upto).alias("h2"))
+    # Rows without a conversation need no order, so very many equal ones don't meet in a task.
+    lone = own.where("conv_id is null").select("*", F.lit(1).alias("place"), F.lit(1).alias("n")).select("*", *hashes)
+    return rolled.unionByName(lone.select(*columns, F.col("t1").alias("h1"), F.col("t2").alias("h2")))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
