@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import keep, table
+from .store import keep, small, table
 
 WEIGHTS = (5, 2, 1)
 TOTAL, MOST = 1.5, 2.0
@@ -61,20 +61,21 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     """goal with rounds (0, 1 or 2: times every document is taken) and upto (key up to which one more is taken)."""
+    n = goal.count()  # a row per source, as in all tables joined here
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = goal.withColumn("rounds", full).select("*", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"), F.lit("").alias("bucket"))
     for level in range(1, LEVELS + 1):
         width = level * DIGITS
-        at = F.broadcast(state.select(F.col("source").alias("_s"), F.col("bucket").alias("_b")))  # a row per source
+        at = small(state.select(F.col("source").alias("_s"), F.col("bucket").alias("_b")), n)
         inside = sizes.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.substring("key", 1, width - DIGITS) == F.col("_b")))
         sums = inside.groupBy("source", F.substring("key", 1, width).alias("bucket2")).agg(F.sum("size").alias("sum"))  # at most 16 ** DIGITS rows per source
         by = Window.partitionBy("source").orderBy("bucket2")
         rolled = sums.select("source", "bucket2", "sum", F.sum("sum").over(by).alias("upto_sum"))
-        joined = rolled.join(F.broadcast(state.select(F.col("source").alias("_s"), "budget")), F.col("source").eqNullSafe(F.col("_s")))
+        joined = rolled.join(small(state.select(F.col("source").alias("_s"), "budget"), n), F.col("source").eqNullSafe(F.col("_s")))
         cut = joined.where(F.col("upto_sum") > F.col("budget")).groupBy("source").agg(F.min(F.struct("bucket2", "sum", "upto_sum")).alias("cut"))
         cut = cut.select(F.col("source").alias("_s"), F.col("cut.bucket2").alias("next"), (F.col("cut.upto_sum") - F.col("cut.sum")).alias("spent"), F.col("cut.sum").alias("cut_sum"))
         # No bucket is cut where the budget covers all of it, or where there is none.
-        state = state.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        state = state.join(small(cut, n), F.col("source").eqNullSafe(F.col("_s")), "left").select(
             *goal.columns, "rounds", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget"), F.coalesce("next", F.lit("~")).alias("bucket"), F.col("cut_sum")
         )
         state = keep(state)
@@ -91,8 +92,9 @@ def plan(sizes: DataFrame) -> DataFrame:
 
 def apply(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     """sizes' columns with source_size, target and times (how often each document is taken).
-    The plan is a row per source, hence the broadcast; the documents aren't shuffled."""
-    bound = F.broadcast(planned.withColumnRenamed("source", "_s"))
+    The plan is a row per source; within small()'s limit it is broadcast and no document is shuffled."""
+    planned = keep(planned)
+    bound = small(planned.withColumnRenamed("source", "_s"), planned.count())
     more = ((F.col("key") < F.col("bucket")) | ((F.col("key") == F.col("bucket")) & F.col("closed"))).cast("long")
     times = F.col("rounds") + F.when(F.col("rounds") >= MOST, 0).otherwise(more)
     return sizes.join(bound, F.col("source").eqNullSafe(F.col("_s"))).select(*[F.col(f"`{c}`") for c in sizes.columns], "source_size", "target", times.alias("times"))
