@@ -36,12 +36,13 @@ PASSES = 24
 WINDOW = 40
 #: Random hashes concatenated into a sort key (bits of a 64-bit integer).
 BITS = 62
-BLOCK = 256
+BLOCK = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as unit rows, in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(1, keepdims=True)  # so that no square overflows or vanishes
     return flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None]
 
 
@@ -159,21 +160,41 @@ def _borders(rows: pa.Table) -> pa.Table:
 
 
 def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks: links of each vector of the first into the second."""
+    """Rows (component, b1, b2, block, node, v, n) sorted by the first three: links of each vector of
+    the two blocks into the other one (into its own, if they are the same)."""
+    held: pa.Table | None = None
+
+    def counted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        where = [rows.column(c).to_numpy() for c in ("component", "b1", "b2")]
+        cut = np.flatnonzero(np.any([np.diff(w) != 0 for w in where], axis=0)) + 1
+        block, node, n, v = (*(rows.column(c).to_numpy() for c in ("block", "node", "n")), rows.column("v").combine_chunks())
+        for i, j in zip([0, *cut], [*cut, len(rows)], strict=True):
+            one = i + np.flatnonzero(block[i:j] == where[1][i])
+            two = i + np.flatnonzero(block[i:j] == where[2][i])
+            if not len(one) or not len(two):
+                continue
+            x, y = _matrix(v.take(pa.array(one))), _matrix(v.take(pa.array(two)))
+            hit = (x @ y.T >= LEAST) & (node[one][:, None] != node[two][None, :])
+            sides = [(one, hit @ n[two])] + ([(two, n[one] @ hit)] if where[1][i] != where[2][i] else [])
+            for rows_, many in sides:
+                some = many > 0
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows_][some]), pa.array(many[some].astype(np.int64))], names=["node", "n"])
+
     for batch in batches:
-        for i in range(len(batch)):
-            a, b = batch.column("a")[i].values, batch.column("b")[i].values
-            x, y = _matrix(a.field("v")), _matrix(b.field("v"))
-            nx, ny = a.field("node").to_numpy(), b.field("node").to_numpy()
-            hit = (x @ y.T >= LEAST) & (nx[:, None] != ny[None, :])
-            n = hit.astype(np.float64) @ b.field("n").to_numpy()
-            some = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(nx[some]), pa.array(n[some])], names=["node", "n"])
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        keys = [held.column(c).to_numpy() for c in ("component", "b1", "b2")]
+        last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        if len(last):  # all but the group that may go on
+            yield from counted(held.slice(0, last[-1] + 1))
+            held = held.slice(last[-1] + 1).combine_chunks()
+    if held is not None and len(held):
+        yield from counted(held)
 
 
 def links(vectors: DataFrame) -> DataFrame:
-    """(uid, vec_id, n_links, component_id, kept), one row per row of vectors (uid, vec_id,
-    embedding, label)."""
+    """(uid, vec_id, n_links, component_id, kept), one row per row of vectors (vec_id, embedding, label).
+    uid numbers the rows; it is written once with them, so later scans can't number them anew."""
     spark = vectors.sparkSession
     usable = (
         F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
@@ -183,7 +204,7 @@ def links(vectors: DataFrame) -> DataFrame:
 
     exact = vectors.schema["embedding"].dataType
     kind = "array<float>" if isinstance(exact, ArrayType) and isinstance(exact.elementType, FloatType) else "array<double>"
-    own = vectors.select("uid", F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    own = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     own = own.select("uid", "vec_id", "label", "embedding", F.coalesce(usable, F.lit(False)).alias("ok"))
     own = own.withColumn("mark", F.when(F.col("ok"), F.md5(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))))))
     rows = keep(own.select("uid", "vec_id", "label", "mark", F.when(F.col("ok"), F.col("embedding")).alias("v")))
@@ -201,14 +222,11 @@ def links(vectors: DataFrame) -> DataFrame:
     # Exact counts within components of two nodes or more.
     placed = keep(nodes.join(label.select("node", "component"), "node").select("component", "node", "v", "n"))
     sizes = placed.groupBy("component").count()
-    blocks = keep(
-        placed.join(sizes, "component")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK)))
-        .repartition("component", "block")  # else all blocks of a component stay in the join's partition
-        .groupBy("component", "block").agg(F.collect_list(F.struct("node", "v", "n")).alias("a"))
-    )
-    other = blocks.select("component", F.col("block").alias("block2"), F.col("a").alias("b"))
-    counted = blocks.join(other, "component").select("a", "b").mapInArrow(_blocks_linked, "node long, n double").groupBy("node").agg(F.sum("n").cast("long").alias("others"))
+    dealt = placed.join(sizes, "component").withColumn("of", F.ceil(F.col("count") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.select("component", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"), "block", "node", "v", F.col("n").cast("long").alias("n"))
+    pairs = ["component", "b1", "b2"]  # each pair of blocks is a group of its own, of about 2 * BLOCK vectors
+    counted = dealt.repartition(*pairs).sortWithinPartitions(*pairs).mapInArrow(_blocks_linked, "node long, n long").groupBy("node").agg(F.sum("n").alias("others"))
     placed = classes.join(label, "node", "left").join(counted, "node", "left")
     placed = keep(placed.select("label", "mark", "least_id", F.coalesce("component", "node").alias("group"), (F.coalesce("others", F.lit(0)) + F.col("same") - 1).alias("n_links")))
     least = placed.groupBy("group").agg(F.min("least_id").alias("component_id"))
@@ -219,5 +237,4 @@ def links(vectors: DataFrame) -> DataFrame:
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").withColumn("uid", F.monotonically_increasing_id())
-    return links(vectors).drop("uid")
+    return links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("uid")

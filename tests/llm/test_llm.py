@@ -298,7 +298,7 @@ def test_vectors_equal_brute_force(spark, awkward):
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base, base[:20] + rng.normal(size=(20, 16)) * 0.15, np.repeat(base[:1], 30, 0) + rng.normal(size=(30, 16)) * 0.2, base[:3]]).astype(np.float32)
     label = [int(i % 2) for i in range(60)] + [i % 2 for i in range(20)] + [0] * 30 + [0, 1, 0]
-    rows = spark.createDataFrame([(i, x[i].tolist(), label[i]) for i in range(len(x))], "vec_id long, embedding array<float>, label int").withColumn("uid", F.monotonically_increasing_id())
+    rows = spark.createDataFrame([(i, x[i].tolist(), label[i]) for i in range(len(x))], "vec_id long, embedding array<float>, label int")
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :]) & ~np.eye(len(x), dtype=bool)
     root = list(range(len(x)))
@@ -310,6 +310,25 @@ def test_vectors_equal_brute_force(spark, awkward):
     assert odd == collections.Counter([(0, 3, 0, True), (0, 3, 0, True), (1, 3, 0, False), (None, 3, 0, False), (2, 0, 2, True), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]])
 
 
+def test_vectors_found_where_the_window_is_small(spark):
+    """Recall of isolated pairs in a label of 3,000 vectors, 75 times the window; and counts over several blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2_400, 64))
+    pairs = rng.choice(2_400, 300, replace=False)
+    u = x[pairs] / np.linalg.norm(x[pairs], axis=1, keepdims=True)
+    r = rng.normal(size=u.shape)
+    r -= (r * u).sum(1, keepdims=True) * u
+    cosine = rng.uniform(0.932, 0.96, 300)[:, None]
+    family = 1e160 * (u[:1] + 0.01 * rng.normal(size=(300, 64)) / 8)
+    v = np.concatenate([x, cosine * u + np.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True), family])
+    old = embedding_dedup.BLOCK
+    embedding_dedup.BLOCK = 64
+    got = {r.vec_id: r for r in embedding_dedup.links(spark.createDataFrame([(i, row.tolist(), 1) for i, row in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    embedding_dedup.BLOCK = old
+    assert sum(got[2_400 + i].component_id == p for i, p in enumerate(pairs)) >= 0.98 * 300
+    assert all(got[2_700 + i].n_links >= 300 for i in range(300)) and got[pairs[0]].n_links >= 300
+
+
 def test_mix_meets_targets(spark):
     got = mixing.op7_mixing(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
     assert (got.taken <= 2 * got["size"]).all() and got.target.max() <= 2 * got.source_size.max()
