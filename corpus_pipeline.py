@@ -21,17 +21,23 @@ def _whole(docs: DataFrame):
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels, doesn't reject."""
+    """Documents that the quality classifier, trained on the labels, doesn't reject. It judges by text
+    and n_chars, so the rejected ones are a set of those."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, machine, carry=True).where("predicted = 1").select("row.*")
+    size = F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)).alias("_size")
+    own = docs.select("text", F.col("n_chars"), _whole(docs)).select(size, *rules.text_key(), "row")
+    scored = quality.score(docs.select("doc_id", "text", "n_chars", size, *rules.text_key()), machine, also=("_size", "t1", "t2"))
+    gone = keep(scored.where("predicted = 0").select("_size", "t1", "t2").distinct())
+    return own.join(small(gone, gone.count()), ["_size", "t1", "t2"], "left_anti").select("row.*")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose distributions fit their language."""
-    judged = rules.judge(docs.select("text", "lang", _whole(docs))).withColumn("place", F.monotonically_increasing_id())
-    # The row number keeps the optimizer from moving the filter below the counts, where it would
-    # repeat their arrays' expressions for every element.
-    return judged.where("kept and place >= 0").select("row.*")
+    """Documents that pass the base rules and whose distributions fit their language. What the rules
+    decide on is the text and the language, so the rejected ones are a set of those."""
+    own = docs.select("text", "lang", _whole(docs)).select("lang", *rules.text_key(), "row").withColumn("_n", F.col("lang").isNull()).withColumn("_l", F.coalesce("lang", F.lit("")))
+    judged = rules.judge(docs.select("text", "lang")).where("not kept").select(F.coalesce("lang", F.lit("")).alias("_l"), F.col("lang").isNull().alias("_n"), "t1", "t2").distinct()
+    gone = keep(judged)
+    return own.join(small(gone, gone.count()), ["_l", "_n", "t1", "t2"], "left_anti").select("row.*")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
