@@ -65,3 +65,70 @@ def paired_difference(metric: Column, a: Column, b: Column) -> Column:
 
 def higher_is_better(metric: Column) -> Column:
     return metric.rlike("(_r|_jaccard|_cosine|_hit_fraction)$")
+
+
+def gap_stamp(task: Column, delta: Column, source: Column, target: Column) -> Column:
+    """Time gap of an example in frames: 0 unless it runs forward; its own gap if it has one; else the
+    distance of its two frames; 0 for a pair of structures without frames."""
+    return F.when(task != "forward", 0).otherwise(F.coalesce(delta, F.abs(target - source), F.lit(0)))
+
+
+def frame_schedule(task: Column, n: Column, stride: Column) -> tuple[Column, Column]:
+    """(frames, conditioned) of a task: iid has frame 0; forward conditions on its first frame; interp
+    puts the last frame first and conditions on the two ends."""
+    grid = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * stride)
+    ends = F.concat(F.slice(grid, -1, 1), F.slice(grid, F.lit(1), n - 1))
+    frames = F.when(task == "iid", F.array(F.lit(0))).when(task == "forward", grid).otherwise(ends)
+    given = F.when(task == "iid", 0).when(task == "forward", 1).otherwise(2)
+    return frames, F.transform(frames, lambda _, i: (i < given).cast("int"))
+
+
+#: Fixed value: the shape of a sequence identifier that names a species.
+SPECIES = r"^(?:tr|sp)\|[A-Za-z0-9]{6,10}(?:_[0-9])?\|[A-Za-z0-9]+_([A-Za-z0-9]{1,5})(?:_[0-9]+)?$"
+
+
+def species_id(description: Column) -> Column:
+    """Species code in the first word of a description, up to a slash; empty without one."""
+    first = F.split_part(F.element_at(F.split(F.trim(description), r"\s+"), 1), F.lit("/"), F.lit(1))
+    return F.regexp_extract(first, SPECIES, 1)
+
+
+#: Names of residues and their letters.
+RESIDUES = "ALA A ARG R ASN N ASP D CYS C GLN Q GLU E GLY G HIS H ILE I LEU L LYS K MET M PHE F PRO P SER S THR T TRP W TYR Y VAL V"
+
+
+def residue_letter(name: Column) -> Column:
+    """One letter for a residue's three; X for any other name."""
+    parts = RESIDUES.split()
+    return F.coalesce(F.element_at(F.create_map(*map(F.lit, parts)), name), F.lit("X"))
+
+
+def residue_spans(spec: Column, length: Column) -> Column:
+    """The parts of "1-22,114-117" as structs (part, lo, hi, ok); ok if 1 <= lo <= hi <= length."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+
+    def span(p: Column) -> Column:
+        lo, hi = F.split_part(p, F.lit("-"), F.lit(1)).try_cast("int"), F.element_at(F.split(p, "-", 2), -1).try_cast("int")
+        return F.struct(p.alias("part"), lo.alias("lo"), hi.alias("hi"), F.coalesce((lo >= 1) & (lo <= hi) & (hi <= length), F.lit(False)).alias("ok"))
+
+    return F.transform(parts, span)
+
+
+def residue_indices(sequence: Column, start: Column) -> Column:
+    """A counter at each place of an aligned row: -1 at a gap; lower-case letters only advance it."""
+    kinds = F.transform(F.filter(F.split(sequence, ""), lambda c: c != ""), lambda c: F.when(c == "-", 0).when(c.rlike(r"^\p{Ll}$"), 1).otherwise(2))
+    step = lambda s, k: F.struct((s["n"] + F.when(k > 0, 1).otherwise(0)).alias("n"), F.when(k == 1, s["at"]).otherwise(F.array_append(s["at"], F.when(k == 0, -1).otherwise(s["n"]))).alias("at"))
+    return F.aggregate(kinds, F.struct(start.cast("int").alias("n"), F.array().cast("array<int>").alias("at")), step, lambda s: s["at"])
+
+
+def first_difference(declared: Column, derived: Column) -> Column:
+    """Place, from 1, at which two sequences of equal length first differ; 0 if they don't, null if their lengths differ."""
+    return F.when(F.length(declared) == F.length(derived), F.array_position(F.zip_with(F.split(declared, ""), F.split(derived, ""), lambda a, b: a != b), F.lit(True)))
+
+
+def hit_verdict(after_cutoff: Column, aligned: Column, hit: Column, query: Column) -> Column:
+    """Why a hit is left out: too new, too little of the query aligned, a part of the query that covers
+    most of it, too short; ok otherwise. The first reason counts."""
+    bare = F.replace(hit, F.lit("-"), F.lit(""))
+    ratio = lambda n: n / F.length(query)
+    return F.when(after_cutoff, "date").when(ratio(aligned) <= 0.1, "align").when(F.contains(query, bare) & (ratio(F.length(bare)) > 0.95), "duplicate").when(F.length(bare) < 10, "length").otherwise("ok")

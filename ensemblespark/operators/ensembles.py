@@ -163,3 +163,222 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
     both = ranked(ranked(rows.select(x, y), x), y)
     return both.agg(F.when((F.stddev_pop(f"r_{x}") > 0) & (F.stddev_pop(f"r_{y}") > 0), F.corr(f"r_{x}", f"r_{y}")).alias("rho"))
+
+
+#: Frames of a block of distances.
+FRAMES = 256
+
+
+def flat(frames: DataFrame) -> DataFrame:
+    """(ensemble_id, frame_idx, v): a row per frame, its coordinates in order (3 * point + axis)."""
+    return packed(frames).select("ensemble_id", "frame_idx", F.flatten(F.transform("p", lambda r: F.array(r["x"], r["y"], r["z"]))).alias("v"))
+
+
+def superposed(rows: DataFrame, reference: list[float], fit: list[int] | None = None) -> DataFrame:
+    """(ensemble_id, frame_idx, v, rmsd, det) of rows (ensemble_id, frame_idx, v): each frame turned and moved
+    onto the reference by least squares over the points in `fit` (all by default), never mirrored; the
+    distance left over all points; the determinant of the rotation. Frames are independent of each other."""
+    target = np.asarray(reference, float).reshape(-1, 3)
+    use = np.arange(len(target)) if fit is None else np.asarray(fit)
+
+    def turned(batches):
+        for batch in batches:
+            v = batch.column("v")
+            x = v.flatten().to_numpy().reshape(len(v), -1, 3)
+            center, to = x[:, use].mean(1), target[use].mean(0)
+            u, _, vt = np.linalg.svd(np.einsum("fai,aj->fij", x[:, use] - center[:, None], target[use] - to))
+            flip = np.ones((len(x), 3))
+            flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+            turn = np.einsum("fji,fj,fkj->fik", vt, flip, u)
+            y = np.einsum("fij,faj->fai", turn, x - center[:, None]) + to
+            rmsd = np.sqrt(((y - target) ** 2).sum(2).mean(1))
+            cuts = pa.array(np.arange(0, y.size + 1, y.shape[1] * 3, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("ensemble_id"), batch.column("frame_idx"), pa.ListArray.from_arrays(cuts, pa.array(y.ravel())), pa.array(rmsd), pa.array(np.linalg.det(turn))], names=["ensemble_id", "frame_idx", "v", "rmsd", "det"])
+
+    kind = rows.schema
+    return rows.select("ensemble_id", "frame_idx", "v").mapInArrow(turned, f"ensemble_id {kind['ensemble_id'].dataType.simpleString()}, frame_idx {kind['frame_idx'].dataType.simpleString()}, v array<double>, rmsd double, det double")
+
+
+def frame_distances(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(ensemble_id, frame_idx, label, total, n): for each frame of left (ensemble_id, frame_idx, v, label) the
+    sum of its root-mean-square distances to the frames of each label in its ensemble in right (left
+    itself, if not given, its own distance of 0 included), and their number.
+
+    Frames are cut into blocks, a pair of blocks is one matrix product in a task, and only sums leave it."""
+    alone = right is None
+    right = left if alone else right
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("ensemble_id").agg(F.ceil(F.count("*") / FRAMES).cast("int").alias("of"))
+
+    def blocks(rows: DataFrame, side: int) -> DataFrame:
+        own, other = ("b1", "b2") if side == 0 else ("b2", "b1")
+        other_sizes = sized(right if side == 0 else left).withColumnRenamed("of", "_other")
+        placed = rows.join(sized(rows), "ensemble_id").join(other_sizes, "ensemble_id").withColumn(own, F.pmod(F.xxhash64("frame_idx"), F.col("of")).cast("int"))
+        return placed.select("ensemble_id", own, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias(other), F.lit(side).alias("side"), "frame_idx", F.col("label").cast("string").alias("label"), "v")
+
+    kind = left.schema
+    pairs = ["ensemble_id", "b1", "b2"]
+    dealt = blocks(left, 0).unionByName(blocks(right, 1)).repartition(*pairs).sortWithinPartitions(*pairs)
+
+    def summed(batches):
+        held = None
+
+        def settle(rows: pa.Table):
+            side = rows.column("side").to_numpy()
+            key = [rows.column(c).to_numpy(zero_copy_only=False) for c in pairs]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            v, frame, label = rows.column("v").combine_chunks(), rows.column("frame_idx").to_numpy(), np.array(rows.column("label").to_pylist(), object)
+            for i, j in zip([0, *cut], [*cut, len(rows)], strict=True):
+                a, b = i + np.flatnonzero(side[i:j] == 0), i + np.flatnonzero(side[i:j] == 1)
+                if not len(a) or not len(b):
+                    continue
+                x, y = (v.take(pa.array(k)).flatten().to_numpy().reshape(len(k), -1) for k in (a, b))
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0) / (x.shape[1] / 3))
+                if alone:
+                    d[frame[a][:, None] == frame[b][None, :]] = 0.0
+                names = sorted(set(label[b].tolist()), key=str)
+                of = np.array([names.index(n) for n in label[b]])
+                for k, name in enumerate(names):
+                    mine = of == k
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key[0][i])), pa.array(frame[a]), pa.array([name] * len(a), pa.string()), pa.array(d[:, mine].sum(1)), pa.array(np.full(len(a), mine.sum()))], names=["ensemble_id", "frame_idx", "label", "total", "n"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            key = [held.column(c).to_numpy(zero_copy_only=False) for c in pairs]
+            before = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
+            if len(before):
+                yield from settle(held.slice(0, before[-1] + 1))
+                held = held.slice(before[-1] + 1).combine_chunks()
+        if held is not None and len(held):
+            yield from settle(held)
+
+    e, f = (kind[c].dataType.simpleString() for c in ("ensemble_id", "frame_idx"))
+    return dealt.mapInArrow(summed, f"ensemble_id {e}, frame_idx {f}, label string, total double, n long").groupBy("ensemble_id", "frame_idx", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def gaussian_w2(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(ensemble_id, res_idx, translation, variance): distance of the Gaussians fitted to each point in two
+    ensembles, given their means and covariances (covariance()); b has one row per point. A squared
+    distance below 0 beyond rounding is null."""
+    names = ["mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
+    both = a.join(b.select("res_idx", *[F.col(n).alias(f"r_{n}") for n in names]), "res_idx")
+
+    def distances(batches):
+        for batch in batches:
+            get = lambda n: batch.column(n).to_numpy()
+            matrix = lambda p: np.stack([np.stack([get(p + n) for n in row], -1) for row in (("cxx", "cxy", "cxz"), ("cxy", "cyy", "cyz"), ("cxz", "cyz", "czz"))], -2)
+            s1, s2 = matrix("r_"), matrix("")
+            w, v = np.linalg.eigh(s1)
+            root = (v * np.sqrt(np.clip(w, 0, None))[:, None, :]) @ v.transpose(0, 2, 1)
+            inner = root @ s2 @ root
+            own = np.sqrt(np.clip(np.linalg.eigvalsh((inner + inner.transpose(0, 2, 1)) / 2), 0, None)).sum(1)
+            trace = np.trace(s1, axis1=1, axis2=2) + np.trace(s2, axis1=1, axis2=2)
+            left = trace - 2 * own
+            bad = left < -1e-8 * np.maximum(trace, 1.0)
+            moved = np.sqrt(sum((get("r_" + m) - get(m)) ** 2 for m in ("mx", "my", "mz")))
+            yield pa.RecordBatch.from_arrays([batch.column("ensemble_id"), batch.column("res_idx"), pa.array(moved), pa.array(np.sqrt(np.clip(left, 0, None)), mask=bad)], names=["ensemble_id", "res_idx", "translation", "variance"])
+
+    e, r = (both.schema[c].dataType.simpleString() for c in ("ensemble_id", "res_idx"))
+    return both.mapInArrow(distances, f"ensemble_id {e}, res_idx {r}, translation double, variance double")
+
+
+def principal_axes(frames: DataFrame, k: int = 3) -> DataFrame:
+    """(ensemble_id, axis, variance, direction): the first k principal axes of an ensemble's coordinates, from
+    the sums of moments(); a task gets one ensemble's matrix, whatever the number of its frames. The
+    largest entry of a direction is positive."""
+    m = moments(frames)
+
+    def axes(rows: pa.Table) -> pa.Table:
+        p, q, n = (rows.column(c).to_numpy() for c in ("p", "q", "n"))
+        c = np.zeros((p.max() + 1, p.max() + 1))
+        c[p, q] = rows.column("spq").to_numpy() / n - rows.column("sp").to_numpy() * rows.column("sq").to_numpy() / n**2
+        c = c + np.triu(c, 1).T
+        w, v = np.linalg.eigh(c)
+        w, v = w[::-1][:k], v[:, ::-1][:, :k]
+        v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+        return pa.table({"ensemble_id": pa.array([rows.column("ensemble_id")[0].as_py()] * len(w), rows.schema.field("ensemble_id").type), "axis": pa.array(np.arange(len(w)), pa.int32()), "variance": pa.array(np.clip(w, 0, None)), "direction": pa.array(v.T.tolist(), pa.list_(pa.float64()))})
+
+    return m.groupBy("ensemble_id").applyInArrow(axes, f"ensemble_id {m.schema['ensemble_id'].dataType.simpleString()}, axis int, variance double, direction array<double>")
+
+
+def apply_rigid(points: DataFrame, moves: DataFrame) -> DataFrame:
+    """Points (ensemble_id, frame_idx, res_idx, x, y, z) by their frame's rotation r (nine numbers by rows) and shift t."""
+    own = points.join(moves, ["ensemble_id", "frame_idx"])
+    at = lambda i: sum((F.get("r", F.lit(3 * i + k)) * F.col(c) for k, c in enumerate("xyz")), F.get("t", F.lit(i)))
+    return own.select("ensemble_id", "frame_idx", "res_idx", *[at(i).alias(c) for i, c in enumerate("xyz")])
+
+
+def exposure_jaccard(a: DataFrame, reference: DataFrame, structure: DataFrame, least: float = 0.1) -> DataFrame:
+    """(ensemble_id, jaccard) of tables (ensemble_id, frame_idx, res_idx, on): among points off in the structure,
+    those on in more than a share `least` of the frames; null if neither side has any."""
+    buried = structure.where("not on").select("res_idx")
+
+    def often(rows: DataFrame) -> DataFrame:
+        return rows.join(buried, "res_idx", "left_semi").groupBy("ensemble_id", "res_idx").agg((F.avg(F.col("on").cast("double")) > least).alias("open"))
+
+    both = often(a).join(often(reference).select("res_idx", F.col("open").alias("r")), "res_idx")
+    total = lambda c: F.sum(c.cast("long"))
+    return both.groupBy("ensemble_id").agg((total(F.col("open") & F.col("r")) / F.nullif(total(F.col("open") | F.col("r")), F.lit(0))).alias("jaccard"))
+
+
+def exposure_mi(rows: DataFrame) -> DataFrame:
+    """(ensemble_id, i, j, mi), i < j, of rows (ensemble_id, frame_idx, res_idx, on). Pairs are made within a
+    frame's own row."""
+    frames = rows.groupBy("ensemble_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("res_idx", F.col("on").cast("double").alias("v")))).alias("p"))
+    a = frames.select("ensemble_id", "p", F.explode("p").alias("a"))
+    b = a.select("ensemble_id", "a", F.explode(F.filter("p", lambda x: x["res_idx"] > F.col("a.res_idx"))).alias("b"))
+    m = b.groupBy("ensemble_id", F.col("a.res_idx").alias("i"), F.col("b.res_idx").alias("j")).agg(F.avg("a.v").alias("p"), F.avg("b.v").alias("q"), F.avg(F.col("a.v") * F.col("b.v")).alias("both"))
+    p, q, both = F.col("p"), F.col("q"), F.col("both")
+    term = lambda x, y, z: F.when(x > 1e-12, x * F.log(x / (y * z))).otherwise(0.0)
+    return m.select("ensemble_id", "i", "j", (term(both, p, q) + term(p - both, p, 1 - q) + term(q - both, 1 - p, q) + term(1 - p - q + both, 1 - p, 1 - q)).alias("mi"))
+
+
+def local_neighbours(frames: DataFrame, radius: float = 15.0, sep: int = 3) -> DataFrame:
+    """(ensemble_id, i, j), both ways: points at least `sep` apart along the chain whose median distance is within the radius."""
+    near = pair_distances(frames, sep).groupBy("ensemble_id", "i", "j").agg(F.median("d").alias("m")).where(F.col("m") <= radius)
+    return near.select("ensemble_id", F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p")).select("ensemble_id", "p.*")
+
+
+def gdt_drmsd(frames: DataFrame, structure: DataFrame) -> DataFrame:
+    """(ensemble_id, frame_idx, gdt_ts, gdt_ha, drmsd) against one structure, without superposing."""
+    ref = structure.select("res_idx", *[F.col(c).alias(f"r{c}") for c in "xyz"])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"r{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("rx")) ** 2))
+    share = lambda cutoffs: sum((F.avg((F.col("d") <= c).cast("double")) for c in cutoffs[1:]), F.avg((F.col("d") <= cutoffs[0]).cast("double"))) / len(cutoffs)
+    near = frames.join(ref, "res_idx").select("ensemble_id", "frame_idx", d.alias("d")).groupBy("ensemble_id", "frame_idx").agg(share([1.0, 2.0, 4.0, 8.0]).alias("gdt_ts"), share([0.5, 1.0, 2.0, 4.0]).alias("gdt_ha"))
+    own = pair_distances(structure, 1).select("i", "j", F.col("d").alias("d0"))
+    inner = pair_distances(frames, 1).join(own, ["i", "j"]).groupBy("ensemble_id", "frame_idx").agg(F.sqrt(F.avg((F.col("d") - F.col("d0")) ** 2)).alias("drmsd"))
+    return near.join(inner, ["ensemble_id", "frame_idx"])
+
+
+def diversity(ratio: Column) -> Column:
+    """Verdict on an ensemble's mean distance over the reference's: void outside [0.1, 5] or undefined, flagged outside [0.5, 2]."""
+    return F.when(ratio.isNull() | ~ratio.between(0.1, 5.0), "void").when(~ratio.between(0.5, 2.0), "flagged").otherwise("ok")
+
+
+def _draws(rows: DataFrame, draws: int) -> DataFrame:
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+
+
+def _hash(seed: int, *parts: str) -> Column:
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("long")
+
+
+def bootstrap(diffs: DataFrame, by: str, unit: str, value: str, draws: int, seed: int) -> DataFrame:
+    """(by, low, high, resamples): the middle 95 % of the means of resamples of a group's units, drawn by hash.
+    Draws are made from each unit's own row, so a group's draws are spread over tasks."""
+    from pyspark.sql import Window
+
+    own = diffs.select(by, unit, value, (F.row_number().over(Window.partitionBy(by).orderBy(unit)) - 1).alias("_i"), F.count("*").over(Window.partitionBy(by)).alias("_n"))  # a group's units, one per family
+    picks = _draws(own.select(by, "_n", F.col("_i").alias("_pos")), draws).withColumn("_i", _hash(seed, by, "_k", "_pos") % F.col("_n"))
+    means = picks.join(own.select(by, F.col("_i").cast("long").alias("_i"), value), [by, "_i"]).groupBy(by, "_k").agg(F.avg(value).alias("m"))
+    return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("resamples"))
+
+
+def sign_flips(diffs: DataFrame, by: str, unit: str, value: str, draws: int, seed: int) -> DataFrame:
+    """(by, p, floor, signs): how often random signs give a mean as far from 0 as the observed one."""
+    seen = diffs.groupBy(by).agg(F.abs(F.avg(value)).alias("_seen"), F.count("*").alias("_n"))
+    flipped = _draws(diffs.select(by, unit, value), draws).withColumn("_v", F.when(_hash(seed, by, "_k", unit) % 2 == 0, F.col(value)).otherwise(-F.col(value)))
+    means = flipped.groupBy(by, "_k").agg(F.abs(F.avg("_v")).alias("m")).join(seen, by)
+    return means.groupBy(by).agg(F.avg((F.col("m") >= F.col("_seen") - 1e-12).cast("double")).alias("p"), (2.0 / F.pow(F.lit(2.0), F.max("_n"))).alias("floor"), F.count("*").alias("signs"))

@@ -178,3 +178,9 @@ def nonoverlap_starts(n_frames: Column, step: Column, width: int, lo: Column, hi
 def emitted_starts(n_frames: Column, step: Column, width: int, lo: Column, hi: Column, stride: int) -> Column:
     """Starts in [lo, hi) that are multiples of `stride`; hi may be null."""
     return _grid(F.ceil(lo / float(stride)) * stride, _stop(n_frames, step, width, hi), F.lit(stride))
+
+
+def window_violations(frames: Column, source: Column, target: Column) -> Column:
+    """Faults of a window: a repeated frame, a last frame that isn't the target, a first one that isn't the source."""
+    checks = [(F.size(F.array_distinct(frames)) < F.size(frames), "repeat"), (F.element_at(frames, -1) != target, "target"), (F.element_at(frames, 1) != source, "source")]
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))

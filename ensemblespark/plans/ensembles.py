@@ -212,12 +212,12 @@ def floor_join(spark, d):
 
 
 @query("floor_spread", ["arms_v"], LONG + """, m as (select family, metric, avg(value) as m, stddev_samp(value) as sd from l where arm = 'R' group by family, metric),
-    f as (select metric, case when regexp_matches(metric, '(_r|_jaccard|_cosine|_hit_fraction)$') then case when abs(m) < 1 then sd / greatest(1e-12, 1 - m * m) end when m > 0 then sd / m end as s from m)
+    f as (select metric, case when ends_with(metric, '_r') then case when abs(m) < 1 then sd / greatest(1e-12, 1 - m * m) end when m > 0 then sd / m end as s from m)
     select metric, round(median(s), 6) as spread from f where s is not null group by metric""")
 def floor_spread(spark, d):
     """A metric's spread in the floor: the median over families of sd / mean, for correlations of sd / (1 - mean^2)."""
     f = _long(spark, d).where("arm = 'R'").groupBy("family", "metric").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
-    s = F.when(X.higher_is_better(F.col("metric")), F.when(F.abs("m") < 1, F.col("sd") / F.greatest(F.lit(1e-12), 1 - F.col("m") ** 2))).when(F.col("m") > 0, F.col("sd") / F.col("m"))
+    s = F.when(F.col("metric").endswith("_r"), F.when(F.abs("m") < 1, F.col("sd") / F.greatest(F.lit(1e-12), 1 - F.col("m") ** 2))).when(F.col("m") > 0, F.col("sd") / F.col("m"))
     return rounded(f.select("metric", s.alias("s")).where("s is not null").groupBy("metric").agg(F.median("s").alias("spread")), "spread")
 
 

@@ -59,3 +59,36 @@ def forget(*tables: DataFrame) -> None:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else as it is."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that a job writes; it goes when Spark ends."""
+    path = f"{shared_folder(spark)}/kept-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def write_lines(lines: DataFrame, column: str, path: str, order: list[str] | None = None) -> str:
+    """A column of text as the lines of text files; with order, lines in that order in files by ranges of it."""
+    own = lines.repartitionByRange(*order).sortWithinPartitions(*order) if order else lines
+    own.select(F.col(column).alias("value")).write.text(path)
+    return path
+
+
+def write_split(assignment: DataFrame, meta: dict, path: str) -> None:
+    """An assignment (family_id, split), in order of families, by split; and a row of what describes it."""
+    assignment.repartitionByRange("family_id").sortWithinPartitions("family_id").write.partitionBy("split").parquet(f"{path}/assignment")
+    spark = assignment.sparkSession
+    spark.createDataFrame([tuple(map(str, meta.values()))], ", ".join(f"{k} string" for k in meta)).write.json(f"{path}/meta")
+
+
+def write_selection(rows: DataFrame, columns: list[str], path: str) -> None:
+    """CSV with a header and the columns in a fixed order."""
+    rows.select(*columns).write.option("header", True).csv(path)
+
+
+def append_progress(records: DataFrame, path: str) -> None:
+    """One JSON line per finished unit, appended to those written before."""
+    records.write.mode("append").json(path)

@@ -10,9 +10,10 @@ MEMBER = T.StructType([T.StructField(n, t) for n, t in (("member_id", T.StringTy
 CATALOG = T.StructType([T.StructField("families", T.ArrayType(T.StructType([T.StructField("family_id", T.StringType()), T.StructField("seqres", T.StringType()), T.StructField("members", T.ArrayType(MEMBER))])))])
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(family_id, seqres, member fields): nested catalog JSON; relative paths are joined to the file's folder."""
-    raw = spark.read.schema(CATALOG).json(path, multiLine=True).select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("at"), F.explode("families").alias("f"))
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(family_id, seqres, member fields): nested catalog JSON, one document a file, or with lines=True one a
+    line; relative paths are joined to the file's folder."""
+    raw = spark.read.schema(CATALOG).json(path, multiLine=not lines).select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("at"), F.explode("families").alias("f"))
     m = raw.select("at", "f.family_id", "f.seqres", F.explode_outer("f.members").alias("m"))
     whole = lambda c: F.when(F.col(f"m.{c}").startswith("/"), F.col(f"m.{c}")).when(F.col(f"m.{c}").isNotNull(), F.concat_ws("/", "at", f"m.{c}")).alias(c)
     return m.select("family_id", "seqres", "m.member_id", whole("pdb_path"), whole("xtc_path"), whole("xtc_top_pdb"), "m.frame_idx", "m.n_frames")
@@ -106,3 +107,68 @@ def checkpoint_name(name: Column) -> list[Column]:
     es, ee, bf = r"^(.*)_epoch(\d+)_step(\d+)\.pt$", r"^(.*)_epoch(\d+)_end\.pt$", r"^(.*)_bestfwd_step(\d+)\.pt$"
     kind = F.when(name.rlike(es), "epoch_step").when(name.rlike(ee), "epoch_end").when(name.rlike(bf), "bestfwd")
     return [F.coalesce(part(es, 1), part(ee, 1), part(bf, 1)).alias("prefix"), kind.alias("kind"), F.coalesce(part(es, 2), part(ee, 2)).try_cast("int").alias("epoch"), F.coalesce(part(es, 3), part(bf, 2)).try_cast("long").alias("step")]
+
+
+def write_catalog(rows: DataFrame, path: str) -> None:
+    """Member rows as catalog JSON, a family a line; paths are expected to be absolute."""
+    nest_catalog(rows).select(F.array(F.struct("family_id", "seqres", "members")).alias("families")).write.json(path)
+
+
+def jsonl_latest(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """Records of JSON lines, the last of each key; lines that aren't JSON, or have no key, are left out."""
+    own = spark.read.schema(schema).json(path).where(F.col(key).isNotNull())
+    return own.groupBy(key).agg(F.max(F.struct(order, *[c for c in own.columns if c not in (key, order)])).alias("r")).select(key, "r.*")
+
+
+def artifact_meta(lines: DataFrame) -> DataFrame:
+    """(seqres, index) of lines of artifact metadata; what is no JSON, or lacks one of the two, is dropped."""
+    own = lines.select(F.from_json("value", "seqres string, index string", {"mode": "PERMISSIVE"}).alias("m"))
+    return own.select("m.seqres", "m.index").where("seqres <> '' and index <> ''")
+
+
+def generation_cases(lines: DataFrame) -> DataFrame:
+    """(dataset, case_id, rep, fields): cases of generation manifests, a dataset a line; what a case lacks it
+    takes from its dataset; each is made n_replicates times, from 0."""
+    case = "case_id: string, task: string, n_frames: int, stride: int, n_replicates: int"
+    own = lines.select(F.from_json("value", f"dataset string, task string, n_frames int, stride int, n_replicates int, cases array<struct<{case}>>").alias("m"))
+    c = own.select("m.*", F.explode("m.cases").alias("c"))
+    pick = lambda k: F.coalesce(f"c.{k}", k)
+    merged = c.select("dataset", "c.case_id", *[pick(k).alias(k) for k in ("task", "n_frames", "stride")], F.coalesce(pick("n_replicates"), F.lit(1)).alias("_n"))
+    return merged.where("_n > 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+
+
+def declared_sequences(texts: DataFrame, name: str, text: str) -> DataFrame:
+    """(name, seqres, problem) of declared sequence files, several a family: one record each, letters of the
+    alphabet only, all of a family's files alike. seqres is null where there is a problem."""
+    bare = F.upper(F.regexp_replace(F.regexp_replace(F.col(text), "(?m)^>.*$", ""), r"\s", ""))
+    records = F.size(F.split(F.concat(F.lit("\n"), F.col(text)), "\n>")) - 1
+    own = texts.select(name, bare.alias("s"), records.alias("n"))
+    g = own.groupBy(name).agg(F.max("n").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.bool_and(F.col("s").rlike("^[ACDEFGHIKLMNPQRSTVWYX]+$")).alias("ok"))
+    problem = F.when(F.col("n") > 1, "records").when(F.col("a") != F.col("b"), "disagree").when(~F.col("ok"), "alphabet")
+    return g.select(name, F.when(problem.isNull(), F.col("a")).alias("seqres"), problem.alias("problem"))
+
+
+def obsolete_ids(lines: DataFrame) -> DataFrame:
+    """(old, new) of fixed-width lines of replaced ids; lines without a replacement are skipped."""
+    own = lines.select(F.trim("value").alias("v")).where(F.col("v").startswith("OBSLTE") & (F.length("v") > 30))
+    return own.select(F.lower(F.substring("v", 21, 4)).alias("old"), F.lower(F.substring("v", 30, 4)).alias("new"))
+
+
+def hit_table(lines: DataFrame) -> DataFrame:
+    """(target, e_value) of a search's table: its first and fifth fields; comments are skipped, the last of a target counts
+    by its place."""
+    f = F.split(F.trim("value"), r"\s+")
+    return lines.where("value <> '' and not startswith(value, '#')").select(F.element_at(f, 1).alias("target"), F.element_at(f, 5).try_cast("double").alias("e_value"))
+
+
+def line_lengths(lines: DataFrame, group: str, kind: str, preferred: list[str]) -> DataFrame:
+    """(group, n): lines with something in them, less the header, of the first of a group's preferred files that is there."""
+    n = lines.groupBy(group, kind).agg((F.count(F.when(F.trim("value") != "", 1)) - 1).alias("n"))
+    rank = F.array_position(F.array(*map(F.lit, preferred)), F.col(kind))
+    return n.where(rank > 0).groupBy(group).agg(F.min(F.struct(rank.alias("r"), "n")).alias("b")).select(group, "b.n")
+
+
+def with_scores(lines: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (keys, line) with the score of their key in columns 61 to 66; lines without a score stay as they are."""
+    number = F.lpad(F.format_string("%.2f", "score"), 6, " ")
+    return lines.join(scores, keys, "left").select(*keys, F.when(F.col("score").isNotNull(), F.overlay("line", number, 61, 6)).otherwise(F.col("line")).alias("line"))

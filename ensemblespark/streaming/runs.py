@@ -5,13 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import superseded
 from ..sources.text import run_log
 
 
-def log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed rows of run logs as files appear in a folder; the run is the file's name."""
-    lines = spark.readStream.text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("run"), F.lit(0).alias("line_no"), F.col("value").alias("line"))
-    return run_log(lines, "run", "line_no", "line").drop("line_no", "part")
+def log_stream(spark: SparkSession, folder: str, name: str = r"([^/]+)$") -> DataFrame:
+    """Typed rows of run logs as files appear in a folder, with their line's number in the file from 0; the run
+    is what `name` finds in the file's path, the file's own name by default."""
+    files = spark.readStream.text(folder, wholetext=True)
+    lines = files.select(F.regexp_extract(F.input_file_name(), name, 1).alias("run"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return run_log(lines, "run", "line_no", "line").drop("part")
+
+
+def new_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, size) of files as they appear in a folder or below it; their content isn't read."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.col("length").alias("size"))
+
+
+def replay(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    """All that a stream has now, run to its end: the rows appended, or in complete mode the last result.
+    Results and checkpoints lie under path, in a folder that all executors share."""
+    def save(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={i if mode == 'append' else 0}")
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out/none")  # for a stream without data
+    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(save).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
+
+
+def resumed(stream: DataFrame, path: str) -> DataFrame:
+    """A stream of log rows (run, line_no, step, ...) without those that a later line of their run replaces.
+    Each batch is merged with the rows kept so far, and the merged table takes their place."""
+    spark, state = stream.sparkSession, {}
+
+    def merge(batch: DataFrame, i: int) -> None:
+        rows = batch if not state else batch.unionByName(spark.read.schema(stream.schema).parquet(state["at"]))
+        at = f"{path}/kept-{i}"
+        superseded(rows, "run", "line_no", "step").write.mode("overwrite").parquet(at)
+        state["at"] = at
+
+    q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(merge).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(state["at"]) if state else spark.createDataFrame([], stream.schema)
+
+
+def last_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last place of each key so far (for update or complete mode)."""
+    return rows.groupBy(key).agg(F.max(order).alias("last"))
+
+
+def stalled(seen: DataFrame, key: str, patience: int) -> DataFrame:
+    """Keys whose last place is more than `patience` behind the farthest of all."""
+    top = seen.agg(F.max("last").alias("top"))
+    return seen.crossJoin(F.broadcast(top)).where(F.col("top") - F.col("last") > patience).select(key, "last")  # one row
+
+
+def failing(failures: DataFrame) -> DataFrame:
+    """Number of distinct failing (family_id, member_id) pairs so far (for complete mode)."""
+    return failures.select("family_id", "member_id").dropDuplicates().groupBy().agg(F.count("*").alias("n"))
 
 
 def heartbeat(rows: DataFrame, steps: int) -> DataFrame:
