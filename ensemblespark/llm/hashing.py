@@ -154,7 +154,7 @@ class Table:
 
 
 #: Bytes of text worked on at a time; bounds a task's temporary arrays (a longer text is taken alone).
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def slices(batches, column: str = "text"):

@@ -55,7 +55,7 @@ DENSE = 48
 _ID_BITS = np.uint64((1 << 22) - 1)
 _NEVER = np.uint64((1 << 64) - 1)
 #: Words signed at a time; bounds the temporary arrays (a longer text is signed alone).
-CHUNK = 400_000
+CHUNK = 200_000
 
 
 def shingles(words: H.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
