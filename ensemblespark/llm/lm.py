@@ -1,36 +1,49 @@
-"""Language-model scoring by trigram backoff.
-
-N-grams up to three tokens are counted over all training documents, whatever their count or
-the corpus' size. The counts stay in tables dealt out by n-gram. A token's log-probability
-depends on its n-gram alone, so every distinct n-gram of the texts is scored once, by joins
-with its shorter parts and with sums over its context, and the texts' n-grams are joined to
-these scores. Nothing that grows with the corpus is broadcast or held in one task.
-
-Smoothing: absolute discounting on every order; what a context's arcs leave goes to the
-next shorter context, and what all words leave goes to words never seen.
+"""Language-model scoring by a weighted backoff automaton over trigrams.
+
+States are the last two tokens, the last one and the root. A state's arcs carry the smoothed
+log-probabilities of the words seen after it, its failure arc what it leaves to the next
+shorter state: with c counts of an n-gram in n occurrences of its context, an arc weighs
+(c + mu * p) / (n + mu), where p is the next shorter state's probability, and the failure arc
+mu / (n + mu) (Dirichlet smoothing, order by order). The root has discounted single words, and
+what they leave goes to words never seen. A text is walked from left to right; its score is
+the sum of the arcs' weights.
+
+A token's arc follows from the counts of five n-grams: the trigram, its two pairs, the last
+and the middle word. The automaton of the whole corpus is never in one place. Texts are
+worked on in slices of a bounded size. Each slice asks for the counts of its own distinct
+n-grams; the questions, which hold the slice's own training counts, are dealt out by hash of
+the n-gram, summed there, and answered; with the answers a slice has the part of the automaton
+that its texts walk through. Every n-gram counts, whatever its count or the corpus' size. All
+n-grams are spread by hash, and a slice asks once for each, so no frequent word or pair
+gathers its occurrences in one task. The work is done in PHASES by the middle word, which
+divides what lies on disk at a time.
 
 Defined cases: a null text counts as empty; an empty text is one end token; ids may be null
 (training rows then) or repeated (each row is scored); without training rows every token is
-unseen with probability 1; columns besides doc_id and text are ignored.
+unseen with probability 1; columns besides doc_id and text are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .near_dedup import text_key
 from .store import id_fold, keep, table
 
-SHARE = 1e-6
-DISCOUNT = 0.7
-WIDTH = 21  # bits of a word's number; 1 / share must fit
+#: Weight of the next shorter state: after one word, and after two.
+MU = (20.0, 3.0)
+PHASES = 4
+#: N-grams that a task counts at a time, about.
+BUCKET = 1_500_000
 
 
 def _ends(words: H.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -43,301 +56,254 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _ends(H.words_of(H.texts_of(column), H.WHITE, H.LOWER_CODES))
 
 
-def _counted(key: np.ndarray) -> pa.RecordBatch:
-    key, n = np.unique(key, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): the count of every word and of the end token, by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
-            yield _counted(_tokens(batch.column("text"))[0])
+            key, n = np.unique(_tokens(batch.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
 
     return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 @dataclass
-class Words:
-    """Words that reach the share: number -> hash and count."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-
-    def __post_init__(self):
-        self.table = H.Table(self.hashes)
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        return self.table.find(hashes)
-
-
-def _previous(numbers: np.ndarray, offsets: np.ndarray, end: int, k: int) -> np.ndarray:
-    """The token k places before, the end token standing for what precedes a text; -1 before that."""
-    out = np.full(len(numbers), -1, np.int64)
-    out[k:] = numbers[:-k]
-    for j in range(k):
-        at = offsets[:-1] + j
-        at = at[at < offsets[1:]]
-        out[at] = end if j == k - 1 else -1
-    return out
-
-
-def _pairs(numbers: np.ndarray, offsets: np.ndarray, end: int) -> np.ndarray:
-    """The packed pair that ends at each token, -1 if one of the two isn't numbered."""
-    prev = _previous(numbers, offsets, end, 1)
-    return np.where((prev >= 0) & (numbers >= 0), prev << WIDTH | numbers, -1)
-
-
-def _kept_pairs(docs: DataFrame, words, end: int, least: float) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in H.slices(batches):
-            hashes, offsets = _tokens(batch.column("text"))
-            pair = _pairs(words.value.number(hashes), offsets, end)
-            yield _counted(pair[pair >= 0])
-
-    return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-
-
-def _kept_triples(docs: DataFrame, words, pairs, end: int, least: float) -> DataFrame:
-    """h: number of the first pair << WIDTH | number of the third token."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in H.slices(batches):
-            hashes, offsets = _tokens(batch.column("text"))
-            numbers = words.value.number(hashes)
-            pair = pairs.value.find(_pairs(numbers, offsets, end).view(np.uint64))
-            before = np.full(len(pair), -1, np.int64)
-            before[1:] = pair[:-1]
-            before[offsets[:-1]] = -1
-            triple = np.where((before >= 0) & (pair >= 0), before << WIDTH | numbers, -1)
-            yield _counted(triple[triple >= 0])
+class Root:
+    """Training tokens, distinct ones, and the discount of single words."""
 
-    return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    total: float
+    kinds: float
+    discount: float
 
+    @classmethod
+    def of(cls, counts: DataFrame) -> Root:
+        all_ = counts.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+        total, kinds, ones, twos = (float(x or 0) for x in all_)
+        return cls(total, kinds, min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5)
 
-def _fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.orderBy("h").toArrow()
-    return got.column("h").to_numpy().astype(np.int64), got.column("c").to_numpy().astype(np.float64)
+    def probability(self, c: np.ndarray) -> np.ndarray:
+        if not self.total:
+            return np.ones(len(c))
+        return np.where(c > 0, c - self.discount, self.discount * self.kinds) / self.total
 
 
 @dataclass
-class Automaton:
-    """State 0 is the root, 1 + w the context w, then one per kept pair that has arcs.
-
-    arcs: (state << WIDTH | word) -> arc. All probabilities are log10.
-    """
-
-    words: Words
-    end: int
-    total: float  # training tokens
-    kinds: float  # distinct training tokens
-    discount: float  # of single words
-    arcs: dict[int, int]
-    weight: list[float]
-    target: list[int]
-    root_weight: list[float]
-    root_target: list[int]
-    back: list[float]
-    fail: list[int]
-    to_root: list[float]
-
-    def walk(self, numbers: list[int]) -> float:
-        """Log-probability of one text's tokens, without that of unnumbered words themselves."""
-        arcs, weight, target, back, fail = self.arcs.get, self.weight, self.target, self.back, self.fail
-        root_weight, root_target, to_root = self.root_weight, self.root_target, self.to_root
-        state, sum_ = 1 + self.end, 0.0
-        for w in numbers:
-            if w < 0:
-                sum_ += to_root[state]
-                state = 0
-                continue
-            while state:
-                arc = arcs(state << WIDTH | w)
-                if arc is not None:
-                    sum_ += weight[arc]
-                    state = target[arc]
-                    break
-                sum_ += back[state]
-                state = fail[state]
-            else:
-                sum_ += root_weight[w]
-                state = root_target[w]
-        return sum_
-
-
-def _log10(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300))
-
-
-def build(words: Words, end: int, total: float, kinds: float, discount: float, starts: float, pairs: tuple, triples: tuple) -> Automaton:
-    """Turn kept counts into states, arcs and failure arcs (numpy, over at most 1 / share entries each)."""
-    m = len(words.hashes)
-    single = np.maximum(words.counts - discount, 1e-12) / max(total, 1.0)
-    context = words.counts.copy()
-    context[end] = starts  # as a context, the end token stands before a text
-    v, w = pairs[0] >> WIDTH, pairs[0] & ((1 << WIDTH) - 1)
-    p2 = np.maximum(pairs[1] - DISCOUNT, 0.0) / np.maximum(context[v], 1.0)
-    used = np.bincount(v, weights=p2, minlength=m)
-    lower = np.bincount(v, weights=single[w], minlength=m)
-    back1 = np.maximum(1 - used, 1e-12) / np.maximum(1 - lower, 1e-12)
-    first, x = triples[0] >> WIDTH, triples[0] & ((1 << WIDTH) - 1)
-    p3 = np.maximum(triples[1] - DISCOUNT, 0.0) / np.maximum(pairs[1][first], 1.0)
-    middle = w[first]
-    row = np.searchsorted(pairs[0], middle << WIDTH | x)  # the pair (second, third) was kept, as the triple was
-    used3 = np.bincount(first, weights=p3, minlength=len(v))
-    lower3 = np.bincount(first, weights=p2[row], minlength=len(v))
-    back2 = np.maximum(1 - used3, 1e-12) / np.maximum(1 - lower3, 1e-12)
-    has2, has3 = np.bincount(v, minlength=m) > 0, np.bincount(first, minlength=len(v)) > 0
-    own = np.full(len(v), 0, np.int64)
-    own[has3] = 1 + m + np.arange(has3.sum())
-    word_state = np.where(has2, 1 + np.arange(m), 0)
-    pair_state = np.where(own > 0, own, word_state[w])
-    keys = np.concatenate([(1 + v) << WIDTH | w, own[first] << WIDTH | x])
-    weight = np.concatenate([_log10(p2), _log10(p3)])
-    target = np.concatenate([pair_state, pair_state[row]]) if len(keys) else np.zeros(0, np.int64)
-    back = np.concatenate([[0.0], _log10(back1), _log10(back2[has3])])
-    fail = np.concatenate([[0], np.zeros(m, np.int64), word_state[w[has3]]]).astype(np.int64)
-    to_root = back.copy()
-    to_root[1 + m :] += back[fail[1 + m :]]
-    return Automaton(words, end, total, kinds, discount, dict(zip(keys.tolist(), range(len(keys)), strict=True)), weight.tolist(), target.tolist(), _log10(single).tolist(), word_state.tolist(), back.tolist(), fail.tolist(), to_root.tolist())
-
-
-def totals(counts: DataFrame) -> tuple[float, float, float]:
-    """Training tokens, distinct ones, and the discount of single words."""
-    all_ = counts.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    total, kinds, ones, twos = (float(x or 0) for x in all_)
-    return total, kinds, min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-
-
-def train(docs: DataFrame, counts: DataFrame, share: float = SHARE) -> Automaton:
-    """The automaton of the training documents, whose word counts are given. It is built on the
-    driver and drops n-grams below the share: a check of small corpora, not what op5 scores with."""
-    sc = docs.sparkSession.sparkContext
-    total, kinds, discount = totals(counts)
-    starts = float(counts.where(F.col("h") == int(H.END.view(np.int64))).agg(F.sum("c")).first()[0] or 0)
-    least = share * total
-    h, c = _fetched(counts.where((F.col("c") >= least) | (F.col("h") == int(H.END.view(np.int64)))))
-    if not len(h):
-        h, c = np.array([H.END]).view(np.int64), np.zeros(1)
-    words = Words(h.view(np.uint64), c)
-    end = int(words.number(np.array([H.END]))[0])
-    shipped = sc.broadcast(words)
-    pairs = _fetched(_kept_pairs(docs, shipped, end, least))
-    known = sc.broadcast(H.Table(pairs[0].view(np.uint64)))
-    triples = _fetched(_kept_triples(docs, shipped, known, end, least))
-    for b in (shipped, known):
-        b.destroy()
-    return build(words, end, total, kinds, discount, starts, pairs, triples)
-
-
-def _occurring(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token its n-gram, the pair before it (its context) and the pair it ends, by hash, the
-    two words of the latter, and the texts' offsets. A text's first token has no pair before it: its
-    context is 0 and its n-gram the pair of the text's start and itself."""
-    words, offsets = _tokens(column)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    first = offsets[:-1]  # no text is without its end token
-    before[first] = H.END
-    pair = H.chain(before, words)
-    context = np.zeros_like(pair)
-    context[1:] = pair[:-1]
-    context[first] = 0
-    gram = H.chain(context, words)
-    gram[first] = pair[first]
-    return gram, context, pair, before, words, offsets
-
-
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each distinct key, and the sums of n."""
-    order = np.argsort(keys, kind="stable")
-    at = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
-    return order[at], np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
-
-
-def _grams(docs: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
-    """(key, *names, c): all n-grams (key "t") or pairs (key "q") of all texts, c counting those in
-    training texts only (0: in none)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in H.slices(batches):
-            gram, context, pair, before, words, offsets = _occurring(batch.column("text"))
-            keys, *other = (gram, context, pair) if key == "t" else (pair, before, words)
-            seen = ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
-            at, c = _summed(keys, np.repeat(seen, np.diff(offsets)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (keys, *other)), pa.array(c)], names=[key, *names, "c"])
-
-    own = docs.select("held_out", "text").mapInArrow(count, f"{key} long, {names[0]} long, {names[1]} long, c long")
-    return own.groupBy(key).agg(*(F.max(x).alias(x) for x in names), F.sum("c").alias("c"))
-
-
-def _backoffs(counted: DataFrame, context: str, lower: str) -> DataFrame:
-    """(context, n, back): the context's training tokens, and the log of what its successors leave
-    over what they have in the next shorter context."""
-    left = F.greatest(DISCOUNT * F.col("kinds") / F.col("n"), F.lit(1e-12))
-    of = F.greatest(1 - F.col("lower"), F.lit(1e-12))
-    stats = counted.where("c > 0").groupBy(context).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.sum(lower).alias("lower"))
-    return stats.select(context, "n", F.log10(left / of).alias("back"))
-
-
-def _longest(c: str, n: str, back: str, shorter: str) -> Column:
-    """Log-probability: of the n-gram itself if it was counted, else backed off."""
-    return F.when(F.col(c) > 0, F.log10((F.col(c) - DISCOUNT) / F.col(n))).otherwise(F.coalesce(F.col(back), F.lit(0.0)) + F.col(shorter))
-
-
-def gram_scores(docs: DataFrame, counts: DataFrame, total: float, kinds: float, discount: float) -> DataFrame:
-    """(t, c1, p): for every n-gram of the texts the training count of its last word and its
-    log-probability, whatever the count of either. Only joins and groupings: every table is dealt
-    out by its key, and a context with many successors is split as a skewed join."""
-    unseen = math.log10(discount * kinds / total) if total else 0.0
-    single = F.greatest(F.col("c1") - discount, F.lit(1e-12)) / max(total, 1.0)
-    pairs = (
-        _grams(docs, "q", ("v", "w")).join(counts.select(F.col("h").alias("w"), F.col("c").alias("c1")), "w", "left")
-        .select("q", "v", "c", F.coalesce("c1", F.lit(0)).alias("c1"), F.coalesce(single, F.lit(0.0)).alias("single"))
-    )
-    pairs = keep(pairs)
-    own = F.when(F.col("c1") > 0, F.log10("single")).otherwise(unseen)
-    pairs = keep(pairs.withColumn("own", own).join(_backoffs(pairs, "v", "single"), "v", "left").select("q", "c1", _longest("c", "n", "back", "own").alias("p2"), F.when(F.col("c") > 0, (F.col("c") - DISCOUNT) / F.col("n")).otherwise(0.0).alias("share")))
-    grams = keep(_grams(docs, "t", ("p", "q")).join(pairs, "q").select("t", "p", "c", "c1", "p2", "share"))
-    longer = grams.where("p <> 0")
-    return longer.join(_backoffs(longer, "p", "share"), "p", "left").select("t", "c1", _longest("c", "n", "back", "p2").alias("p")).unionAll(grams.where("p = 0").select("t", "c1", F.col("p2").alias("p")))
+class Slice:
+    """Texts as codes of distinct words; codes[at[i]:at[i + 1]] are the tokens of text i."""
 
+    words: np.ndarray
+    codes: np.ndarray
+    at: np.ndarray
 
-def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text) scored; see the module's description."""
-    total, kinds, discount = totals(counts)
-    floor = total + kinds + 1
-    scores = gram_scores(docs, counts, total, kinds, discount)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __post_init__(self):
+        first = self.at[:-1]  # no text is without its end token
+        self.middle = np.empty_like(self.codes)  # the token before; before a text stands the end token
+        self.middle[1:] = self.codes[:-1]
+        self.middle[first] = np.searchsorted(self.words, H.END)
+        self.starts = np.zeros(len(self.codes), bool)
+        self.starts[first] = True
+
+    def ngrams(self, phase: int, phases: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of a phase (that have a middle word of it), the places that end a pair asked for,
+        and for all places the pair's hash, the trigram's, and whether there is a trigram."""
+        mine = (self.words >> np.uint64(9)) % np.uint64(phases) == phase
+        here = mine[self.middle]
+        # A pair is asked for if its first word is the middle of its last token, or its last word that of the next.
+        mine[np.searchsorted(self.words, H.END)] = False
+        pair = H.chain(self.words[self.middle], self.words[self.codes])
+        before = np.zeros_like(pair)
+        before[1:] = pair[:-1]
+        return np.flatnonzero(here), np.flatnonzero(here | mine[self.codes]), pair, H.chain(before, self.words[self.codes]), ~self.starts
+
+    def asked(self, phase: int, phases: int):
+        """(words and n-grams asked for, pairs' index at each place, tokens, those with a trigram, its index)."""
+        tokens, ends, pair, triple, whole = self.ngrams(phase, phases)
+        pairs, of_pair = np.unique(pair[ends], return_inverse=True)
+        index = np.full(len(pair), -1, np.int64)
+        index[ends] = of_pair
+        whole = whole[tokens]
+        triples, of_triple = np.unique(triple[tokens[whole]], return_inverse=True)
+        return np.concatenate([self.words, pairs, triples]), index, tokens, whole, of_triple, (len(self.words), len(pairs)), ends
+
+    def questions(self, phase: int, phases: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams and how often they occur in the slice's training texts (seen: by place). Words have a
+        count of 0: theirs come from the table of word counts."""
+        keys, index, tokens, whole, of_triple, (n1, n2), ends = self.asked(phase, phases)
+        c2 = np.bincount(index[ends], weights=seen[ends], minlength=n2)
+        c3 = np.bincount(of_triple, weights=seen[tokens[whole]], minlength=len(keys) - n1 - n2)
+        return keys, np.concatenate([np.zeros(n1), c2, c3]).astype(np.int64)
+
+    def walk(self, phase: int, phases: int, counts: np.ndarray, root: Root) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's log10 arc weight in this phase (0 in others), given the counts of all n-grams asked
+        for; and the words' counts."""
+        _, index, tokens, whole, of_triple, (n1, n2), _ = self.asked(phase, phases)
+        single, double, triple = counts[:n1], counts[n1 : n1 + n2], counts[n1 + n2 :]
+        p = root.probability(single[self.codes[tokens]])
+        p = (double[index[tokens]] + MU[0] * p) / (single[self.middle[tokens]] + MU[0])
+        last = tokens[whole]
+        p[whole] = (triple[of_triple] + MU[1] * p[whole]) / (double[index[last - 1]] + MU[1])
+        out = np.zeros(len(self.codes))
+        out[tokens] = np.log10(p)
+        return out, single
+
+
+ROSTER = "h array<long>, x array<int>, at array<int>, ids array<long>, t1 array<long>, t2 array<long>, held array<boolean>"
+ASKED = f"g long, slice long, c array<long>, {ROSTER}"
+ANSWERED = f"slice long, g long, c array<long>, {ROSTER}"
+
+
+def _list(values, kind: pa.DataType, n: int = 1) -> pa.Array:
+    """n equal lists, or a null one for no values."""
+    if values is None:
+        return pa.nulls(n, pa.list_(kind))
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+
+
+def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys by bucket, and the buckets' bounds in it."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _row(names: list[str], **columns) -> pa.RecordBatch:
+    kinds = {"c": pa.int64(), "h": pa.int64(), "x": pa.int32(), "at": pa.int32(), "ids": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "held": pa.bool_()}
+    return pa.RecordBatch.from_arrays([_list(columns.get(k), kinds[k]) if k in kinds else pa.array([columns[k]], pa.int64()) for k in names], names=names)
+
+
+def _asking(phase: int, phases: int, buckets: int):
+    names = [x.split()[0] for x in ASKED.split(", ")]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in H.slices(batches):
-            gram, *_, offsets = _occurring(batch.column("text"))
-            uid = batch.column("uid").to_numpy()
-            main = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets))], names=["doc_id", "held_out", "n_tokens"])
-            # A row of its own for each text; its join key only spreads the rows.
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(H.mix(uid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(uid), np.int32)), main], names=["uid", "t", "n", "main"])
-            owner = np.repeat(np.arange(len(uid)), np.diff(offsets))
-            order = np.lexsort((gram, owner))
-            owner, gram = owner[order], gram[order]
-            at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
-            times = np.diff(np.append(at, len(gram)))
-            yield pa.RecordBatch.from_arrays([pa.array(uid[owner[at]]), pa.array(gram[at].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(at), main.type)], names=["uid", "t", "n", "main"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(
-        read, "uid long, t long, n int, main struct<doc_id: long, held_out: boolean, n_tokens: long>"
-    )
-    return (
-        rows.join(scores, "t", "left")
-        .groupBy("uid")
-        .agg(
-            F.max("main.doc_id").alias("doc_id"), F.max("main.held_out").alias("held_out"), F.sum("main.n_tokens").alias("n_tokens"),
-            F.sum(F.when((F.col("n") > 0) & (F.col("c1") > 0), F.col("n")).otherwise(0)).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-            F.sum(F.when(F.col("n") > 0, F.col("n") * F.log10((F.col("c1") + 1) / F.lit(floor))).otherwise(0.0)).alias("base_score"),
-            F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("p")).otherwise(0.0)).alias("score"),
-        )
-        .drop("uid")
+            if not len(batch):
+                continue
+            tokens, at = _tokens(batch.column("text"))
+            words, codes = np.unique(tokens, return_inverse=True)
+            own, me = Slice(words, codes.astype(np.int32), at), next(number)
+            held = batch.column("held_out")
+            seen = np.repeat(~np.asarray(held.to_numpy(zero_copy_only=False), bool), np.diff(at))
+            keys, c = own.questions(phase, phases, seen)
+            order, cut = _split(keys, buckets)
+            keys, c = keys[order].view(np.int64), c[order]
+            for g in np.flatnonzero(np.diff(cut)):
+                yield _row(names, g=g, slice=me, h=keys[cut[g] : cut[g + 1]], c=c[cut[g] : cut[g + 1]])
+            yield _row(names, g=me % buckets, slice=me, h=words.view(np.int64), x=own.codes, at=at.astype(np.int32), ids=batch.column("doc_id"), t1=batch.column("t1"), t2=batch.column("t2"), held=held)
+
+    return ask
+
+
+def _known(buckets: int):
+    """The table of word counts as rows of its own, which no slice asked."""
+    names = [x.split()[0] for x in ASKED.split(", ")]
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, c = batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+            order, cut = _split(keys, buckets)
+            for g in np.flatnonzero(np.diff(cut)):
+                part = order[cut[g] : cut[g + 1]]
+                yield _row(names, g=g, slice=-1, h=keys[part].view(np.int64), c=c[part])
+
+    return tell
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket: every n-gram's count over all slices, to each slice that asked; texts pass through."""
+    names = [x.split()[0] for x in ANSWERED.split(", ")]
+    roster = [x.split()[0] for x in ROSTER.split(", ")]
+    held: list[tuple] = []
+    at = None
+
+    def settle():
+        if held:
+            keys, back = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([c for _, _, c in held]), minlength=len(keys))[back].astype(np.int64)
+            i = 0
+            for me, h, _ in held:
+                if me >= 0:
+                    yield _row(names, slice=me, g=at, c=total[i : i + len(h)])
+                i += len(h)
+        held.clear()
+
+    for batch in batches:
+        texts = batch.column("x").is_valid().to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(texts):
+            own = batch.slice(int(i), 1)
+            yield pa.RecordBatch.from_arrays([own.column("slice"), pa.array([-1], pa.int64()), own.column("c"), *(own.column(c) for c in roster)], names=names)
+        some = batch.take(pa.array(np.flatnonzero(~texts)))
+        for g, me, h, c in zip(some.column("g").to_pylist(), some.column("slice").to_pylist(), _arrays(some.column("h")), _arrays(some.column("c")), strict=True):
+            if g != at:
+                yield from settle()
+                at = g
+            held.append((me, h.copy(), c.copy()))
+    yield from settle()
+
+
+SCORES = "doc_id long, t1 long, t2 long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _walking(phase: int, phases: int, buckets: int, root: Root):
+    names = [x.split()[0] for x in SCORES.split(", ")]
+
+    def settle(row: pa.RecordBatch, answers: dict[int, np.ndarray]) -> pa.RecordBatch:
+        flat = lambda c: row.column(c).combine_chunks().flatten() if isinstance(row.column(c), pa.ChunkedArray) else row.column(c).flatten()
+        own = Slice(flat("h").to_numpy().view(np.uint64), flat("x").to_numpy(), flat("at").to_numpy().astype(np.int64))
+        keys = own.asked(phase, phases)[0]
+        order, _ = _split(keys, buckets)
+        counts = np.empty(len(keys), np.int64)
+        counts[order] = np.concatenate([answers[g] for g in sorted(answers)])
+        weight, single = own.walk(phase, phases, counts, root)
+        c = single[own.codes]
+        base = np.log10((c + 1) / (root.total + root.kinds + 1))
+        sums = [H.segment_sum(x, own.at, kind) for x, kind in (((c > 0).view(np.uint8), np.int64), (base, np.float64), (weight, np.float64))]
+        return pa.RecordBatch.from_arrays([flat("ids"), flat("t1"), flat("t2"), flat("held"), pa.array(np.diff(own.at)), *map(pa.array, sums)], names=names)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, answers = None, {}
+        for batch in batches:
+            for i, g in enumerate(batch.column("g").to_pylist()):
+                if g < 0:  # a slice's texts come before the answers
+                    if row is not None:
+                        yield settle(row, answers)
+                    row, answers = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(i, 1)]) for c in batch.columns], names=batch.schema.names), {}
+                else:
+                    answers[g] = batch.column("c")[i].values.to_numpy().copy()
+        if row is not None:
+            yield settle(row, answers)
+
+    return walk
+
+
+def score(docs: DataFrame, counts: DataFrame, phases: int = PHASES) -> DataFrame:
+    """docs (doc_id, held_out, text) scored, given the counts of the words of its training texts; see
+    the module's description."""
+    root = Root.of(counts)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(root.total // BUCKET) + 1)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), *text_key(), "text")
+    parts = []
+    for phase in range(phases):
+        asked = own.mapInArrow(_asking(phase, phases, buckets), ASKED).unionByName(counts.select("h", "c").mapInArrow(_known(buckets), ASKED))
+        answered = asked.repartition("g").sortWithinPartitions("g").mapInArrow(_answer, ANSWERED)
+        parts.append(keep(answered.repartition("slice").sortWithinPartitions("slice", "g").mapInArrow(_walking(phase, phases, buckets, root), SCORES)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # Rows equal in id and text have equal parts; each phase has all of them.
+    summed = every.groupBy("doc_id", "t1", "t2", "held_out").agg(
+        (F.count("*") / phases).cast("int").alias("times"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base_score").alias("base_score"), F.sum("score").alias("score")
     )
+    each = summed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(root.total)).cast("long").alias("train_tokens"), "base_score", (F.col("score") / F.col("times")).alias("score"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
