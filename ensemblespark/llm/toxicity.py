@@ -1,20 +1,28 @@
-"""Toxicity by two class-conditional Kneser-Ney models over the bytes within words.
-
-A toxic and an ordinary model are counted from labelled documents. Each interpolates the
-discounted counts of byte n-grams with continuation counts of ever shorter ones; the
-shortest two orders are counted over both classes together, so that an expression rare in
-either class gets nearly the same probability from both. A text's log-likelihoods are sums
-over its words (a word's is that of its bytes and its end, A-Z folded). Their difference,
-divided by the number of words, enters a logistic calibration fitted on labelled documents
-that the counts did not see.
-
-Words are runs of letters and digits (any non-ASCII character counts as a letter). Nothing
-but the text is an input of the score. N-grams are packed into 64-bit integers, exactly.
+"""Toxicity by two class-conditional Kneser-Ney models of pairs of words and their spelling.
+
+A toxic and an ordinary model are counted from labelled documents. A word's probability after
+the one before it is the discounted count of the pair in the class, and what the discounts
+leave goes to the word's own probability; that is its spelling's, by Kneser-Ney models of the
+bytes within words, which interpolate discounted counts of ever shorter byte n-grams. The
+shortest two orders are counted over both classes together. So an expression that a class has
+often seen gets its own probability there, and one that is rare in either gets nearly the same
+from both, down to the shared counts of its letters.
+
+A text's log-likelihood under a class is the sum over its words. What is compared is
+normalised by length: the difference a word over the whole text, and over the WINDOW
+consecutive words where it is largest. Both enter a logistic calibration fitted on labelled
+documents that the counts did not see.
+
+Words are runs of letters and digits (any non-ASCII character counts as a letter), A-Z folded.
+Nothing but the text is an input of the score. Byte n-grams are packed into 64-bit integers,
+exactly; words are known by 64-bit hashes. All n-grams of the sample count, so the models are
+bounded by the sample.
 
 Defined cases: a null or empty text has no word, a difference of 0, and gets the calibrated
 score of that; texts of any length are scored whole; repeated rows are scored each; columns
 besides doc_id and text are ignored whatever their names; if a class has no labelled row,
-every score is the share of toxic labels (0.5 without any label).
+every score is the share of toxic labels (0.5 without any label); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,16 +41,14 @@ from .sampling import labelled_sample
 from .store import id_fold, keep, table
 
 #: Labelled documents counted or calibrated on, of each class.
-SAMPLE_PER_CLASS = 6_000
-#: N-grams kept of each order, the most frequent; bounds what is broadcast (40 bytes each).
-MAX_ENTRIES = 400_000
+SAMPLE_PER_CLASS = 3_000
 ORDER = 6
 #: Orders up to this one are counted over both classes together.
 SHARED_ORDER = 2
 DISCOUNT = 0.75
-#: A word's log-likelihood difference beyond which it counts by itself.
-STRONG = 2.0
-SCORES = "doc_id long, held_out boolean, score double, predicted int, n_words long, mean_difference double"
+#: Consecutive words over which a passage's difference is taken.
+WINDOW = 8
+SCORES = "doc_id long, held_out boolean, score double, predicted int, n_words long, mean_difference double, passage_difference double"
 EDGE = 0x20
 
 
@@ -98,6 +104,51 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["k", "gram", "n0", "n1"])
 
 
+def _before(words: H.Words) -> np.ndarray:
+    """The hash of the word before each word; END's before the first of a text."""
+    out = np.empty_like(words.hashes)
+    out[1:] = words.hashes[:-1]
+    out[words.offsets[:-1][words.offsets[1:] > words.offsets[:-1]]] = H.END
+    return out
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, first, n0, n1): how often each pair of words occurs, by class, and the hash of its first word."""
+    for batch in H.slices(batches):
+        words = H.words_of(H.texts_of(batch.column("text")), H.NOT_ALNUM, H.LOWER_CODES)
+        before = _before(words)
+        label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), np.diff(words.offsets))
+        pair, at, back = np.unique(H.chain(before, words.hashes), return_index=True, return_inverse=True)
+        n = [np.bincount(back, weights=label == c, minlength=len(pair)).astype(np.int64) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["pair", "first", "n0", "n1"])
+
+
+class Pairs:
+    """Discounted probabilities of pairs of words in each class, and what they leave of a first word."""
+
+    def __init__(self, pairs: np.ndarray, first: np.ndarray, counts: np.ndarray):
+        heads, of = np.unique(first, return_inverse=True)
+        n = np.stack([np.bincount(of, weights=c, minlength=len(heads)) for c in counts])
+        kinds = np.stack([np.bincount(of, weights=c > 0, minlength=len(heads)) for c in counts])
+        self.pairs, self.heads = H.Table(pairs), H.Table(heads)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(n > 0, DISCOUNT * kinds / n, 1.0)
+            seen = np.where(n[:, of] > 0, np.maximum(counts - DISCOUNT, 0) / n[:, of], 0.0)
+        # A last column for what isn't there: no probability of its own, all of it left to the word itself.
+        self.seen, self.rest = np.hstack([seen, np.zeros((2, 1))]), np.hstack([rest, np.ones((2, 1))])
+
+    def log(self, words: H.Words, inverse: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(2, words): log-probability of each word after the one before it, given those of the distinct words
+        themselves, own (2, distinct)."""
+        at = self.pairs.find(H.chain(_before(words), words.hashes))
+        head = np.append(self.heads.find(words.hashes[first]), self.heads.find(np.array([H.END])))
+        before = np.empty_like(inverse)
+        before[1:] = inverse[:-1]
+        before[words.offsets[:-1][words.offsets[1:] > words.offsets[:-1]]] = len(first)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(self.seen[:, at]), np.log(self.rest[:, head[before]]) + own[:, inverse])
+
+
 @dataclass
 class KneserNey:
     """grams[k - 1]: sorted n-grams of order k; counts[k - 1]: their counts as (2, n), row 1 for
@@ -106,11 +157,12 @@ class KneserNey:
     grams: list[np.ndarray]
     counts: list[np.ndarray]
     prior: float
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    pairs: Pairs | None = None
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
     def __post_init__(self):
         p = min(max(self.prior, 1e-6), 1 - 1e-6)
-        self.weights = np.array([np.log(p / (1 - p)), 0.0, 0.0, 0.0])
+        self.weights = np.array([np.log(p / (1 - p)), 0.0, 0.0])
         self.tables = [H.Table(g) for g in self.grams]
         order = len(self.grams)
         kept: list[np.ndarray] = []
@@ -140,7 +192,7 @@ class KneserNey:
         self.counts = []
 
     def words(self, s: Spelling, n: int) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each of n spelt words."""
+        """(2, n): log-probability of each of n spelt words in either class."""
         row = self.tables[0].find(s.packed[0])
         p = [self.seen[0][c][row] for c in (0, 1)]
         for k in range(2, len(self.grams) + 1):
@@ -153,59 +205,70 @@ class KneserNey:
             row[ask] = self.tables[k - 1].find(s.packed[k - 1][ask])
             for c in (0, 1):
                 p[c] = self.seen[k - 1][c][row] + self.rest[k - 1][c][context] * p[c]
-        step = np.where(s.scored, np.log(p[1]) - np.log(p[0]), 0.0)
-        return np.bincount(s.word, weights=step, minlength=n)
+        return np.stack([np.bincount(s.word, weights=np.where(s.scored, np.log(x), 0.0), minlength=n) for x in p])
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(1, difference per word, per root of the words, log of what single words have above STRONG) of each text, and its words."""
+        """(1, difference per word, largest difference per word of a passage) of each text, and its words."""
         texts = H.texts_of(column)
         words = H.words_of(texts, H.NOT_ALNUM, H.LOWER_CODES)
-        d, strong, n = np.zeros(len(texts)), np.zeros(len(texts)), np.diff(words.offsets)
+        d, best, n = np.zeros(len(texts)), np.zeros(len(texts)), np.diff(words.offsets)
         if len(words.hashes) and self.grams:
             first, inverse, _ = distinct(words)
-            own = np.concatenate([
+            own = np.hstack([
                 self.words(spell(texts, words.starts[part], words.ends[part], len(self.grams)), len(part))
                 for part in np.array_split(first, 1 + len(first) // 50_000)
             ])
-            d = H.segment_sum(own[inverse], words.offsets, np.float64)
-            strong = H.segment_sum(np.maximum(own - STRONG, 0)[inverse], words.offsets, np.float64)
-        return np.column_stack([np.ones(len(d)), d / np.maximum(n, 1), d / np.sqrt(np.maximum(n, 1)), np.log1p(strong)]), n
+            log = self.pairs.log(words, inverse, first, own) if self.pairs else own[:, inverse]
+            sums = np.concatenate([[0.0], np.cumsum(log[1] - log[0])])
+            d = sums[words.offsets[1:]] - sums[words.offsets[:-1]]
+            end = np.minimum(np.arange(len(inverse)) + WINDOW, words.offsets[1:][words.owner()])
+            passage = (sums[end] - sums[:-1]) / WINDOW
+            some = n > 0
+            best[some] = np.maximum.reduceat(passage, words.offsets[:-1][some])
+        return np.column_stack([np.ones(len(d)), d / np.maximum(n, 1), best]), n
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, max_entries: int = MAX_ENTRIES) -> KneserNey:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> KneserNey:
     """Count both models on folds 0 and 1 of the labelled sample, calibrate on fold 3.
 
-    What comes to the driver is bounded by per_class and max_entries.
+    What comes to the driver is counts of the sample's n-grams and pairs, bounded by per_class.
     """
     sample, counts = labelled_sample(docs, labels, label, per_class, ["text"])
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    if min(counts.get(0, 0), counts.get(1, 0)) == 0:
+        return KneserNey([], [], prior)
     sample = keep(sample.select("label", "fold", "text"))
-    grams = keep(sample.where("fold <> 3").select("label", "text").mapInArrow(_grams, "k int, gram long, n0 long, n1 long").groupBy("k", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    levels, tallies = [], []
+    seen = sample.where("fold <> 3").select("label", "text")
+    fetch = lambda df, *by: df.groupBy(*by).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    grams = fetch(seen.mapInArrow(_grams, "k int, gram long, n0 long, n1 long"), "k", "gram").sort_by([("k", "ascending"), ("gram", "ascending")])
+    pairs = fetch(seen.mapInArrow(_pairs, "pair long, first long, n0 long, n1 long"), "pair", "first").sort_by("pair")
+    both = lambda t, at=slice(None): np.stack([t.column(f"n{c}").to_numpy().astype(float)[at] for c in (0, 1)])
+    order, levels, tallies = grams.column("k").to_numpy(), [], []
     for k in range(1, ORDER + 1):
-        top = grams.where(F.col("k") == k).orderBy((F.col("n0") + F.col("n1")).desc(), "gram").limit(max_entries).select("gram", "n0", "n1").toArrow()
-        gram = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+        at = np.flatnonzero(order == k)
+        gram = grams.column("gram").to_numpy()[at].view(np.uint64)
         place = np.argsort(gram)
         levels.append(gram[place])
-        tallies.append(np.stack([top.column(f"n{c}").to_numpy().astype(float)[place] for c in (0, 1)]))
-    if min(counts.get(0, 0), counts.get(1, 0)) == 0 or not len(levels[0]):
+        tallies.append(both(grams, at)[:, place])
+    if not len(levels[0]):
         return KneserNey([], [], prior)
-    model = KneserNey(levels, tallies, prior)
+    hashes = lambda name: pairs.column(name).to_numpy().view(np.uint64)
+    model = KneserNey(levels, tallies, prior, Pairs(hashes("pair"), hashes("first"), both(pairs)))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             x, _ = shipped.value.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, x[:, 1:].T)], names=["label", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, x[:, 1:].T)], names=["label", "a", "b"])
 
-    seen = sample.where("fold = 3").select("label", "text").mapInArrow(held, "label int, a double, b double, c double").toArrow()
-    y = seen.column("label").to_numpy().astype(float)
+    rest = sample.where("fold = 3").select("label", "text").mapInArrow(held, "label int, a double, b double").toArrow()
+    y = rest.column("label").to_numpy().astype(float)
     if len(y) and 0 < y.mean() < 1:
         share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.weights = fit_logistic(np.column_stack([np.ones(len(y)), *[seen.column(c).to_numpy() for c in "abc"]]), y, share)
+        model.weights = fit_logistic(np.column_stack([np.ones(len(y)), *[rest.column(c).to_numpy() for c in "ab"]]), y, share)
     shipped.unpersist()
     return model
 
@@ -219,8 +282,8 @@ def score(docs: DataFrame, model: KneserNey, threshold: float = 0.3) -> DataFram
             x, n = shipped.value.features(batch.column("text"))
             p = shipped.value.scores(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(n), pa.array(x[:, 1])],
-                names=["doc_id", "held_out", "score", "predicted", "n_words", "mean_difference"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(n), pa.array(x[:, 1]), pa.array(x[:, 2])],
+                names=["doc_id", "held_out", "score", "predicted", "n_words", "mean_difference", "passage_difference"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_fold("doc_id", 4) == 2).alias("held_out")).mapInArrow(scored, SCORES)
