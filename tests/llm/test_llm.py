@@ -1,7 +1,6 @@
 """The operators against brute force, SQL and libraries, and on awkward inputs."""
 
 import collections
-import functools
 import hashlib
 import itertools
 import math
@@ -144,59 +143,77 @@ def test_lm_base_and_probabilities(spark, awkward):
     assert sum(r.held_out for r in got) == sum(held)
 
 
-def test_lm_states_sum_to_one(spark, awkward):
-    docs = spark.read.parquet(f"{awkward}/documents.parquet").select("text")
-    counts = lm.word_counts(docs)
-    m = lm.train(docs, counts, share=1e-4)
-    unseen = m.discount * m.kinds / m.total
-    rare = 1 - sum(10**x for x in m.root_weight)
-    for state in random.Random(1).sample(range(len(m.back)), min(40, len(m.back))):
-        total = 0.0
-        for w in range(len(m.root_weight)):
-            at, p = state, 0.0
-            while at and (arc := m.arcs.get(at << lm.WIDTH | w)) is None:
-                p += m.back[at]
-                at = m.fail[at]
-            total += 10 ** (p + (m.weight[arc] if at else m.root_weight[w]))
-        assert total + rare * 10 ** m.to_root[state] == pytest.approx(1, abs=1e-6)
-    assert rare >= unseen - 1e-9
-
-
-def brute_lm_scores(texts, held):
-    """Scores by the trigram backoff over whole counts, in plain Python."""
-    toks = [[*WORD.findall((t or "").translate(LOWER)), None] for t in texts]
-    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
-    for ts, h in zip(toks, held, strict=True):
-        if not h:
-            padded = [None, *ts]
-            c1.update(ts)
-            c2.update(zip(padded, ts))
-            c3.update(zip(padded, ts, ts[1:]))
-    total, ones, twos = sum(c1.values()), sum(c == 1 for c in c1.values()), sum(c == 2 for c in c1.values())
-    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    after1, after2 = collections.defaultdict(list), collections.defaultdict(list)
-    for v, w in c2:
-        after1[v].append(w)
-    for u, v, w in c3:
-        after2[u, v].append(w)
-    p1 = lambda w: (c1[w] - d) / total if c1[w] else d * len(c1) / total
-    p2 = lambda v, w: (c2[v, w] - lm.DISCOUNT) / c1[v] if c2[v, w] else back1(v) * p1(w)
-    p3 = lambda u, v, w: (c3[u, v, w] - lm.DISCOUNT) / c2[u, v] if c3[u, v, w] else back2(u, v) * p2(v, w)
-    left = lambda p, lower: max(1 - sum(p), 1e-12) / max(1 - sum(lower), 1e-12)
-    back1 = functools.cache(lambda v: left([p2(v, w) for w in after1[v]], [p1(w) for w in after1[v]]) if after1[v] else 1)
-    back2 = functools.cache(lambda u, v: left([p3(u, v, w) for w in after2[u, v]], [p2(v, w) for w in after2[u, v]]) if after2[u, v] else 1)
-    log2, log3 = functools.cache(lambda *x: math.log10(p2(*x))), functools.cache(lambda *x: math.log10(p3(*x)))
-    return [log2(None, ts[0]) + sum(log3(*x) for x in zip([None, *ts], ts, ts[1:])) for ts in toks]
-
-
-def test_lm_scores_equal_brute_force_with_rare_ngrams(spark):
-    """Over 1e6 training tokens, n-grams that occur once or twice still count."""
+class BruteLM:
+    """The automaton over whole counts, in plain Python: its states, arcs and failure arcs."""
+
+    def __init__(self, texts, held):
+        self.texts = [[*WORD.findall((t or "").translate(LOWER)), None] for t in texts]
+        self.c = [None, collections.Counter(), collections.Counter(), collections.Counter()]
+        for ts, h in zip(self.texts, held, strict=True):
+            if not h:
+                padded = ["<", *ts]
+                for k in (1, 2, 3):
+                    self.c[k].update(zip(*((ts if k == 1 else padded)[i:] for i in range(k)), strict=False))
+        self.total, ones, twos = sum(self.c[1].values()), sum(c == 1 for c in self.c[1].values()), sum(c == 2 for c in self.c[1].values())
+        self.d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def n(self, state):
+        return self.c[len(state)][state] if state != ("<",) else self.c[1][None,]
+
+    def arc(self, state, w):
+        """The weight of the arc of w if the state has one."""
+        c = self.c[len(state) + 1][(*state, w)]
+        if not state:
+            return (c - self.d) / self.total if c else None
+        return (c + lm.MU[len(state) - 1] * self.p(state[1:], w)) / (self.n(state) + lm.MU[len(state) - 1]) if c else None
+
+    def fail(self, state):
+        return lm.MU[len(state) - 1] / (self.n(state) + lm.MU[len(state) - 1])
+
+    def p(self, state, w):
+        p = 1.0
+        while (arc := self.arc(state, w)) is None:
+            if not state:
+                return p * self.d * len(self.c[1]) / self.total
+            p, state = p * self.fail(state), state[1:]
+        return p * arc
+
+    def score(self, ts):
+        state, sum_ = ("<",), 0.0
+        for w in ts:
+            sum_ += math.log10(self.p(state, w))
+            state = (*state, w)[-2:]
+        return sum_
+
+
+def test_lm_scores_equal_the_automaton(spark, awkward):
+    rows = spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text").collect()
+    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
+    model = BruteLM([r.text for r in rows], held)
+    want = sorted((r.doc_id or -1, model.score(ts)) for r, ts in zip(rows, model.texts, strict=True))
+    got = sorted((r.doc_id or -1, r.score) for r in lm.op5_lm_scoring(spark, awkward).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def test_lm_states_sum_to_one():
+    texts = [prose(i, 40) for i in range(20)] + ["the river", "the the the", ""]
+    model = BruteLM(texts, [False] * len(texts))
+    kinds = list(model.c[1])
+    for state in [("<",), ("the",), ("<", "the"), ("the", "the"), ("the", "river"), ("never", "seen"), *random.Random(2).sample(list(model.c[2]), 30)]:
+        if state[-1] is not None:
+            assert sum(model.p(state, w) for (w,) in kinds) + model.p(state, "?unseen?") == pytest.approx(1)
+
+
+def test_lm_counts_rare_ngrams_in_every_phase(spark):
+    """Over 1e6 training tokens, n-grams that occur once or twice still count, however the work is cut."""
     texts = [prose(i) for i in range(60)] + ["the river walks " * 450_000, "", None, "never seen words walks", "the the river once", "the the river once more"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 2).repartition(3)
-    counts = lm.word_counts(docs.where("not held_out"))
-    got = {r.doc_id: r.score for r in lm.score(docs, counts).collect()}
-    want = brute_lm_scores(texts, [i % 5 == 2 for i in range(len(texts))])
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 2)
+    model = BruteLM(texts, [i % 5 == 2 for i in range(len(texts))])
+    want = [model.score(ts) for ts in model.texts]
+    for parts, phases in ((1, 1), (3, 3)):
+        own = docs.repartition(parts)
+        got = {r.doc_id: r.score for r in lm.score(own, lm.word_counts(own.where("not held_out")), phases).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
 
 
 def brute_groups(texts):
@@ -337,12 +354,131 @@ def test_mix_meets_targets(spark):
     assert by.target.sum() == pytest.approx(1.5 * by.own.sum())
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(quality.op8_quality_classifier, "quality", 0.9), (toxicity.op3_toxicity, "toxic", 0.8)])
-def test_held_out_accuracy(spark, query, label, least):
+class BruteToxicity:
+    """Both classes' models of word pairs over spelling, in plain Python."""
+
+    def __init__(self, docs):
+        order, d = toxicity.ORDER, toxicity.DISCOUNT
+        raw = [[collections.Counter() for _ in range(order + 1)] for _ in (0, 1)]
+        self.pair = [collections.Counter(), collections.Counter()]
+        for text, label in docs:
+            ws = self.split(text)
+            self.pair[label].update(zip([None, *ws], ws))
+            for w in ws:
+                b = b" " + w + b" "
+                for k in range(1, order + 1):
+                    raw[label][k].update(b[i - k + 1 : i + 1] for i in range(max(1, k - 1), len(b)))
+        self.c = []
+        for c in (0, 1):
+            own = [None]
+            for k in range(1, order + 1):
+                more = collections.Counter(g[1:] for g in raw[c][k + 1]) if k < order else None
+                keep = lambda g, k=k: k == order or (k > 1 and g[:1] == b" ")
+                every = set(raw[0][k]) | set(raw[1][k])
+                own.append({g: raw[c][k][g] if keep(g) else more[g] for g in every})
+            self.c.append(own)
+        for k in range(1, toxicity.SHARED_ORDER + 1):
+            both = {g: self.c[0][k][g] + self.c[1][k][g] for g in self.c[0][k]}
+            self.c[0][k] = self.c[1][k] = both
+
+    @staticmethod
+    def split(text):
+        return re.findall(rb"(?:[0-9A-Za-z]|[\x80-\xff])+", (text or "").translate(LOWER).encode())
+
+    def byte(self, c, context, x):
+        """Probability of a byte after up to ORDER - 1 bytes of its word."""
+        d = toxicity.DISCOUNT
+        table = self.c[c][1]
+        total = max(sum(table.values()), 1)
+        p = max(table.get(x, 0) - d, 0) / total + (1 - sum(max(n - d, 0) for n in table.values()) / total) / 256
+        for k in range(2, min(len(context) + 1, toxicity.ORDER) + 1):
+            head = context[len(context) - k + 1 :]
+            after = [n for g, n in self.c[c][k].items() if g[:-1] == head]
+            if head not in self.c[c][k - 1]:
+                break
+            if sum(after):
+                p = max(self.c[c][k].get(head + x, 0) - d, 0) / sum(after) + d * sum(n > 0 for n in after) / sum(after) * p
+        return p
+
+    def word(self, c, w):
+        b = b" " + w + b" "
+        return math.prod(self.byte(c, b[max(0, i - toxicity.ORDER + 1) : i], b[i : i + 1]) for i in range(1, len(b)))
+
+    def after(self, c, v, w):
+        d = toxicity.DISCOUNT
+        ns = [n for (x, _), n in self.pair[c].items() if x == v]
+        if not ns:
+            return self.word(c, w)
+        return max(self.pair[c][v, w] - d, 0) / sum(ns) + d * len(ns) / sum(ns) * self.word(c, w)
+
+
+def test_toxicity_equals_brute_force_models():
+    docs = [(prose(i, 12), 0) for i in range(6)] + [("you vile toad. You Vile toad!", 1), ("vile toad, é walks", 1), ("", 1), (None, 0)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in docs]), pa.array([c for _, c in docs], pa.int32())], names=["text", "label"])
+    grams = pa.Table.from_batches(list(toxicity._grams(iter([batch]))))
+    levels, tallies = [], []
+    for k in range(1, toxicity.ORDER + 1):
+        own = [(int(np.int64(g).view(np.uint64)), a, b) for kk, g, a, b in zip(*(grams.column(c).to_pylist() for c in ("k", "gram", "n0", "n1"))) if kk == k]
+        own.sort()
+        levels.append(np.array([x[0] for x in own], np.uint64))
+        tallies.append(np.array([x[1:] for x in own], float).T)
+    pairs = pa.Table.from_batches(list(toxicity._pairs(iter([batch])))).combine_chunks()
+    get = lambda c: pairs.column(c).to_numpy()
+    model = toxicity.KneserNey(levels, tallies, 0.3, toxicity.Pairs(get("pair").view(np.uint64), get("first").view(np.uint64), np.stack([get("n0"), get("n1")]).astype(float)))
+    brute = BruteToxicity(docs)
+    texts = ["vile toad", "a river toad walks", "zzz", "you you", "Vile", "the stone é"]
+    x, n = model.features(pa.array([*texts, "", None]))
+    for i, t in enumerate(texts):
+        ws = brute.split(t)
+        d = [math.log(brute.after(1, v, w)) - math.log(brute.after(0, v, w)) for v, w in zip([None, *ws], ws)]
+        assert x[i, 1] == pytest.approx(sum(d) / len(d), abs=2e-5) and x[i, 2] == pytest.approx(max(sum(d[k:]) for k in range(len(d))) / toxicity.WINDOW, abs=2e-5)
+    assert (x[-2:, 1:] == 0).all() and n[-2:].tolist() == [0, 0]
+    for c in (0, 1):
+        for context in (b" ", b" v", b" vi", b"ile", b"zz", b" the"):
+            assert sum(brute.byte(c, context, bytes([x])) for x in range(256)) == pytest.approx(1)
+        for v in ("vile", "you", None):
+            v = v and v.encode()
+            ns = [n for (x, _), n in brute.pair[c].items() if x == v]
+            seen = {w for x, w in brute.pair[c] if x == v}
+            rest = toxicity.DISCOUNT * len(ns) / sum(ns) if ns else 1
+            assert sum(brute.after(c, v, w) for w in seen) + rest * (1 - sum(brute.word(c, w) for w in seen)) == pytest.approx(1)
+
+
+def test_machine_equals_pairs_one_by_one():
+    """The linear-time score against the sum over all pairs of columns."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = quality.inputs(pa.array([prose(1, 30), "one two two", "", None]), pa.array([100, None, 0, None], pa.float64()))
+    k = x.dense.shape[1]
+    m = quality.Machine(rng.normal(size=k), rng.uniform(1, 2, k), 0.3, rng.normal(size=quality.BUCKETS), rng.normal(size=(quality.BUCKETS, quality.FACTORS)), rng.normal(size=k), rng.normal(size=(k, quality.FACTORS)), np.array([0.0, 1.0]))
+    d = np.clip((x.dense - m.shift) / m.scale, -6, 6)
+    for i, got in enumerate(m.raw(x)):
+        mine = x.row == i
+        columns = [(v, m.w[c], m.v[c]) for c, v in zip(x.column[mine], x.value[mine])] + list(zip(d[i], m.u, m.z))
+        want = 0.3 + sum(v * w for v, w, _ in columns) + sum(a[0] * b[0] * (a[2] @ b[2]) for a, b in itertools.combinations(columns, 2))
+        assert got == pytest.approx(want)
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in np.unique(score):
+        rank[score == v] = rank[score == v].mean()
+    k = label.sum()
+    return (rank[label == 1].sum() - k * (k + 1) / 2) / (k * (len(label) - k))
+
+
+@pytest.mark.parametrize(("query", "label", "accuracy", "ranking"), [(quality.op8_quality_classifier, "quality", 0.9, 0.9), (toxicity.op3_toxicity, "toxic", 0.87, 0.8)])
+def test_held_out_accuracy_and_ranking(spark, query, label, accuracy, ranking):
+    """A constant score ranks at 0.5."""
     at = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{at}/labels.parquet")
     got = query(spark, at).where("held_out").join(truth, "doc_id").toPandas()
-    assert (got.predicted == got[label]).mean() >= least
+    assert (got.predicted == got[label]).mean() >= accuracy and auc(got.score.to_numpy(), got[label].to_numpy()) >= ranking
     assert got.score.between(0, 1).all()
 
 
