@@ -1,17 +1,17 @@
 """Toxicity by two class-conditional Kneser-Ney models of pairs of words and their spelling.
 
 A toxic and an ordinary model are counted from labelled documents. A word's probability after
-the one before it is the discounted count of the pair in the class, and what the discounts
-leave goes to the word's own probability; that is its spelling's, by Kneser-Ney models of the
-bytes within words, which interpolate discounted counts of ever shorter byte n-grams. The
-shortest two orders are counted over both classes together. So an expression that a class has
-often seen gets its own probability there, and one that is rare in either gets nearly the same
-from both, down to the shared counts of its letters.
+the one before it is the discounted count of the pair in the class; what the discounts leave
+goes to the pair's discounted count in both classes together, and what those leave to the
+word's own probability. That is its spelling's, by Kneser-Ney models of the bytes within words,
+which interpolate discounted counts of ever shorter byte n-grams; the shortest two orders are
+again counted over both classes. So an expression that one class has often seen gets its own
+probability there, and one that is rare gets nearly the same from both.
 
 A text's log-likelihood under a class is the sum over its words. What is compared is
 normalised by length: the difference a word over the whole text, and over the WINDOW
-consecutive words where it is largest. Both enter a logistic calibration fitted on labelled
-documents that the counts did not see.
+consecutive words where it is largest; both of the pairs' models and of the words' own. They
+enter a logistic calibration fitted on labelled documents that the counts did not see.
 
 Words are runs of letters and digits (any non-ASCII character counts as a letter), A-Z folded.
 Nothing but the text is an input of the score. Byte n-grams are packed into 64-bit integers,
@@ -46,8 +46,10 @@ ORDER = 6
 #: Orders up to this one are counted over both classes together.
 SHARED_ORDER = 2
 DISCOUNT = 0.75
+#: Discount of pairs: what was seen once is hardly evidence of an expression.
+PAIR_DISCOUNT = 0.95
 #: Consecutive words over which a passage's difference is taken.
-WINDOW = 8
+WINDOW = 2
 SCORES = "doc_id long, held_out boolean, score double, predicted int, n_words long, mean_difference double, passage_difference double"
 EDGE = 0x20
 
@@ -124,29 +126,32 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Pairs:
-    """Discounted probabilities of pairs of words in each class, and what they leave of a first word."""
+    """Discounted probabilities of pairs of words in each class (rows 0 and 1) and in both together (row 2),
+    and what they leave of a first word."""
 
     def __init__(self, pairs: np.ndarray, first: np.ndarray, counts: np.ndarray):
+        counts = np.vstack([counts, counts.sum(0)])
         heads, of = np.unique(first, return_inverse=True)
         n = np.stack([np.bincount(of, weights=c, minlength=len(heads)) for c in counts])
         kinds = np.stack([np.bincount(of, weights=c > 0, minlength=len(heads)) for c in counts])
         self.pairs, self.heads = H.Table(pairs), H.Table(heads)
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.where(n > 0, DISCOUNT * kinds / n, 1.0)
-            seen = np.where(n[:, of] > 0, np.maximum(counts - DISCOUNT, 0) / n[:, of], 0.0)
-        # A last column for what isn't there: no probability of its own, all of it left to the word itself.
-        self.seen, self.rest = np.hstack([seen, np.zeros((2, 1))]), np.hstack([rest, np.ones((2, 1))])
+            rest = np.where(n > 0, PAIR_DISCOUNT * kinds / n, 1.0)
+            seen = np.where(n[:, of] > 0, np.maximum(counts - PAIR_DISCOUNT, 0) / n[:, of], 0.0)
+            # A last column for what isn't there: no probability of its own, all of it left to the next shorter order.
+            self.seen, self.rest = np.log(np.hstack([seen, np.zeros((3, 1))])).astype(np.float32), np.log(np.hstack([rest, np.ones((3, 1))])).astype(np.float32)
 
     def log(self, words: H.Words, inverse: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """(2, words): log-probability of each word after the one before it, given those of the distinct words
-        themselves, own (2, distinct)."""
+        """(2, words): log-probability of each word after the one before it in either class, given those of the
+        distinct words themselves, own (2, distinct)."""
         at = self.pairs.find(H.chain(_before(words), words.hashes))
         head = np.append(self.heads.find(words.hashes[first]), self.heads.find(np.array([H.END])))
         before = np.empty_like(inverse)
         before[1:] = inverse[:-1]
         before[words.offsets[:-1][words.offsets[1:] > words.offsets[:-1]]] = len(first)
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(self.seen[:, at]), np.log(self.rest[:, head[before]]) + own[:, inverse])
+        rest = self.rest[:, head[before]]
+        both = np.logaddexp(self.seen[2, at], rest[2] + own[:, inverse])
+        return np.logaddexp(self.seen[:2, at], rest[:2] + both)
 
 
 @dataclass
@@ -158,11 +163,11 @@ class KneserNey:
     counts: list[np.ndarray]
     prior: float
     pairs: Pairs | None = None
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
     def __post_init__(self):
         p = min(max(self.prior, 1e-6), 1 - 1e-6)
-        self.weights = np.array([np.log(p / (1 - p)), 0.0, 0.0])
+        self.weights = np.array([np.log(p / (1 - p)), 0.0, 0.0, 0.0, 0.0])
         self.tables = [H.Table(g) for g in self.grams]
         order = len(self.grams)
         kept: list[np.ndarray] = []
@@ -208,24 +213,26 @@ class KneserNey:
         return np.stack([np.bincount(s.word, weights=np.where(s.scored, np.log(x), 0.0), minlength=n) for x in p])
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(1, difference per word, largest difference per word of a passage) of each text, and its words."""
+        """(1, difference per word, largest difference per word of a passage; the same two by the words' own
+        probabilities) of each text, and its words."""
         texts = H.texts_of(column)
         words = H.words_of(texts, H.NOT_ALNUM, H.LOWER_CODES)
-        d, best, n = np.zeros(len(texts)), np.zeros(len(texts)), np.diff(words.offsets)
+        n = np.diff(words.offsets)
+        out = np.zeros((len(texts), 5))
+        out[:, 0] = 1
         if len(words.hashes) and self.grams:
             first, inverse, _ = distinct(words)
             own = np.hstack([
                 self.words(spell(texts, words.starts[part], words.ends[part], len(self.grams)), len(part))
                 for part in np.array_split(first, 1 + len(first) // 50_000)
             ])
-            log = self.pairs.log(words, inverse, first, own) if self.pairs else own[:, inverse]
-            sums = np.concatenate([[0.0], np.cumsum(log[1] - log[0])])
-            d = sums[words.offsets[1:]] - sums[words.offsets[:-1]]
             end = np.minimum(np.arange(len(inverse)) + WINDOW, words.offsets[1:][words.owner()])
-            passage = (sums[end] - sums[:-1]) / WINDOW
             some = n > 0
-            best[some] = np.maximum.reduceat(passage, words.offsets[:-1][some])
-        return np.column_stack([np.ones(len(d)), d / np.maximum(n, 1), best]), n
+            for k, log in enumerate((self.pairs.log(words, inverse, first, own) if self.pairs else own[:, inverse], own[:, inverse])):
+                sums = np.concatenate([[0.0], np.cumsum(log[1] - log[0])])
+                out[some, 1 + 2 * k] = ((sums[words.offsets[1:]] - sums[words.offsets[:-1]]) / np.maximum(n, 1))[some]
+                out[some, 2 + 2 * k] = np.maximum.reduceat((sums[end] - sums[:-1]) / WINDOW, words.offsets[:-1][some])
+        return out, n
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
@@ -262,13 +269,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             x, _ = shipped.value.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, x[:, 1:].T)], names=["label", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, x[:, 1:].T)], names=["label", *"abcd"])
 
-    rest = sample.where("fold = 3").select("label", "text").mapInArrow(held, "label int, a double, b double").toArrow()
+    rest = sample.where("fold = 3").select("label", "text").mapInArrow(held, "label int, a double, b double, c double, d double").toArrow()
     y = rest.column("label").to_numpy().astype(float)
     if len(y) and 0 < y.mean() < 1:
         share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.weights = fit_logistic(np.column_stack([np.ones(len(y)), *[rest.column(c).to_numpy() for c in "ab"]]), y, share)
+        model.weights = fit_logistic(np.column_stack([np.ones(len(y)), *[rest.column(c).to_numpy() for c in "abcd"]]), y, share)
     shipped.unpersist()
     return model
 
