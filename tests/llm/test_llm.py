@@ -404,12 +404,13 @@ class BruteToxicity:
         b = b" " + w + b" "
         return math.prod(self.byte(c, b[max(0, i - toxicity.ORDER + 1) : i], b[i : i + 1]) for i in range(1, len(b)))
 
+    def of_pairs(self, pair, v, w, lower):
+        ns = [n for (x, _), n in pair.items() if x == v]
+        d = toxicity.PAIR_DISCOUNT
+        return max(pair[v, w] - d, 0) / sum(ns) + d * len(ns) / sum(ns) * lower if ns else lower
+
     def after(self, c, v, w):
-        d = toxicity.DISCOUNT
-        ns = [n for (x, _), n in self.pair[c].items() if x == v]
-        if not ns:
-            return self.word(c, w)
-        return max(self.pair[c][v, w] - d, 0) / sum(ns) + d * len(ns) / sum(ns) * self.word(c, w)
+        return self.of_pairs(self.pair[c], v, w, self.of_pairs(self.pair[0] + self.pair[1], v, w, self.word(c, w)))
 
 
 def test_toxicity_equals_brute_force_models():
@@ -440,10 +441,10 @@ def test_toxicity_equals_brute_force_models():
             assert sum(brute.byte(c, context, bytes([x])) for x in range(256)) == pytest.approx(1)
         for v in ("vile", "you", None):
             v = v and v.encode()
-            ns = [n for (x, _), n in brute.pair[c].items() if x == v]
-            seen = {w for x, w in brute.pair[c] if x == v}
-            rest = toxicity.DISCOUNT * len(ns) / sum(ns) if ns else 1
-            assert sum(brute.after(c, v, w) for w in seen) + rest * (1 - sum(brute.word(c, w) for w in seen)) == pytest.approx(1)
+            seen = {w for x, w in brute.pair[0] + brute.pair[1] if x == v}
+            other = b"qqqqq"  # all words not seen after v share what is left in the same proportion
+            share = brute.after(c, v, other) / brute.word(c, other)
+            assert sum(brute.after(c, v, w) for w in seen) + share * (1 - sum(brute.word(c, w) for w in seen)) == pytest.approx(1)
 
 
 def test_machine_equals_pairs_one_by_one():
