@@ -9,14 +9,14 @@ what they leave goes to words never seen. A text is walked from left to right; i
 the sum of the arcs' weights.
 
 A token's arc follows from the counts of five n-grams: the trigram, its two pairs, the last
-and the middle word. The automaton of the whole corpus is never in one place. Texts are
-worked on in slices of a bounded size. Each slice asks for the counts of its own distinct
-n-grams; the questions, which hold the slice's own training counts, are dealt out by hash of
-the n-gram, summed there, and answered; with the answers a slice has the part of the automaton
-that its texts walk through. Every n-gram counts, whatever its count or the corpus' size. All
-n-grams are spread by hash, and a slice asks once for each, so no frequent word or pair
-gathers its occurrences in one task. The work is done in PHASES by the middle word, which
-divides what lies on disk at a time.
+and the middle word. The automaton of the whole corpus is never in one place. Texts are cut
+into slices of a bounded size, written once as codes of their distinct words. Each slice asks
+for the counts of its own distinct n-grams; the questions, which hold the slice's own training
+counts, are dealt out by hash of the n-gram, summed there, and answered; with the answers a
+slice has the part of the automaton that its texts walk through. Every n-gram counts, whatever
+its count or the corpus' size. All n-grams are spread by hash, and a slice asks once for each,
+so no frequent word or pair gathers its occurrences in one task. The questions of an order are
+asked in several goes, PHASES, which divides what lies on disk at a time.
 
 Defined cases: a null text counts as empty; an empty text is one end token; ids may be null
 (training rows then) or repeated (each row is scored); without training rows every token is
@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .near_dedup import text_key
 from .store import id_fold, keep, table
 
 #: Weight of the next shorter state: after one word, and after two.
 MU = (20.0, 3.0)
-PHASES = 4
+#: In how many goes words, pairs and trigrams are asked for.
+PHASES = (1, 2, 4)
 #: N-grams that a task counts at a time, about.
 BUCKET = 1_500_000
 
@@ -56,17 +56,6 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _ends(H.words_of(H.texts_of(column), H.WHITE, H.LOWER_CODES))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): the count of every word and of the end token, by hash."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in H.slices(batches):
-            key, n = np.unique(_tokens(batch.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
-
-    return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Root:
     """Training tokens, distinct ones, and the discount of single words."""
@@ -96,68 +85,89 @@ class Slice:
     at: np.ndarray
 
     def __post_init__(self):
-        first = self.at[:-1]  # no text is without its end token
+        self.first = self.at[:-1]  # no text is without its end token
         self.middle = np.empty_like(self.codes)  # the token before; before a text stands the end token
         self.middle[1:] = self.codes[:-1]
-        self.middle[first] = np.searchsorted(self.words, H.END)
-        self.starts = np.zeros(len(self.codes), bool)
-        self.starts[first] = True
-
-    def ngrams(self, phase: int, phases: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens of a phase (that have a middle word of it), the places that end a pair asked for,
-        and for all places the pair's hash, the trigram's, and whether there is a trigram."""
-        mine = (self.words >> np.uint64(9)) % np.uint64(phases) == phase
-        here = mine[self.middle]
-        # A pair is asked for if its first word is the middle of its last token, or its last word that of the next.
-        mine[np.searchsorted(self.words, H.END)] = False
-        pair = H.chain(self.words[self.middle], self.words[self.codes])
-        before = np.zeros_like(pair)
-        before[1:] = pair[:-1]
-        return np.flatnonzero(here), np.flatnonzero(here | mine[self.codes]), pair, H.chain(before, self.words[self.codes]), ~self.starts
-
-    def asked(self, phase: int, phases: int):
-        """(words and n-grams asked for, pairs' index at each place, tokens, those with a trigram, its index)."""
-        tokens, ends, pair, triple, whole = self.ngrams(phase, phases)
-        pairs, of_pair = np.unique(pair[ends], return_inverse=True)
-        index = np.full(len(pair), -1, np.int64)
-        index[ends] = of_pair
-        whole = whole[tokens]
-        triples, of_triple = np.unique(triple[tokens[whole]], return_inverse=True)
-        return np.concatenate([self.words, pairs, triples]), index, tokens, whole, of_triple, (len(self.words), len(pairs)), ends
-
-    def questions(self, phase: int, phases: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams and how often they occur in the slice's training texts (seen: by place). Words have a
-        count of 0: theirs come from the table of word counts."""
-        keys, index, tokens, whole, of_triple, (n1, n2), ends = self.asked(phase, phases)
-        c2 = np.bincount(index[ends], weights=seen[ends], minlength=n2)
-        c3 = np.bincount(of_triple, weights=seen[tokens[whole]], minlength=len(keys) - n1 - n2)
-        return keys, np.concatenate([np.zeros(n1), c2, c3]).astype(np.int64)
-
-    def walk(self, phase: int, phases: int, counts: np.ndarray, root: Root) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's log10 arc weight in this phase (0 in others), given the counts of all n-grams asked
-        for; and the words' counts."""
-        _, index, tokens, whole, of_triple, (n1, n2), _ = self.asked(phase, phases)
-        single, double, triple = counts[:n1], counts[n1 : n1 + n2], counts[n1 + n2 :]
-        p = root.probability(single[self.codes[tokens]])
-        p = (double[index[tokens]] + MU[0] * p) / (single[self.middle[tokens]] + MU[0])
-        last = tokens[whole]
-        p[whole] = (triple[of_triple] + MU[1] * p[whole]) / (double[index[last - 1]] + MU[1])
-        out = np.zeros(len(self.codes))
-        out[tokens] = np.log10(p)
-        return out, single
-
-
-ROSTER = "h array<long>, x array<int>, at array<int>, ids array<long>, t1 array<long>, t2 array<long>, held array<boolean>"
-ASKED = f"g long, slice long, c array<long>, {ROSTER}"
-ANSWERED = f"slice long, g long, c array<long>, {ROSTER}"
-
-
-def _list(values, kind: pa.DataType, n: int = 1) -> pa.Array:
-    """n equal lists, or a null one for no values."""
-    if values is None:
-        return pa.nulls(n, pa.list_(kind))
-    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+        self.middle[self.first] = np.searchsorted(self.words, H.END)
+        self.whole = np.ones(len(self.codes), bool)  # places that end a trigram
+        self.whole[self.first] = False
+        self._hashes: list[np.ndarray] = []
+
+    def hashes(self, order: int) -> np.ndarray:
+        """The n-gram that ends at each place."""
+        if not self._hashes:
+            last = self.words[self.codes]
+            pair = H.chain(self.words[self.middle], last)
+            before = np.zeros_like(pair)
+            before[1:] = pair[:-1]
+            self._hashes = [last, pair, H.chain(before, last)]
+        return self._hashes[order - 1]
+
+    def asked(self, order: int, phase: int, phases: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams of a phase, the places they end at, and which of them does there."""
+        h = self.hashes(order)
+        mine = (h >> np.uint64(9)) % np.uint64(phases) == phase
+        places = np.flatnonzero(mine & self.whole if order == 3 else mine)
+        keys, which = np.unique(h[places], return_inverse=True)
+        return keys, places, which
+
+    def questions(self, order: int, phase: int, phases: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams and how often they occur in the slice's training texts (seen: by place)."""
+        keys, places, which = self.asked(order, phase, phases)
+        return keys, np.bincount(which, weights=seen[places], minlength=len(keys)).astype(np.int64)
+
+    def walk(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: Root) -> np.ndarray:
+        """Each place's log10 arc weight, given the training counts of the n-grams that end there."""
+        of_word = np.zeros(len(self.words))
+        of_word[self.codes] = c1
+        p = (c2 + MU[0] * root.probability(c1)) / (of_word[self.middle] + MU[0])
+        last = np.flatnonzero(self.whole)
+        p[last] = (c3[last] + MU[1] * p[last]) / (c2[last - 1] + MU[1])
+        return np.log10(p)
+
+
+SLICES = "slice long, d binary, x binary, at binary, ids array<long>, held array<boolean>"
+_ZSTD = pa.Codec("zstd")
+
+
+def _pack(values: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind)
+
+
+def _list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _slicing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    number = itertools.count(TaskContext.get().partitionId() << 32)
+    for batch in H.slices(batches):
+        if len(batch):
+            tokens, at = _tokens(batch.column("text"))
+            words, codes = np.unique(tokens, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([next(number)]), pa.array([words.tobytes()]), pa.array([_pack(codes.astype(np.int32))]), pa.array([_pack(at)]), *(_list(batch.column(c)) for c in ("doc_id", "held_out"))],
+                names=[x.split()[0] for x in SLICES.split(", ")],
+            )
+
+
+def _opened(d: bytes, x: bytes, at: bytes) -> Slice:
+    return Slice(np.frombuffer(d, np.uint64), _unpack(x, np.int32), _unpack(at, np.int64))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Slice, np.ndarray]]:
+    """Each slice of a batch: its number, itself, and by place whether the text is one of training."""
+    for i in range(len(batch)):
+        get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+        own = _opened(get("d"), get("x"), get("at"))
+        held = batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+        yield get("slice"), own, np.repeat(~held, np.diff(own.at))
 
 
 def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,49 +177,34 @@ def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _row(names: list[str], **columns) -> pa.RecordBatch:
-    kinds = {"c": pa.int64(), "h": pa.int64(), "x": pa.int32(), "at": pa.int32(), "ids": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "held": pa.bool_()}
-    return pa.RecordBatch.from_arrays([_list(columns.get(k), kinds[k]) if k in kinds else pa.array([columns[k]], pa.int64()) for k in names], names=names)
-
-
-def _asking(phase: int, phases: int, buckets: int):
-    names = [x.split()[0] for x in ASKED.split(", ")]
+def word_counts(slices: DataFrame) -> DataFrame:
+    """(h, c): how often every word, and the end token, occurs in training texts; words of other texts have 0."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, own, seen in _rows(batch):
+                keys, c = own.questions(1, 0, 1, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-        number = itertools.count(TaskContext.get().partitionId() << 32)
-        for batch in H.slices(batches):
-            if not len(batch):
-                continue
-            tokens, at = _tokens(batch.column("text"))
-            words, codes = np.unique(tokens, return_inverse=True)
-            own, me = Slice(words, codes.astype(np.int32), at), next(number)
-            held = batch.column("held_out")
-            seen = np.repeat(~np.asarray(held.to_numpy(zero_copy_only=False), bool), np.diff(at))
-            keys, c = own.questions(phase, phases, seen)
-            order, cut = _split(keys, buckets)
-            keys, c = keys[order].view(np.int64), c[order]
-            for g in np.flatnonzero(np.diff(cut)):
-                yield _row(names, g=g, slice=me, h=keys[cut[g] : cut[g + 1]], c=c[cut[g] : cut[g + 1]])
-            yield _row(names, g=me % buckets, slice=me, h=words.view(np.int64), x=own.codes, at=at.astype(np.int32), ids=batch.column("doc_id"), t1=batch.column("t1"), t2=batch.column("t2"), held=held)
+    return slices.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
-    return ask
 
+ASKED = "g long, slice long, h array<long>, c array<long>"
+COUNTED = "slice long, g long, c array<long>"
 
-def _known(buckets: int):
-    """The table of word counts as rows of its own, which no slice asked."""
-    names = [x.split()[0] for x in ASKED.split(", ")]
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asking(order: int, phase: int, phases: int, buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, c = batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
-            order, cut = _split(keys, buckets)
-            for g in np.flatnonzero(np.diff(cut)):
-                part = order[cut[g] : cut[g + 1]]
-                yield _row(names, g=g, slice=-1, h=keys[part].view(np.int64), c=c[part])
+            for me, own, seen in _rows(batch):
+                keys, c = own.questions(order, phase, phases, seen)
+                by, cut = _split(keys, buckets)
+                g = np.flatnonzero(np.diff(cut))
+                ends = pa.array(np.append(cut[g], cut[-1:] if len(g) else [0]).astype(np.int32))
+                lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), me)), lists(keys[by].view(np.int64)), lists(c[by])], names=["g", "slice", "h", "c"])
 
-    return tell
+    return ask
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -218,9 +213,7 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket: every n-gram's count over all slices, to each slice that asked; texts pass through."""
-    names = [x.split()[0] for x in ANSWERED.split(", ")]
-    roster = [x.split()[0] for x in ROSTER.split(", ")]
+    """Rows by bucket: every n-gram's count over all slices, to each slice that asked."""
     held: list[tuple] = []
     at = None
 
@@ -228,20 +221,12 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             keys, back = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
             total = np.bincount(back, weights=np.concatenate([c for _, _, c in held]), minlength=len(keys))[back].astype(np.int64)
-            i = 0
-            for me, h, _ in held:
-                if me >= 0:
-                    yield _row(names, slice=me, g=at, c=total[i : i + len(h)])
-                i += len(h)
+            ends = np.cumsum([0, *(len(h) for _, h, _ in held)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([me for me, _, _ in held]), pa.array(np.full(len(held), at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(total))], names=["slice", "g", "c"])
         held.clear()
 
     for batch in batches:
-        texts = batch.column("x").is_valid().to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(texts):
-            own = batch.slice(int(i), 1)
-            yield pa.RecordBatch.from_arrays([own.column("slice"), pa.array([-1], pa.int64()), own.column("c"), *(own.column(c) for c in roster)], names=names)
-        some = batch.take(pa.array(np.flatnonzero(~texts)))
-        for g, me, h, c in zip(some.column("g").to_pylist(), some.column("slice").to_pylist(), _arrays(some.column("h")), _arrays(some.column("c")), strict=True):
+        for g, me, h, c in zip(batch.column("g").to_pylist(), batch.column("slice").to_pylist(), _arrays(batch.column("h")), _arrays(batch.column("c")), strict=True):
             if g != at:
                 yield from settle()
                 at = g
@@ -249,63 +234,76 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle()
 
 
-SCORES = "doc_id long, t1 long, t2 long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by slice and bucket: a slice's answers in one packed row."""
+    at, held = None, []
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_pack(np.concatenate(held))])], names=["slice", "c"])
+    for batch in batches:
+        for me, c in zip(batch.column("slice").to_pylist(), _arrays(batch.column("c")), strict=True):
+            if me != at:
+                if held:
+                    yield row()
+                at, held = me, []
+            held.append(c.copy())
+    if held:
+        yield row()
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _walking(phase: int, phases: int, buckets: int, root: Root):
+def _walking(phases: tuple[int, ...], buckets: int, root: Root):
     names = [x.split()[0] for x in SCORES.split(", ")]
 
-    def settle(row: pa.RecordBatch, answers: dict[int, np.ndarray]) -> pa.RecordBatch:
-        flat = lambda c: row.column(c).combine_chunks().flatten() if isinstance(row.column(c), pa.ChunkedArray) else row.column(c).flatten()
-        own = Slice(flat("h").to_numpy().view(np.uint64), flat("x").to_numpy(), flat("at").to_numpy().astype(np.int64))
-        keys = own.asked(phase, phases)[0]
-        order, _ = _split(keys, buckets)
-        counts = np.empty(len(keys), np.int64)
-        counts[order] = np.concatenate([answers[g] for g in sorted(answers)])
-        weight, single = own.walk(phase, phases, counts, root)
-        c = single[own.codes]
-        base = np.log10((c + 1) / (root.total + root.kinds + 1))
-        sums = [H.segment_sum(x, own.at, kind) for x, kind in (((c > 0).view(np.uint8), np.int64), (base, np.float64), (weight, np.float64))]
-        return pa.RecordBatch.from_arrays([flat("ids"), flat("t1"), flat("t2"), flat("held"), pa.array(np.diff(own.at)), *map(pa.array, sums)], names=names)
+    def settle(row: dict, answers: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
+        own = _opened(row["d"], row["x"], row["at"])
+        counts = []
+        for order, n in enumerate(phases, 1):
+            here = np.zeros(len(own.codes))
+            for phase in range(n):
+                keys, places, which = own.asked(order, phase, n)
+                if len(keys):
+                    c = np.empty(len(keys), np.int64)
+                    c[_split(keys, buckets)[0]] = _unpack(answers[order, phase], np.int64)
+                    here[places] = c[which]
+            counts.append(here)
+        weight, base = own.walk(*counts, root), np.log10((counts[0] + 1) / (root.total + root.kinds + 1))
+        sums = [H.segment_sum(x, own.at, kind) for x, kind in (((counts[0] > 0).view(np.uint8), np.int64), (base, np.float64), (weight, np.float64))]
+        return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(np.diff(own.at)), *map(pa.array, sums)], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, answers = None, {}
         for batch in batches:
-            for i, g in enumerate(batch.column("g").to_pylist()):
-                if g < 0:  # a slice's texts come before the answers
+            for i in range(len(batch)):
+                get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+                if get("o") == 0:  # a slice's texts come before the answers
                     if row is not None:
                         yield settle(row, answers)
-                    row, answers = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(i, 1)]) for c in batch.columns], names=batch.schema.names), {}
+                    row, answers = {c: get(c) for c in ("d", "x", "at", "ids", "held")}, {}
                 else:
-                    answers[g] = batch.column("c")[i].values.to_numpy().copy()
+                    answers[get("o"), get("k")] = get("c")
         if row is not None:
             yield settle(row, answers)
 
     return walk
 
 
-def score(docs: DataFrame, counts: DataFrame, phases: int = PHASES) -> DataFrame:
-    """docs (doc_id, held_out, text) scored, given the counts of the words of its training texts; see
-    the module's description."""
-    root = Root.of(counts)
+def score(docs: DataFrame, phases: tuple[int, ...] = PHASES) -> DataFrame:
+    """docs (doc_id, held_out, text) scored, learning from those not held out; see the module's description."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), "text")
+    slices = keep(own.mapInArrow(_slicing, SLICES))
+    root = Root.of(word_counts(slices).where("c > 0"))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(root.total // BUCKET) + 1)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), *text_key(), "text")
-    parts = []
-    for phase in range(phases):
-        asked = own.mapInArrow(_asking(phase, phases, buckets), ASKED).unionByName(counts.select("h", "c").mapInArrow(_known(buckets), ASKED))
-        answered = asked.repartition("g").sortWithinPartitions("g").mapInArrow(_answer, ANSWERED)
-        parts.append(keep(answered.repartition("slice").sortWithinPartitions("slice", "g").mapInArrow(_walking(phase, phases, buckets, root), SCORES)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    # Rows equal in id and text have equal parts; each phase has all of them.
-    summed = every.groupBy("doc_id", "t1", "t2", "held_out").agg(
-        (F.count("*") / phases).cast("int").alias("times"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base_score").alias("base_score"), F.sum("score").alias("score")
-    )
-    each = summed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(root.total)).cast("long").alias("train_tokens"), "base_score", (F.col("score") / F.col("times")).alias("score"))
+    parts = slices.select("slice", F.lit(0).alias("o"), F.lit(0).alias("k"), "d", "x", "at", "ids", "held", F.lit(None).cast("binary").alias("c"))
+    for order, n in enumerate(phases, 1):
+        for phase in range(n):
+            asked = slices.select("slice", "d", "x", "at", "held").mapInArrow(_asking(order, phase, n, buckets), ASKED)
+            answered = asked.repartition("g").sortWithinPartitions("g").mapInArrow(_answer, COUNTED)
+            counts = keep(answered.repartition("slice").sortWithinPartitions("slice", "g").mapInArrow(_gathered, "slice long, c binary"))
+            parts = parts.unionByName(counts.select("slice", F.lit(order).alias("o"), F.lit(phase).alias("k"), "c"), allowMissingColumns=True)
+    out = keep(parts.repartition("slice").sortWithinPartitions("slice", "o", "k").mapInArrow(_walking(phases, buckets, root), SCORES))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(root.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_fold("doc_id", 7) == 2)
-    return score(docs, keep(word_counts(docs.where(~F.col("held_out")))))
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_fold("doc_id", 7) == 2))
