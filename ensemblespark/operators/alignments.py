@@ -56,3 +56,21 @@ def pair_by_species(msa: DataFrame, most: int = 600) -> DataFrame:
     by = Window.partitionBy("chain", "species").orderBy(F.col("sim").desc(), "row_idx")
     ranked = rows.drop("seq").join(alike, ["chain", "row_idx"]).select("species", "chain", "row_idx", "take", F.row_number().over(by).cast("long").alias("rank"))
     return ranked.where("rank <= take").select("species", "rank", "chain", "row_idx")
+
+
+def cluster_profile(msa: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(chain, center, col, letter, share, members): how many of a center's members, itself included, have a letter at
+    a place; a member that is too short counts as having none."""
+    members = assigned.groupBy("chain", "center").agg(F.count("*").alias("members"))
+    rows = msa.where("seq <> ''").join(assigned, ["chain", "row_idx"]).select("chain", "center", F.posexplode(F.split("seq", "")).alias("col", "letter")).where("letter <> ''")
+    counts = rows.groupBy("chain", "center", "col", "letter").agg(F.count("*").alias("k"))
+    return counts.join(members, ["chain", "center"]).select("chain", "center", "col", "letter", (F.col("k") / F.col("members")).alias("share"), "members")
+
+
+def crop_sizes(msa: DataFrame, paired: DataFrame, size: int) -> DataFrame:
+    """(chain, paired, unpaired): rows kept of each chain for an alignment of `size` rows: up to half of them
+    paired, by species and rank, and of all rows as many as the paired ones that aren't all gaps leave."""
+    top = paired.withColumn("_p", F.row_number().over(Window.partitionBy("chain").orderBy("species", "rank"))).where(F.col("_p") <= size // 2)  # a chain's paired rows: at most 600 a species
+    k = top.join(msa.select("chain", "row_idx", "seq"), ["chain", "row_idx"]).groupBy("chain").agg(F.count("*").alias("paired"), F.count(F.when(F.col("seq").rlike("[^-]"), 1)).alias("_full"))
+    own = msa.groupBy("chain").agg(F.count("*").alias("_n")).join(k, "chain", "left")
+    return own.select("chain", F.coalesce("paired", F.lit(0)).alias("paired"), F.least("_n", F.greatest(size - F.coalesce("_full", F.lit(0)), F.lit(0))).alias("unpaired"))

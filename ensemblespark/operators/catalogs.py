@@ -180,3 +180,19 @@ def mixture(draws: DataFrame, draw: str, items: DataFrame, source: str, order: l
     sizes = items.groupBy(source).agg(F.count("*").alias("_size"))
     placed = own.join(small(sizes, len(shares)), source).withColumn("_i", (F.col("_k") - 1) % F.col("_size") + 1)
     return placed.join(pool, [source, "_i"]).select(draw, source, *[c for c in items.columns if c != source and c != "h"])
+
+
+def match_names(rows: DataFrame, reference: DataFrame, group: str) -> DataFrame:
+    """rows (group, key, ...) whose key the reference (key, at) has, numbered by group in the reference's order.
+    A key that the reference, or a group, has more than once matches nothing."""
+    once = reference.groupBy("key").agg(F.min("at").alias("_at"), F.count("*").alias("_n")).where("_n = 1").select("key", "_at")
+    single = rows.groupBy(group, "key").agg(F.count("*").alias("_n")).where("_n = 1").select(group, "key")
+    own = rows.join(once, "key").join(single, [group, "key"])
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_at")).cast("long")).drop("_at")  # a structure's atoms
+
+
+def verify(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, problem) of what is listed (name, digest) against what is there: missing, corrupt or not listed."""
+    both = listed.select("name", F.col("digest").alias("_want")).join(found.select("name", F.col("digest").alias("_have")), "name", "full_outer")
+    problem = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "not listed").when(F.col("_want") != F.col("_have"), "corrupt")
+    return both.select("name", problem.alias("problem")).where("problem is not null")

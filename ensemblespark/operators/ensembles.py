@@ -88,16 +88,16 @@ def distance_variance(frames: DataFrame, sep: int = 1) -> DataFrame:
 
 
 def contact_jaccard(a: DataFrame, b: DataFrame, native: DataFrame) -> DataFrame:
-    """(weak, transient): Jaccard of contacts lost (native, p < 0.9) and gained (not native, p > 0.1)
-    between two tables of contact probabilities; null if neither has any."""
-    own = a.select("i", "j", F.col("p").alias("pa")).join(b.select("i", "j", F.col("p").alias("pb")), ["i", "j"]).join(native.select("i", "j", "native"), ["i", "j"])
+    """(ensemble_id, weak, transient): Jaccard of contacts lost (native, p < 0.9) and gained (not native,
+    p > 0.1) between one table of contact probabilities and those of b's ensembles; null if neither has any."""
+    own = a.select("i", "j", F.col("p").alias("pa")).join(b.select("ensemble_id", "i", "j", F.col("p").alias("pb")), ["i", "j"]).join(native.select("i", "j", "native"), ["i", "j"])
 
     def jaccard(x: Column, y: Column) -> Column:
         return F.sum((x & y).cast("long")) / F.nullif(F.sum((x | y).cast("long")), F.lit(0))
 
     weak = [F.col("native") & (F.col(c) < 0.9) for c in ("pa", "pb")]
     new = [~F.col("native") & (F.col(c) > 0.1) for c in ("pa", "pb")]
-    return own.agg(jaccard(*weak).alias("weak"), jaccard(*new).alias("transient"))
+    return own.groupBy("ensemble_id").agg(jaccard(*weak).alias("weak"), jaccard(*new).alias("transient"))
 
 
 def bond_clash(frames: DataFrame, low: float = 3.5, high: float = 4.2, clash: float = 3.5, sep: int = 3) -> DataFrame:
@@ -144,25 +144,16 @@ def hist_overlap(a: DataFrame, b: DataFrame, channel: str, value: str, bins: int
     return counts.groupBy(channel).agg(F.sum(F.least(F.col("p") / F.greatest("np", F.lit(1)), F.col("q") / F.greatest("nq", F.lit(1)))).alias("overlap"))
 
 
-def residue_confidence(a: DataFrame, b: DataFrame, sep: int = 6, bins: int = 40) -> DataFrame:
-    """(i, confidence): 100 times the mean overlap of each point's distance histograms in two ensembles."""
-    def sides(frames: DataFrame) -> DataFrame:
-        d = pair_distances(frames, sep).select("i", "j", "d")
-        return d.select(F.struct(F.col("i").alias("i"), F.col("j").alias("j")).alias("pair"), "d")
+def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by, rho): rank correlation with mean ranks for ties; null if one side is constant."""
+    by = by or []
 
-    o = hist_overlap(sides(a), sides(b), "pair", "d", bins)
-    ends = o.select(F.explode(F.array("pair.i", "pair.j")).alias("i"), "overlap")
-    return ends.groupBy("i").agg((100 * F.avg("overlap")).alias("confidence"))
-
-
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with mean ranks for ties; null if one side is constant."""
     def ranked(df: DataFrame, c: str) -> DataFrame:
-        mean = places(df.select(c), [], [c], "_place").groupBy(c).agg(F.avg("_place").alias(f"r_{c}"))
-        return df.join(mean, c)
+        mean = places(df.select(*by, c), by, [c], "_place").groupBy(*by, c).agg(F.avg("_place").alias(f"r_{c}"))
+        return df.join(mean, [*by, c])
 
-    both = ranked(ranked(rows.select(x, y), x), y)
-    return both.agg(F.when((F.stddev_pop(f"r_{x}") > 0) & (F.stddev_pop(f"r_{y}") > 0), F.corr(f"r_{x}", f"r_{y}")).alias("rho"))
+    both = ranked(ranked(rows.select(*by, x, y), x), y)
+    return both.groupBy(*by).agg(F.when((F.stddev_pop(f"r_{x}") > 0) & (F.stddev_pop(f"r_{y}") > 0), F.corr(f"r_{x}", f"r_{y}")).alias("rho"))
 
 
 #: Frames of a block of distances.

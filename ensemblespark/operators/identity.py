@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions.expressions import kmers
 from ..sinks import keep
 from .components import components
 
+#: Bytes of a run that one 64-bit number holds.
+KMER = 8
+
 
 def star_edges(rows: DataFrame, key: Column, node: str) -> DataFrame:
     """(a, b): every node with the least node of its key; one edge per node, never all pairs.
@@ -67,3 +72,38 @@ def id_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def fraction_split(keys: DataFrame, point: Column, val: float, test: float) -> DataFrame:
     """Each key's split by where its hash point falls among the cumulative fractions."""
     return keys.withColumn("split", F.when(point < test, "test").when(point < test + val, "val").otherwise("train"))
+
+
+def _kmer_hashes(batches):
+    """(id, k): hashes of the distinct runs of KMER bytes of each text, or of all of a shorter one."""
+    for batch in batches:
+        ids, keys = [], []
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist(), strict=True):
+            data = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+            width = min(KMER, len(data))
+            key = np.zeros(len(data) - width + 1, np.uint64)
+            for k in range(width):
+                key = key << np.uint64(8) | data[k : len(data) - width + 1 + k]
+            own = np.unique(key)
+            ids.append(np.full(len(own), i))
+            keys.append(own)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "k"])
+
+
+def contained_pairs(texts: DataFrame, least: int = 20) -> DataFrame:
+    """(short, long) of texts (id long, s), all different: every text of at least `least` letters that is a part of another.
+
+    A text's runs of KMER bytes, packed exactly, are all in a text that holds it, so the rarest of them is:
+    candidates are the texts that hold a text's rarest run, and those are then looked through."""
+    own = texts.where(F.length("s") > 0)
+    runs = keep(own.select("id", "s").mapInArrow(_kmer_hashes, "id long, k long"))
+    counts = runs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    # A text with a run that no other has is in no other.
+    alone = runs.join(counts.select("k"), "k", "left_anti").select("id").distinct()
+    open_ = own.where(F.length("s") >= least).select("id").join(alone, "id", "left_anti")
+    rarest = runs.join(open_, "id").join(counts, "k").groupBy("id").agg(F.min(F.struct("n", "k")).alias("r")).select(F.col("id").alias("short"), F.col("r.k").alias("k"))
+    pairs = keep(rarest.join(runs.select("k", F.col("id").alias("long")), "k").where("short <> long").select("short", "long"))
+    text = lambda name, c: own.select(F.col("id").alias(name), F.col("s").alias(c))
+    held = pairs.join(text("short", "a"), "short").join(text("long", "b"), "long").where((F.length("a") < F.length("b")) & F.contains("b", F.col("a")))
+    return held.select("short", "long")

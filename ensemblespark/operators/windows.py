@@ -184,3 +184,15 @@ def window_violations(frames: Column, source: Column, target: Column) -> Column:
     """Faults of a window: a repeated frame, a last frame that isn't the target, a first one that isn't the source."""
     checks = [(F.size(F.array_distinct(frames)) < F.size(frames), "repeat"), (F.element_at(frames, -1) != target, "target"), (F.element_at(frames, 1) != source, "source")]
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))
+
+
+def pooled(frames: DataFrame, family: str, replica: str, order: str, stride: int, least: int) -> DataFrame:
+    """(family, replica, order, place): every stride-th frame of replicas of at least `least` frames, numbered through
+    a family, replica after replica. Only the replicas' sizes are added up across a family."""
+    by = Window.partitionBy(replica)
+    own = frames.select(family, replica, order, (F.row_number().over(by.orderBy(order)) - 1).alias("_i"), F.count("*").over(by).alias("_n"))
+    kept = own.where((F.col("_n") >= least) & (F.col("_i") % stride == 0))
+    sizes = kept.groupBy(family, replica).agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(family).orderBy(replica).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(family, replica, before.alias("_before"))
+    return kept.join(offsets, [family, replica]).select(family, replica, order, (F.col("_before") + F.floor(F.col("_i") / stride) + 1).cast("long").alias("place"))

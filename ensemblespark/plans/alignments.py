@@ -73,16 +73,23 @@ def sample_msa(spark, d):
     return view(spark, d, "msa_v").select("chain", "row_idx", (F.row_number().over(Window.partitionBy("chain").orderBy(key)) <= 16).alias("sampled"))
 
 
-@query("mask_tokens", ["msa_v"], LETTERS + " select chain, row_idx, col from c where letter <> '-' and ('0x' || substr(sha256('6|' || chain || '|' || row_idx || '|' || col), 1, 12))::bigint / 281474976710656.0 < 0.15")
+@query("mask_tokens", ["msa_v"], LETTERS + """,
+    m as (select chain, row_idx, col, letter, letter <> '-' and ('0x' || substr(sha256('6|' || chain || '|' || row_idx || '|' || col), 1, 12))::bigint / 281474976710656.0 < 0.15 as hit from c where chain is not null)
+    select chain, row_idx, count(case when hit and letter <> 'X' then 1 end) as masked, md5(string_agg(case when hit then 'X' else letter end, '' order by col)) as digest from m group by chain, row_idx""")
 def mask_tokens(spark, d):
-    c = _columns(spark, d)
-    return c.where((F.col("letter") != "-") & (X.unit_hash(F.lit(6), F.col("chain"), F.col("row_idx"), F.col("col"), sep="|") < 0.15)).select("chain", "row_idx", "col")
+    """Rows with a seeded share of their letters, gaps aside, replaced by X: how many, and the digest of what comes out."""
+    m = view(spark, d, "msa_v").where("seq <> '' and chain is not null")
+    hit = lambda x, i: (x != "-") & (X.unit_hash(F.lit(6), F.col("chain"), F.col("row_idx"), i, sep="|") < 0.15)
+    letters = F.filter(F.split("seq", ""), lambda x: x != "")
+    masked = m.select("chain", "row_idx", F.transform(letters, lambda x, i: F.when(hit(x, i), "X").otherwise(x)).alias("new"), letters.alias("old"))
+    changed = F.size(F.filter(F.zip_with("new", "old", lambda a, b: (a == "X") & (b != "X")), lambda x: x))
+    return masked.select("chain", "row_idx", changed.cast("long").alias("masked"), F.md5(F.array_join("new", "")).alias("digest"))
 
 
-@query("deletion_scale", ["msa_v"], "select chain, row_idx, round(atan((length(seq) - length(regexp_replace(seq, '[a-z]', '', 'g'))) / 3.0) * 2 / pi(), 6) as scaled from msa_v")
+@query("deletion_scale", ["msa_v"], "n as (select chain, row_idx, length(seq) - length(regexp_replace(seq, '[a-z]', '', 'g')) as n from msa_v) select chain, row_idx, round(atan(n / 3.0) * 2 / pi(), 6) as scaled, cast(least(n, 1) as int) as has from n")
 def deletion_scale(spark, d):
     n = F.length("seq") - F.length(F.regexp_replace("seq", "[a-z]", ""))
-    return rounded(view(spark, d, "msa_v").select("chain", "row_idx", X.deletion_scale(n).alias("scaled")), "scaled")
+    return rounded(view(spark, d, "msa_v").select("chain", "row_idx", X.deletion_scale(n).alias("scaled"), F.least(n, F.lit(1)).alias("has")), "scaled")
 
 
 AGREE = """
@@ -155,3 +162,14 @@ def truncate_msa(spark, d):
     top = first.select("chain", "species", F.dense_rank().over(Window.partitionBy("chain").orderBy("f")).alias("r")).where("r <= 2").drop("r")
     return m.join(top, ["chain", "species"], "left_semi").select("chain", "species", "row_idx")
 
+
+@query("crop_chain_msa", ["msa_v"], LETTERS + "," + AGREE + """,
+    g as (select chain, species, count(*) as n from msa_v where species <> '' group by chain, species), e as (select species, min(n) as n from g group by species having count(*) > 1 and max(n) <= 600),
+    r as (select chain, species, row_idx, row_number() over (partition by chain, species order by sim desc, row_idx) as rank from s),
+    p as (select r.chain, r.row_idx, row_number() over (partition by r.chain order by r.species, r.rank) as place from r join e on r.species = e.species where r.rank <= e.n),
+    k as (select p.chain, count(*) as paired, count(case when regexp_matches(seq, '[^-]') then 1 end) as full_ from p join msa_v m on m.chain = p.chain and m.row_idx = p.row_idx where place <= 8 group by p.chain), n as (select chain, count(*) as n from msa_v group by chain)
+    select n.chain, coalesce(paired, 0) as paired, least(n, greatest(16 - coalesce(full_, 0), 0)) as unpaired from n left join k on n.chain = k.chain where n.chain is not null""")
+def crop_chain_msa(spark, d):
+    """How many paired rows (half of sixteen at most) and unpaired rows (the rest, less the paired ones that aren't all gaps) of each chain are kept."""
+    m = view(spark, d, "msa_v").where("chain is not null")
+    return A.crop_sizes(m, A.pair_by_species(m), 16)

@@ -291,10 +291,11 @@ def split_select(spark, d):
 
 @query("merge_catalogs", ["members_v"], """
     a as (select distinct family_id from members_v where is_trajectory), b as (select distinct family_id from members_v where not is_trajectory)
-    select family_id, family_id in (select family_id from a) as left_side, family_id in (select family_id from b) as right_side from (select family_id from a union select family_id from b)""")
+    select family_id, family_id in (select family_id from a) as left_side, family_id in (select family_id from b) as right_side, family_id in (select family_id from a) and family_id in (select family_id from b) as collision from (select family_id from a union select family_id from b)""")
 def merge_catalogs(spark, d):
     m = view(spark, d, "members_v")
-    return m.groupBy("family_id").agg(F.max("is_trajectory").alias("left_side"), F.max(~F.col("is_trajectory")).alias("right_side"))
+    both = m.groupBy("family_id").agg(F.max("is_trajectory").alias("left_side"), F.max(~F.col("is_trajectory")).alias("right_side"))
+    return both.withColumn("collision", F.col("left_side") & F.col("right_side"))
 
 
 @query("merge_index", ["members_v"], """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import power
 from ..operators import ensembles as E
 from .catalogs import rounded
-from .ensembles import PAIRS
+from .ensembles import NEAR, PAIRS
 from .records import PAIRED, _paired
 from .views import oracle, view
 
@@ -171,10 +171,7 @@ def native_fraction(spark, d):
     return rounded(p.groupBy("ensemble_id", "frame_idx").agg(F.avg((F.col("d") <= 1.2 * F.col("d0")).cast("double")).alias("q")), "q")
 
 
-NEAR = "n as (select ensemble_id, i, j from d where j - i >= 3 group by ensemble_id, i, j having median(d) <= 30), b as (select ensemble_id, i, j from n union all select ensemble_id, j, i from n)"
-
-
-@query("local_neighbours", ["frames_v"], PAIRS + ", " + NEAR + " select ensemble_id, i, j from b")
+@query("local_neighbours", ["frames_v"], PAIRS + ", " + NEAR + " select ensemble_id, i, j from k")
 def local_neighbours(spark, d):
     """Points at least three apart along the chain whose median distance is within 30 (coordinates are stretched here)."""
     return E.local_neighbours(view(spark, d, "frames_v"), 30.0)
@@ -254,11 +251,28 @@ def verdict(spark, d):
 
     s = _paired(spark, d).groupBy("metric").agg(F.count("diff").alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd"))
     s = s.join(floor_spread(spark, d), "metric", "left")
-    sizes = sorted({r.n for r in s.select("n").distinct().collect() if r.n > 1})  # a number of families each
-    table = spark.createDataFrame([(n, power.t_critical(n - 1), power.detectable(n)) for n in sizes] or [(0, None, None)], "n long, t double, k double")
-    s = s.join(table, "n", "left")
+    s = s.join(_critical(spark, s), "n", "left")
     half = F.col("t") * F.col("sd") / F.sqrt("n")
     s = s.select("metric", "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), (F.col("k") * F.col("sd")).alias("detectable"), "spread")
     clear = ((F.col("low") > 0) | (F.col("high") < 0)) & (F.abs("mean") >= F.col("detectable"))
     word = F.when((F.col("n") < 2) | ~F.coalesce(clear, F.lit(False)), "cannot resolve").when(F.abs("mean") < F.col("spread"), "supported but within the floor").otherwise("supported")
     return rounded(rounded(s.select("metric", "n", "mean", "low", "high", "detectable", word.alias("verdict")), "mean"), "low", "high", "detectable", digits=5)
+
+
+@query("paired_t", ["arms_v"], PAIRED + f""",
+    q as (select * from (values {_T}) v(n, t, k)), s as (select metric, count(diff) as n, avg(diff) as mean, stddev_samp(diff) as sd, cast(greatest(sum(case when diff > 0 then 1 else 0 end), sum(case when diff < 0 then 1 else 0 end)) as bigint) as same_sign from p group by metric)
+    select metric, s.n, round(mean, 6) as mean, round(sd, 6) as sd, same_sign, round(mean - t * sd / sqrt(s.n), 5) as low, round(mean + t * sd / sqrt(s.n), 5) as high, round(k * sd, 5) as detectable from s left join q on q.n = s.n""")
+def paired_t(spark, d):
+    """Paired differences of each metric: mean, deviation, how many have the same sign, t interval, detectable effect."""
+    count = lambda c: F.sum(c.cast("long"))
+    s = _paired(spark, d).groupBy("metric").agg(F.count("diff").alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd"), F.greatest(count(F.col("diff") > 0), count(F.col("diff") < 0)).alias("same_sign"))
+    s = s.join(_critical(spark, s), "n", "left")
+    half = F.col("t") * F.col("sd") / F.sqrt("n")
+    s = s.select("metric", "n", "mean", "sd", "same_sign", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), (F.col("k") * F.col("sd")).alias("detectable"))
+    return rounded(rounded(s, "mean", "sd"), "low", "high", "detectable", digits=5)
+
+
+def _critical(spark, stats):
+    """(n, t, k): critical value and detectable effect for each number of pairs that occurs."""
+    sizes = sorted({r.n for r in stats.select("n").distinct().collect() if r.n > 1})  # a number of families each
+    return spark.createDataFrame([(n, power.t_critical(n - 1), power.detectable(n)) for n in sizes] or [(0, None, None)], "n long, t double, k double")

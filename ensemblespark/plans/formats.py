@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..operators import catalogs as C
 from ..operators.selection import latest_per_key
 from ..sources import text as T
 from .catalogs import rounded
@@ -234,3 +235,46 @@ def write_heldout_manifest(spark, d):
     path = sinks.write_lines(lines.union(head), "value", sinks.own_folder(spark, "heldout"))
     own = spark.read.schema("family_id long, cases array<int>, split string").json(path).where("split is null")
     return own.select("family_id", F.size("cases").cast("long").alias("cases"), F.get("cases", F.lit(0)).alias("first"))
+
+
+@query("scan_stockholm", ["msa_v"], """
+    t as (select chain, row_idx, regexp_replace(seq, '\\s', '-', 'g') as seq from msa_v where chain is not null and seq <> ''), c as (select chain, row_idx, unnest(string_split(seq, '')) as letter, unnest(range(0, length(seq))) as col from t),
+    f as (select chain, min(row_idx) as first from t group by chain), q as (select c.chain, col, letter from c join f on c.chain = f.chain and row_idx = first),
+    x as (select c.*, coalesce(q.letter, '') <> '-' as keep from c left join q on q.chain = c.chain and q.col = c.col)
+    select chain, row_idx, count(case when keep then 1 end) as places, md5(coalesce(string_agg(case when keep then letter end, '' order by col), '')) as digest, count(case when not keep and letter <> '-' and col < lastk then 1 end) as deletions
+    from (select *, max(case when keep then col end) over (partition by chain, row_idx) as lastk from x) group by chain, row_idx""")
+def scan_stockholm(spark, d):
+    """Alignments in blocks of sixty letters, read back without the places where their first row has a gap."""
+    m = view(spark, d, "msa_v").where("chain is not null and seq <> ''").select("chain", "row_idx", F.regexp_replace("seq", r"\s", "-").alias("seq"))
+    block = F.explode(F.expr("transform(sequence(0, (length(seq) - 1) div 60), i -> named_struct('at', i, 'part', substring(seq, 60 * i + 1, 60)))"))
+    lines = m.select("chain", "row_idx", block.alias("b")).select("chain", (F.col("b.at") * 1_000_000_000 + F.col("row_idx")).alias("line_no"), F.concat(F.lit("r"), F.col("row_idx").cast("string"), F.lit(" "), F.col("b.part")).alias("line"))
+    path = sinks.write_lines(lines.select(F.to_json(F.struct("chain", "line_no", "line")).alias("value")), "value", sinks.own_folder(spark, "stockholm"))
+    rows = T.stockholm_rows(spark.read.schema("chain string, line_no long, line string").json(path), ["chain"])
+    own = T.without_query_gaps(rows, ["chain"])
+    total = F.aggregate("deletions", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return own.select("chain", F.substring("name", 2, 12).cast("int").alias("row_idx"), F.length("aligned").cast("long").alias("places"), F.md5("aligned").alias("digest"), total.alias("deletions"))
+
+
+def _digests(spark, d):
+    from .streams import logs
+
+    f = T.file_digests(spark, logs(spark, d), "*.txt")
+    return f.select(F.regexp_extract("path", r"run=([^/]+)/", 1).alias("name"), "size", "digest")
+
+
+DIGESTS = "g as (select run as name, string_agg(line || chr(10), '' order by line_no) as content from log_v where line is not null group by run), s as (select name, cast(strlen(content) as bigint) as size, sha256(content) as digest from g)"
+
+
+@query("scan_file_digests", ["log_v"], DIGESTS + " select name, size, digest from s")
+def scan_file_digests(spark, d):
+    """Size and digest of each run's log file."""
+    return _digests(spark, d)
+
+
+@query("verify_payload", ["log_v"], DIGESTS + " select name, case name when 'run0' then 'corrupt' else 'not listed' end as problem from s where name in ('run0', 'run1') union all select 'run9', 'missing'")
+def verify_payload(spark, d):
+    """Log files against a list that has a wrong digest for one, lacks one and names one that isn't there."""
+    found = _digests(spark, d)
+    wrong = F.when(F.col("name") == "run0", F.reverse("digest")).otherwise(F.col("digest"))
+    lines = found.where("name <> 'run1'").select(F.concat(wrong, F.lit("  "), "name").alias("value")).union(spark.range(1).select(F.lit("00  run9").alias("value")))
+    return C.verify(T.digest_manifest(_written(spark, lines, "digests")), found)

@@ -74,11 +74,12 @@ def write_metrics_long(spark, d):
 
 
 @query("parse_checkpoint_name", ["log_v"], """
-    n as (select line_no, case line_no % 4 when 0 then concat(run, '_epoch', line_no % 9, '_step', line_no, '.pt') when 1 then concat(run, '_epoch', line_no % 9, '_end.pt') when 2 then concat(run, '_bestfwd_step', line_no, '.pt') else 'latest.pt' end as name, run from log_v)
-    select line_no, run as prefix, case line_no % 4 when 0 then 'epoch_step' when 1 then 'epoch_end' else 'bestfwd' end as kind, case when line_no % 4 < 2 then cast(line_no % 9 as int) end as epoch, case when line_no % 4 in (0, 2) then line_no end as step from n where line_no % 4 <> 3""")
+    select line_no, run as prefix, case line_no % 5 when 0 then 'epoch_step' when 1 then 'epoch_end' when 2 then 'bestfwd' else 'stopped' end as kind, case when line_no % 5 < 2 then cast(line_no % 9 as int) end as epoch, case when line_no % 5 in (0, 2, 3) then line_no end as step from log_v where line_no % 5 <> 4""")
 def parse_checkpoint_name(spark, d):
-    k, n, e = F.col("line_no") % 4, F.col("line_no").cast("string"), (F.col("line_no") % 9).cast("string")
-    name = F.when(k == 0, F.concat("run", F.lit("_epoch"), e, F.lit("_step"), n, F.lit(".pt"))).when(k == 1, F.concat("run", F.lit("_epoch"), e, F.lit("_end.pt"))).when(k == 2, F.concat("run", F.lit("_bestfwd_step"), n, F.lit(".pt"))).otherwise("latest.pt")
+    """Checkpoints' file names of four kinds, among names that are none."""
+    n, e = F.col("line_no").cast("string"), (F.col("line_no") % 9).cast("string")
+    forms = [[F.lit("-epoch"), e, F.lit("-step"), n], [F.lit("-epoch"), e, F.lit("-end")], [F.lit("-bestfwd-step"), n], [F.lit("-stopped-step"), n], [F.lit("-last")]]
+    name = F.element_at(F.array(*[F.concat("run", *f, F.lit(".ckpt")) for f in forms]), (F.col("line_no") % 5 + 1).cast("int"))
     own = view(spark, d, "log_v").select("line_no", name.alias("name"))
     return own.select("line_no", *T.checkpoint_name(F.col("name"))).where("kind is not null")
 

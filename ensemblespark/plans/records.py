@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import catalogs as C
+from ..operators import identity as I
 from ..operators import windows as W
 from .catalogs import rounded
 from .ensembles import LONG, _long
@@ -466,3 +467,50 @@ def heldout_cases(spark, d):
     iid = m.groupBy("family_id").agg(F.min("member_id").alias("member_id")).select(F.lit("iid").alias("task"), name.alias("id"), F.lit(None).cast("int").alias("start"))
     forward = W.start_grid(m, 5, 512).select(F.lit("forward").alias("task"), F.concat(name, F.lit("_f"), F.col("start").cast("string")).alias("id"), "start")
     return iid.unionByName(forward)
+
+
+@query("contained_pairs", ["families_v"], """
+    t as (select seqres, min(doc_id) as id from families_v where seqres <> '' group by seqres)
+    select a.id as short, b.id as long from t a join t b on length(a.seqres) >= 20 and length(a.seqres) < length(b.seqres) and contains(b.seqres, a.seqres)""")
+def contained_pairs(spark, d):
+    """Texts, equal ones once under their least id, that are part of another."""
+    f = view(spark, d, "families_v").where("seqres <> ''")
+    return I.contained_pairs(f.groupBy(F.col("seqres").alias("s")).agg(F.min("doc_id").alias("id")))
+
+
+@query("pooled_reference", ["trajectory_v"], """
+    n as (select family_id, replica, frame_idx, row_number() over (partition by replica order by frame_idx) - 1 as i, count(*) over (partition by replica) as n from trajectory_v)
+    select family_id, replica, frame_idx, row_number() over (partition by family_id order by replica, frame_idx) as place from n where n >= 20 and i % 5 = 0""")
+def pooled_reference(spark, d):
+    """Every fifth frame of each replica of at least twenty frames, a family's replicas one after the other."""
+    return W.pooled(view(spark, d, "trajectory_v"), "family_id", "replica", "frame_idx", 5, 20)
+
+
+@query("cluster_profile", ["msa_v"], """
+    c as (select chain, row_idx, unnest(string_split(seq, '')) as letter, unnest(range(0, length(seq))) as col from msa_v where seq <> ''),
+    a as (select x.chain, x.row_idx, y.row_idx as center, count(*) as n from c x join c y on x.chain = y.chain and x.col = y.col and x.letter = y.letter where x.row_idx >= 8 and y.row_idx < 8 and x.letter <> '-' group by x.chain, x.row_idx, y.row_idx),
+    p as (select x.chain, x.row_idx, y.row_idx as center from msa_v x join msa_v y on x.chain = y.chain where x.row_idx >= 8 and y.row_idx < 8),
+    m as (select chain, row_idx, center from (select p.*, row_number() over (partition by p.chain, p.row_idx order by coalesce(n, 0) desc, p.center) as rn from p left join a using (chain, row_idx, center)) where rn = 1 union all select chain, row_idx, row_idx from msa_v where row_idx < 8 and chain is not null),
+    s as (select chain, center, count(*) as members from m group by chain, center), l as (select m.chain, m.center, c.col, c.letter, count(*) as k from m join c on m.chain = c.chain and m.row_idx = c.row_idx group by 1, 2, 3, 4)
+    select l.chain, l.center, any_value(members) as members, count(*) as cells, round(sum((k / members) * (k / members)), 5) as squares from l join s using (chain, center) group by l.chain, l.center""")
+def cluster_profile(spark, d):
+    """Letter shares by place of each center and the rows nearest to it, itself included; summed up by center."""
+    from ..operators import alignments as A
+
+    m = view(spark, d, "msa_v").where("chain is not null")
+    near = A.agreement(m.where("row_idx >= 8"), m.where("row_idx < 8"), gaps=False).select("chain", "row_idx", "center")
+    own = near.unionByName(m.where("row_idx < 8").select("chain", "row_idx", F.col("row_idx").alias("center")))
+    p = A.cluster_profile(m, own)
+    return rounded(p.groupBy("chain", "center").agg(F.max("members").alias("members"), F.count("*").alias("cells"), F.sum(F.col("share") * F.col("share")).alias("squares")), "squares", digits=5)
+
+
+@query("atom_match", ["frames_v"], """
+    r as (select res_idx as place, concat('CA', res_idx % 19) as key from frames_v where ensemble_id = 0 and frame_idx = 0), k as (select key, min(place) as place from r group by key having count(*) = 1),
+    a as (select ensemble_id, res_idx, concat('CA', (res_idx + ensemble_id) % 21) as key from frames_v where frame_idx = 0)
+    select a.ensemble_id, a.res_idx, a.key, row_number() over (partition by a.ensemble_id order by k.place) as place from a join k using (key)""")
+def atom_match(spark, d):
+    """Atoms that a structure shares with the reference by name, in the reference's order; names that one side has twice are left out."""
+    f = view(spark, d, "frames_v").where("frame_idx = 0")
+    name = lambda k: F.concat(F.lit("CA"), k.cast("string"))
+    ref = f.where("ensemble_id = 0").select(name(F.col("res_idx") % 19).alias("key"), F.col("res_idx").alias("at"))
+    return C.match_names(f.select("ensemble_id", "res_idx", name((F.col("res_idx") + F.col("ensemble_id")) % 21).alias("key")), ref, "ensemble_id").select("ensemble_id", "res_idx", "key", "place")

@@ -24,7 +24,7 @@ def query(name: str, views: list[str], sql: str | None = None):
     return register
 
 
-def _logs(spark, d) -> str:
+def logs(spark, d) -> str:
     """A folder with a log file for each run, its lines in order."""
     path = sinks.own_folder(spark, "logs")
     own = view(spark, d, "log_v").where("line is not null").repartition("run").sortWithinPartitions("run", "line_no")
@@ -33,7 +33,7 @@ def _logs(spark, d) -> str:
 
 
 def _stream(spark, d):
-    return runs.log_stream(spark, _logs(spark, d) + "/*", r"run=([^/]+)/")
+    return runs.log_stream(spark, logs(spark, d) + "/*", r"run=([^/]+)/")
 
 
 PLACED = ROWS.replace("from log_v)", "from log_v where line is not null)") + ", q as (select *, cast(row_number() over (partition by run order by line_no) - 1 as int) as place from r)"
@@ -67,7 +67,7 @@ def stream_stall(spark, d):
 
 @query("stream_new_files", ["log_v"], "select run, cast(sum(length(line) + 1) as bigint) as size from log_v where line is not null group by run")
 def stream_new_files(spark, d):
-    f = runs.replay(runs.new_files(spark, _logs(spark, d), "*.txt"), "append", sinks.own_folder(spark, "stream"))
+    f = runs.replay(runs.new_files(spark, logs(spark, d), "*.txt"), "append", sinks.own_folder(spark, "stream"))
     return f.groupBy(F.regexp_extract("path", r"run=([^/]+)/", 1).alias("run")).agg(F.sum("size").alias("size"))
 
 

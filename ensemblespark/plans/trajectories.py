@@ -205,12 +205,16 @@ def even_subsample(spark, d):
 
 
 @query("split_halves", ["trajectory_v"], """
-    n as (select replica, segment, frame_idx, row_number() over (partition by replica, segment order by frame_idx) - 1 as i, count(*) over (partition by replica, segment) as n from trajectory_v)
-    select replica, segment, i % 2 as half, count(*) as frames, cast(sum(frame_idx) as bigint) as places from n where i < n - n % 2 group by replica, segment, i % 2""")
+    n as (select replica, segment, frame_idx, row_number() over (partition by replica, segment order by frame_idx) - 1 as i, count(*) over (partition by replica, segment) as n from trajectory_v),
+    h as (select *, i % 2 as half, 'interleaved' as kind from n where i < n - n % 2 union all select *, case when i < n // 2 then 0 else 1 end, 'block' from n where i < n - n % 2)
+    select kind, replica, segment, half, count(*) as frames, cast(sum(frame_idx) as bigint) as places from h group by kind, replica, segment, half""")
 def split_halves(spark, d):
+    """Halves of each segment, by turns or one after the other; an odd frame at the end is dropped."""
     by = Window.partitionBy("replica", "segment")
     n = view(spark, d, "trajectory_v").select("replica", "segment", "frame_idx", (F.row_number().over(by.orderBy("frame_idx")) - 1).alias("i"), F.count("*").over(by).alias("n"))
-    return n.where(F.col("i") < F.col("n") - F.col("n") % 2).groupBy("replica", "segment", (F.col("i") % 2).alias("half")).agg(F.count("*").alias("frames"), F.sum("frame_idx").alias("places"))
+    kinds = F.array(F.struct(F.lit("interleaved").alias("kind"), (F.col("i") % 2).alias("half")), F.struct(F.lit("block").alias("kind"), F.when(F.col("i") < F.floor(F.col("n") / 2), 0).otherwise(1).alias("half")))
+    h = n.where(F.col("i") < F.col("n") - F.col("n") % 2).select("replica", "segment", "frame_idx", F.explode(kinds).alias("h"))
+    return h.groupBy("h.kind", "replica", "segment", "h.half").agg(F.count("*").alias("frames"), F.sum("frame_idx").alias("places"))
 
 
 @query("arrow_cells", ["trajectory_v"], """

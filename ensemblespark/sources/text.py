@@ -40,12 +40,32 @@ def a3m_rows(records: DataFrame) -> DataFrame:
     return records.withColumns({"aligned": F.regexp_replace("sequence", "[a-z]", ""), "deletions": F.slice(counts, 1, F.size(counts) - 1)})
 
 
-def stockholm_rows(lines: DataFrame) -> DataFrame:
-    """(name, sequence) from (line_no, line): interleaved blocks joined by name; markup and blank lines skipped."""
+def stockholm_rows(lines: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group, name, first, sequence) from (group, line_no, line): interleaved blocks joined by name, first being a
+    name's first line; markup and blank lines skipped."""
+    group = group or []
     own = lines.where(~F.col("line").rlike(r"^(#|//|\s*$)"))
-    parts = own.select("line_no", F.regexp_extract("line", r"^(\S+)\s+(\S+)", 1).alias("name"), F.regexp_extract("line", r"^(\S+)\s+(\S+)", 2).alias("part"))
-    g = parts.groupBy("name").agg(F.min("line_no").alias("first"), F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("p"))
-    return g.select("name", "first", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("sequence"))
+    parts = own.select(*group, "line_no", F.regexp_extract("line", r"^(\S+)\s+(\S+)", 1).alias("name"), F.regexp_extract("line", r"^(\S+)\s+(\S+)", 2).alias("part"))
+    g = parts.groupBy(*group, "name").agg(F.min("line_no").alias("first"), F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("p"))
+    return g.select(*group, "name", "first", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("sequence"))
+
+
+def without_query_gaps(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Stockholm rows with `aligned`, their letters at the places where the alignment's first row has one, and
+    `deletions`, the letters left out before each of these."""
+    group = group or []
+    query = rows.groupBy(*group).agg(F.min(F.struct("first", F.col("sequence").alias("q"))).alias("_f")).select(*group, F.col("_f.q").alias("_q"))
+    own = rows.join(query, group) if group else rows.crossJoin(F.broadcast(query))  # one row
+    letters = F.transform(F.split("sequence", ""), lambda c, i: F.struct(c.alias("c"), (F.substring(F.col("_q"), i + 1, F.lit(1)) != "-").alias("keep")))
+    own = own.withColumn("_l", F.filter(letters, lambda x: x["c"] != ""))
+
+    def step(s: Column, x: Column) -> Column:
+        left_out = F.when(~x["keep"] & (x["c"] != "-"), s["n"] + 1).when(x["keep"], 0).otherwise(s["n"])
+        return F.struct(left_out.alias("n"), F.when(x["keep"], F.array_append(s["d"], s["n"])).otherwise(s["d"]).alias("d"))
+
+    counts = F.aggregate("_l", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("d")), step, lambda s: s["d"])
+    aligned = F.array_join(F.transform(F.filter("_l", lambda x: x["keep"]), lambda x: x["c"]), "")
+    return own.select(*rows.columns, aligned.alias("aligned"), counts.alias("deletions"))
 
 
 def pdb_atoms(lines: DataFrame) -> DataFrame:
@@ -101,12 +121,15 @@ def run_log(lines: DataFrame, run: str, order: str, line: str) -> DataFrame:
     ).where("kind is not null")
 
 
+#: Fixed value: the shape of a checkpoint's file name.
+CHECKPOINT = r"^([A-Za-z0-9]+)-(?:epoch([0-9]+)-(?:step([0-9]+)|(end))|(bestfwd|stopped)-step([0-9]+))\.ckpt$"
+
+
 def checkpoint_name(name: Column) -> list[Column]:
     """(prefix, kind, epoch, step) of a checkpoint's file name; kind null if it is none."""
-    part = lambda p, i: F.nullif(F.regexp_extract(name, p, i), F.lit(""))
-    es, ee, bf = r"^(.*)_epoch(\d+)_step(\d+)\.pt$", r"^(.*)_epoch(\d+)_end\.pt$", r"^(.*)_bestfwd_step(\d+)\.pt$"
-    kind = F.when(name.rlike(es), "epoch_step").when(name.rlike(ee), "epoch_end").when(name.rlike(bf), "bestfwd")
-    return [F.coalesce(part(es, 1), part(ee, 1), part(bf, 1)).alias("prefix"), kind.alias("kind"), F.coalesce(part(es, 2), part(ee, 2)).try_cast("int").alias("epoch"), F.coalesce(part(es, 3), part(bf, 2)).try_cast("long").alias("step")]
+    part = lambda i: F.nullif(F.regexp_extract(name, CHECKPOINT, i), F.lit(""))
+    kind = F.when(part(4).isNotNull(), "epoch_end").when(part(3).isNotNull(), "epoch_step").otherwise(part(5))
+    return [part(1).alias("prefix"), kind.alias("kind"), part(2).try_cast("int").alias("epoch"), F.coalesce(part(3), part(6)).try_cast("long").alias("step")]
 
 
 def write_catalog(rows: DataFrame, path: str) -> None:
@@ -172,3 +195,15 @@ def with_scores(lines: DataFrame, scores: DataFrame, keys: list[str]) -> DataFra
     """Lines (keys, line) with the score of their key in columns 61 to 66; lines without a score stay as they are."""
     number = F.lpad(F.format_string("%.2f", "score"), 6, " ")
     return lines.join(scores, keys, "left").select(*keys, F.when(F.col("score").isNotNull(), F.overlay("line", number, 61, 6)).otherwise(F.col("line")).alias("line"))
+
+
+def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, size, digest) of every file in a folder or below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+def digest_manifest(lines: DataFrame) -> DataFrame:
+    """(name, digest) of lines "digest  name"."""
+    parts = F.split("value", "  ", 2)
+    return lines.where(F.trim("value") != "").select(F.element_at(parts, 2).alias("name"), F.element_at(parts, 1).alias("digest"))

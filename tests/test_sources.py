@@ -48,5 +48,14 @@ def test_run_log_and_checkpoints(spark):
     log = lines(spark, "[step 5] samples=40 lr=0.1 train_loss(mean over 3)=0.5\r[val] epoch=1 step=5 val_loss=0.25", "noise", "[step 6] samples=48 train_loss=0.4")
     r = T.run_log(log, "file", "line_no", "line").orderBy("line_no", "part").collect()
     assert [(x.kind, x.step, x.samples, x.loss) for x in r] == [("train", 5, 40, 0.5), ("val", 5, None, 0.25), ("train", 6, 48, 0.4)]
-    names = spark.createDataFrame([("a_epoch3_step40.pt",), ("a_epoch3_end.pt",), ("a_bestfwd_step9.pt",), ("latest.pt",)], "n string")
-    assert [tuple(r) for r in names.select(*T.checkpoint_name(F.col("n"))).collect()] == [("a", "epoch_step", 3, 40), ("a", "epoch_end", 3, None), ("a", "bestfwd", None, 9), (None, None, None, None)]
+    names = spark.createDataFrame([("a-epoch3-step40.ckpt",), ("a-epoch3-end.ckpt",), ("a-bestfwd-step9.ckpt",), ("a-stopped-step7.ckpt",), ("last.ckpt",), ("a_b-epoch1-end.ckpt",)], "n string")
+    want = [("a", "epoch_step", 3, 40), ("a", "epoch_end", 3, None), ("a", "bestfwd", None, 9), ("a", "stopped", None, 7), (None, None, None, None), (None, None, None, None)]
+    assert [tuple(r) for r in names.select(*T.checkpoint_name(F.col("n"))).collect()] == want
+
+
+def test_stockholm_leaves_out_the_query_s_gaps(spark):
+    """The first row has a gap in its second and fourth places; what others have there are deletions before the next place."""
+    lines = ["# STOCKHOLM 1.0", "q A-C", "x AbC", "y ---", "", "q -D", "x eD", "y fD", "//"]
+    rows = T.stockholm_rows(spark.createDataFrame(list(enumerate(lines)), "line_no int, line string"))
+    got = {r.name: (r.aligned, r.deletions) for r in T.without_query_gaps(rows).collect()}
+    assert got == {"q": ("ACD", [0, 0, 0]), "x": ("ACD", [0, 1, 1]), "y": ("--D", [0, 0, 1])}
