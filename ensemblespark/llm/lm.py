@@ -39,7 +39,7 @@ from . import hashing as H
 from .store import id_fold, keep, table
 
 #: Weight of the next shorter state: after one word, and after two.
-MU = (20.0, 3.0)
+MU = (1_000.0, 10.0)
 #: In how many goes words, pairs and trigrams are asked for.
 PHASES = (1, 2, 4)
 #: N-grams that a task counts at a time, about.
@@ -116,13 +116,13 @@ class Slice:
         keys, places, which = self.asked(order, phase, phases)
         return keys, np.bincount(which, weights=seen[places], minlength=len(keys)).astype(np.int64)
 
-    def walk(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: Root) -> np.ndarray:
+    def walk(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: Root, mu: tuple[float, float] = MU) -> np.ndarray:
         """Each place's log10 arc weight, given the training counts of the n-grams that end there."""
         of_word = np.zeros(len(self.words))
         of_word[self.codes] = c1
-        p = (c2 + MU[0] * root.probability(c1)) / (of_word[self.middle] + MU[0])
+        p = (c2 + mu[0] * root.probability(c1)) / (of_word[self.middle] + mu[0])
         last = np.flatnonzero(self.whole)
-        p[last] = (c3[last] + MU[1] * p[last]) / (c2[last - 1] + MU[1])
+        p[last] = (c3[last] + mu[1] * p[last]) / (c2[last - 1] + mu[1])
         return np.log10(p)
 
 
@@ -252,7 +252,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _walking(phases: tuple[int, ...], buckets: int, root: Root):
+def _walking(phases: tuple[int, ...], buckets: int, root: Root, mu: tuple[float, float]):
     names = [x.split()[0] for x in SCORES.split(", ")]
 
     def settle(row: dict, answers: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
@@ -267,7 +267,7 @@ def _walking(phases: tuple[int, ...], buckets: int, root: Root):
                     c[_split(keys, buckets)[0]] = _unpack(answers[order, phase], np.int64)
                     here[places] = c[which]
             counts.append(here)
-        weight, base = own.walk(*counts, root), np.log10((counts[0] + 1) / (root.total + root.kinds + 1))
+        weight, base = own.walk(*counts, root, mu), np.log10((counts[0] + 1) / (root.total + root.kinds + 1))
         sums = [H.segment_sum(x, own.at, kind) for x, kind in (((counts[0] > 0).view(np.uint8), np.int64), (base, np.float64), (weight, np.float64))]
         return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(np.diff(own.at)), *map(pa.array, sums)], names=names)
 
@@ -288,7 +288,7 @@ def _walking(phases: tuple[int, ...], buckets: int, root: Root):
     return walk
 
 
-def score(docs: DataFrame, phases: tuple[int, ...] = PHASES) -> DataFrame:
+def score(docs: DataFrame, phases: tuple[int, ...] = PHASES, mu: tuple[float, float] = MU) -> DataFrame:
     """docs (doc_id, held_out, text) scored, learning from those not held out; see the module's description."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), "text")
     slices = keep(own.mapInArrow(_slicing, SLICES))
@@ -301,7 +301,7 @@ def score(docs: DataFrame, phases: tuple[int, ...] = PHASES) -> DataFrame:
             answered = asked.repartition("g").sortWithinPartitions("g").mapInArrow(_answer, COUNTED)
             counts = keep(answered.repartition("slice").sortWithinPartitions("slice", "g").mapInArrow(_gathered, "slice long, c binary"))
             parts = parts.unionByName(counts.select("slice", F.lit(order).alias("o"), F.lit(phase).alias("k"), "c"), allowMissingColumns=True)
-    out = keep(parts.repartition("slice").sortWithinPartitions("slice", "o", "k").mapInArrow(_walking(phases, buckets, root), SCORES))
+    out = keep(parts.repartition("slice").sortWithinPartitions("slice", "o", "k").mapInArrow(_walking(phases, buckets, root, mu), SCORES))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(root.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
