@@ -24,7 +24,7 @@ def windows(members: DataFrame, ladder: list[int], stride: int, width: int) -> D
     span = F.col("step") * (width - 1)
     steps = members.where("is_trajectory").select("family_id", "member_id", "n_frames", F.explode(F.array(*map(F.lit, ladder))).alias("step"))
     starts = steps.where(F.col("n_frames") > span).select("family_id", "member_id", "step", F.explode(F.sequence(F.lit(0), F.col("n_frames") - span - 1, F.lit(max(1, stride)))).alias("start"))
-    return starts.withColumn("frames", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.col("start") + k * F.col("step")))
+    return starts.withColumn("frames", F.array(*[F.col("start") + k * F.col("step") for k in range(width)]))
 
 
 def static_pairs(members: DataFrame) -> DataFrame:

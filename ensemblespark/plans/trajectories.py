@@ -61,7 +61,7 @@ def forward_pairs(spark, d):
 def trajectory_windows(spark, d):
     """Windows of nine frames by member and step: how many, the first and last start, the sum of all their frames."""
     w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9)
-    own = F.aggregate("frames", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    own = sum((F.get("frames", F.lit(k)).cast("bigint") for k in range(1, 9)), F.get("frames", F.lit(0)).cast("bigint"))
     return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"), F.sum(own).alias("frames"))
 
 
