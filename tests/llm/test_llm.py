@@ -42,13 +42,15 @@ def awkward(spark, tmp_path_factory):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     vec = [(0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.0], 2), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0, 0.0], 1), (9, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (0, [1.0, 0.0], 1)]
     spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    asked = [(0, prose(1)), (1, None), (2, ""), (3, "Word word 漢字"), (None, "the river"), (3, "Word word 漢字"), (3, "glass"), (4, " .,- ")]
+    spark.createDataFrame([(*r, 1, "q") for r in asked], "item_id long, text string, doc_id int, query string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("conversations", "conv_id long, turn long, role string, text string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("conversations", "conv_id long, turn long, role string, text string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{at}/{name}.parquet")
     return at
 
@@ -58,7 +60,7 @@ def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_chat_formatting", "op10_embedding_near_dedup")])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_chat_formatting", "op10_embedding_near_dedup", "op12_lexical_search", "op13_exact_top_k")])
 def test_awkward_documents_keep_their_rows(spark, awkward, name):
     want = collections.Counter(r.doc_id for r in spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id").collect())
     got = queries.QUERIES[name](spark, awkward).collect()
@@ -78,7 +80,7 @@ def test_pipeline_on_awkward_and_empty(spark, awkward, empty):
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     cur = con.execute(queries.SQL[name])
