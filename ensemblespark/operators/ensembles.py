@@ -52,7 +52,12 @@ def moments(frames: DataFrame) -> DataFrame:
 def effective_dim(frames: DataFrame) -> DataFrame:
     """(ensemble_id, dim): squared sum over sum of squares of the spectrum of an ensemble's covariance
     over all coordinates, as squared trace over squared norm; null if nothing varies."""
-    c = moments(frames).select("ensemble_id", "p", "q", (F.col("spq") / F.col("n") - F.col("sp") * F.col("sq") / F.col("n") ** 2).alias("c"))
+    return spectrum_dim(moments(frames))
+
+
+def spectrum_dim(moments: DataFrame) -> DataFrame:
+    """effective_dim() from the sums of moments()."""
+    c = moments.select("ensemble_id", "p", "q", (F.col("spq") / F.col("n") - F.col("sp") * F.col("sq") / F.col("n") ** 2).alias("c"))
     own = F.col("p") == F.col("q")
     norm = F.sum(F.col("c") ** 2 * F.when(own, 1.0).otherwise(2.0))
     return c.groupBy("ensemble_id").agg((F.sum(F.when(own, F.col("c"))) ** 2 / F.nullif(norm, F.lit(0.0))).alias("dim"))
@@ -165,6 +170,18 @@ def flat(frames: DataFrame) -> DataFrame:
     return packed(frames).select("ensemble_id", "frame_idx", F.flatten(F.transform("p", lambda r: F.array(r["x"], r["y"], r["z"]))).alias("v"))
 
 
+def turned(x: np.ndarray, onto: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Frames x (f, a, 3) turned and moved onto `onto` (f or 1, a, 3) by least squares over the points in
+    use, never mirrored; and the rotations."""
+    use = np.arange(x.shape[1]) if use is None else use
+    center, to = x[:, use].mean(1, keepdims=True), onto[:, use].mean(1, keepdims=True)
+    u, _, vt = np.linalg.svd((x[:, use] - center).transpose(0, 2, 1) @ (onto[:, use] - to))
+    flip = np.ones((len(x), 3))
+    flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    turn = np.einsum("fji,fj,fkj->fik", vt, flip, u)
+    return np.einsum("fij,faj->fai", turn, x - center) + to, turn
+
+
 def superposed(rows: DataFrame, reference: list[float], fit: list[int] | None = None) -> DataFrame:
     """(ensemble_id, frame_idx, v, rmsd, det) of rows (ensemble_id, frame_idx, v): each frame turned and moved
     onto the reference by least squares over the points in `fit` (all by default), never mirrored; the
@@ -172,22 +189,16 @@ def superposed(rows: DataFrame, reference: list[float], fit: list[int] | None =
     target = np.asarray(reference, float).reshape(-1, 3)
     use = np.arange(len(target)) if fit is None else np.asarray(fit)
 
-    def turned(batches):
+    def fitted(batches):
         for batch in batches:
             v = batch.column("v")
-            x = v.flatten().to_numpy().reshape(len(v), -1, 3)
-            center, to = x[:, use].mean(1), target[use].mean(0)
-            u, _, vt = np.linalg.svd(np.einsum("fai,aj->fij", x[:, use] - center[:, None], target[use] - to))
-            flip = np.ones((len(x), 3))
-            flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
-            turn = np.einsum("fji,fj,fkj->fik", vt, flip, u)
-            y = np.einsum("fij,faj->fai", turn, x - center[:, None]) + to
+            y, turn = turned(v.flatten().to_numpy().reshape(len(v), -1, 3), target[None], use)
             rmsd = np.sqrt(((y - target) ** 2).sum(2).mean(1))
             cuts = pa.array(np.arange(0, y.size + 1, y.shape[1] * 3, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("ensemble_id"), batch.column("frame_idx"), pa.ListArray.from_arrays(cuts, pa.array(y.ravel())), pa.array(rmsd), pa.array(np.linalg.det(turn))], names=["ensemble_id", "frame_idx", "v", "rmsd", "det"])
 
     kind = rows.schema
-    return rows.select("ensemble_id", "frame_idx", "v").mapInArrow(turned, f"ensemble_id {kind['ensemble_id'].dataType.simpleString()}, frame_idx {kind['frame_idx'].dataType.simpleString()}, v array<double>, rmsd double, det double")
+    return rows.select("ensemble_id", "frame_idx", "v").mapInArrow(fitted, f"ensemble_id {kind['ensemble_id'].dataType.simpleString()}, frame_idx {kind['frame_idx'].dataType.simpleString()}, v array<double>, rmsd double, det double")
 
 
 def frame_distances(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
@@ -279,7 +290,11 @@ def principal_axes(frames: DataFrame, k: int = 3) -> DataFrame:
     """(ensemble_id, axis, variance, direction): the first k principal axes of an ensemble's coordinates, from
     the sums of moments(); a task gets one ensemble's matrix, whatever the number of its frames. The
     largest entry of a direction is positive."""
-    m = moments(frames)
+    return axes_of(moments(frames), k)
+
+
+def axes_of(m: DataFrame, k: int) -> DataFrame:
+    """principal_axes() from the sums of moments()."""
 
     def axes(rows: pa.Table) -> pa.Table:
         p, q, n = (rows.column(c).to_numpy() for c in ("p", "q", "n"))

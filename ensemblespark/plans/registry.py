@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignments, catalogs, comparison, ensembles, formats, logs, records, streams, trajectories
+from . import alignments, catalogs, comparison, ensembles, evaluation, formats, logs, records, streams, trajectories
 
-MODULES = (catalogs, trajectories, ensembles, alignments, logs, records, comparison, formats, streams)
+MODULES = (catalogs, trajectories, ensembles, alignments, logs, records, comparison, evaluation, formats, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
