@@ -60,7 +60,7 @@ def reference_floor(spark, d):
 
 def _features(rows, sep: int):
     """Distances of every third point, three and more apart: fewer than an ensemble has frames."""
-    third = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("v") / 3 - 1), lambda i: i % 3 == 0), lambda i: F.slice("v", (i * 3 + 1).cast("int"), 3)))
+    third = F.filter("v", lambda _, k: F.floor(k / 3) % 3 == 0)
     return S.features(rows.withColumn("v", third), sep)
 
 
@@ -81,21 +81,21 @@ def optimal_w2(spark, d):
     sizes = n.where("ensemble_id <> 0").crossJoin(F.broadcast(base)).select("ensemble_id", F.least("n", "n0").alias("k"))  # one row
     own = rows.join(sizes, "ensemble_id").where(F.col("frame_idx") < F.col("k")).select(F.col("ensemble_id").cast("string").alias("case"), F.lit(1).alias("side"), F.col("v").alias("x"))
     k = sizes.groupBy("k").agg(F.collect_list("ensemble_id").alias("arms"))  # a row per size, names of arms
-    ref = rows.where("ensemble_id = 0").join(k, F.col("frame_idx") < F.col("k")).select(F.explode("arms").cast("string").alias("case"), F.lit(0).alias("side"), F.col("v").alias("x"))
+    ref = rows.where("ensemble_id = 0").join(k, F.col("frame_idx") < F.col("k")).select(F.explode("arms").alias("arm"), "v").select(F.col("arm").cast("string").alias("case"), F.lit(0).alias("side"), F.col("v").alias("x"))
     out = S.optimal_w2(own.union(ref).withColumn("scale", F.size("x") / 3))
     return rounded(out.select(F.col("case").alias("ensemble_id"), "w2", "violation"), "w2")
 
 
 @query("optimal_w2_ranks", ["trajectory_v"], """
-    s as (select family_id, replica % 2 as side, value, row_number() over (partition by family_id, segment, replica % 2 order by value) as r, count(*) over (partition by family_id, segment, replica % 2) as n, segment from trajectory_v),
+    s as (select family_id, replica // 20 % 2 as side, value, row_number() over (partition by family_id, segment, replica // 20 % 2 order by value) as r, count(*) over (partition by family_id, segment, replica // 20 % 2) as n, segment from trajectory_v),
     k as (select family_id, segment, min(n) as k from s group by family_id, segment having count(distinct side) = 2),
     p as (select family_id, segment, r, max(case when side = 0 then value end) as a, max(case when side = 1 then value end) as b from s join k using (family_id, segment) where r <= k group by family_id, segment, r)
     select family_id, segment, round(sqrt(avg((a - b) * (a - b))), 6) as w2, count(*) as n from p group by family_id, segment""")
 def optimal_w2_ranks(spark, d):
-    """In one dimension: the observable in even and odd replicas of a family and segment, over as many of the least values as the smaller side has."""
+    """In one dimension: the observable in every other replica of a family and segment, over as many of the least values as the smaller side has."""
     from ..operators.selection import ranked
 
-    rows = view(spark, d, "trajectory_v").select("family_id", "segment", (F.col("replica") % 2).alias("side"), "value")
+    rows = view(spark, d, "trajectory_v").select("family_id", "segment", (F.floor(F.col("replica") / 20) % 2).alias("side"), "value")
     by = ["family_id", "segment"]
     sizes = rows.groupBy(*by).agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1")).select(*by, F.least("n0", "n1").alias("k")).where("k > 0")
     least = ranked(rows, [*by, "side"], ["value"], "r").join(sizes, by).where(F.col("r") <= F.col("k"))
