@@ -112,6 +112,17 @@ def label_runs(rows: DataFrame, group: str, order: str, label: str) -> DataFrame
     return island.groupBy(group, label, "_i").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_i")
 
 
+def absorbed_runs(rows: DataFrame, group: str, order: str, label: str, least: int) -> DataFrame:
+    """label_runs() without short ones: a run of fewer than `least` rows, but for a group's first, goes to the run on its
+    left; then neighbours of one label are one run."""
+    runs = label_runs(rows, group, order, label)
+    by = Window.partitionBy(group).orderBy("first")  # a group's runs
+    kept = runs.select("*", F.row_number().over(by).alias("_k"), F.max("last").over(Window.partitionBy(group)).alias("_end")).where((F.col("_k") == 1) | (F.col("n") >= least))
+    own = kept.select("*", F.coalesce(F.lead("first").over(by) - 1, F.col("_end")).alias("_to"), F.lag(label).over(by).alias("_before"))
+    island = own.withColumn("_i", F.sum((~F.col(label).eqNullSafe(F.col("_before"))).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(group, label, "_i").agg(F.min("first").alias("first"), F.max("_to").alias("last")).drop("_i")
+
+
 def zscore_tail(rows: DataFrame, group: str, order: str, value: str, tail: int) -> DataFrame:
     """Values less the mean of their group's tail (order >= tail), over its deviation (1 if that is 0)."""
     stats = rows.where(F.col(order) >= tail).groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
