@@ -1,19 +1,21 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
-A text's shingles are its windows of five words (A-Z folded; a shorter text is one window),
-weighted 1 + log2 of how often they occur. Each weighted shingle sends a Poisson process of
+A text's shingles are its distinct windows of five words (A-Z folded; a shorter text is one
+window), each weighted by how many different words it has. Each weighted shingle sends a Poisson process of
 arrivals, of its weight as rate, to random registers; a register keeps the shingle that came
 first, and a shingle stops as soon as its next arrival is later than all registers, so the
 expected work is about that of the shingles plus m log m. Two texts agree in a register with
-the probability Jaccard similarity of their weighted shingles. Bands of registers give
-candidates; a pair is linked if the Jaccard similarity of the two sets of shingles, counted
-exactly, is at least 0.8; documents reached by links are one group. A pair at 0.8 shares a
-band with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998.
+the probability Jaccard similarity of their weighted shingles, which for weights that belong to
+the shingle, not to the text, is the weight of the shingles in both over that of those in either.
+Bands of registers give candidates; a pair is linked if that same similarity, summed exactly, is
+at least 0.8, so what is hashed is what is verified, however often passages repeat; documents
+reached by links are one group. A pair at 0.8 shares a band with a probability of
+1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998.
 
 No candidate pair is ever a row of its own beyond one per node and bucket. Texts with the same
 words are one node. In a bucket every node is compared with the bucket's head, the node that
 shares most slots overall, which connects large families of alike texts and gives every node
-its distance from the head. Jaccard distance is a metric: two nodes whose distances from their
+its distance from the head. One less the weighted similarity is a metric: two nodes whose distances from their
 head differ by more than 0.2 can't be linked. What that leaves of buckets that still hold
 several groups is compared pair by pair within tasks, in blocks, and tasks return only links
 between different groups. So every candidate pair is compared, ruled out by the metric, or
@@ -58,23 +60,31 @@ _NEVER = np.uint64((1 << 64) - 1)
 CHUNK = 200_000
 
 
-def shingles(words: H.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, shingle, count): the distinct shingles of each text, sorted."""
+def shingles(words: H.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, shingle): the distinct shingles of each text, sorted; a shingle's last three bits are its weight."""
     owner, n = words.owner(), len(words.hashes)
     left = words.offsets[1:][owner] - np.arange(n)  # words from here to the text's end
     size = np.diff(words.offsets)[owner]
     start = (left >= WIDTH) | ((size < WIDTH) & (left == size))
-    key = words.hashes.copy()
+    key, weight = words.hashes.copy(), np.ones(n, np.uint64)
     for k in range(1, WIDTH):
         use = np.flatnonzero(left > k)
-        key[use] = H.chain(key[use], words.hashes[use + k])
-    key, owner = key[start], owner[start]
+        new = words.hashes[use + k]
+        key[use] = H.chain(key[use], new)
+        seen = np.zeros(len(use), bool)
+        for j in range(k):
+            seen |= words.hashes[use + j] == new
+        weight[use] += ~seen
+    key, owner = (key[start] >> np.uint64(1)) & ~np.uint64(7) | weight[start], owner[start]  # without the top bit they sort alike as signed numbers
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    at = np.flatnonzero(first)
-    return owner[at], key[at], np.diff(np.append(at, len(key)))
+    return owner[first], key[first]
+
+
+def weights(keys: np.ndarray) -> np.ndarray:
+    return (keys & keys.dtype.type(7)).astype(np.int64)
 
 
 def prob_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -118,8 +128,8 @@ def band_keys(words: H.Words) -> np.ndarray:
     """(texts, BANDS): a key for each band."""
     out = np.zeros((len(words.offsets) - 1, BANDS), np.uint64)
     for i, j in _chunks(words):
-        owner, key, count = shingles(_part(words, i, j))
-        got = prob_minhash(owner, key, 1 + np.log2(count), j - i, BANDS * ROWS).reshape(j - i, BANDS, ROWS)
+        owner, key = shingles(_part(words, i, j))
+        got = prob_minhash(owner, H.mix(key), weights(key).astype(np.float64), j - i, BANDS * ROWS).reshape(j - i, BANDS, ROWS)
         own = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (j - i, 1))
         for k in range(ROWS):
             own = H.chain(own, got[:, :, k])
@@ -145,10 +155,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in H.slices(batches):
         words = H.words_of(H.texts_of(batch.column("text")), H.WHITE, H.LOWER_CODES)
-        owner, key, _ = shingles(words)
+        owner, key = shingles(words)
         cuts = np.searchsorted(owner, np.arange(len(words.offsets))).astype(np.int32)
-        key = (key >> np.uint64(1)).view(np.int64)  # so that they sort alike as signed numbers
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key))], names=["node", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))], names=["node", "s"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -165,12 +174,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two sorted sets share."""
+    """Weight of the elements that two sorted sets share."""
     if len(a) > len(b):
         a, b = b, a
     if not len(a):
         return 0
-    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return int(weights(a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]).sum())
 
 
 def _against_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +194,7 @@ def _against_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             own, at = s.copy(), (head, part)
             continue
         assert at == (head, part), "a part starts with its head"
-        for x, v in zip(out, (node, head, _common(own, s), len(own) + len(s)), strict=True):
+        for x, v in zip(out, (node, head, _common(own, s), int(weights(own).sum() + weights(s).sum())), strict=True):
             x.append(v)
         if len(out[0]) >= 10_000:
             yield batch()
@@ -194,11 +203,12 @@ def _against_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _dense_common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Shared elements of every two of the sets, by products of 0/1 matrices, some columns at a time."""
+    """Weight shared by every two of the sets, by products of matrices, some columns at a time."""
     n = len(sets)
     keys, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), [len(x) for x in sets])
     shared = np.flatnonzero(times > 1)
+    weight = weights(keys[shared]).astype(np.float32)
     place = np.full(len(keys), -1)
     place[shared] = np.arange(len(shared))
     column = place[column]
@@ -209,7 +219,7 @@ def _dense_common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
         i, j = np.searchsorted(column, (at, at + width))
         x = np.zeros((n, min(width, len(shared) - at)), np.float32)
         x[row[i:j], column[i:j] - at] = 1
-        out += x @ x.T
+        out += (x * weight[at : at + width]) @ x.T
     return out
 
 
@@ -222,7 +232,7 @@ def links_within(group: list[int], distance: list[float], block: list[int], sets
             x = up
         return x
 
-    size, d = np.array([len(s) for s in sets]), np.array(distance)
+    size, d = np.array([weights(s).sum() for s in sets]), np.array(distance)
     ok = np.triu(np.minimum.outer(size, size) * LINK[1] >= np.maximum.outer(size, size) * LINK[0], 1) & (np.abs(d[:, None] - d[None, :]) <= FAR)
     names, g, b = *np.unique(np.array(group), return_inverse=True), np.array(block)
     ok &= g[:, None] != g[None, :]

@@ -222,10 +222,11 @@ def brute_groups(texts):
     for t in texts:
         w = WORD.findall((t or "").translate(LOWER))
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    weight = lambda s: sum(len(set(x)) for x in s)
     group = list(range(len(texts)))
     for _ in range(len(texts)):
         for a, b in itertools.combinations(range(len(texts)), 2):
-            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            if sets[a] and sets[b] and 5 * weight(sets[a] & sets[b]) >= 4 * weight(sets[a] | sets[b]) and group[a] != group[b]:
                 low = min(group[a], group[b])
                 group[a] = group[b] = low
     return group
@@ -241,6 +242,9 @@ def test_near_duplicates_equal_brute_force(spark):
             for _ in range(rng.choice([0, 1, 2, 5])):
                 copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 10**6)}"
             texts.append(" ".join(copy))
+    for i in range(6):  # passages that repeat
+        p, q = (" ".join(f"r{rng.randint(0, 300)}" for _ in range(60)) for _ in range(2))
+        texts += [f"{p} {p} {p} {q}", f"{p} {q}", f"{(p + ' ') * 30}{q}", f"{p} " + "la " * (5 * i) + q, "la " * 40 + p[:20]]
     texts += ["", None, "only", "only", "ONLY"]
     ids = [i if i % 7 else None for i in range(len(texts))]
     want = brute_groups(texts)
@@ -281,11 +285,26 @@ def test_near_duplicates_found_at_the_limit(spark):
     assert 0.95 * alike <= found <= alike and alike == 200
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """A passage written once, twice or four hundred times over is the same set of shingles: nearly all pairs are found."""
+    rows, n = [], 0
+    for times in (2, 8, 40, 400):
+        for i in range(50):
+            p, q = ([f"{c}{times}i{i}w{j}" for j in range(100)] for c in "pq")
+            rows += [(n, " ".join(p * times + q)), (n + 1, " ".join(p + q))]
+            n += 2
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(0, n, 2))
+    for at in range(0, n, 100):
+        assert sum(got[i + 1] == i for i in range(at, at + 100, 2)) >= 48
+
+
 def test_block_comparison_equals_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 60)
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(44, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 9))])) for _ in range(120)]
-    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    sets = [np.unique(s & ~7 | (s >> 3) % 5 + 1) for s in sets]
+    common = np.array([[near_dedup.weights(np.intersect1d(a, b)).sum() for b in sets] for a in sets])
     assert (near_dedup._dense_common(sets)[~np.eye(120, dtype=bool)] == common[~np.eye(120, dtype=bool)]).all()
     size = common.diagonal()
     linked = 5 * common >= 4 * (size[:, None] + size[None, :] - common)
