@@ -363,28 +363,45 @@ def diversity(ratio: Column) -> Column:
     return F.when(ratio.isNull() | ~ratio.between(0.1, 5.0), "void").when(~ratio.between(0.5, 2.0), "flagged").otherwise("ok")
 
 
-def _draws(rows: DataFrame, draws: int) -> DataFrame:
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-
-
 def _hash(seed: int, *parts: str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("long")
 
 
-def bootstrap(diffs: DataFrame, by: str, unit: str, value: str, draws: int, seed: int) -> DataFrame:
-    """(by, low, high, resamples): the middle 95 % of the means of resamples of a group's units, drawn by hash.
-    Draws are made from each unit's own row, so a group's draws are spread over tasks."""
+#: Resamples, and signs, up to which a group is enumerated whole.
+ORDERED, SIGNS = 200_000, 1 << 20
+
+
+def _units(diffs: DataFrame, by: str, unit: str, value: str) -> DataFrame:
+    """A group's units numbered from 0, and their number."""
     from pyspark.sql import Window
 
     own = diffs.select(by, unit, value, (F.row_number().over(Window.partitionBy(by).orderBy(unit)) - 1).alias("_i"), F.count("*").over(Window.partitionBy(by)).alias("_n"))  # a group's units, one per family
-    picks = _draws(own.select(by, "_n", F.col("_i").alias("_pos")), draws).withColumn("_i", _hash(seed, by, "_k", "_pos") % F.col("_n"))
-    means = picks.join(own.select(by, F.col("_i").cast("long").alias("_i"), value), [by, "_i"]).groupBy(by, "_k").agg(F.avg(value).alias("m"))
+    return own.withColumn("_i", F.col("_i").cast("long"))
+
+
+def bootstrap(diffs: DataFrame, by: str, unit: str, value: str, draws: int, seed: int) -> DataFrame:
+    """(by, low, high, resamples): the middle 95 % of the means of resamples of a group's units: of all n ** n ordered
+    ones where they are ORDERED at most, resample k being k's digits in base n; else of `draws` by hash.
+    Draws are made from each unit's own row, so a group's draws are spread over tasks."""
+    own = _units(diffs, by, unit, value)
+    exact = F.pow(F.col("_n").cast("double"), F.col("_n").cast("double")) <= ORDERED
+    many = F.when(exact, F.pow(F.col("_n").cast("double"), F.col("_n").cast("double")).cast("long")).otherwise(F.lit(draws).cast("long"))
+    picks = own.select(by, "_n", F.col("_i").alias("_pos"), exact.alias("_exact"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("_k"))
+    digit = F.floor(F.col("_k") / F.pow(F.col("_n").cast("double"), F.col("_pos").cast("double"))).cast("long") % F.col("_n")
+    picks = picks.withColumn("_i", F.when(F.col("_exact"), digit).otherwise(_hash(seed, by, "_k", "_pos") % F.col("_n")))
+    means = picks.join(own.select(by, "_i", value), [by, "_i"]).groupBy(by, "_k").agg(F.avg(value).alias("m"))
     return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("resamples"))
 
 
 def sign_flips(diffs: DataFrame, by: str, unit: str, value: str, draws: int, seed: int) -> DataFrame:
-    """(by, p, floor, signs): how often random signs give a mean as far from 0 as the observed one."""
+    """(by, p, floor, signs): how often signs give a mean as far from 0 as the observed one: all 2 ** n of a group's units
+    where they are SIGNS at most, sign k being k's bits; else `draws` by hash."""
+    own = _units(diffs, by, unit, value)
+    exact = F.col("_n") <= int(np.log2(SIGNS))
+    many = F.when(exact, F.pow(F.lit(2.0), F.col("_n").cast("double")).cast("long")).otherwise(F.lit(draws).cast("long"))
     seen = diffs.groupBy(by).agg(F.abs(F.avg(value)).alias("_seen"), F.count("*").alias("_n"))
-    flipped = _draws(diffs.select(by, unit, value), draws).withColumn("_v", F.when(_hash(seed, by, "_k", unit) % 2 == 0, F.col(value)).otherwise(-F.col(value)))
+    flipped = own.select(by, unit, value, "_i", exact.alias("_exact"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("_k"))
+    bit = F.when(F.col("_exact"), F.floor(F.col("_k") / F.pow(F.lit(2.0), F.col("_i").cast("double"))).cast("long") % 2).otherwise(_hash(seed, by, "_k", unit) % 2)
+    flipped = flipped.withColumn("_v", F.when(bit == 0, F.col(value)).otherwise(-F.col(value)))
     means = flipped.groupBy(by, "_k").agg(F.abs(F.avg("_v")).alias("m")).join(seen, by)
     return means.groupBy(by).agg(F.avg((F.col("m") >= F.col("_seen") - 1e-12).cast("double")).alias("p"), (2.0 / F.pow(F.lit(2.0), F.max("_n"))).alias("floor"), F.count("*").alias("signs"))

@@ -40,6 +40,28 @@ def oriented(rows: DataFrame, seed: int, prob: float, min_start: int, max_step:
     return rows.withColumn("reversed", flip).withColumn("frames", F.when(flip, F.reverse("frames")).otherwise(F.col("frames")))
 
 
+def window_ends(members: DataFrame, ladder: list[int], stride: int, width: int) -> DataFrame:
+    """(family_id, member_id, step, start, last): windows() by their first and last frame alone."""
+    span = F.col("step") * (width - 1)
+    steps = members.where("is_trajectory").select("family_id", "member_id", "n_frames", F.explode(F.array(*map(F.lit, ladder))).alias("step"))
+    starts = steps.where(F.col("n_frames") > span).select("family_id", "member_id", "step", F.explode(F.sequence(F.lit(0), F.col("n_frames") - span - 1, F.lit(max(1, stride)))).alias("start"))
+    return starts.withColumn("last", F.col("start") + span)
+
+
+def coin(seed: int, prob: float) -> Column:
+    """Whether a window's hash point is below prob: the first twelve hexadecimal digits of its hash against those of prob's,
+    compared as text, which for digits is the order of the numbers."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("family_id", "member_id", "start", "step")]), 256)
+    return F.lit(prob >= 1) | (F.substring(digest, 1, 16) < F.lit(f"{int(prob * 2**64):016x}" if prob < 1 else "g"))
+
+
+def oriented_ends(rows: DataFrame, seed: int, prob: float, min_start: int, max_step: int) -> DataFrame:
+    """window_ends() with `reversed`, and source and target frame. The coin is only thrown within the gate."""
+    flip = F.when((F.col("start") >= min_start) & (F.col("step") <= max_step), coin(seed, prob)).otherwise(False)
+    out = rows.withColumn("reversed", flip)
+    return out.select("family_id", "member_id", "step", "start", "reversed", F.when(F.col("reversed"), F.col("last")).otherwise(F.col("start")).alias("source_frame"), F.when(F.col("reversed"), F.col("start")).otherwise(F.col("last")).alias("target_frame"))
+
+
 def chunks(rows: DataFrame, group: str, order: str, size: int, least: int = 1) -> DataFrame:
     """(group, chunk, n, first): consecutive chunks of a group's rows in order; a short tail is
     dropped unless it is all there is."""
@@ -80,10 +102,13 @@ def start_grid(members: DataFrame, n_starts: int, horizon: int) -> DataFrame:
 
 
 def lag_pairs(frames: DataFrame, lag: int) -> DataFrame:
-    """(replica, frame_idx, value, later): values of a frame and of the one `lag` later, in one run of a segment."""
+    """(replica, frame_idx, value, later): values of a frame and of the one `lag` later, in one run of a segment: no frame
+    of another segment lies between."""
     by = Window.partitionBy("replica").orderBy("frame_idx")
-    out = frames.select("replica", "frame_idx", "segment", "value", F.lead("value", lag).over(by).alias("later"), F.lead("segment", lag).over(by).alias("_s"))
-    return out.where(F.col("_s") == F.col("segment")).drop("_s", "segment")
+    run = frames.select("replica", "frame_idx", "value", (~F.col("segment").eqNullSafe(F.lag("segment").over(by))).cast("int").alias("_new"))
+    run = run.select("replica", "frame_idx", "value", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"))
+    out = run.select("replica", "frame_idx", "value", "_run", F.lead("value", lag).over(by).alias("later"), F.lead("_run", lag).over(by).alias("_to"))
+    return out.where("_to = _run").select("replica", "frame_idx", "value", "later")
 
 
 def rolling_mean(rows: DataFrame, group: str, order: str, value: str, width: int) -> DataFrame:

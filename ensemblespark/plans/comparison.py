@@ -217,8 +217,8 @@ DRAWS = 10_000
 
 @query("bootstrap_ci", ["arms_v"], PAIRED + f""",
     o as (select metric, diff, row_number() over (partition by metric order by family) - 1 as i, count(*) over (partition by metric) as n from p where diff is not null),
-    k as (select unnest(range(0, {DRAWS})) as k), c as (select distinct metric, n, i as pos from o),
-    r as (select k, metric, ('0x' || substr(sha256('15|' || metric || '|' || k || '|' || pos), 1, 12))::bigint % n as i from c cross join k), mm as (select r.metric, k, avg(diff) as mean from r join o on o.metric = r.metric and o.i = r.i group by r.metric, k)
+    k as (select metric, unnest(range(0, cast(case when pow(any_value(n), any_value(n)) <= 200000 then pow(any_value(n), any_value(n)) else {DRAWS} end as bigint))) as k from o group by metric), c as (select distinct metric, n, i as pos from o),
+    r as (select k, metric, case when pow(n, n) <= 200000 then cast(floor(k / pow(n, pos)) as bigint) % n else ('0x' || substr(sha256('15|' || metric || '|' || k || '|' || pos), 1, 12))::bigint % n end as i from c join k using (metric)), mm as (select r.metric, k, avg(diff) as mean from r join o on o.metric = r.metric and o.i = r.i group by r.metric, k)
     select metric, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high, count(*) as resamples from mm group by metric""")
 def bootstrap_ci(spark, d):
     """Percentile interval of the mean paired difference over resamples of the families."""
@@ -226,8 +226,8 @@ def bootstrap_ci(spark, d):
 
 
 @query("signflip_p", ["arms_v"], PAIRED + f""",
-    o as (select metric, family, diff, count(*) over (partition by metric) as n, abs(avg(diff) over (partition by metric)) as seen from p where diff is not null), k as (select unnest(range(0, {DRAWS})) as k),
-    mm as (select metric, k, any_value(seen) as seen, any_value(n) as n, abs(avg(case when ('0x' || substr(sha256('16|' || metric || '|' || k || '|' || family), 1, 12))::bigint % 2 = 0 then diff else -diff end)) as mean from o cross join k group by metric, k)
+    o as (select metric, family, diff, row_number() over (partition by metric order by family) - 1 as i, count(*) over (partition by metric) as n, abs(avg(diff) over (partition by metric)) as seen from p where diff is not null), k as (select metric, unnest(range(0, case when any_value(n) <= 20 then cast(pow(2, any_value(n)) as bigint) else {DRAWS} end)) as k from o group by metric),
+    mm as (select metric, k, any_value(seen) as seen, any_value(n) as n, abs(avg(case when case when n <= 20 then (k >> i) % 2 else ('0x' || substr(sha256('16|' || metric || '|' || k || '|' || family), 1, 12))::bigint % 2 end = 0 then diff else -diff end)) as mean from o join k using (metric) group by metric, k)
     select metric, round(avg(case when mean >= seen - 1e-12 then 1.0 else 0.0 end), 6) as p, 2.0 / pow(2, any_value(n)) as floor, count(*) as signs from mm group by metric""")
 def signflip_p(spark, d):
     """Two-sided p of the mean paired difference under random signs, and the least p that so few families allow."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignments, audit, catalogs, comparison, ensembles, evaluation, formats, logs, records, streams, structures, trajectories
+from . import alignments, audit, catalogs, comparison, ensembles, evaluation, formats, logs, records, stores, streams, structures, trajectories
 
-MODULES = (catalogs, trajectories, ensembles, alignments, logs, records, comparison, evaluation, audit, structures, formats, streams)
+MODULES = (catalogs, trajectories, ensembles, alignments, logs, records, comparison, evaluation, audit, structures, stores, formats, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}

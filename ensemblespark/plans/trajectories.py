@@ -60,8 +60,8 @@ def forward_pairs(spark, d):
 @query("trajectory_windows", ["members_v"], WINDOWS + " select family_id, member_id, step, count(*) as n, min(start) as first, max(start) as last, cast(sum(9 * start + 36 * step) as bigint) as frames from w group by family_id, member_id, step")
 def trajectory_windows(spark, d):
     """Windows of nine frames by member and step: how many, the first and last start, the sum of all their frames."""
-    w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9)
-    own = sum((F.get("frames", F.lit(k)).cast("bigint") for k in range(1, 9)), F.get("frames", F.lit(0)).cast("bigint"))
+    w = W.window_ends(view(spark, d, "members_v"), LADDER, STRIDE, 9)
+    own = (9 * F.col("start") + 36 * F.col("step")).cast("bigint")
     return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"), F.sum(own).alias("frames"))
 
 
@@ -83,14 +83,15 @@ def chunk_windows(spark, d):
     select family_id, member_id, step, count(*) as n, cast(sum(case when reversed then 1 else 0 end) as bigint) as reversed, cast(sum(case when reversed then start + 8 * step else start end) as bigint) as source_frames, cast(sum(case when reversed then start else start + 8 * step end) as bigint) as target_frames from f group by family_id, member_id, step""")
 def orient_window(spark, d):
     """Windows after the reversal coin, by member and step: how many are reversed, sums of their first and last frames."""
-    w = W.oriented(W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
-    return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), F.sum(F.col("reversed").cast("long")).alias("reversed"), F.sum(F.element_at("frames", 1)).alias("source_frames"), F.sum(F.element_at("frames", -1)).alias("target_frames"))
+    w = W.oriented_ends(W.window_ends(view(spark, d, "members_v"), LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
+    total = lambda c: F.sum(F.col(c).cast("long")).alias(c.replace("frame", "frames"))
+    return w.groupBy("family_id", "member_id", "step").agg(F.count("*").alias("n"), total("reversed"), total("source_frame"), total("target_frame"))
 
 
 @query("reversal_gate", ["members_v"], WINDOWS + " select family_id, count(*) as n from w where start >= 1000 and step <= 64 and 0.5 > 0 group by family_id")
 def reversal_gate(spark, d):
     """A family's windows that may be reversed: start and step within the gate, and a coin that can fall."""
-    w = W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9)
+    w = W.window_ends(view(spark, d, "members_v"), LADDER, STRIDE, 9)
     return w.where(W.may_reverse(F.col("start"), F.col("step"))).groupBy("family_id").agg(F.count("*").alias("n"))
 
 
@@ -105,8 +106,7 @@ def trajectory_windows_whole(spark, d):
 
 @query("orient_window_whole", [])
 def orient_window_whole(spark, d):
-    w = W.oriented(W.windows(view(spark, d, "members_v"), LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
-    return w.select("family_id", "member_id", "step", "start", "reversed", F.element_at("frames", 1).alias("source_frame"), F.element_at("frames", -1).alias("target_frame"))
+    return W.oriented_ends(W.window_ends(view(spark, d, "members_v"), LADDER, STRIDE, 9), 3, 0.5, 1000, 64)
 
 
 WALK = """
@@ -144,8 +144,9 @@ def start_grid(spark, d):
 
 
 @query("lag_pairs", ["trajectory_v"], """
-    p as (select replica, frame_idx, segment, value, lead(value, 2) over w as later, lead(segment, 2) over w as s from trajectory_v window w as (partition by replica order by frame_idx))
-    select replica, frame_idx, value, later from p where s = segment""")
+    i as (select *, row_number() over (partition by replica order by frame_idx) - row_number() over (partition by replica, segment order by frame_idx) as i from trajectory_v),
+    p as (select replica, frame_idx, segment, i, value, lead(value, 2) over w as later, lead(segment, 2) over w as s, lead(i, 2) over w as j from i window w as (partition by replica order by frame_idx))
+    select replica, frame_idx, value, later from p where s = segment and i = j""")
 def lag_pairs(spark, d):
     return W.lag_pairs(view(spark, d, "trajectory_v"), 2)
 

@@ -68,6 +68,14 @@ def without_query_gaps(rows: DataFrame, group: list[str] | None = None) -> DataF
     return own.select(*rows.columns, aligned.alias("aligned"), counts.alias("deletions"))
 
 
+def store_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a folder, relative to it; their content is never read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/")
+    return listed.select(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "").alias("path")).select(F.substr("path", F.lit(len(whole) + 2)).alias("path"))
+
+
 def pdb_atoms(lines: DataFrame) -> DataFrame:
     """(file, model, atom fields) from (file, line_no, line): fixed columns of ATOM and HETATM
     lines; the model is the number of MODEL lines so far, 0 without any."""
