@@ -5,11 +5,11 @@ log-probabilities of the words seen after it, its failure arc what it leaves to
 shorter state: with c counts of an n-gram in n occurrences of its context, an arc weighs
 (c + mu * p) / (n + mu), where p is the next shorter state's probability, and the failure arc
 mu / (n + mu) (Dirichlet smoothing, order by order). The root has discounted single words, and
-what they leave goes to words never seen. A text is walked from left to right; its score is
-the sum of the arcs' weights.
+what they leave goes to words never seen. A text is walked from left to right, carrying its state;
+where a state has no arc for the next word the failure arc is followed until one has, and the
+score is the sum of the weights on the way.
 
-A token's arc follows from the counts of five n-grams: the trigram, its two pairs, the last
-and the middle word. The automaton of the whole corpus is never in one place. Texts are cut
+The arcs and failure arcs that a text meets follow from the counts of its n-grams. The automaton of the whole corpus is never in one place. Texts are cut
 into slices of a bounded size, written once as codes of their distinct words. Each slice asks
 for the counts of its own distinct n-grams; the questions, which hold the slice's own training
 counts, are dealt out by hash of the n-gram, summed there, and answered; with the answers a
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .packing import pack, unpack
 from .store import id_fold, keep, table
 
 #: Weight of the next shorter state: after one word, and after two.
@@ -117,28 +118,97 @@ class Slice:
         return keys, np.bincount(which, weights=seen[places], minlength=len(keys)).astype(np.int64)
 
     def walk(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: Root, mu: tuple[float, float] = MU) -> np.ndarray:
-        """Each place's log10 arc weight, given the training counts of the n-grams that end there."""
-        of_word = np.zeros(len(self.words))
-        of_word[self.codes] = c1
-        p = (c2 + mu[0] * root.probability(c1)) / (of_word[self.middle] + mu[0])
-        last = np.flatnonzero(self.whole)
-        p[last] = (c3[last] + mu[1] * p[last]) / (c2[last - 1] + mu[1])
-        return np.log10(p)
+        """Each text's log10 probability, given the training counts of the n-grams that end at each place."""
+        machine = Automaton.of(self, c1, c2, c3, root, mu)
+        self._hashes.clear()
+        return machine.traverse(self)
 
 
-SLICES = "slice long, d binary, x binary, at binary, ids array<long>, held array<boolean>"
-_ZSTD = pa.Codec("zstd")
-
+#: Tokens of a lane: a longer text is walked in lanes side by side, each of which reads the two tokens before it first.
+LANE = 256
 
-def _pack(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
+@dataclass
+class Automaton:
+    """The part of the corpus' automaton that a slice's texts walk through.
+
+    State 0 is the root, 1 + w the state after word w, and the states from 1 + words on stand for the slice's pairs of
+    words that training has. An arc (key: state * words + word) has a weight and the state it leads to, the
+    longest that stands for the last words; a state without an arc for a word has its failure arc, with its
+    weight, to the state of one word less. All weights are log10 probabilities."""
+
+    words: int
+    start: int  # the state before a text
+    keys: np.ndarray
+    weights: np.ndarray
+    to: np.ndarray
+    fail_to: np.ndarray
+    fail_weight: np.ndarray
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind)
+    @classmethod
+    def of(cls, own: Slice, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: Root, mu: tuple[float, float]) -> Automaton:
+        v, codes = len(own.words), own.codes.astype(np.int64)
+        n_word = np.zeros(v)
+        n_word[codes] = c1
+        single = root.probability(n_word)
+        # Pairs that training has: arcs of their first word, and states.
+        pair_key = own.middle.astype(np.int64) * v + codes
+        pairs, place = np.unique(pair_key[c2 > 0], return_index=True)
+        n_pair = c2[c2 > 0][place]
+        left, last = pairs // v, pairs % v
+        p_pair = (n_pair + mu[0] * single[last]) / (n_word[left] + mu[0])
+        state_of_pair = 1 + v + np.arange(len(pairs))
+        # Trigrams that training has: arcs of their first two words' state, which training has then too.
+        at = np.flatnonzero(own.whole & (c3 > 0))
+        context = np.searchsorted(pairs, pair_key[at - 1])
+        tri, place = np.unique(context * v + codes[at], return_index=True)
+        n_tri, context, word = c3[at][place], tri // v, tri % v
+        inner = np.searchsorted(pairs, (pairs[context] % v) * v + word)  # the trigram's last two words
+        p_tri = (n_tri + mu[1] * p_pair[inner]) / (n_pair[context] + mu[1])
+        every = np.arange(v)
+        return cls(
+            v, 1 + int(np.searchsorted(own.words, H.END)), np.concatenate([every, (1 + left) * v + last, (1 + v + context) * v + word]), np.log10(np.concatenate([single, p_pair, p_tri])),
+            np.concatenate([1 + every, state_of_pair, state_of_pair[inner]]), np.concatenate([np.zeros(1 + v, np.int64), 1 + last]), np.log10(np.concatenate([[1.0], mu[0] / (n_word + mu[0]), mu[1] / (n_pair + mu[1])])),
+        )
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one word each, and the weights on the way: failure arcs until there is an arc, then that arc."""
+        weight, state, after, open_ = np.zeros(len(states)), states.copy(), np.empty_like(states), np.arange(len(states))
+        while len(open_):
+            key = state[open_] * self.words + words[open_]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            has = self.keys[found] == key
+            hit, miss = open_[has], open_[~has]
+            weight[hit] += self.weights[found[has]]
+            after[hit] = self.to[found[has]]
+            weight[miss] += self.fail_weight[state[miss]]
+            state[miss] = self.fail_to[state[miss]]
+            open_ = miss
+        return after, weight
+
+    def traverse(self, own: Slice) -> np.ndarray:
+        """The weights along each text, from left to right; all texts, or lanes of them, move on a word at a time."""
+        size = np.diff(own.at)
+        lanes = -(-size // LANE)
+        text = np.repeat(np.arange(len(size)), lanes)
+        begin = own.at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        end = np.minimum(begin + LANE, own.at[1:][text])
+        codes, state = own.codes.astype(np.int64), np.full(len(text), self.start)
+        later = np.flatnonzero(begin > own.at[:-1][text])
+        state[later] = 0
+        for back in (2, 1):  # the last two words are all that a state knows
+            state[later], _ = self.step(state[later], codes[begin[later] - back])
+        order = np.argsort(begin - end, kind="stable")  # the longest first, so that those still going are the first ones
+        begin, text, state, left = begin[order], text[order], state[order], (end - begin)[order]
+        total = np.zeros(len(text))
+        for k in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -k, "left"))
+            state[:n], weight = self.step(state[:n], codes[begin[:n] + k])
+            total[:n] += weight
+        return np.bincount(text, weights=total, minlength=len(size))
 
 
+SLICES = "slice long, d binary, x binary, at binary, ids array<long>, held array<boolean>"
 def _list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
@@ -152,13 +222,13 @@ def _slicing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, at = _tokens(batch.column("text"))
             words, codes = np.unique(tokens, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([next(number)]), pa.array([words.tobytes()]), pa.array([_pack(codes.astype(np.int32))]), pa.array([_pack(at)]), *(_list(batch.column(c)) for c in ("doc_id", "held_out"))],
+                [pa.array([next(number)]), pa.array([words.tobytes()]), pa.array([pack(codes.astype(np.int32))]), pa.array([pack(at)]), *(_list(batch.column(c)) for c in ("doc_id", "held_out"))],
                 names=[x.split()[0] for x in SLICES.split(", ")],
             )
 
 
 def _opened(d: bytes, x: bytes, at: bytes) -> Slice:
-    return Slice(np.frombuffer(d, np.uint64), _unpack(x, np.int32), _unpack(at, np.int64))
+    return Slice(np.frombuffer(d, np.uint64), unpack(x, np.int32), unpack(at, np.int64))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Slice, np.ndarray]]:
@@ -237,7 +307,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by slice and bucket: a slice's answers in one packed row."""
     at, held = None, []
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_pack(np.concatenate(held))])], names=["slice", "c"])
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pack(np.concatenate(held))])], names=["slice", "c"])
     for batch in batches:
         for me, c in zip(batch.column("slice").to_pylist(), _arrays(batch.column("c")), strict=True):
             if me != at:
@@ -264,11 +334,11 @@ def _walking(phases: tuple[int, ...], buckets: int, root: Root, mu: tuple[float,
                 keys, places, which = own.asked(order, phase, n)
                 if len(keys):
                     c = np.empty(len(keys), np.int64)
-                    c[_split(keys, buckets)[0]] = _unpack(answers[order, phase], np.int64)
+                    c[_split(keys, buckets)[0]] = unpack(answers[order, phase], np.int64)
                     here[places] = c[which]
             counts.append(here)
-        weight, base = own.walk(*counts, root, mu), np.log10((counts[0] + 1) / (root.total + root.kinds + 1))
-        sums = [H.segment_sum(x, own.at, kind) for x, kind in (((counts[0] > 0).view(np.uint8), np.int64), (base, np.float64), (weight, np.float64))]
+        base = np.log10((counts[0] + 1) / (root.total + root.kinds + 1))
+        sums = [*(H.segment_sum(x, own.at, kind) for x, kind in (((counts[0] > 0).view(np.uint8), np.int64), (base, np.float64))), own.walk(*counts, root, mu)]
         return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(np.diff(own.at)), *map(pa.array, sums)], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
