@@ -18,7 +18,7 @@ def query(name: str, views: list[str], sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = oracle(views, sql)
+            SQL[name] = oracle(views, sql) if views else sql
         return f
 
     return register
@@ -33,10 +33,13 @@ def logs(spark, d) -> str:
 
 
 def _stream(spark, d):
-    return runs.log_stream(spark, logs(spark, d) + "/*", r"run=([^/]+)/")
+    """The logs as a stream of chunks, as loggers append them: a run's lines lie in many files, none of which is a task's only one."""
+    path = sinks.own_folder(spark, "chunks")
+    view(spark, d, "log_v").where("line is not null").select("run", "line_no", "line").write.json(path)
+    return runs.chunk_stream(spark, path)
 
 
-PLACED = ROWS.replace("from log_v)", "from log_v where line is not null)") + ", q as (select *, cast(row_number() over (partition by run order by line_no) - 1 as int) as place from r)"
+PLACED = ROWS.replace("from log_v)", "from log_v where line is not null)") + ", q as (select *, line_no as place from r)"
 
 
 @query("stream_run_log", ["log_v"], PLACED + " select run, place as line_no, step, kind, round(loss, 4) as loss from q")
@@ -59,10 +62,24 @@ def stream_resume(spark, d):
     return runs.resumed(_stream(spark, d), sinks.own_folder(spark, "stream")).select("run", "line_no", "step", "kind")
 
 
-@query("stream_stall", ["log_v"], PLACED + ", s as (select run, max(place) as last from q group by run) select run, last from s where (select max(last) from s) - last > 20")
+@query("stream_stall", ["log_v"], PLACED + ", s as (select run, max(place) as last from q group by run) select run, last from s where (select max(last) from s) - last > 1")
 def stream_stall(spark, d):
-    """Runs that are more than twenty lines behind the farthest."""
-    return runs.stalled(runs.replay(runs.last_seen(_stream(spark, d), "run", "line_no"), "complete", sinks.own_folder(spark, "stream")), "run", 20)
+    """Runs that are more than one line behind the farthest."""
+    return runs.stalled(runs.replay(runs.last_seen(_stream(spark, d), "run", "line_no"), "complete", sinks.own_folder(spark, "stream")), "run", 1)
+
+
+@query("stream_stall_timer", [], "with l as (select user_id, max(cast(ts as timestamp)) as last from events group by user_id) select cast(user_id as varchar) as key, epoch_ms(last) as last from l where last + interval 6 hour <= (select max(last) from l) - interval 1 hour")
+def stream_stall_timer(spark, d):
+    """Users of whom nothing came for six hours of event time, by a timer each, the watermark an hour behind."""
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(kind).parquet(f"{d}/event*.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return runs.replay(runs.stalls(events, "6 hours", "1 hour"), "append", sinks.own_folder(spark, "stream"))
+    finally:
+        spark.conf.set(store, before)
 
 
 @query("stream_new_files", ["log_v"], "select run, cast(sum(length(line) + 1) as bigint) as size from log_v where line is not null group by run")

@@ -33,3 +33,55 @@ def test_latest_status_and_budget(spark):
     assert sorted(tuple(r) for r in runs.latest_status(rows).collect()) == [("u", 2, "ok"), ("v", 5, "failed")]
     fails = spark.createDataFrame([("f", "m"), ("f", "m"), ("g", "m")], "family_id string, member_id string")
     assert runs.over_budget(fails, 1).first().n == 2 and runs.over_budget(fails, 2).first() is None
+
+
+def chunk(path, name, *lines):
+    import json
+
+    (path / "in").mkdir(exist_ok=True)
+    (path / "in" / name).write_text("".join(json.dumps({"run": r, "line_no": n, "line": x}) + "\n" for r, n, x in lines))
+
+
+def test_growing_logs_resume_after_a_restart(spark, tmp_path):
+    step = lambda n: f"[step {n}] samples={n} train_loss=0.5"
+    at = str(tmp_path / "state")
+    go = lambda: sorted((r.run, r.line_no, r.step) for r in runs.resumed(runs.chunk_stream(spark, str(tmp_path / "in")), at).collect())
+    chunk(tmp_path, "1.json", ("a", 0, step(1)), ("a", 1, step(2)), ("a", 2, step(3)), ("b", 0, step(9)))
+    assert go() == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 9)]
+    chunk(tmp_path, "2.json", ("a", 3, step(2)), ("a", 4, step(3)))  # the log of a goes on from step 2; a new query, nothing in memory
+    assert go() == [("a", 0, 1), ("a", 3, 2), ("a", 4, 3), ("b", 0, 9)]
+    chunk(tmp_path, "3.json", ("b", 1, step(10)), ("c", 0, step(1)))
+    want = [("a", 0, 1), ("a", 3, 2), ("a", 4, 3), ("b", 0, 9), ("b", 1, 10), ("c", 0, 1)]
+    assert go() == want and go() == want
+    # A batch that was cut off before its runs were listed is run again and gives the same.
+    import shutil
+
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state" / "runs").iterdir() if "=" in p.name)
+    shutil.rmtree(tmp_path / "state" / "runs" / f"batch={last}")
+    commits = tmp_path / "state" / "checkpoint" / "commits"
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+    assert go() == want
+
+
+def test_stalls_by_timer(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        folder = tmp_path / "events"
+        folder.mkdir()
+        stamp = lambda m: f"2024-01-01 {10 + m // 60:02}:{m % 60:02}:00"
+        write = lambda name, *rows: (folder / name).write_text("".join(f"{k},{stamp(m)}\n" for k, m in rows))
+        stream = runs.stalls(spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).csv(str(folder)), "10 minutes", "1 minute")
+        go = lambda: runs.replay_on(stream, str(tmp_path / "state"))
+        write("1.csv", ("a", 0), ("b", 1), ("c", 2))
+        write("2.csv", ("a", 5), ("b", 9))
+        assert go() == []
+        write("3.csv", ("a", 14), ("b", 15))  # c, last seen at 2, is 10 minutes behind the watermark
+        first = go()
+        write("4.csv", ("b", 30), ("c", 31))  # a stopped at 14; c came back
+        write("5.csv", ("b", 40), ("b", 60))
+        both = go()
+        seen = sorted((r.key, (r.last // 1000 - 1704103200) // 60) for r in both)
+        assert ("c", 2) in seen and ("a", 14) in seen and ("c", 31) in seen and all(k != "b" or m < 60 for k, m in seen) and len(first) <= len(both)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
