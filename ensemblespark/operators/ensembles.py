@@ -149,6 +149,41 @@ def hist_overlap(a: DataFrame, b: DataFrame, channel: str, value: str, bins: int
     return counts.groupBy(channel).agg(F.sum(F.least(F.col("p") / F.greatest("np", F.lit(1)), F.col("q") / F.greatest("nq", F.lit(1)))).alias("overlap"))
 
 
+def js_against(reference: DataFrame, samples: DataFrame, by: str, keys: list[str], value: str, bins: int = 50, pseudo: float = 1e-6) -> DataFrame:
+    """(by, keys, js, inside): js_hist() of many samples (by, keys, value) with one reference (keys, value). The reference is
+    binned once, over its own range; only its counts meet the samples'."""
+    span = reference.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("in_r"))
+    flat = F.col("hi") <= F.col("lo")
+    span = span.select(*keys, "in_r", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    place = _bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin")
+    r = reference.join(span, keys).select(*keys, place).groupBy(*keys, "bin").agg(F.count("*").alias("r"))
+    packed_ = r.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "r"))).alias("r"))  # at most `bins` entries
+    g = samples.join(span.select(*keys, "lo", "hi"), keys).select(by, *keys, place).groupBy(by, *keys, "bin").agg(F.count("*").alias("g"))
+    inside = F.sum(F.when(F.col("bin").isNotNull(), F.col("g")))
+    own = g.groupBy(by, *keys).agg(F.sum("g").alias("all_g"), F.coalesce(inside, F.lit(0)).alias("in_g"), F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "g")))).alias("g"))
+    both = own.join(packed_, keys).join(span.select(*keys, "in_r"), keys)
+    share = lambda counts, total: lambda b: (F.coalesce(F.try_element_at(counts, b), F.lit(0)) + pseudo) / (total + bins * pseudo)
+    p, q = share(F.col("r"), F.col("in_r")), share(F.col("g"), F.col("in_g"))
+    term = lambda a, b: a * F.log(2 * a / (a + b)) / 2
+    total = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda b: term(p(b), q(b)) + term(q(b), p(b))), F.lit(0.0), lambda s, x: s + x)
+    return both.select(by, *keys, F.sqrt(F.greatest(F.lit(0.0), total)).alias("js"), (F.col("in_g") / F.col("all_g")).alias("inside"))
+
+
+def overlap_against(reference: DataFrame, samples: DataFrame, by: str, keys: list[str], value: str, bins: int = 40) -> DataFrame:
+    """(by, keys, overlap): hist_overlap() of many samples (by, keys, value) with one reference (keys, value), each over the
+    range of both. The ranges of a key are one row; a reference row meets that row once and is placed in every
+    range on the spot, so that no copy of it is shuffled."""
+    own = samples.groupBy(by, *keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("nq"))
+    ref = reference.groupBy(*keys).agg(F.min(value).alias("rlo"), F.max(value).alias("rhi"), F.count("*").alias("np"))
+    span = own.join(ref, keys).select(by, *keys, F.least("lo", "rlo").alias("lo"), F.greatest("hi", "rhi").alias("hi"), "np", "nq")
+    place = lambda v, lo, hi: F.when(hi > lo, _bin(v, lo, hi, bins)).otherwise(F.lit(0)).alias("bin")
+    q = samples.join(span, [by, *keys]).select(by, *keys, place(F.col(value), F.col("lo"), F.col("hi"))).groupBy(by, *keys, "bin").agg(F.count("*").alias("q"))
+    ranges = span.groupBy(*keys).agg(F.collect_list(F.struct(by, "lo", "hi")).alias("s"))  # one per sample
+    p = reference.join(ranges, keys).select(*keys, F.explode(F.transform("s", lambda r: F.struct(r[by].alias(by), place(F.col(value), r["lo"], r["hi"])))).alias("x")).groupBy(F.col(f"x.{by}").alias(by), *keys, F.col("x.bin").alias("bin")).agg(F.count("*").alias("p"))
+    both = p.join(q, [by, *keys, "bin"]).join(span.select(by, *keys, "np", "nq"), [by, *keys]).groupBy(by, *keys).agg(F.sum(F.least(F.col("p") / F.col("np"), F.col("q") / F.col("nq"))).alias("o"))
+    return span.select(by, *keys).join(both, [by, *keys], "left").select(by, *keys, F.coalesce("o", F.lit(0.0)).alias("overlap"))
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by, rho): rank correlation with mean ranks for ties; null if one side is constant."""
     by = by or []

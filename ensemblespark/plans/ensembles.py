@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import ensembles as E
+from ..sinks import keep
 from .catalogs import rounded
 from .views import oracle, view
 
@@ -131,8 +132,8 @@ def _sides(rows, *keys):
     i as (select ensemble_id as e, res_idx, avg(case when bin is not null then 1.0 else 0.0 end) as inside from v group by ensemble_id, res_idx)
     select n.e as ensemble_id, n.res_idx, round(sqrt(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2), 5) as js, round(any_value(inside), 6) as inside from n join i using (e, res_idx) group by n.e, n.res_idx""")
 def js_hist(spark, d):
-    own, ref = _sides(view(spark, d, "frames_v").select("ensemble_id", "res_idx", "x"), "res_idx")
-    return rounded(rounded(E.js_hist(ref, own, "channel", "x").select("channel.*", "js", "inside"), "js", digits=5), "inside")
+    f = view(spark, d, "frames_v").select("ensemble_id", "res_idx", "x")
+    return rounded(rounded(E.js_against(f.where("ensemble_id = 0").drop("ensemble_id"), f.where("ensemble_id <> 0"), "ensemble_id", ["res_idx"], "x"), "js", digits=5), "inside")
 
 
 @query("hist_overlap", ["frames_v"], OTHERS + f""",
@@ -140,8 +141,8 @@ def js_hist(spark, d):
     c as (select f.e, f.res_idx, {_bin('x', 'lo', 'hi', 40)} as bin, any_value(n0) as n0, any_value(n1) as n1, count(case when not own then 1 end) as a, count(case when own then 1 end) as b from f join s using (e, res_idx) group by f.e, f.res_idx, bin)
     select e as ensemble_id, res_idx, round(sum(least(a / n0, b / n1)), 6) as overlap from c group by e, res_idx""")
 def hist_overlap(spark, d):
-    own, ref = _sides(view(spark, d, "frames_v").select("ensemble_id", "res_idx", "x"), "res_idx")
-    return rounded(E.hist_overlap(ref, own, "channel", "x").select("channel.*", "overlap"), "overlap")
+    f = view(spark, d, "frames_v").select("ensemble_id", "res_idx", "x")
+    return rounded(E.overlap_against(f.where("ensemble_id = 0").drop("ensemble_id"), f.where("ensemble_id <> 0"), "ensemble_id", ["res_idx"], "x"), "overlap")
 
 
 def overlaps(sep: int) -> str:
@@ -154,8 +155,8 @@ def overlaps(sep: int) -> str:
 
 def _pair_overlaps(spark, d, sep: int):
     """(ensemble_id, i, j, overlap), both ways, of each pair's distances in an ensemble and the reference."""
-    own, ref = _sides(E.pair_distances(view(spark, d, "frames_v"), sep).select("ensemble_id", "i", "j", "d"), "i", "j")
-    o = E.hist_overlap(ref, own, "channel", "d").select("channel.*", "overlap")
+    p = keep(E.pair_distances(view(spark, d, "frames_v"), sep).select("ensemble_id", "i", "j", "d"))
+    o = E.overlap_against(p.where("ensemble_id = 0").drop("ensemble_id"), p.where("ensemble_id <> 0"), "ensemble_id", ["i", "j"], "d")
     return o.unionByName(o.select("ensemble_id", F.col("j").alias("i"), F.col("i").alias("j"), "overlap"))
 
 

@@ -68,7 +68,7 @@ def stream_stall(spark, d):
     return runs.stalled(runs.replay(runs.last_seen(_stream(spark, d), "run", "line_no"), "complete", sinks.own_folder(spark, "stream")), "run", 1)
 
 
-@query("stream_stall_timer", [], "with l as (select user_id, max(cast(ts as timestamp)) as last from events group by user_id) select cast(user_id as varchar) as key, epoch_ms(last) as last from l where last + interval 6 hour <= (select max(last) from l) - interval 1 hour")
+@query("stream_stall_timer", [], "with l as (select user_id, max(cast(ts as timestamp)) as last from events group by user_id) select cast(user_id as varchar) as key, epoch_us(last) // 1000 as last from l where last + interval 6 hour <= (select max(last) from l) - interval 1 hour")
 def stream_stall_timer(spark, d):
     """Users of whom nothing came for six hours of event time, by a timer each, the watermark an hour behind."""
     kind = spark.read.parquet(f"{d}/events.parquet").schema
