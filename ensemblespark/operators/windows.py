@@ -116,6 +116,20 @@ def rolling_mean(rows: DataFrame, group: str, order: str, value: str, width: int
     return rows.select(group, order, F.avg(value).over(by).alias("mean"))
 
 
+def adaptive_mean(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, order, window, mean): rolling mean over the last `window` rows of a group, holes (null values) stepped over; the
+    window grows with the group, a fortieth of its rows but 10 at least and 200 at most. Running sums are
+    taken once, and those of `window` rows before are joined."""
+    by = Window.partitionBy(group).orderBy(order)
+    n = rows.groupBy(group).agg(F.least(F.lit(200), F.greatest(F.lit(10), F.floor(F.count("*") / 40).cast("int"))).alias("window"))
+    before = by.rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select(group, order, F.row_number().over(by).alias("_i"), F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(before).alias("_s"), F.count(value).over(before).alias("_c")).join(n, group)
+    old = run.select(group, (F.col("_i") + F.col("window")).alias("_i"), F.col("_s").alias("_os"), F.col("_c").alias("_oc"))
+    both = run.join(old, [group, "_i"], "left")
+    count = F.col("_c") - F.coalesce("_oc", F.lit(0))
+    return both.select(group, order, "window", F.when(count > 0, (F.col("_s") - F.coalesce("_os", F.lit(0.0))) / count).alias("mean"))
+
+
 def superseded(rows: DataFrame, run: str, order: str, step: str) -> DataFrame:
     """Rows not replaced by a later line: a step that is written again replaces every step at or after it.
 

@@ -163,3 +163,37 @@ def merge_catalogs_whole(spark, d):
     out = one.groupBy("family_id").agg(F.count("*").alias("members"), F.when(F.max("sides") == 2, "both").otherwise(F.min("side")).alias("side"), (F.max("sides") == 2).alias("collision"))
     missing = m.select("family_id").distinct().join(out.select("family_id"), "family_id", "left_anti")
     return out.unionByName(missing.select("family_id", F.lit(0).cast("long").alias("members"), F.lit("missing").alias("side"), F.lit(False).alias("collision")))
+
+
+@query("rolling_mean_adaptive", ["trajectory_v"], """
+    v as (select replica, frame_idx, case when segment <> 'view' then value end as value, count(*) over (partition by replica) as n from trajectory_v), w as (select *, least(200, greatest(10, n // 40)) as k from v)
+    select replica, frame_idx, cast(k as int) as "window", round(avg(value) over (partition by replica order by frame_idx rows between (k - 1) preceding and current row), 5) as mean from w""")
+def rolling_mean_adaptive(spark, d):
+    """Rolling mean of a replica's values but for those of one segment, over a window that grows with the replica."""
+    from ..operators.windows import adaptive_mean
+
+    rows = view(spark, d, "trajectory_v").withColumn("value", F.when(F.col("segment") != "view", F.col("value")))
+    return rounded(adaptive_mean(rows, "replica", "frame_idx", "value"), "mean", digits=5)
+
+
+@query("scan_id_lines", ["exposure_v"], "select distinct split_part(id, ' ', 1) as id from exposure_v where trim(id) <> ''")
+def scan_id_lines(spark, d):
+    """Ids of a plain list: a line each, some with remarks, some that are nothing but a remark."""
+    from .. import sinks
+    from ..sources import text as T
+
+    x = view(spark, d, "exposure_v")
+    lines = x.select(F.concat(F.lit("  "), "id", F.when(F.col("list_name") == "labels", " # toxic").otherwise("")).alias("value")).union(x.where("list_name = 'suppliers'").select(F.concat(F.lit("# "), "id").alias("value")))
+    return T.id_lines(spark.read.text(sinks.write_lines(lines, "value", sinks.own_folder(spark, "lines"))))
+
+
+@query("gen_case_faults", ["clusters_v"], """
+    c as (select cluster_id as dataset, case when l_orderkey % 97 = 0 then null else cast(l_orderkey as varchar) end as case_id, line_no % 3 as rep from clusters_v), w as (select distinct cast(l_orderkey + 1 as varchar) as case_id from clusters_v where l_orderkey % 50 = 0)
+    select dataset, case_id, rep, case when case_id is null then 'no id' else 'repeated' end as fault from c group by dataset, case_id, rep having count(*) > 1 or case_id is null union all select null, case_id, null, 'unknown' from w where case_id not in (select case_id from c where case_id is not null)""")
+def gen_case_faults(spark, d):
+    """Cases of a manifest that repeat or have no id, and wanted ones that it lacks."""
+    from ..sources import text as T
+
+    c = view(spark, d, "clusters_v")
+    cases = c.select(F.col("cluster_id").alias("dataset"), F.when(F.col("l_orderkey") % 97 != 0, F.col("l_orderkey").cast("string")).alias("case_id"), (F.col("line_no") % 3).alias("rep"))
+    return T.case_faults(cases, c.where("l_orderkey % 50 = 0").select((F.col("l_orderkey") + 1).cast("string").alias("case_id")))

@@ -114,6 +114,25 @@ def id_list(rows: DataFrame, columns: tuple[str, ...] = ID_COLUMNS) -> DataFrame
     return rows.select(first.alias("id")).where("id is not null and not startswith(id, '#')").distinct()
 
 
+def id_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Distinct ids of a plain list: the first word of each line, what follows a `#` left out. A list without ids is an error."""
+    own = lines.select(F.split_part(F.trim(F.regexp_replace(F.split_part(column, F.lit("#"), F.lit(1)), r"[\s,]+", " ")), F.lit(" "), F.lit(1)).alias("id")).where("id <> ''").distinct()
+    if not own.take(1):
+        raise ValueError("the list of ids is empty")
+    return own
+
+
+def case_faults(cases: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(dataset, case_id, rep, fault): cases (dataset, case_id, rep) that stand in a manifest more than once, or without an id;
+    and, given a subset (case_id) to be made, ids of it that no manifest has."""
+    counts = cases.groupBy("dataset", "case_id", "rep").agg(F.count("*").alias("n"))
+    out = counts.where("n > 1 or case_id is null").select("dataset", "case_id", "rep", F.when(F.col("case_id").isNull(), "no id").otherwise("repeated").alias("fault"))
+    if wanted is None:
+        return out
+    missing = wanted.select("case_id").distinct().join(cases.select("case_id"), "case_id", "left_anti")
+    return out.unionByName(missing.select(F.lit(None).cast("string").alias("dataset"), "case_id", F.lit(None).cast("int").alias("rep"), F.lit("unknown").alias("fault")))
+
+
 def run_log(lines: DataFrame, run: str, order: str, line: str) -> DataFrame:
     """(run, order, kind, step, samples, loss, value fields) of heartbeat and validation lines; a
     carriage return separates lines; old and new spellings of a field are both read."""

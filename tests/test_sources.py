@@ -59,3 +59,32 @@ def test_stockholm_leaves_out_the_query_s_gaps(spark):
     rows = T.stockholm_rows(spark.createDataFrame(list(enumerate(lines)), "line_no int, line string"))
     got = {r.name: (r.aligned, r.deletions) for r in T.without_query_gaps(rows).collect()}
     assert got == {"q": ("ACD", [0, 0, 0]), "x": ("ACD", [0, 1, 1]), "y": ("--D", [0, 0, 1])}
+
+
+def test_plain_lists_and_case_faults(spark):
+    import pytest
+
+    text = spark.createDataFrame([("1abc_A  # seen",), ("# all",), ("",), ("  2xyz\t0.5",), ("1abc_A",)], "value string")
+    assert sorted(r.id for r in T.id_lines(text).collect()) == ["1abc_A", "2xyz"]
+    with pytest.raises(ValueError, match="empty"):
+        T.id_lines(text.where("value = '' or value = '# all'"))
+    cases = spark.createDataFrame([("d", "a", 0), ("d", "a", 1), ("d", "b", 0), ("d", "b", 0), ("e", None, 0)], "dataset string, case_id string, rep int")
+    wanted = spark.createDataFrame([("a",), ("z",)], "case_id string")
+    assert {tuple(r) for r in T.case_faults(cases, wanted).collect()} == {("d", "b", 0, "repeated"), ("e", None, 0, "no id"), (None, "z", None, "unknown")}
+
+
+def test_rolling_mean_steps_over_holes(spark):
+    from ensemblespark.operators.windows import adaptive_mean
+
+    rows = [("r", i, float(i) if i % 3 else None) for i in range(900)] + [("s", 0, None), ("s", 1, 1.0)]
+    got = {(r.g, r.i): (r.window, r.mean) for r in adaptive_mean(spark.createDataFrame(rows, "g string, i int, v double"), "g", "i", "v").collect()}
+    for g, i, _ in rows:
+        k = 22 if g == "r" else 10
+        seen = [v for h, j, v in rows if h == g and i - k < j <= i and v is not None]
+        assert got[g, i] == (k, None if not seen else pytest_approx(sum(seen) / len(seen)))
+
+
+def pytest_approx(x):
+    import pytest
+
+    return pytest.approx(x)
