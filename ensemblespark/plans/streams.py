@@ -42,9 +42,14 @@ def _stream(spark, d):
 PLACED = ROWS.replace("from log_v)", "from log_v where line is not null)") + ", q as (select *, line_no as place from r)"
 
 
-@query("stream_run_log", ["log_v"], PLACED + " select run, place as line_no, step, kind, round(loss, 4) as loss from q")
+NUMBERED = PLACED.replace("line_no as place from r)", "cast(row_number() over (partition by run order by line_no) - 1 as int) as place from r)")
+
+
+@query("stream_run_log", ["log_v"], NUMBERED + " select run, place as line_no, step, kind, round(loss, 4) as loss from q")
 def stream_run_log(spark, d):
-    return runs.replay(_stream(spark, d), "append", sinks.own_folder(spark, "stream")).select("run", "line_no", "step", "kind", F.round("loss", 4).alias("loss"))
+    """A run's lines as the stream gave them, numbered from 0 by their place in the run's log."""
+    rows = runs.replay(_stream(spark, d), "append", sinks.own_folder(spark, "stream"))
+    return runs.numbered(rows).select("run", "line_no", "step", "kind", F.round("loss", 4).alias("loss"))
 
 
 @query("stream_best", ["log_v"], PLACED + " select run, round(loss, 4) as loss, step from (select *, row_number() over (partition by run order by loss, step) as rn from q where kind = 'val') where rn = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.selection import ranked
 from ..operators.windows import superseded
 from ..sources.text import run_log
 
@@ -44,6 +45,11 @@ def replay(stream: DataFrame, mode: str, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Log rows (run, line_no, ...) with line_no their place in their run from 0, whatever numbers the logger gave; no task sorts a whole run."""
+    return ranked(rows, ["run"], ["line_no"], "_place").withColumn("line_no", (F.col("_place") - 1).cast("int")).drop("_place")
+
+
 def replay_on(stream: DataFrame, path: str) -> list:
     """The rows that a stream has given so far under path, after reading what is new now; it goes on from its checkpoint."""
     def save(batch: DataFrame, i: int) -> None:

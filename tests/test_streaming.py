@@ -85,3 +85,9 @@ def test_stalls_by_timer(spark, tmp_path):
         assert ("c", 2) in seen and ("a", 14) in seen and ("c", 31) in seen and all(k != "b" or m < 60 for k, m in seen) and len(first) <= len(both)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_lines_are_numbered_by_their_place(spark):
+    """Gaps in the logger's numbers don't show: a run's lines count from 0."""
+    rows = spark.createDataFrame([("a", 7, 1), ("a", 40, 2), ("a", 3_000_000_000, 3), ("b", 5, 4)], "run string, line_no long, step long")
+    assert sorted((r.run, r.line_no, r.step) for r in runs.numbered(rows).collect()) == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 4)]
