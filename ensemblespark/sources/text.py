@@ -56,15 +56,12 @@ def without_query_gaps(rows: DataFrame, group: list[str] | None = None) -> DataF
     group = group or []
     query = rows.groupBy(*group).agg(F.min(F.struct("first", F.col("sequence").alias("q"))).alias("_f")).select(*group, F.col("_f.q").alias("_q"))
     own = rows.join(query, group) if group else rows.crossJoin(F.broadcast(query))  # one row
-    letters = F.transform(F.split("sequence", ""), lambda c, i: F.struct(c.alias("c"), (F.substring(F.col("_q"), i + 1, F.lit(1)) != "-").alias("keep")))
-    own = own.withColumn("_l", F.filter(letters, lambda x: x["c"] != ""))
-
-    def step(s: Column, x: Column) -> Column:
-        left_out = F.when(~x["keep"] & (x["c"] != "-"), s["n"] + 1).when(x["keep"], 0).otherwise(s["n"])
-        return F.struct(left_out.alias("n"), F.when(x["keep"], F.array_append(s["d"], s["n"])).otherwise(s["d"]).alias("d"))
-
-    counts = F.aggregate("_l", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("d")), step, lambda s: s["d"])
+    # One pass over both rows' letters; a letter left out becomes a mark, a kept one a bar, so counts are lengths between bars.
+    both = F.zip_with(F.split("sequence", ""), F.split("_q", ""), lambda c, q: F.struct(c.alias("c"), (F.coalesce(q, F.lit("")) != "-").alias("keep")))
+    own = own.withColumn("_l", F.filter(both, lambda x: x["c"] != ""))
     aligned = F.array_join(F.transform(F.filter("_l", lambda x: x["keep"]), lambda x: x["c"]), "")
+    marks = F.split(F.array_join(F.transform("_l", lambda x: F.when(x["keep"], "|").when(x["c"] != "-", "x").otherwise("")), ""), r"\|")
+    counts = F.transform(F.slice(marks, 1, F.size(marks) - 1), lambda x: F.length(x))
     return own.select(*rows.columns, aligned.alias("aligned"), counts.alias("deletions"))
 
 

@@ -88,3 +88,16 @@ def pytest_approx(x):
     import pytest
 
     return pytest.approx(x)
+
+
+def test_stockholm_rows_of_great_length(spark):
+    """The work of a row grows with its letters, not with their square."""
+    import time
+
+    n = 200_000
+    rows = spark.createDataFrame([("q", 0, "AB-" * (n // 3)), ("r", 1, "A-x" * (n // 3) + "TAIL")], "name string, first int, sequence string")
+    start = time.time()
+    got = {r.name: r for r in T.without_query_gaps(rows).collect()}
+    assert time.time() - start < 60
+    assert got["r"].aligned == "A-" * (n // 3) + "TAIL" and sum(got["r"].deletions) == n // 3 and len(got["r"].deletions) == len(got["r"].aligned)
+    assert got["q"].aligned == "AB" * (n // 3) and sum(got["q"].deletions) == 0
