@@ -79,11 +79,13 @@ def sample_msa(spark, d):
 def mask_tokens(spark, d):
     """Rows with a seeded share of their letters, gaps aside, replaced by X: how many, and the digest of what comes out."""
     m = view(spark, d, "msa_v").where("seq <> '' and chain is not null")
-    hit = lambda x, i: (x != "-") & (X.unit_hash(F.lit(6), F.col("chain"), F.col("row_idx"), i, sep="|") < 0.15)
+    # The coin's first sixteen hexadecimal digits against those of 0.15, as text; its prefix is made once a row.
+    own = m.select("chain", "row_idx", "seq", F.concat_ws("|", F.lit("6"), "chain", F.col("row_idx").cast("string"), F.lit("")).alias("prefix"))
+    hit = lambda i: F.substring(F.sha2(F.concat("prefix", i.cast("string")), 256), 1, 16) < F.lit(f"{int(0.15 * 2**64):016x}")
     letters = F.filter(F.split("seq", ""), lambda x: x != "")
-    masked = m.select("chain", "row_idx", F.transform(letters, lambda x, i: F.when(hit(x, i), "X").otherwise(x)).alias("new"), letters.alias("old"))
-    changed = F.size(F.filter(F.zip_with("new", "old", lambda a, b: (a == "X") & (b != "X")), lambda x: x))
-    return masked.select("chain", "row_idx", changed.cast("long").alias("masked"), F.md5(F.array_join("new", "")).alias("digest"))
+    masked = own.select("chain", "row_idx", "seq", F.array_join(F.transform(letters, lambda x, i: F.when(x == "-", x).when(hit(i), "X").otherwise(x)), "").alias("new"))
+    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("X"), F.lit("")))
+    return masked.select("chain", "row_idx", (marks(F.col("new")) - marks(F.col("seq"))).cast("long").alias("masked"), F.md5("new").alias("digest"))
 
 
 @query("deletion_scale", ["msa_v"], "n as (select chain, row_idx, length(seq) - length(regexp_replace(seq, '[a-z]', '', 'g')) as n from msa_v) select chain, row_idx, round(atan(n / 3.0) * 2 / pi(), 6) as scaled, cast(least(n, 1) as int) as has from n")
