@@ -218,3 +218,34 @@ def test_seeded_shuffle_ranks_by_ranges(spark, texts):
     want = sorted((f"{i:08d}_{lang}" for i, _, _, lang in texts[1]), key=lambda x: (hashlib.sha256(f"5\0{x}".encode()).hexdigest()[:12], x))
     assert [r.family_id for r in sorted(df.collect(), key=lambda r: r.place)] == want
     assert "row_number" not in df._jdf.queryExecution().toString()
+
+
+def test_residue_index_totals(spark):
+    """Equal to the sums of residue_indices(); a row of very many letters takes one pass."""
+    import time
+
+    from ensemblespark.functions import expressions as X
+
+    rows = spark.createDataFrame([("aB-C",), ("-",), ("abc",), ("XÄß-𝔸z",)], "s string")
+    for r in rows.select(X.residue_indices(F.col("s"), F.lit(3)).alias("at"), X.residue_index_totals(F.col("s"), F.lit(3)).alias("t")).collect():
+        assert (r.t.gaps, r.t.residues, r.t.places) == (sum(x < 0 for x in r.at), sum(x >= 0 for x in r.at), sum(x for x in r.at if x >= 0))
+    n = 200_000
+    start = time.time()
+    t = spark.createDataFrame([("A-" * n,)], "s string").select(X.residue_index_totals(F.col("s"), F.lit(3)).alias("t")).first().t
+    assert (t.gaps, t.residues, t.places) == (n, n, 3 * n + n * (n - 1) // 2) and time.time() - start < 60
+
+
+def test_window_faults_equal_violations(spark):
+    """Faults by arithmetic are those found in the arrays of frames."""
+    rows = spark.createDataFrame([(0, 1, 2, 0, 2), (5, 5, 7, 5, 7), (1, 2, 1, 2, 9), (3, 4, 5, 3, 4)], "a int, b int, c int, s int, t int")
+    frames = [F.col(x) for x in "abc"]
+    faults = W.window_faults(frames, F.col("s"), F.col("t"))
+    got = rows.select(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()])).alias("f"), W.window_violations(F.array(*frames), F.col("s"), F.col("t")).alias("v")).collect()
+    assert [sorted(r.f) for r in got] == [sorted(r.v) for r in got] == [[], ["repeat"], ["repeat", "source", "target"], ["target"]]
+
+
+def test_windows_are_spread_before_they_are_made(spark):
+    """Members from one partition become windows in many tasks."""
+    members = spark.createDataFrame([(i, 1, True, 500) for i in range(200)], "family_id long, member_id int, is_trajectory boolean, n_frames int").coalesce(1)
+    for made in (W.windows(members, [1, 2], 50, 3), W.window_ends(members, [1, 2], 50, 3)):
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4
