@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,3 +371,12 @@ def test_agreement_of_an_ensemble_with_itself(spark):
                 scores[k, i] = sum(one) / 2
         for i in range(12):
             assert got[name][i].lddt == pytest.approx(scores[:, i].mean()) and got[name][i].sd == pytest.approx(scores[:, i].std(), abs=1e-9)
+
+
+def test_runs_leave_in_parts(monkeypatch):
+    """A batch of long texts gives its runs in parts of bounded size, all of them."""
+    monkeypatch.setattr(S, "RUNS", 100)
+    texts = ["".join(random.Random(i).choices("ACDEFGH", k=90)) for i in range(20)]
+    parts = list(S._runs(4)([pa.RecordBatch.from_pydict({"id": list(range(20)), "seq": texts})]))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) < 200
+    assert sum(p.num_rows for p in parts) == sum(len({t[i : i + 4] for i in range(87)}) for t in texts)
