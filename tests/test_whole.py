@@ -249,3 +249,43 @@ def test_windows_are_spread_before_they_are_made(spark):
     members = spark.createDataFrame([(i, 1, True, 500) for i in range(200)], "family_id long, member_id int, is_trajectory boolean, n_frames int").coalesce(1)
     for made in (W.windows(members, [1, 2], 50, 3), W.window_ends(members, [1, 2], 50, 3)):
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_homology_pairs_of_repeated_sequences(spark, monkeypatch):
+    """Sequences that many families share give every pair of these once, across and within blocks of ids."""
+    from ensemblespark.operators import identity as I
+
+    monkeypatch.setattr(I, "BLOCK", 3)
+    names = ["RED SMALL WIDGET", "BLUE SMALL WIDGET", "TINY ANVIL", "LONELY THING"]
+    rows = [(i, names[i % 3]) for i in range(31)] + [(99, names[3])]
+    got = [(r.a, r.b) for r in I.homology_pairs(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect()]
+    grams = lambda s: {s[i : i + 8] for i in range(len(s) - 7)}
+    alike = lambda s, t: 2 * len(grams(s) & grams(t)) >= min(len(grams(s)), len(grams(t)))
+    assert sorted(got) == sorted((a, b) for a, s in rows for b, t in rows if a < b and alike(s, t))
+
+
+def test_contained_pairs_by_few_runs(spark):
+    """Every text that is part of another is found, from a fraction of the runs."""
+    import pyarrow as pa
+
+    from ensemblespark.operators import identity as I
+
+    rng = random.Random(5)
+    long_ = ["".join(rng.choices("abcdé ", k=400)) for _ in range(12)]
+    parts = [t[(at := rng.randrange(300)) : at + rng.randrange(20, 90)] for t in long_ for _ in range(4)]
+    texts = list(dict.fromkeys([*long_, *parts, "a" * 25, "b" + "a" * 40, "short"]))
+    got = {(r.short, r.long) for r in I.contained_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, s string")).collect()}
+    assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if len(s) >= 20 and len(s) < len(t) and s in t}
+    made = list(I._kmer_hashes(13)([pa.RecordBatch.from_pydict({"id": list(range(12)), "s": long_})]))
+    assert 5 * sum(b.num_rows for b in made) < sum(len(t) for t in long_)
+
+
+def test_frame_distances_in_few_large_blocks(spark, monkeypatch):
+    """An ensemble has no more than BLOCKS blocks, so what is dealt out grows with its frames; sums stay the same."""
+    monkeypatch.setattr(E, "FRAMES", 4)
+    monkeypatch.setattr(E, "BLOCKS", 2)
+    x = np.random.default_rng(3).normal(size=(41, 6))
+    rows = spark.createDataFrame([(1, i, v.tolist(), "all") for i, v in enumerate(x)], "ensemble_id int, frame_idx int, v array<double>, label string")
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2) / 2).sum(1)
+    got = {r.frame_idx: (r.total, r.n) for r in E.frame_distances(rows).collect()}
+    assert all(abs(got[i][0] - want[i]) < 1e-6 and got[i][1] == 41 for i in range(41))
