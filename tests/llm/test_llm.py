@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,19 @@ def test_bpe_equals_the_library(spark):
     assert regex.findall(P.PATTERN, "") == []
 
 
+def test_bpe_holds_few_texts_at_a_time(spark):
+    import public_tokenizers
+
+    spark.conf.set(bpe.BATCH, 10_000)
+    try:
+        docs = spark.range(2_500).select(F.col("id").alias("doc_id"), F.lit("so few").alias("text"))
+        encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+        sizes = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert encoded.count() == 2_500 and max(r.n for r in sizes) <= bpe.ROWS
+    finally:
+        spark.conf.unset(bpe.BATCH)
+
+
 def test_lm_base_and_probabilities(spark, awkward):
     docs = spark.read.parquet(f"{awkward}/documents.parquet").collect()
     toks = [[*WORD.findall((r.text or "").translate(LOWER)), None] for r in docs]
