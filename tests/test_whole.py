@@ -289,3 +289,15 @@ def test_frame_distances_in_few_large_blocks(spark, monkeypatch):
     want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2) / 2).sum(1)
     got = {r.frame_idx: (r.total, r.n) for r in E.frame_distances(rows).collect()}
     assert all(abs(got[i][0] - want[i]) < 1e-6 and got[i][1] == 41 for i in range(41))
+
+
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    from ensemblespark.operators import components as K
+
+    monkeypatch.setattr(K, "HUB", 5)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(50, 90)] + [(60, i) for i in range(100, 120)] + [(200, 201), (201, 202)], "u long, v long")
+    got = {r.node: r.component for r in K.components(edges).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: 50 for i in [*range(50, 91), *range(100, 120)]} | {i: 200 for i in range(200, 203)}
+    beside, least = K._beside_least(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    assert {r.u for r in least.where(F.col("n") > K.HUB).collect()} == {0, 60}
+    assert sorted((r.u, r.v, r.m) for r in beside.collect()) == sorted((r.u, r.v, r.m) for r in edges.join(least, "u").collect())
