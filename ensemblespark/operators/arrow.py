@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks import keep, small
-from .windows import odd_features
 
 #: Random labellings of a null; shares of contamination and of asymmetry that a gate may let through; probability of a reversal.
 NULL_DRAWS, BUDGET, STRENGTH, PROB = 1000, 0.01, 0.25, 0.5
@@ -18,15 +17,63 @@ def window_matrix(series: DataFrame, steps: list[int], width: int) -> DataFrame:
     """(unit, step, start, x): for every window of `width` frames, `step` apart, of a unit's series (unit, obs,
     frame_idx, z), the five odd features of each observable, in order of obs. A window has all its
     frames or is none; all frames of all steps come from one ordering of a series."""
-    by = Window.partitionBy("unit", "obs").orderBy("frame_idx")
-    reach = sorted({k * s for s in steps for k in range(1, width)})
-    led = series.select("unit", "obs", "frame_idx", F.col("z").alias("l0"), *[F.lead("z", r).over(by).alias(f"l{r}") for r in reach], *[F.lead("frame_idx", (width - 1) * s).over(by).alias(f"e{s}") for s in steps])
-    every = F.array(*[F.struct(F.lit(s).alias("step"), F.array(*[F.col(f"l{k * s}") for k in range(width)]).alias("v"), F.col(f"e{s}").alias("end")) for s in steps])
-    rows = led.select("unit", "obs", F.col("frame_idx").alias("start"), F.explode(every).alias("w")).where(F.col("w.end") == F.col("start") + F.col("w.step") * (width - 1))
-    rows = rows.where(~F.exists("w.v", lambda x: x.isNull())).select("unit", "obs", "start", F.col("w.step").alias("step"), F.array(*odd_features(F.col("w.v"), width)).alias("f"))
-    n_obs = series.groupBy("unit").agg(F.count_distinct("obs").alias("n_obs"))
-    whole = rows.groupBy("unit", "step", "start").agg(F.array_sort(F.collect_list(F.struct("obs", "f"))).alias("p")).join(n_obs, "unit").where(F.size("p") == F.col("n_obs"))
-    return whole.select("unit", "step", "start", F.flatten(F.transform("p", lambda r: r["f"])).alias("x"))
+    kinds = dict(series.dtypes)
+    own = series.where("frame_idx is not null").select("unit", "obs", "frame_idx", F.col("z").cast("double").alias("z"), F.size(F.collect_set("obs").over(Window.partitionBy("unit"))).alias("n"))
+    return own.sortWithinPartitions("unit", "frame_idx", "obs").mapInArrow(_windows(steps, width), f"unit {kinds['unit']}, step int, start {kinds['frame_idx']}, x array<double>")
+
+
+def _features(v: np.ndarray) -> list[np.ndarray]:
+    """odd_features() of the rows of v, summed in the same order."""
+    width = v.shape[1]
+    t = [2.0 * i / (width - 1) - 1.0 for i in range(width)]
+    total = lambda a: sum((a[:, k] for k in range(a.shape[1])), np.zeros(len(a)))
+    mean = lambda a: total(a) / a.shape[1]
+    project = lambda basis: total(v * np.array(basis)) / sum(b * b for b in basis)
+    variance = lambda a: mean((a - mean(a)[:, None]) ** 2)
+    half, part, d = width // 2, (width - 1) // 2, (v[:, 1:] - v[:, :-1]) ** 2
+
+    def place(best: np.ndarray) -> np.ndarray:
+        hit = (v == best[:, None]) | (np.isnan(v) & np.isnan(best)[:, None])
+        return (hit * np.arange(width)).sum(1) / hit.sum(1)
+
+    return [project(t), project([0.5 * (5 * x**3 - 3 * x) for x in t]), variance(v[:, width - half :]) - variance(v[:, :half]), mean(d[:, width - 1 - part :]) - mean(d[:, :part]), (place(v.max(1)) - place(np.fmin.reduce(v, axis=1))) / (width - 1)]
+
+
+def _windows(steps: list[int], width: int):
+    """Rows (unit, obs, frame_idx, z, n), sorted by unit, frame and observable, as design rows. Of one batch only the
+    frames that a window may still need are held for the next."""
+    reach = max(steps) * (width - 1) + 2
+
+    def made(batches):
+        held = None
+        for batch in batches:
+            old = held.num_rows if held else 0
+            rows = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks()
+            unit, frame = rows.column("unit").combine_chunks(), rows.column("frame_idx").to_numpy()
+            code = unit.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            n, null, z = rows.column("n").to_numpy(), rows.column("z").is_null().to_numpy(), rows.column("z").to_numpy()
+            for k in np.unique(n):
+                at = np.flatnonzero(n == k)
+                first = np.flatnonzero(np.r_[True, (np.diff(code[at]) != 0) | (np.diff(frame[at]) != 0)])
+                first = first[np.diff(np.r_[first, len(at)]) == k]
+                if not len(first):
+                    continue
+                own = at[first[:, None] + np.arange(k)]
+                u, f, fresh, bad, values = code[own[:, 0]], frame[own[:, 0]], own[:, -1] >= old, null[own].any(1), z[own]
+                for step in steps:
+                    span = step * (width - 1)
+                    if len(f) <= span:
+                        continue
+                    i = np.flatnonzero((u[span:] == u[:-span]) & (f[span:] == f[:-span] + span) & fresh[span:])
+                    i = i[~bad[i[:, None] + step * np.arange(width)].any(1)]
+                    if len(i):
+                        x = np.stack([c for o in range(k) for c in _features(values[i[:, None] + step * np.arange(width), o])], 1)
+                        yield pa.RecordBatch.from_arrays([unit.take(pa.array(own[i, 0])), pa.array(np.full(len(i), step, np.int32)), pa.array(f[i]), pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["unit", "step", "start", "x"])
+            if len(code):
+                tail = max(len(code) - int(reach * n[-1]), int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0)
+                held = rows.slice(tail).combine_chunks().to_batches()[0]
+
+    return made
 
 
 def directions(train: DataFrame, ridge: float = 1e-3) -> DataFrame:

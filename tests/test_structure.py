@@ -380,3 +380,22 @@ def test_runs_leave_in_parts(monkeypatch):
     parts = list(S._runs(4)([pa.RecordBatch.from_pydict({"id": list(range(20)), "seq": texts})]))
     assert len(parts) > 5 and max(p.num_rows for p in parts) < 200
     assert sum(p.num_rows for p in parts) == sum(len({t[i : i + 4] for i in range(87)}) for t in texts)
+
+
+def test_windows_across_batches_and_gaps(spark):
+    rng = random.Random(9)
+    rows = [(u, o, f, rng.random()) for u in range(6) for o in range(1 + u % 2) for f in range(30) if (u, f) != (2, 11) and (u, o, f) != (3, 1, 17)]
+    rows = [(u, o, f, None if (u, f) == (4, 20) else z) for u, o, f, z in rows]
+    known = {(u, o, f): z for u, o, f, z in rows}
+    obs = {u: sorted({r[1] for r in rows if r[0] == u}) for u in range(6)}
+    want = {(u, s, f) for u in range(6) for s in (1, 2) for f in range(30) if all(known.get((u, o, f + k * s)) is not None for o in obs[u] for k in range(9)) and all((u, o, f + k) in known for o in obs[u] for k in range(8 * s + 1))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = A.window_matrix(spark.createDataFrame(rows, "unit int, obs int, frame_idx int, z double"), [1, 2], 9).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(r.unit, r.step, r.start) for r in got} == want
+    for r in got:
+        t = np.arange(9) / 4 - 1
+        assert len(r.x) == 5 * len(obs[r.unit])
+        assert r.x[0] == pytest.approx(sum(known[r.unit, 0, r.start + k * r.step] * t[k] for k in range(9)) / (t @ t))
