@@ -133,6 +133,31 @@ def test_bpe_equals_the_library(spark):
     assert regex.findall(P.PATTERN, "") == []
 
 
+def test_bpe_remembers_pieces_met_again(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "PIECES", 20)
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    encoder = bpe.Encoder(bpe.Vocabulary(ranks))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain, asked = encoder.bytes, collections.Counter()
+
+    def bytes_(text):
+        asked[text if isinstance(text, str) else text.decode("latin-1")] += 1
+        return plain(text)
+
+    monkeypatch.setattr(encoder, "bytes", bytes_)
+    rng = random.Random(4)
+    for _ in range(500):
+        new = "".join(rng.choice("aeioénstrh日") for _ in range(rng.randint(6, 12)))
+        for piece in (new, " oftenwor"):
+            assert list(encoder.known.get(piece) or encoder.piece(piece)) == enc.encode_ordinary(piece)
+        assert len(encoder.known) <= 20
+    assert asked[" oftenwor"] == 1
+
+
 def test_bpe_holds_few_texts_at_a_time(spark):
     import public_tokenizers
 
