@@ -29,28 +29,30 @@ def family_dirs(files: DataFrame) -> DataFrame:
     static family has a member per .pdb directly in it. A trajectory family has its replicas from
     `protein`, of two files of one replica the one that ends in _fit, then the lesser name, and a member
     `ref`, the structure named as the folder, else the least; without a structure or replicas in
-    `protein` it is one row that says so, as `analysis` is sampled differently and never used."""
+    `protein` it is one row that says so, as `analysis` is sampled differently and never used.
+
+    A file's role decides what its folder is, so files are reduced to one row a role and member, which is kept: paths are
+    read and taken apart once, and the families' facts and their rows both come from those. Paths listed twice count once."""
     parts = F.split("path", "/")
     own = files.select("path", parts.alias("p")).where(F.size("p") > 1).select(
         "path", F.element_at("p", 1).alias("family_id"), F.element_at("p", -1).alias("name"), F.when(F.size("p") == 2, "").when(F.size("p") == 3, F.element_at("p", 2)).alias("folder"))
-    own = own.withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", "")).withColumn("kind", F.when(F.col("name").endswith(".xtc"), "xtc").when(F.col("name").endswith(".pdb"), "pdb")).where("kind is not null")
-    pdb = F.col("kind") == "pdb"
-    inner = F.coalesce(F.col("folder") == "protein", F.lit(False))
-    structure = F.min(F.when(pdb & inner, F.struct((F.col("stem") != F.col("family_id")).alias("other"), "path")))
-    seen = own.groupBy("family_id").agg(
-        F.max(F.col("kind") == "xtc").alias("moves"), F.max(pdb & (F.coalesce("folder", F.lit("-")) == "")).alias("top"), F.max(pdb & F.coalesce(F.col("folder").isin("protein", "analysis"), F.lit(False))).alias("below"),
-        structure["path"].alias("topology"), F.max((F.col("kind") == "xtc") & inner).alias("replicas"),
-    )
-    seen = seen.withColumn("layout", F.when(F.col("moves") | (~F.col("top") & F.col("below")), "trajectory").when(F.col("top"), "static")).where("layout is not null")
-    rows = own.join(seen.select("family_id", "layout", "topology"), "family_id")
-    static = rows.where((F.col("layout") == "static") & pdb & (F.col("folder") == "")).select("family_id", "layout", F.col("stem").alias("member_id"), "path", F.lit(None).cast("string").alias("topology"))
-    moving = seen.where("layout = 'trajectory'").withColumn("error", F.when(F.col("topology").isNull(), "no protein structure").when(~F.col("replicas"), "no replica trajectories"))
-    best = F.min(F.struct((~F.col("name").endswith("_fit.xtc")).alias("plain"), "name", "path")).alias("b")
-    replicas = rows.where((F.col("layout") == "trajectory") & (F.col("kind") == "xtc") & inner).groupBy("family_id", "layout", "topology", replica_id(F.col("stem")).alias("member_id")).agg(best).select("family_id", "layout", "member_id", "b.path", "topology")
-    good = moving.where("error is null")
-    found = static.union(replicas.join(good.select("family_id"), "family_id", "left_semi").select("family_id", "layout", "member_id", "path", "topology")).union(good.select("family_id", "layout", F.lit("ref"), F.col("topology"), F.lit(None).cast("string")))
+    xtc, pdb, folder = F.col("name").endswith(".xtc"), F.col("name").endswith(".pdb"), F.coalesce("folder", F.lit("-"))
+    own = own.withColumn("role", F.when(xtc, F.when(folder == "protein", "replica").otherwise("moves")).when(pdb, F.when(folder == "", "static").when(folder == "protein", "structure").when(folder == "analysis", "below"))).where("role is not null")
+    role, stem = F.col("role"), F.expr("left(name, char_length(name) - 4)")  # both kinds end in four characters
+    key = F.when(role == "static", F.col("path")).when(role == "replica", replica_id(stem))
+    second = F.when(role == "replica", ~F.col("name").endswith("_fit.xtc")).when(role == "structure", stem != F.col("family_id")).otherwise(False)
+    rows = keep(own.select("family_id", "role", key.alias("key"), second.alias("second"), "path").groupBy("family_id", "role", "key").agg(F.min(F.struct("second", "path")).alias("b")).select("family_id", "role", "key", "b.path"))
+    has = lambda *roles: F.max(role.isin(*roles))
+    seen = rows.groupBy("family_id").agg(has("replica", "moves").alias("moves"), has("static").alias("top"), has("structure", "below").alias("below"), has("replica").alias("replicas"), F.min(F.when(role == "structure", F.col("path"))).alias("topology"))
+    seen = seen.select(
+        "family_id", F.when(F.col("moves") | (~F.col("top") & F.col("below")), "trajectory").when(F.col("top"), "static").alias("layout"), "topology",
+        F.when(F.col("topology").isNull(), "no protein structure").when(~F.col("replicas"), "no replica trajectories").alias("error"))
     nothing = F.lit(None).cast("string")
-    return found.withColumn("error", nothing).unionByName(moving.where("error is not null").select("family_id", "layout", nothing.alias("member_id"), nothing.alias("path"), nothing.alias("topology"), "error"))
+    members = rows.where(role.isin("static", "replica")).join(seen, "family_id").where(((role == "static") & (F.col("layout") == "static")) | ((role == "replica") & (F.col("layout") == "trajectory") & F.col("error").isNull()))
+    top = F.regexp_extract("path", r"([^/]*)\....$", 1)
+    found = members.select("family_id", "layout", F.when(role == "static", top).otherwise(F.col("key")).alias("member_id"), "path", F.when(role == "replica", F.col("topology")).alias("topology"), nothing.alias("error"))
+    good = F.col("error").isNull()
+    return found.union(seen.where("layout = 'trajectory'").select("family_id", "layout", F.when(good, "ref"), F.when(good, F.col("topology")), nothing, "error"))
 
 
 def indexable_check(atoms: DataFrame) -> DataFrame:

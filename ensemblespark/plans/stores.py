@@ -45,7 +45,7 @@ _FILES = """select concat(cast(l_orderkey as {s}), '/', case when l_orderkey % 1
 def scan_family_dirs(spark, d):
     """Families of a store, by the paths of its files."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
-    files = spark.sql(_FILES.format(s="string").replace("from lineitem", "from {lineitem}"), lineitem=lines).distinct()
+    files = spark.sql(_FILES.format(s="string").replace("from lineitem", "from {lineitem}"), lineitem=lines)
     return D.family_dirs(files)
 
 

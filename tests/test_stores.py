@@ -32,6 +32,16 @@ def test_layouts_of_folders(spark, tmp_path):
     }
 
 
+def test_a_listing_is_read_once(spark):
+    paths = ["s/a.pdb", "s/a.pdb", "s//a.pdb", "s/b.c.pdb", "s/.pdb", "t/protein/t.pdb", "t/protein/t.pdb", "t/protein/a.pdb", "t/protein/x_R1.xtc", "t/protein/x_R1.xtc", "t/protein/w_R1.xtc", "t/other/z.pdb"]
+    found = D.family_dirs(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([
+        ("s", "static", "a", "s/a.pdb", None, None), ("s", "static", "a", "s//a.pdb", None, None), ("s", "static", "b.c", "s/b.c.pdb", None, None), ("s", "static", "", "s/.pdb", None, None),
+        ("t", "trajectory", "R1", "t/protein/w_R1.xtc", "t/protein/t.pdb", None), ("t", "trajectory", "ref", "t/protein/t.pdb", None, None),
+    ], key=str)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") <= 1
+
+
 def test_faults_of_structure_files(spark):
     def residues(name, *rows):
         return [(name, i, 0, *r) for i, r in enumerate(rows)]
