@@ -7,9 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks import keep
+
 #: Rows of a chain that one task compares at a time.
 PART = 2_000
 GAP = ord("-")
+#: Letters that are counted at a time, and the bits of a letter in a cell (its place, then its code point).
+LETTERS, CODE = 4_000_000, 21
 
 
 def _letters(text: str | None) -> np.ndarray:
@@ -60,11 +64,46 @@ def pair_by_species(msa: DataFrame, most: int = 600) -> DataFrame:
 
 def cluster_profile(msa: DataFrame, assigned: DataFrame) -> DataFrame:
     """(chain, center, col, letter, share, members): how many of a center's members, itself included, have a letter at
-    a place; a member that is too short counts as having none."""
+    a place; a member that is too short counts as having none.
+
+    A task counts the letters of a center's members among 2 * PART consecutive rows, LETTERS at a time; what is shuffled and
+    summed up by cell are counts, fewer the more members share a cell."""
+    assigned = keep(assigned.select("chain", "row_idx", "center"))
     members = assigned.groupBy("chain", "center").agg(F.count("*").alias("members"))
-    rows = msa.where("seq <> ''").join(assigned, ["chain", "row_idx"]).select("chain", "center", F.posexplode(F.split("seq", "")).alias("col", "letter")).where("letter <> ''")
-    counts = rows.groupBy("chain", "center", "col", "letter").agg(F.count("*").alias("k"))
-    return counts.join(members, ["chain", "center"]).select("chain", "center", "col", "letter", (F.col("k") / F.col("members")).alias("share"), "members")
+    rows = msa.where("seq <> ''").select("chain", "row_idx", "seq").join(assigned, ["chain", "row_idx"])
+    types = rows.schema["chain"].dataType.simpleString(), rows.schema["center"].dataType.simpleString()
+
+    def counted(table: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def count() -> None:
+            nonlocal size
+            found.append(np.unique(np.concatenate(held), return_counts=True))
+            held.clear()
+            size = 0
+
+        for seq in table.column("seq"):
+            letters = _letters(seq.as_py())
+            for start in range(0, len(letters), LETTERS):
+                x = letters[start : start + LETTERS].astype(np.int64)
+                x += np.arange(start, start + len(x), dtype=np.int64) << CODE
+                held.append(x)
+                size += len(x)
+                if size >= LETTERS:
+                    count()
+        if held:
+            count()
+        n = sum(len(cells) for cells, _ in found)
+        same = {c: pa.repeat(table.column(c)[0], n) for c in ("chain", "center")}
+        return pa.table(same | {"cell": np.concatenate([cells for cells, _ in found]), "k": np.concatenate([k for _, k in found]).astype(np.int64)})
+
+    part = F.floor(F.col("row_idx") / (2 * PART)).alias("part")
+    parts = rows.groupBy("chain", "center", part).applyInArrow(counted, f"chain {types[0]}, center {types[1]}, cell long, k long")
+    counts = parts.groupBy("chain", "center", "cell").agg(F.sum("k").alias("k"))
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.col("cell").bitwiseAND((1 << CODE) - 1)), 8, "0")), "UTF-32")
+    return counts.join(members, ["chain", "center"]).select("chain", "center", F.shiftright("cell", CODE).cast("int").alias("col"), letter.alias("letter"), (F.col("k") / F.col("members")).alias("share"), "members")
 
 
 def crop_sizes(msa: DataFrame, paired: DataFrame, size: int) -> DataFrame:

@@ -96,3 +96,22 @@ def test_worst_members_go_only_if_that_helps(spark):
     rows = [(1, i, d) for i, d in enumerate([1.0, 2.0, 9.0])] + [(2, i, d) for i, d in enumerate([1.0, 8.0, 9.0, 9.5])] + [(3, i, d) for i, d in enumerate([1.0, 2.0, 9.0, 9.0])] + [(4, 0, 9.0), (4, 1, 1.0)]
     left = C.drop_outliers(spark.createDataFrame(rows, "c int, i int, d double"), "c", "i", "d", 3.5, 2, 2).collect()
     assert sorted((r.c, r.i) for r in left) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3), (3, 0), (3, 1), (4, 0), (4, 1)]
+
+
+def test_profile_of_members_is_counted_before_it_is_shuffled(spark, monkeypatch):
+    from collections import Counter
+
+    from ensemblespark.operators import alignments as A
+
+    monkeypatch.setattr(A, "LETTERS", 5)
+    monkeypatch.setattr(A, "PART", 2)
+    rows = [("c", i, s) for i, s in enumerate(["abc", "abd", "", None, "é🙂-", "a", "abcdefghijkl", "ab", "xbc"])] + [("d", 0, "aa"), (None, 0, "a")]
+    near = [("c", i, 0 if i % 3 else 1) for i in range(9)] + [("d", 0, 0), (None, 0, 0)]
+    msa, assigned = spark.createDataFrame(rows, "chain string, row_idx int, seq string"), spark.createDataFrame(near, "chain string, row_idx int, center int")
+    of = {(c, i): s for c, i, s in rows}
+    members = Counter((c, m) for c, _, m in near)
+    cells = Counter((c, m, col, x) for c, i, m in near if c for col, x in enumerate(of[c, i] or ""))
+    got = A.cluster_profile(msa, assigned)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.chain, r.center, r.col, r.letter): (r.share, r.members) for r in got.collect()} == {k: (n / members[k[:2]], members[k[:2]]) for k, n in cells.items()}
+    assert "Generate" not in plan and plan.count("ExistingRDD") <= 1  # no row a letter; the assignment isn't made twice
