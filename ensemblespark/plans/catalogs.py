@@ -97,8 +97,8 @@ def kmers(spark, d):
     select family_id, cast(sum(instr('ACDEFGHIKLMNPQRSTVWY', c) - 1) as bigint) as total, cast(sum(case when instr('ACDEFGHIKLMNPQRSTVWY', c) = 0 then 1 else 0 end) as bigint) as unknown
     from (select family_id, unnest(string_split(seqres, '')) as c from families_v) group by family_id""")
 def encode_sequence(spark, d):
-    f = view(spark, d, "families_v").where("seqres <> ''")
-    letters = f.select("family_id", F.explode(F.split("seqres", "")).alias("c"))
+    """Sum of the letters' places in the alphabet, -1 for one that isn't in it, and how many aren't; an empty sequence has neither."""
+    letters = view(spark, d, "families_v").select("family_id", F.explode(F.split("seqres", "")).alias("c"))
     code = F.instr(F.lit("ACDEFGHIKLMNPQRSTVWY"), F.col("c"))
     return letters.groupBy("family_id").agg(F.sum(code - 1).alias("total"), F.sum((code == 0).cast("long")).alias("unknown"))
 

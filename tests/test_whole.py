@@ -301,3 +301,16 @@ def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
     beside, least = K._beside_least(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
     assert {r.u for r in least.where(F.col("n") > K.HUB).collect()} == {0, 60}
     assert sorted((r.u, r.v, r.m) for r in beside.collect()) == sorted((r.u, r.v, r.m) for r in edges.join(least, "u").collect())
+
+
+def test_encode_sequence_equals_sql_on_odd_texts(spark, tmp_path):
+    """Empty texts have a row of zeros, other spaces than the plain one are taken off the ends, a missing language leaves its name out."""
+    import duckdb
+
+    rows = [(0, "", "en"), (1, "   ", "en"), (2, "\u00a0ACxD\u3000", "en"), (3, None, "en"), (4, "wy \u00a0 Wé", None), (5, "\tAC\n", "de"), (6, "\U0001f600A\u2003", "de"), (7, "\u00a0", None), (123456789, "AC", "en")]
+    spark.createDataFrame([(i, t, "s", lang) for i, t, lang in rows], "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = got(spark, "encode_sequence", str(tmp_path))
+    assert found == sorted(con.execute(registry.SQL["encode_sequence"]).fetchall(), key=repr)
+    assert ("00000000_en", 0, 0) in found and ("00000002_en", 2, 1) in found and ("00000007_", 0, 0) in found
