@@ -333,3 +333,18 @@ def test_superposition_of_rows(spark, ensembles):
     want = onto(x["e1"], x["e0"][3])
     assert all(np.allclose(np.array(r.v).reshape(8, 3), want[r.frame_idx]) for r in out) and len(out) == 20
     assert E.turned(x["e1"][:1], x["e0"][3][None])[1].shape == (1, 3, 3)
+
+
+def test_assignment_of_large_clouds(spark, monkeypatch):
+    """Clouds of any size have a value: on a line the best assignment joins equal ranks."""
+    rng = np.random.default_rng(9)
+    sides = [np.round(rng.normal(size=2300), 3), rng.normal(size=2300) * 1.3 + 0.2]
+    rows = [("line", s, [float(x)], 3.0) for s, side in enumerate(sides) for x in side]
+    (got,) = S.optimal_w2(spark.createDataFrame(rows, "case string, side int, x array<double>, scale double")).collect()
+    a, b = map(np.sort, sides)
+    assert got.violation is None and got.w2 == pytest.approx(math.sqrt(((a - b) ** 2).mean() / 3.0))
+    cost = rng.random((80, 80))
+    monkeypatch.setattr(S, "PRICED", 10)
+    monkeypatch.setattr(S, "CELLS", 700)
+    assert cost[np.arange(80), S.assignment(cost)].sum() == pytest.approx(least_total(cost))
+    assert S.assignment(np.zeros((30, 30))).tolist() and len(set(S.assignment(np.ones((30, 30))).tolist())) == 30
