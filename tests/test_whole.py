@@ -314,3 +314,18 @@ def test_encode_sequence_equals_sql_on_odd_texts(spark, tmp_path):
     found = got(spark, "encode_sequence", str(tmp_path))
     assert found == sorted(con.execute(registry.SQL["encode_sequence"]).fetchall(), key=repr)
     assert ("00000000_en", 0, 0) in found and ("00000002_en", 2, 1) in found and ("00000007_", 0, 0) in found
+
+
+def test_windows_are_made_once_a_length(spark, members, monkeypatch):
+    """Windows joined by their trajectory's length are those that each trajectory makes; many lengths are not broadcast."""
+    found = {}
+    for shared in (500_000, 0):
+        monkeypatch.setattr(W, "SHARED", shared)
+        found[shared] = [got(spark, name, members[0]) for name in ("trajectory_windows_whole", "orient_window_whole")]
+        plan = registry.QUERIES["orient_window_whole"](spark, members[0])._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plan) == bool(shared)
+    assert found[0] == found[500_000] and len(found[0][0]) == len(found[0][1]) > 1000
+    rows = spark.createDataFrame([(7, 3, 1000 + 50 * i, 2, 1016 + 50 * i) for i in range(40)], "family_id long, member_id int, start int, step int, last int")
+    for r in W.oriented_ends(rows, 3, 0.5, 1000, 64).collect():
+        start = r.target_frame if r.reversed else r.source_frame
+        assert r.reversed == (int(hashlib.sha256(f"3|7|3|{start}|2".encode()).hexdigest()[:16], 16) < 2**63)
