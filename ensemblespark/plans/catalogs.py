@@ -224,7 +224,7 @@ def edges_shared_key(spark, d):
     select a, b, shared, round(containment, 6) as containment, substring from r where substring or containment >= 0.5""")
 def homology_pairs(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.upper(F.trim("p_name")).alias("s"))
-    return rounded(I.homology_pairs(p, "p_partkey", "s"), "containment").withColumn("shared", F.col("shared").cast("long"))
+    return I.homology_pairs(p, "p_partkey", "s", digits=6)
 
 
 def _all_edges(spark, d) -> DataFrame:

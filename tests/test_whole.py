@@ -329,3 +329,20 @@ def test_windows_are_made_once_a_length(spark, members, monkeypatch):
     for r in W.oriented_ends(rows, 3, 0.5, 1000, 64).collect():
         start = r.target_frame if r.reversed else r.source_frame
         assert r.reversed == (int(hashlib.sha256(f"3|7|3|{start}|2".encode()).hexdigest()[:16], 16) < 2**63)
+
+
+def test_homology_pairs_leave_in_parts(spark, monkeypatch):
+    """Pairs of blocks of ids become pairs of ids a bounded number at a time, whatever the ids' type."""
+    import pyarrow as pa
+
+    from ensemblespark.operators import identity as I
+
+    monkeypatch.setattr(I, "RUNS", 50)
+    ids = [f"p{i:02d}" for i in range(30)]
+    rows = {"ia": [ids[:20], ids[20:]], "ib": [ids[:20], ids[:20]], "same": [True, False], "shared": [3, 4], "containment": [0.5, 1.0], "substring": [False, True]}
+    made = list(I._crossed([pa.RecordBatch.from_pydict(rows)]))
+    assert max(b.num_rows for b in made) <= 50 and len(made) > 5
+    got = sorted(tuple(r.values()) for b in made for r in b.to_pylist())
+    assert got == sorted([(a, b, 3, 0.5, False) for a in ids[:20] for b in ids[:20] if a < b] + [(b, a, 4, 1.0, True) for a in ids[20:] for b in ids[:20]])
+    frame = spark.createDataFrame([(f"x{i}", "SAME LONG NAME") for i in range(9)], "id string, s string")
+    assert I.homology_pairs(frame, "id", "s").count() == 36
