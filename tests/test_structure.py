@@ -399,3 +399,19 @@ def test_windows_across_batches_and_gaps(spark):
         t = np.arange(9) / 4 - 1
         assert len(r.x) == 5 * len(obs[r.unit])
         assert r.x[0] == pytest.approx(sum(known[r.unit, 0, r.start + k * r.step] * t[k] for k in range(9)) / (t @ t))
+
+
+def test_sharing_pairs_in_passes_keep_no_runs(spark, monkeypatch):
+    """Runs are met a part of all hashes at a time; what is kept between is far less than the runs, and pairs stay the same."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefgh", k=300)) for _ in range(30)]
+    texts += [t[:200] + "".join(rng.choices("abcdefgh", k=100)) for t in texts[:5]] + [texts[0], texts[1][40:90]]
+    sets = [{t[i : i + 6] for i in range(len(t) - 5)} for t in texts]
+    want = {(i, j): len(sets[i] & sets[j]) for i, j in itertools.combinations(range(len(texts)), 2) if 2 * len(sets[i] & sets[j]) >= min(len(sets[i]), len(sets[j]))}
+    kept, keep = [], S.keep
+    monkeypatch.setattr(S, "LETTERS", 3000)
+    monkeypatch.setattr(S, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(S, "forget", lambda *tables: None)
+    got = {(r.a, r.b): r.shared for r in S.sharing_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), 6, 0.5).collect()}
+    assert got == want and len(want) >= 7
+    assert len(kept) > 8 and max(t.count() for t in kept) < sum(map(len, sets)) / 4
